@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.parse import marked, safe_int
+from packetloom.functions.parse import filled, marked, safe_int
 
 LINK_PROTOCOLS = ["MACSEC", "EAPOL"]
 # Transports in the order they are looked for.
@@ -134,7 +134,7 @@ def marker(value: Column) -> Column:
 def tls_issue_tags(level: Column, description: Column) -> Column:
     text = F.lower(F.concat(F.coalesce(level, F.lit("")), F.lit(" "),
                             F.coalesce(description, F.lit(""))))
-    alert = F.trim(text) != ""
+    alert = filled(level) | filled(description)
     return F.array_compact(F.array(
         F.when(alert, F.lit("tls_alert")),
         F.when(alert & (text.contains("fatal") | text.startswith("2")), F.lit("tls_fatal_alert"))))

@@ -34,3 +34,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df, name: str):
+    """Write an intermediate table to the shared folder and go on from the files.
+
+    Used where a result feeds several ordered passes: they read the table instead of repeating the
+    work behind it, and a lost executor costs one read.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
