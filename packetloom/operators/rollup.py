@@ -261,8 +261,9 @@ def endpoint_inventory(fl: DataFrame) -> DataFrame:
     def label(end: str) -> Column:
         return F.concat_ws(":", c(f"endpoint_{end}"), c(f"port_{end}").cast("string"))
 
+    def entry(kind: str, value: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+
     return fl.select(F.inline(F.array(
-        F.struct(F.lit("endpoint").alias("kind"), c("endpoint_a").alias("value")),
-        F.struct(F.lit("endpoint"), c("endpoint_b")),
-        F.struct(F.lit("endpoint_port"), label("a")),
-        F.struct(F.lit("endpoint_port"), label("b"))))).distinct()
+        entry("endpoint", c("endpoint_a")), entry("endpoint", c("endpoint_b")),
+        entry("endpoint_port", label("a")), entry("endpoint_port", label("b"))))).distinct()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 CERTIFICATE = (
     "struct<presenter_ip:string,presenter_port:int,presenter_role:string,subject:string,"
@@ -47,7 +46,7 @@ PACKET_COLUMNS: dict[str, str] = {
     "smb_read_length": "bigint", "smb_write_length": "bigint", "smb_file_offset": "bigint",
     "smb_encrypted": "boolean", "smb_capabilities": "array<string>",
 }
-PACKETS = T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in PACKET_COLUMNS.items()))
+PACKETS = ", ".join(f"{n} {t}" for n, t in PACKET_COLUMNS.items())
 
 
 def conform(df: DataFrame) -> DataFrame:
