@@ -1 +1,8 @@
 """Network-flow analytics on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel with the job, wherever the package is installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -6,10 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.parse import filled, packet_time_ns
-from packetloom.operators.folds import WINDOW_ROWS, fold_windows
+from packetloom.operators.folds import CONTEXT_ROWS, WINDOW_ROWS, window_openers
 from packetloom.operators.ordered import (
-    DEFAULT_PAUSE_MS, extend_sequence, packet_gaps, sequence_points)
+    DEFAULT_PAUSE_MS, extend_sequence, packet_gaps, scan, sequence_anomalies)
 from packetloom.operators.ranking import row_positions
+from packetloom.settings import settle
 
 # The tool that lists every packet of a transport.
 PRIMARY_TOOLS = {"TCP": "deep_tcp_flow", "UDP": "deep_udp_flow", "ESP": "deep_esp_flow",
@@ -58,7 +59,12 @@ def _reason(order: int, test: Column, text: Column) -> Column:
 def packet_reasons() -> Column:
     """Reasons a packet shows by itself."""
     c = F.col
-    return F.array_compact(F.array(
+    null = F.lit(None).cast("double")
+    tags = F.transform(
+        F.coalesce(c("issue_tags"), F.array().cast("array<string>")),
+        lambda tag, at: F.struct((F.lit(ISSUE) + at).alias("reason_order"), tag.alias("reason"),
+                                 null.alias("gap_ms")))
+    return F.concat(tags, F.array_compact(F.array(
         _reason(DNS, filled(c("dns_response_code")) & ~c("dns_response_code").isin("0", "No error"),
                 F.concat(F.lit("DNS response code "), c("dns_response_code"))),
         _reason(SIP, c("sip_status_code") >= 400,
@@ -72,60 +78,41 @@ def packet_reasons() -> Column:
         _reason(EAP, F.array_contains(c("eapol_fields")["eap.code"], "4"),
                 F.lit("EAP Failure observed")),
         _reason(IKE, F.exists(c("ike.notify_types"), lambda n: (n > 0) & (n < 16384)),
-                F.lit("IKE error notification observed"))))
-
-
-def _sequence_label(seq: Column, duplicate: Column) -> Column:
-    high = F.col("highest_before")
-    return (F.when(duplicate, F.lit("duplicate sequence"))
-            .when(seq < high, F.lit("out-of-order sequence"))
-            .when(seq > high + 1, F.concat(F.lit("sequence gap of "),
-                                           (seq - high - 1).cast("string"))))
-
-
-def _named(order: int, protocol: str, stream: str) -> list[Column]:
-    return [F.lit(order).alias("reason_order"),
-            F.concat(F.lit(f"{protocol} "), F.col(stream), F.lit(": "), F.col("label"),
-                     F.lit(" observed (not proven loss)")).alias("reason"),
-            F.lit(None).cast("double").alias("gap_ms")]
+                F.lit("IKE error notification observed")))))
+
+
+def _sequence_reasons(rows: DataFrame, order: int, protocol: str, stream: str, seq: str,
+                      duplicate: Column, late: Column) -> DataFrame:
+    """Rows marked as copies, late, or behind a gap."""
+    label = (F.when(duplicate, F.lit("duplicate sequence"))
+             .when(late, F.lit("out-of-order sequence"))
+             .when(F.col(seq) > F.col("highest_before") + 1, F.concat(
+                 F.lit("sequence gap of "),
+                 (F.col(seq) - F.col("highest_before") - 1).cast("string"))))
+    return rows.withColumn("_label", label).where("_label IS NOT NULL").select(
+        "frame_number", F.lit(order).alias("reason_order"),
+        F.concat(F.lit(f"{protocol} "), F.col(stream), F.lit(": "), F.col("_label"),
+                 F.lit(" observed (not proven loss)")).alias("reason"),
+        F.lit(None).cast("double").alias("gap_ms"))
 
 
 def esp_reasons(pk: DataFrame) -> DataFrame:
-    """Duplicates, late numbers and gaps of ESP streams; a number's first row is the new one."""
     keys = ["flow_key", "a_to_b", "esp_spi"]
-    rows = pk.where(F.col("esp_spi").isNotNull() & F.col("esp_sequence").isNotNull()).select(
-        *keys, "esp_sequence", "frame_number")
-    points = sequence_points(rows, keys, "esp_sequence")
-    new = points.withColumn("label", _sequence_label(F.col("esp_sequence"), F.lit(False))).where(
-        "label IS NOT NULL").select(
-            F.col("first_at").alias("frame_number"), *_named(ESP_SEQUENCE, "ESP", "esp_spi"))
-    copies = _copies(rows, points, [*keys, "esp_sequence"]).withColumn(
-        "label", F.lit("duplicate sequence"))
-    return new.unionByName(copies.select("frame_number", *_named(ESP_SEQUENCE, "ESP", "esp_spi")))
-
-
-def _copies(rows: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that repeat a number, all but the first; the first ones are known by frame."""
-    repeated = points.where("copies > 1")
-    firsts = repeated.select(F.col("first_at").alias("frame_number"))
-    return rows.join(repeated.select(*keys), keys, "left_semi").join(
-        firsts, "frame_number", "left_anti")
+    rows = sequence_anomalies(
+        pk.where(F.col("esp_spi").isNotNull() & F.col("esp_sequence").isNotNull()).select(
+            *keys, "esp_sequence", "frame_number"), keys, "esp_sequence")
+    return _sequence_reasons(rows, ESP_SEQUENCE, "ESP", "esp_spi", "esp_sequence",
+                             F.col("is_duplicate"), F.col("is_out_of_order"))
 
 
 def rtp_reasons(pk: DataFrame) -> DataFrame:
     keys = ["flow_key", "a_to_b", "rtp_ssrc"]
     rows = pk.where(F.col("rtp_ssrc").isNotNull() & F.col("rtp_sequence").isNotNull()).select(
         *keys, "rtp_sequence", "frame_number")
-    extended = extend_sequence(rows, keys, "rtp_sequence")
-    points = extended.groupBy(*keys, "extended").agg(
-        F.min("frame_number").alias("first_at"), F.count(F.lit(1)).alias("copies"),
-        F.min_by("highest_before", "frame_number").alias("highest_before"))
-    new = points.withColumn("label", _sequence_label(F.col("extended"), F.lit(False))).where(
-        "label IS NOT NULL").select(
-            F.col("first_at").alias("frame_number"), *_named(RTP_SEQUENCE, "RTP", "rtp_ssrc"))
-    copies = _copies(extended, points, [*keys, "extended"]).withColumn(
-        "label", F.lit("duplicate sequence"))
-    return new.unionByName(copies.select("frame_number", *_named(RTP_SEQUENCE, "RTP", "rtp_ssrc")))
+    nth = scan(extend_sequence(rows, keys, "rtp_sequence"), [*keys, "extended"], "frame_number",
+               position="_nth")
+    return _sequence_reasons(nth, RTP_SEQUENCE, "RTP", "rtp_ssrc", "extended",
+                             F.col("_nth") > 1, F.col("extended") < F.col("highest_before"))
 
 
 def pause_reasons(pk: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> DataFrame:
@@ -145,12 +132,9 @@ def pause_reasons(pk: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> Data
 
 def evidence_reasons(pk: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> DataFrame:
     """(frame_number, reason_order, reason, gap_ms): each reason a packet is worth a look."""
-    tags = pk.select("frame_number", F.posexplode("issue_tags").alias("at", "reason")).select(
-        "frame_number", (F.lit(ISSUE) + F.col("at")).alias("reason_order"), "reason",
-        F.lit(None).cast("double").alias("gap_ms"))
     own = pk.select("frame_number", F.inline(packet_reasons()))
-    return (tags.unionByName(own).unionByName(esp_reasons(pk))
-            .unionByName(rtp_reasons(pk)).unionByName(pause_reasons(pk, threshold_ms)))
+    return (own.unionByName(esp_reasons(pk)).unionByName(rtp_reasons(pk))
+            .unionByName(pause_reasons(pk, threshold_ms)))
 
 
 def evidence_triggers(pk: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> DataFrame:
@@ -167,7 +151,20 @@ def merge_windows(triggers: DataFrame) -> DataFrame:
 
     A window opens up to 100 rows before its first trigger and takes every trigger inside it.
     """
-    placed = fold_windows(triggers, ["flow_key", "tool"], "position", "sample_offset")
+    keys = ["flow_key", "tool"]
+    rows = settle(triggers, "triggers")
+    opened = window_openers(rows, keys, "position")
+    start = F.greatest(F.col("position") - CONTEXT_ROWS, F.lit(0))
+    # A window touches two blocks of its own size; rows meet it in their block. A window takes the
+    # rows from its first trigger on, so no row meets two.
+    blocks = opened.select(
+        *keys, F.col("position").alias("opener"), start.alias("sample_offset"),
+        F.explode(F.sequence(F.floor(F.col("position") / WINDOW_ROWS),
+                             F.floor((start + WINDOW_ROWS - 1) / WINDOW_ROWS))).alias("block"))
+    inside = (F.col("position") >= F.col("opener")) & (
+        F.col("position") < F.col("sample_offset") + WINDOW_ROWS)
+    placed = rows.withColumn("block", F.floor(F.col("position") / WINDOW_ROWS)).join(
+        blocks, [*keys, "block"]).where(inside)
     event = F.struct("position", "frame_number", "a_to_b", "reasons")
     windows = placed.groupBy("flow_key", "tool", "sample_offset").agg(
         F.array_sort(F.collect_list(event)).alias("events"))

@@ -122,11 +122,37 @@ def _follow_window(state: int, part: pd.DataFrame) -> int:
     return state if reachable.empty else int(reachable["_exit"].iloc[0])
 
 
-def fold_windows(df: DataFrame, keys: list[str], position: str, out: str) -> DataFrame:
-    """Give each trigger the start of the evidence window that covers it."""
+def window_openers(df: DataFrame, keys: list[str], position: str) -> DataFrame:
+    """Triggers that open an evidence window: (keys, position).
+
+    A key whose triggers lie in one chunk of positions is folded where its short list is built. Only
+    keys that span chunks need the maps.
+    """
     from packetloom.operators.ordered import chunk_of
 
-    rows = df.withColumn("_chunk", chunk_of(position))
+    step = [*keys, "_chunk"]
+    rows = df.select(*keys, position).withColumn("_chunk", chunk_of(position))
+    spread = rows.groupBy(*keys).agg(
+        F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to")).where(
+            F.col("_from") < F.col("_to")).select(*keys)
+
+    nothing = F.struct(F.lit(0).cast("bigint").alias("end"),
+                       F.array().cast("array<bigint>").alias("opened"))
+
+    def take(state, at):
+        opened = F.struct(
+            (F.greatest(at - CONTEXT_ROWS, F.lit(0)) + WINDOW_ROWS).cast("bigint").alias("end"),
+            F.concat(state["opened"], F.array(at)).alias("opened"))
+        return F.when(at >= state["end"], opened).otherwise(state)
+
+    short = rows.join(spread, keys, "left_anti").groupBy(*step).agg(F.aggregate(
+        F.array_sort(F.collect_list(position)), nothing, take)["opened"].alias("opened")).select(
+            *keys, F.explode("opened").alias(position))
+    return short.unionByName(
+        _chunked_openers(rows.join(spread, keys, "left_semi"), keys, position))
+
+
+def _chunked_openers(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
     step = [*keys, "_chunk"]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -145,19 +171,20 @@ def fold_windows(df: DataFrame, keys: list[str], position: str, out: str) -> Dat
             out[key] = [pdf[key].iloc[0]] * len(out)
         return out[[*step, "_first", "_low", "_high", "_exit"]]
 
-    maps = rows.select(*step, position).groupBy(*step).applyInPandas(
+    maps = rows.groupBy(*step).applyInPandas(
         summarise, _schema(rows, step, [("_first", T.LongType()), *MAP_FIELDS]))
     entries = _entries(maps, keys, _follow_window)
-    kept = df.columns
 
     def replay(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position)
-        end, starts = int(entry["_entry"].iloc[0]), []
-        for at in rows[position].to_numpy(np.int64).tolist():
+        end, opened = int(entry["_entry"].iloc[0]), []
+        for at in np.sort(rows[position].to_numpy(np.int64)).tolist():
             if at >= end:
                 end = max(at - CONTEXT_ROWS, 0) + WINDOW_ROWS
-            starts.append(end - WINDOW_ROWS)
-        return rows[kept].assign(**{out: starts})
+                opened.append(at)
+        out = pd.DataFrame({position: opened})
+        for key in keys:
+            out[key] = [rows[key].iloc[0]] * len(out)
+        return out[[*keys, position]]
 
     return rows.groupBy(*step).cogroup(entries.groupBy(*step)).applyInPandas(
-        replay, _schema(rows, kept, [(out, T.LongType())]))
+        replay, _schema(rows, [*keys, position], []))

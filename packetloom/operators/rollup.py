@@ -119,6 +119,7 @@ def flow_rollup(pk: DataFrame) -> DataFrame:
             "esp_packets"),
         F.count_if(F.col("ike").isNotNull()).alias("ike_packets"),
         F.count_if(F.size("bgp_fields") > 0).alias("bgp_packets"),
+        F.count_if(F.array_contains("decoded_protocols", "BGP")).alias("bgp_layers"),
         F.count_if(F.size("macsec_fields") > 0).alias("macsec_packets"),
         F.count_if(F.size("eapol_fields") > 0).alias("eapol_packets"),
         F.count_if(filled(F.col("sip_call_id")) | filled(F.col("sip_method"))

@@ -8,8 +8,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.operators.keys import analysable, with_flow
 from packetloom.operators.rollup import flow_rollup, rank_flows
+from packetloom.schemas import PACKET_COLUMNS
 from packetloom.sources import derived
 
 
@@ -23,16 +23,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     @cached_property
-    def raw(self) -> DataFrame:
+    def packets(self) -> DataFrame:
         return derived.packets(self.spark, self.sf_dir)
 
     @cached_property
-    def packets(self) -> DataFrame:
-        return with_flow(analysable(self.raw))
+    def captured(self) -> DataFrame:
+        """Packets as captured, without flow columns."""
+        return self.packets.select(*PACKET_COLUMNS)
 
     @cached_property
     def control(self) -> DataFrame:
-        return with_flow(analysable(derived.control_packets(self.spark, self.sf_dir)))
+        return derived.control_packets(self.spark, self.sf_dir)
 
     @cached_property
     def flows(self) -> DataFrame:

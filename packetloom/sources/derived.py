@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import SMB2_CAPABILITY_BITS
+from packetloom.operators.keys import analysable, with_flow
 from packetloom.operators.ordered import scan
 from packetloom.schemas import conform
 from packetloom.settings import scratch_path
@@ -197,13 +198,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web, SMB, RTP, DNS, SIP, DHCP and ESP packets."""
-    return _table(spark, sf_dir, "packets", lambda: _build(
+    """Web, SMB, RTP, DNS, SIP, DHCP and ESP packets with their flow and direction."""
+    return _table(spark, sf_dir, "packets", lambda: with_flow(analysable(_build(
         numbered_events(spark, sf_dir), PACKET_EXPRESSIONS,
-        {"smb_capabilities": smb_capability_column()}))
+        {"smb_capabilities": smb_capability_column()}))))
 
 
 def control_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """IKE, BGP, MACsec and EAPOL packets."""
-    return _table(spark, sf_dir, "control", lambda: _build(
-        events(spark, sf_dir), CONTROL_EXPRESSIONS, {}))
+    """IKE, BGP, MACsec and EAPOL packets with their flow and direction."""
+    return _table(spark, sf_dir, "control", lambda: with_flow(analysable(_build(
+        events(spark, sf_dir), CONTROL_EXPRESSIONS, {}))))
