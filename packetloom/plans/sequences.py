@@ -156,7 +156,7 @@ def evidence_triggers(t):
         "reasons", F.array_join("reasons", "; "))
 
 
-@query("w09_evidence_windows", pk(REASONS + """,
+WINDOWS = REASONS + """,
 nx AS (SELECT flow_key, tool, position, greatest(position - 100, 0) AS start FROM trig),
 one AS (SELECT flow_key, tool, min(position) AS position FROM nx GROUP BY ALL),
 win AS (WITH RECURSIVE w AS (
@@ -165,11 +165,15 @@ win AS (WITH RECURSIVE w AS (
     SELECT w.flow_key, w.tool, n.position, greatest(n.position - 100, 0) FROM w JOIN LATERAL (
       SELECT min(nx.position) AS position FROM nx WHERE nx.flow_key = w.flow_key
         AND nx.tool = w.tool AND nx.position >= w.start + 1000) n ON n.position IS NOT NULL)
-  SELECT * FROM w)
-SELECT win.flow_key, win.tool, win.start AS sample_offset, win.position AS issue_packet_index,
+  SELECT * FROM w),
+ew AS (SELECT win.flow_key, win.tool, win.start AS sample_offset, win.position AS issue_packet_index,
   count(*) AS issue_count
 FROM win JOIN trig ON trig.flow_key = win.flow_key AND trig.tool = win.tool
-  AND trig.position >= win.position AND trig.position < win.start + 1000 GROUP BY ALL"""))
+  AND trig.position >= win.position AND trig.position < win.start + 1000 GROUP BY ALL)"""
+
+
+@query("w09_evidence_windows", pk(WINDOWS + """
+SELECT flow_key, tool, sample_offset, issue_packet_index, issue_count FROM ew"""))
 def evidence_windows(t):
     return evidence.merge_windows(evidence.evidence_triggers(t.packets, PAUSE_MS)).select(
         "flow_key", "tool", "sample_offset", "issue_packet_index", "issue_count")

@@ -81,13 +81,15 @@ def _read(fields: Column, name: str) -> Column:
 
 def _wide(fields: Column, names: list[str]) -> Column:
     """First field that is a number, with its high word where one is given."""
-    values = []
-    for name in names:
-        high = safe_int(_read(fields, f"{name.removesuffix('_low')}_high"))
-        low = safe_int(_read(fields, name))
-        values.append(F.when(F.coalesce(high, F.lit(0)) != 0, low + F.shiftleft(high, 32))
-                      .otherwise(low))
-    return F.coalesce(*values)
+    def words(name: Column) -> Column:
+        high = F.concat(F.regexp_replace(name, "_low$", ""), F.lit("_high"))
+        return F.struct(safe_int(F.try_element_at(fields, name)).alias("low"),
+                        F.coalesce(safe_int(F.try_element_at(fields, high)), F.lit(0)).alias("high"))
+
+    numbers = F.filter(F.transform(F.array(*[F.lit(n) for n in names]), words),
+                       lambda w: w["low"].isNotNull())
+    first = F.get(numbers, F.lit(0))
+    return first["low"] + F.shiftleft(first["high"], 32)
 
 
 def smb_length(fields: Column, kind: str) -> Column:
