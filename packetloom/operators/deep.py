@@ -58,11 +58,11 @@ def annotated_rows(headers: DataFrame) -> DataFrame:
     rows = headers.withColumn("_ns", row_time_ns())
     ways = packet_gaps(rows, ["flow_key", "a_to_b"], "_ns", out="direction_gap_ms").drop(
         "direction_gap_ms_backward")
-    ssrc = field("rtp.ssrc")
-    media = packet_gaps(ways.where(ssrc.isNotNull()), ["flow_key", "a_to_b", "rtp.ssrc"], "_ns",
+    ways = ways.withColumn("_ssrc", field("rtp.ssrc"))
+    media = packet_gaps(ways.where("_ssrc IS NOT NULL"), ["flow_key", "a_to_b", "_ssrc"], "_ns",
                         out="stream_gap_ms").drop("stream_gap_ms_backward")
-    return media.unionByName(ways.where(ssrc.isNull()).withColumn(
-        "stream_gap_ms", F.lit(None).cast("double"))).drop("_ns")
+    return media.unionByName(ways.where("_ssrc IS NULL").withColumn(
+        "stream_gap_ms", F.lit(None).cast("double"))).drop("_ns", "_ssrc")
 
 
 def recompute_gaps(headers: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> DataFrame:

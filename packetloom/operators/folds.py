@@ -1,7 +1,7 @@
 """Exact sequential folds, one chunk of one key at a time.
 
-Both folds here keep one number as state, and a row either leaves it or lifts it to a new value, so a
-chunk maps its entry state to its exit state by a short step function. Spark groups build these maps
+Both folds here keep one number as state, and a row either leaves it or replaces it by a value of its
+own, so a chunk maps its entry state to its exit state by a short step function. Spark groups build these maps
 per (key, chunk), a second grouping runs through the maps of a key to find every entry state, and a
 third replays the rows of each chunk from its entry. No group holds more than a chunk of rows.
 """
@@ -19,6 +19,9 @@ HALF = 1 << 15
 WINDOW_ROWS = 1000
 CONTEXT_ROWS = 100
 
+# Exit of a part of a step map that leaves the state as it is.
+KEEP = -1
+
 MAP_FIELDS = [("_low", T.LongType()), ("_high", T.LongType()), ("_exit", T.LongType())]
 
 
@@ -26,6 +29,13 @@ def _schema(df: DataFrame, names: list[str], extra: list[tuple[str, T.DataType]]
     return T.StructType([df.schema[n] for n in names] + [T.StructField(*e) for e in extra])
 
 
+def _labelled(out: pd.DataFrame, group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
+    """Put the key values of a group on every row."""
+    for key in keys:
+        out[key] = pd.Series([group[key].iloc[0]] * len(out), dtype=object, index=out.index)
+    return out
+
+
 def _entries(maps: DataFrame, keys: list[str], follow) -> DataFrame:
     """Entry state of every chunk: run through the step maps of a key in chunk order."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,37 +46,40 @@ def _entries(maps: DataFrame, keys: list[str], follow) -> DataFrame:
             out.append((chunk, state))
             state = follow(state, part)
         result = pd.DataFrame(out, columns=["_chunk", "_entry"])
-        for key in keys:
-            result[key] = [pdf[key].iloc[0]] * len(result)
-        return result[[*keys, "_chunk", "_entry"]]
+        return _labelled(result, pdf, keys)[[*keys, "_chunk", "_entry"]]
 
     return maps.groupBy(*keys).applyInPandas(
         run, _schema(maps, keys, [("_chunk", T.LongType()), ("_entry", T.LongType())]))
 
 
-def _sequence_map(numbers: np.ndarray) -> list[tuple[int, int, int]]:
-    """Step map over entry residues 0..65535; exit -1 keeps the entry state."""
-    low, high, value = [np.array([x], dtype=np.int64) for x in (0, SPACE - 1, -1)]
+def _cut(low: int, high: int, left: int, right: int, to: int) -> list[tuple[int, int, int]]:
+    """Split a part that keeps its entry so that left..right lead to `to`."""
+    inner, outer = max(low, left), min(high, right)
+    parts = [(low, inner - 1, KEEP), (inner, outer, to), (outer + 1, high, KEEP)]
+    return [p for p in parts if p[0] <= p[1]]
+
+
+def _sequence_map(numbers: list[int]) -> list[tuple[int, int, int]]:
+    """Step map over entry residues 0..65535: (first residue, last residue, exit value).
+
+    A row lifts every value up to half the space behind its number to that number. Parts that were
+    not lifted yet keep their entry; parts that were are single values, few and moved together.
+    """
+    low, high, value = [np.array([x], dtype=np.int64) for x in (0, SPACE - 1, KEEP)]
     for s in numbers:
         ahead = (s - value) % SPACE
-        value = np.where((value >= 0) & (ahead > 0) & (ahead < HALF), value + ahead, value)
-        for lift in (0, SPACE):
-            reach = s + lift
-            left, right = reach - HALF + 1, reach - 1
-            hit = (value < 0) & (low <= right) & (high >= left)
-            if not hit.any():
-                continue
-            parts = []
-            for lo, hi, v, cut in zip(low, high, value, hit):
-                if not cut:
-                    parts.append((lo, hi, v))
-                    continue
-                a, b = max(lo, left), min(hi, right)
-                parts += [(lo, a - 1, -1)] * (lo < a) + [(a, b, reach)] + [(b + 1, hi, -1)] * (b < hi)
-            low, high, value = (np.array(x, dtype=np.int64) for x in zip(*parts))
+        value = np.where((value != KEEP) & (ahead > 0) & (ahead < HALF), value + ahead, value)
+        for to in (s, s + SPACE):
+            left, right = to - HALF + 1, to - 1
+            hit = (value == KEEP) & (low <= right) & (high >= left)
+            if hit.any():
+                parts = [p for lo, hi, v, h in zip(
+                    low.tolist(), high.tolist(), value.tolist(), hit.tolist())
+                    for p in (_cut(lo, hi, left, right, to) if h else [(lo, hi, v)])]
+                low, high, value = (np.array(x, dtype=np.int64) for x in zip(*parts))
         if len(value) > 1:
-            keep = np.r_[True, (value[1:] != value[:-1])]
-            low, value = low[keep], value[keep]
+            starts = np.r_[True, value[1:] != value[:-1]]
+            low, value = low[starts], value[starts]
             high = np.r_[low[1:] - 1, SPACE - 1]
     return list(zip(low.tolist(), high.tolist(), value.tolist()))
 
@@ -74,7 +87,7 @@ def _sequence_map(numbers: np.ndarray) -> list[tuple[int, int, int]]:
 def _follow_sequence(state: int, part: pd.DataFrame) -> int:
     residue = state % SPACE
     row = part[(part["_low"] <= residue) & (part["_high"] >= residue)].iloc[0]
-    return state if row["_exit"] < 0 else state - residue + int(row["_exit"])
+    return state if row["_exit"] == KEEP else state - residue + int(row["_exit"])
 
 
 def fold_extend(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFrame:
@@ -82,12 +95,10 @@ def fold_extend(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFra
     step = [*keys, "_chunk"]
 
     def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers = pdf.sort_values(order)[seq].to_numpy(np.int64)
+        numbers = pdf.sort_values(order)[seq].to_numpy(np.int64).tolist()
         out = pd.DataFrame(_sequence_map(numbers), columns=["_low", "_high", "_exit"])
-        out["_first"] = int(numbers[0])
-        for key in step:
-            out[key] = [pdf[key].iloc[0]] * len(out)
-        return out[[*step, "_first", "_low", "_high", "_exit"]]
+        out["_first"] = numbers[0]
+        return _labelled(out, pdf, step)[[*step, "_first", "_low", "_high", "_exit"]]
 
     maps = df.select(*step, order, seq).groupBy(*step).applyInPandas(
         summarise, _schema(df, step, [("_first", T.LongType()), *MAP_FIELDS]))
@@ -104,7 +115,8 @@ def fold_extend(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFra
             before.append(None if first_chunk and i == 0 else high)
             extended.append(value)
             high = max(high, value)
-        return rows[kept].assign(extended=extended, highest_before=pd.array(before, dtype="Int64"))
+        return rows[kept].astype(object).assign(
+            extended=extended, highest_before=pd.array(before, dtype="Int64"))
 
     started = entries.join(
         entries.groupBy(*keys).agg(F.min("_chunk").alias("_first_chunk")), keys)
@@ -165,11 +177,11 @@ def _chunked_openers(rows: DataFrame, keys: list[str], position: str) -> DataFra
         # An open window reaches less than 1000 positions into the chunk.
         near = int(np.searchsorted(at, at[0] + WINDOW_ROWS, side="right")) + 1
         out = pd.DataFrame({"_low": at[:near], "_high": at[:near], "_exit": leave[:near]})
-        out = out.groupby("_exit", as_index=False).agg({"_low": "min", "_high": "max"})
+        # Neighbouring entries that lead to one exit are one part; chains of windows soon meet.
+        run = (out["_exit"] != out["_exit"].shift()).cumsum()
+        out = out.groupby(run, as_index=False).agg({"_low": "min", "_high": "max", "_exit": "first"})
         out["_first"] = 0
-        for key in step:
-            out[key] = [pdf[key].iloc[0]] * len(out)
-        return out[[*step, "_first", "_low", "_high", "_exit"]]
+        return _labelled(out, pdf, step)[[*step, "_first", "_low", "_high", "_exit"]]
 
     maps = rows.groupBy(*step).applyInPandas(
         summarise, _schema(rows, step, [("_first", T.LongType()), *MAP_FIELDS]))
@@ -181,10 +193,7 @@ def _chunked_openers(rows: DataFrame, keys: list[str], position: str) -> DataFra
             if at >= end:
                 end = max(at - CONTEXT_ROWS, 0) + WINDOW_ROWS
                 opened.append(at)
-        out = pd.DataFrame({position: opened})
-        for key in keys:
-            out[key] = [rows[key].iloc[0]] * len(out)
-        return out[[*keys, position]]
+        return _labelled(pd.DataFrame({position: opened}), rows, keys)[[*keys, position]]
 
     return rows.groupBy(*step).cogroup(entries.groupBy(*step)).applyInPandas(
         replay, _schema(rows, [*keys, position], []))

@@ -1 +1,61 @@
-"""Queries."""
+"""Queries that feed the packet table to a stream in three parts and read its result."""
+
+from pyspark.sql import functions as F
+
+from packetloom.plans.catalog import query
+from packetloom.plans.sequences import GAPS
+from packetloom.plans.sql import ESP, FLOWS, pk
+from packetloom.settings import scratch_path
+from packetloom.streaming import keystate, rollup
+
+PARTS = 3
+
+
+def drained(t, start):
+    """Let the packets arrive in parts, in capture order, and run the stream dry after each."""
+    base = scratch_path(t.spark, "stream")
+    last = t.packets.agg(F.max("frame_number")).first()[0]
+    for part in range(PARTS):
+        low, high = last * part // PARTS, last * (part + 1) // PARTS
+        t.captured.where(F.col("frame_number").between(low + 1, high)).write.mode("append").parquet(
+            f"{base}/arrived")
+        stream = rollup.packet_stream(t.spark, f"{base}/arrived", t.captured.schema)
+        start(stream, f"{base}/state", f"{base}/checkpoint").awaitTermination()
+    return f"{base}/state"
+
+
+@query("t01_stream_flow_rollup", pk(FLOWS + """
+SELECT flow_key, packet_count, byte_count, a_to_b_packets, b_to_a_packets, first_us, last_us FROM fl"""))
+def stream_flow_rollup(t):
+    folder = drained(t, rollup.start_rollup)
+    return rollup.current_flows(t.spark, folder).select(
+        "flow_key", "packet_count", "byte_count", "a_to_b_packets", "b_to_a_packets",
+        *[F.unix_micros(F.col(f"{n}_seen").cast("timestamp")).alias(f"{n}_us")
+          for n in ("first", "last")])
+
+
+@query("t02_stream_gap_state", pk(GAPS + """
+SELECT flow_key, a_to_b, count(*) AS packets, count(*) FILTER (step >= 0) AS intervals,
+  count(*) FILTER (step / 1e3 >= 300) AS pauses, max(step) FILTER (step >= 0) * 1000 / 1e6 AS max_gap_ms
+FROM g GROUP BY ALL"""))
+def stream_gap_state(t):
+    folder = drained(t, keystate.start_key_state)
+    return keystate.current_state(t.spark, folder, "gaps").select(
+        "flow_key", "a_to_b", "packets", "intervals", "pauses",
+        (F.col("max_ns") / F.lit(1e6)).alias("max_gap_ms"))
+
+
+@query("t02_stream_sequence_state", pk(ESP + """
+SELECT flow_key, a_to_b, esp_spi, packets, distinct_sequences, out_of_order, highest_sequence FROM esp"""))
+def stream_sequence_state(t):
+    folder = drained(t, keystate.start_key_state)
+    return keystate.current_state(t.spark, folder, "sequences").select(
+        "flow_key", "a_to_b", "esp_spi", "packets", "distinct_sequences", "out_of_order",
+        "highest_sequence")
+
+
+@query("t03_stream_backward_counts", pk(GAPS + """
+SELECT flow_key, a_to_b, count(*) AS packets, count(*) FILTER (step < 0) AS backward
+FROM g GROUP BY ALL"""))
+def stream_backward_counts(t):
+    return keystate.stream_backward_counts(t.spark, drained(t, keystate.start_key_state))

@@ -12,10 +12,7 @@ DEFAULT_CHUNK_ROWS = 1 << 19
 
 
 def session() -> SparkSession:
-    active = SparkSession.getActiveSession()
-    if active is None:
-        raise RuntimeError("no active Spark session")
-    return active
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
 def chunk_rows() -> int:
