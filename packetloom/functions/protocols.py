@@ -51,16 +51,20 @@ def _true(flag: Column) -> Column:
     return F.coalesce(flag, F.lit(False))
 
 
-def packet_protocols() -> Column:
-    """Sorted protocol names of a packet, from its layers and from its populated fields."""
+def layer_names() -> Column:
+    """Transport and layers of a packet as decoded."""
+    return F.concat(F.array(F.col("protocol")),
+                    F.coalesce(F.col("decoded_protocols"), F.array().cast("array<string>")))
+
+
+def field_evidence() -> list[tuple[Column, Column]]:
+    """(test, name) of the protocols that populated fields show, whatever the layers say."""
     c = F.col
-    layers = expanded(F.concat(F.array(c("protocol")),
-                               F.coalesce(c("decoded_protocols"), F.array().cast("array<string>"))))
     mka = F.exists(F.map_keys(c("eapol_fields")), lambda k: k.startswith("mka."))
     eap = F.exists(F.map_keys(c("eapol_fields")), lambda k: k.startswith("eap."))
     ike = c("ike").isNotNull()
     media = c("rtp_ssrc").isNotNull() | _true(c("srtp"))
-    evidence = [
+    return [
         (has_items(c("macsec_fields")), F.lit("MACSEC")),
         (has_items(c("eapol_fields")), F.lit("EAPOL")),
         (_true(mka), F.lit("MKA")),
@@ -81,8 +85,28 @@ def packet_protocols() -> Column:
               has_items(c("tls_certificates"))), _secure_transport(c("protocol"))),
         (_any(filled(c("http_host")), filled(c("http_location"))), F.lit("HTTP")),
     ]
-    found = F.array_compact(F.array(*[F.when(test, name) for test, name in evidence]))
-    return F.array_sort(F.array_distinct(F.concat(layers, found)))
+
+
+def field_names() -> Column:
+    return F.array_compact(F.array(*[F.when(test, name) for test, name in field_evidence()]))
+
+
+def packet_protocols() -> Column:
+    """Sorted protocol names of a packet, from its layers and from its populated fields."""
+    return F.array_sort(F.array_distinct(F.concat(expanded(layer_names()), field_names())))
+
+
+def shows_any(wanted: list[str]) -> Column:
+    """Whether a packet shows one of the canonical names, without building its list of names."""
+    def spellings(name: str) -> set[str]:
+        own = {name, *[alias for alias, standard in ALIASES.items() if standard == name]} - set(ALIASES)
+        return own | {alias for alias, standard in ALIASES.items() if standard == name}
+
+    names = {w for name in wanted for w in (name, *[c for c, p in BELONGS_TO.items() if p == name])}
+    texts = sorted({t for name in names for t in spellings(name)})
+    in_layers = F.exists(layer_names(), lambda n: F.upper(F.trim(n)).isin(texts))
+    in_fields = [test & name.isin(wanted) for test, name in field_evidence()]
+    return _any(_true(in_layers), *[_true(t) for t in in_fields])
 
 
 def flow_protocols(recorded: Column, protocol: Column, evidence: list[tuple[Column, Column]]

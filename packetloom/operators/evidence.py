@@ -23,8 +23,8 @@ ISSUE, DNS, SIP, TLS, BGP, EAP, IKE, PAUSE, ESP_SEQUENCE, RTP_PAUSE, RTP_SEQUENC
 
 def evidence_tools() -> Column:
     """Tools whose rows include a packet, by its transport and decoded layers."""
-    layers = F.transform(F.coalesce(F.col("decoded_protocols"), F.array().cast("array<string>")),
-                         lambda n: F.upper(n))
+    layers = F.split(F.upper(F.array_join(F.coalesce(
+        F.col("decoded_protocols"), F.array().cast("array<string>")), ",")), ",")
     protocol = F.col("protocol")
 
     def has(name: str) -> Column:
@@ -109,8 +109,8 @@ def rtp_reasons(pk: DataFrame) -> DataFrame:
     keys = ["flow_key", "a_to_b", "rtp_ssrc"]
     rows = pk.where(F.col("rtp_ssrc").isNotNull() & F.col("rtp_sequence").isNotNull()).select(
         *keys, "rtp_sequence", "frame_number")
-    nth = scan(extend_sequence(rows, keys, "rtp_sequence"), [*keys, "extended"], "frame_number",
-               position="_nth")
+    extended = settle(extend_sequence(rows, keys, "rtp_sequence"), "rtp-extended")
+    nth = scan(extended, [*keys, "extended"], "frame_number", position="_nth")
     return _sequence_reasons(nth, RTP_SEQUENCE, "RTP", "rtp_ssrc", "extended",
                              F.col("_nth") > 1, F.col("extended") < F.col("highest_before"))
 

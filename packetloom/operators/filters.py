@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.functions.protocols import canonical_text, expanded, packet_protocols
+from packetloom.functions.protocols import canonical_text, expanded, shows_any
 
 MAC = r"^([0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}$"
 PROTOCOL_NAME = re.compile(r"[A-Za-z0-9_.-]+")
@@ -36,7 +36,7 @@ class Ends:
     dst: Column
     src_port: Column
     dst_port: Column
-    protocols: Column
+    shows: Callable[[list[str]], Column]
     observed: Column
 
 
@@ -60,8 +60,7 @@ def opposite(ends: Ends, hosts: list[str], peers: list[str]) -> Column:
 
 
 def protocol(ends: Ends, names: list[str]) -> Column:
-    wanted = F.array(*[F.lit(canonical_text(check_protocol_name(n))) for n in names])
-    return F.arrays_overlap(ends.protocols, wanted)
+    return ends.shows([canonical_text(check_protocol_name(n)) for n in names])
 
 
 def port(ends: Ends, numbers: list[int]) -> Column:
@@ -115,7 +114,7 @@ def filter_packets(pk: DataFrame, wanted: FlowFilter) -> DataFrame:
     """Packets with flow columns that match."""
     c = F.col
     return pk.where(wanted.condition(Ends(
-        c("src_endpoint"), c("dst_endpoint"), c("src_port"), c("dst_port"), packet_protocols(),
+        c("src_endpoint"), c("dst_endpoint"), c("src_port"), c("dst_port"), shows_any,
         F.lit(True))))
 
 
@@ -128,9 +127,10 @@ def filter_flows(fl: DataFrame, wanted: FlowFilter) -> DataFrame:
     c = F.col
     strict = wanted.is_directional and not wanted.match_any
 
-    def names(column: str) -> Column:
-        return expanded(F.concat(F.array(c("protocol")), F.coalesce(
+    def names(column: str) -> Callable[[list[str]], Column]:
+        recorded = expanded(F.concat(F.array(c("protocol")), F.coalesce(
             c(column), F.array().cast("array<string>"))))
+        return lambda wanted: F.arrays_overlap(recorded, F.array(*[F.lit(w) for w in wanted]))
 
     def one_way(a: str, b: str, way: str) -> Column:
         observed = c(f"{way}_packets") > 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.names import dns_success, smb_failed
 from packetloom.functions.parse import filled
-from packetloom.functions.protocols import packet_protocols
+from packetloom.functions.protocols import expanded, field_names, layer_names
 from packetloom.operators.keys import FLOW_COLUMNS
 from packetloom.operators.ordered import ordered_distinct, scan
 from packetloom.operators.ranking import bucket, by_frequency, nearest_rank, rank_descending
@@ -185,8 +185,14 @@ def max_interarrival(pk: DataFrame) -> DataFrame:
 
 
 def flow_protocol_names(pk: DataFrame) -> DataFrame:
-    """Each protocol name seen in a flow with the directions it was seen in."""
-    return pk.select("flow_key", "a_to_b", F.explode(packet_protocols()).alias("name")).groupBy(
+    """Each protocol name seen in a flow with the directions it was seen in.
+
+    Names are made canonical after the few distinct spellings of a flow and direction are left.
+    """
+    keys = ["flow_key", "a_to_b"]
+    seen = pk.select(*keys, F.explode(F.concat(layer_names(), field_names())).alias("name")).where(
+        filled(F.col("name"))).distinct()
+    return seen.select(*keys, F.explode(expanded(F.array("name"))).alias("name")).groupBy(
         "flow_key", "name").agg(F.bool_or("a_to_b").alias("in_a_to_b"),
                                 F.bool_or(~F.col("a_to_b")).alias("in_b_to_a"))
 

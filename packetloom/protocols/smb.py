@@ -213,23 +213,25 @@ def _intended(kind: str) -> Column:
     return F.array_contains("intents", kind)
 
 
+def _or_own(column: str) -> Column:
+    """A key column; rows without a value get a key of their own."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column)),
+                      F.concat(F.lit("#"), F.col("frame_number").cast("string")))
+
+
 def _bound_rows(rows: DataFrame) -> DataFrame:
     """Names that a row binds to its file id: the pending create of its message, else its own."""
     c = F.col
-    create = c("labels").contains("create") & c("smb_filename").isNotNull()
+    create = c("labels").contains("create") & c("smb_filename").isNotNull() & c(
+        "smb_message_id").isNotNull()
     own = {"any": F.lit(True), "read": _intended("read"), "write": _intended("write")}
     pending = {kind: F.when(create & test, c("smb_filename")) for kind, test in own.items()}
-    in_message = c("smb_message_id").isNotNull()
-    found = scan(rows.where(in_message), ["flow_key", "smb_message_id"], "frame_number",
-                 latest={f"_{kind}": value for kind, value in pending.items()})
-    rest = rows.where(~in_message).withColumns({
-        f"_{kind}": F.lit(None).cast("string") for kind in own})
     direct = {kind: F.when(test, c("smb_filename")) for kind, test in own.items()}
-    both = found.withColumns({f"_{kind}": F.coalesce(pending[kind], c(f"_{kind}"))
-                              for kind in own}).unionByName(rest)
-    return both.withColumns({f"bound_{kind}": F.when(
-        c("smb_file_id").isNotNull(), F.coalesce(c(f"_{kind}"), direct[kind])) for kind in own}
-    ).drop(*[f"_{kind}" for kind in own])
+    found = scan(rows.withColumn("_message", _or_own("smb_message_id")), ["flow_key", "_message"],
+                 "frame_number", latest={f"_{kind}": value for kind, value in pending.items()})
+    return found.withColumns({f"bound_{kind}": F.when(
+        c("smb_file_id").isNotNull(), F.coalesce(pending[kind], c(f"_{kind}"), direct[kind]))
+        for kind in own}).drop("_message", *[f"_{kind}" for kind in own])
 
 
 def smb_create_bindings(pk: DataFrame) -> DataFrame:
@@ -242,18 +244,14 @@ def smb_transfer_names(pk: DataFrame) -> DataFrame:
     """SMB rows with the file each would read or write: the latest name bound to the file id for
     that use, else the row's own name when it carries a single command."""
     c = F.col
-    bound = settle(_bound_rows(_smb_rows(pk)), "smb-bound")
-    has_id = c("smb_file_id").isNotNull()
-    named = scan(bound.where(has_id), ["flow_key", "smb_file_id"], "frame_number", latest={
-        "_read": c("bound_read"), "_write": c("bound_write")}).withColumns({
-            "_read": F.coalesce("bound_read", "_read"),
-            "_write": F.coalesce("bound_write", "_write")})
-    rest = bound.where(~has_id).withColumns({
-        "_read": F.lit(None).cast("string"), "_write": F.lit(None).cast("string")})
+    bound = _bound_rows(_smb_rows(pk)).withColumn("_file", _or_own("smb_file_id"))
+    named = scan(bound, ["flow_key", "_file"], "frame_number", latest={
+        "_read": c("bound_read"), "_write": c("bound_write")})
     own = F.when(c("commands") <= 1, c("smb_filename"))
-    return named.unionByName(rest).withColumns({
-        "read_filename": F.coalesce("_read", own), "write_filename": F.coalesce("_write", own),
-    }).drop("_read", "_write", "bound_any", "bound_read", "bound_write", "intents")
+    return named.withColumns({
+        "read_filename": F.coalesce("bound_read", "_read", own),
+        "write_filename": F.coalesce("bound_write", "_write", own),
+    }).drop("_file", "_read", "_write", "bound_any", "bound_read", "bound_write", "intents")
 
 
 def smb_transfer_ops(pk: DataFrame) -> DataFrame:
@@ -270,26 +268,24 @@ def smb_transfer_ops(pk: DataFrame) -> DataFrame:
                         c("labels").contains(kind).alias("used"))
 
     answered = F.coalesce(c("smb_is_response"), F.lit(False))
-    rows = smb_transfer_names(pk).where(~(answered & smb_failed(c("smb_status"))))
+    rows = settle(smb_transfer_names(pk).where(~(answered & smb_failed(c("smb_status")))), "smb")
     eligible = rows.select(
         "flow_key", "frame_number", "commands", "smb_message_id", "smb_file_id", "smb_file_offset",
         answered.alias("answered"), F.inline(F.array(use("read"), use("write"))),
     ).where(c("used") & ((c("commands") <= 1) | c("length").isNotNull()
                          | c("smb_file_offset").isNotNull() | c("smb_file_id").isNotNull()))
-    in_message = c("smb_message_id").isNotNull()
-    first = scan(eligible.where(in_message), ["flow_key", "kind", "smb_message_id"],
-                 "frame_number", position="_nth").withColumn("counts_op", c("_nth") == 1).drop("_nth")
-    alone = eligible.where(~in_message).withColumn(
-        "counts_op", ~c("answered") | c("length").isNotNull())
-    counted = first.unionByName(alone).withColumn(
-        "file_key", F.coalesce("filename", "smb_file_id", F.lit(UNKNOWN_FILE)))
-    placed = c("smb_file_offset").isNotNull()
+    first = scan(eligible.withColumn("_message", _or_own("smb_message_id")),
+                 ["flow_key", "kind", "_message"], "frame_number", position="_nth")
+    counts = F.when(c("smb_message_id").isNotNull(), c("_nth") == 1).otherwise(
+        ~c("answered") | c("length").isNotNull())
+    counted = first.withColumns({
+        "counts_op": counts,
+        "file_key": F.coalesce("filename", "smb_file_id", F.lit(UNKNOWN_FILE))})
     step = c("smb_file_offset") - c("_before")
-    stepped = scan(counted.where(placed), ["flow_key", "kind", "file_key"], "frame_number",
-                   previous={"_before": c("smb_file_offset")}).withColumn(
-        "inferred_length", F.when(c("length").isNull() & (step > 0), step)).drop("_before")
-    return stepped.unionByName(counted.where(~placed).withColumn(
-        "inferred_length", F.lit(None).cast("bigint")))
+    return scan(counted, ["flow_key", "kind", "file_key"], "frame_number",
+                latest={"_before": c("smb_file_offset")}).withColumn(
+        "inferred_length", F.when(c("length").isNull() & (step > 0), step)).drop(
+            "_before", "_nth", "_message")
 
 
 def _moved() -> Column:
