@@ -153,9 +153,10 @@ def flow_reasons(flows: DataFrame) -> DataFrame:
 
 def route_tools(ranked: DataFrame, most: int = 2) -> DataFrame:
     """The first tool of each flow, for the first flows that have one."""
-    chosen = F.coalesce(*[F.when(deep_reason(t).isNotNull(), F.struct(
-        F.lit(t).alias("tool"), deep_reason(t).alias("reason"))) for t in TOOL_ORDER])
-    routed = metrics.with_duration(ranked).select("flow_id", "flow_key", chosen.alias("c")).where(
+    listed = F.array(*[F.struct(F.lit(t).alias("tool"), deep_reason(t).alias("reason"))
+                       for t in TOOL_ORDER])
+    first = F.get(F.filter(listed, lambda c: c["reason"].isNotNull()), F.lit(0))
+    routed = metrics.with_duration(ranked).select("flow_id", "flow_key", first.alias("c")).where(
         "c IS NOT NULL")
     return routed.select("flow_id", "flow_key", "c.tool", "c.reason").orderBy("flow_id").limit(most)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from packetloom.functions import names
-from packetloom.operators import evidence, metrics, rollup
+from packetloom.operators import evidence, metrics
 from packetloom.plans import report
 from packetloom.plans.catalog import query
 from packetloom.plans.packets import CONTROL, MASK
@@ -450,7 +450,7 @@ SELECT flow_id, child, n FROM (
     WHERE esp_spi IS NOT NULL GROUP BY flow_key)
 JOIN ranked USING (flow_key) WHERE flow_id <= 100"""))
 def report_children(t):
-    children = report.report_children(t.packets, rollup.top_flows(t.ranked, 100))
+    children = report.report_children(t.packets, report.chosen_flows(t.ranked, 100))
     rows = [children[name].select("flow_id", F.lit(child).alias("child")) for name, child in (
         ("names", "name"), ("sip_calls", "sip_call"), ("esp_sequences", "esp_sequence"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("flow_id", "child").agg(
@@ -474,7 +474,7 @@ def flow_throughput(t):
 SELECT flow_id, sip_call_id, caller, failures, row_number() OVER (PARTITION BY flow_id ORDER BY first_at)
   AS place FROM ca JOIN ranked USING (flow_key) WHERE flow_id <= 300 QUALIFY place <= 10"""))
 def detail_sip(t):
-    return report.detail_sip(t.packets, rollup.top_flows(t.ranked, 300)).select(
+    return report.detail_sip(t.packets, report.chosen_flows(t.ranked, 300)).select(
         "flow_id", "sip_call_id", "caller", "failures", "place")
 
 
@@ -482,7 +482,7 @@ def detail_sip(t):
 SELECT flow_id, count(DISTINCT dns_query) AS queries, count(*) FILTER (dns_response_code <> '0') AS errors
 FROM pk JOIN ranked USING (flow_key) WHERE kind = 'dns' AND flow_id <= 300 GROUP BY flow_id"""))
 def detail_dns(t):
-    return report.detail_dns(t.packets, rollup.top_flows(t.ranked, 300)).select(
+    return report.detail_dns(t.packets, report.chosen_flows(t.ranked, 300)).select(
         "flow_id", F.col("distinct_query").alias("queries"), F.col("error_count").alias("errors"))
 
 
@@ -491,7 +491,7 @@ SELECT flow_id, concat(concat_ws(':', endpoint_a, CAST(port_a AS VARCHAR)), ' <-
   concat_ws(':', endpoint_b, CAST(port_b AS VARCHAR))) AS endpoint
 FROM ranked WHERE flow_id <= 200 AND protocol = 'TCP' AND (port_a = 443 OR port_b = 443)"""))
 def detail_tls(t):
-    return report.detail_tls(t.packets, rollup.top_flows(t.ranked, 200)).select("flow_id", "endpoint")
+    return report.detail_tls(t.packets, report.chosen_flows(t.ranked, 200)).select("flow_id", "endpoint")
 
 
 @query("m19_detail_evidence", pk(FLOWS + WINDOWS + """
@@ -499,7 +499,7 @@ SELECT flow_id, tool, sample_offset, issue_packet_index, issue_count FROM ew
 JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key) WHERE flow_id <= 50"""))
 def detail_evidence(t):
     windows = evidence.merge_windows(evidence.evidence_triggers(t.packets, PAUSE_MS))
-    return report.detail_evidence(windows, rollup.top_flows(t.ranked, 50)).drop(
+    return report.detail_evidence(windows, report.chosen_flows(t.ranked, 50)).drop(
         "reasons", "frame_number")
 
 

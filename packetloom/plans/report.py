@@ -9,6 +9,7 @@ from packetloom.functions.protocols import packet_protocols
 from packetloom.operators import metrics, rollup
 from packetloom.operators.keys import endpoint_label, flow_label
 from packetloom.protocols import bgp, dhcp, dns, esp, ike, link, rtp, sip, smb, tls
+from packetloom.settings import settle
 
 # Registry name of a protocol that goes by another one in a packet.
 REGISTRY_NAMES = {"isakmp": "ike", "ikev1": "ike", "ikev2": "ike", "srtp": "rtp", "dtls": "tls",
@@ -24,13 +25,18 @@ def hinted_flows(pk: DataFrame, flows: DataFrame) -> DataFrame:
         rollup.max_interarrival(pk))
 
 
+def chosen_flows(ranked: DataFrame, k: int, include_id: int | None = None) -> DataFrame:
+    """The first k flows and one more by id, stored: a report refers to them many times over."""
+    return settle(rollup.select_flows(ranked, k, include_id), "chosen")
+
+
 def flow_report(pk: DataFrame, ranked: DataFrame, k: int, include_id: int | None = None) -> DataFrame:
     """Rounded metrics and hints of the first k flows and one more by id.
 
     Only packets of the chosen flows reach the ordered passes.
     """
     c = F.col
-    chosen = rollup.select_flows(ranked, k, include_id)
+    chosen = chosen_flows(ranked, k, include_id)
     own = pk.join(chosen.select("flow_key"), "flow_key", "left_semi")
     rows = hinted_flows(own, chosen)
     rates = {**metrics.retransmission_rates(), **metrics.loss_rates(), **metrics.out_of_order()}
