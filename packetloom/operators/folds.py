@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.settings import settle
+
 SPACE = 1 << 16
 HALF = 1 << 15
 WINDOW_ROWS = 1000
@@ -147,6 +149,8 @@ def window_openers(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     spread = rows.groupBy(*keys).agg(
         F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to")).where(
             F.col("_from") < F.col("_to")).select(*keys)
+    spread = settle(spread, "spread")
+    wide = not spread.isEmpty()
 
     nothing = F.struct(F.lit(0).cast("bigint").alias("end"),
                        F.array().cast("array<bigint>").alias("opened"))
@@ -157,9 +161,12 @@ def window_openers(df: DataFrame, keys: list[str], position: str) -> DataFrame:
             F.concat(state["opened"], F.array(at)).alias("opened"))
         return F.when(at >= state["end"], opened).otherwise(state)
 
-    short = rows.join(spread, keys, "left_anti").groupBy(*step).agg(F.aggregate(
+    narrow = rows.join(spread, keys, "left_anti") if wide else rows
+    short = narrow.groupBy(*step).agg(F.aggregate(
         F.array_sort(F.collect_list(position)), nothing, take)["opened"].alias("opened")).select(
             *keys, F.explode("opened").alias(position))
+    if not wide:
+        return short
     return short.unionByName(
         _chunked_openers(rows.join(spread, keys, "left_semi"), keys, position))
 

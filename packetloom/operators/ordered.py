@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packetloom.settings import chunk_rows
+from packetloom.settings import chunk_rows, settle
 
 SEQUENCE_SPACE = 1 << 16
 HALF_SPACE = 1 << 15
@@ -159,7 +159,8 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
     """Unroll a 16-bit counter against its running maximum; adds `extended`, `highest_before`.
 
     Summing the wrapped steps between neighbours gives the same numbers unless a row falls more than
-    half the space below the maximum. Streams where that happens take the exact fold instead.
+    half the space below the maximum. Streams where that happens take the exact fold instead. The sums
+    of each chunk, one row per stream and chunk, are stored and tell which streams those are.
     """
     from packetloom.operators.folds import fold_extend
 
@@ -188,6 +189,7 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
     ).withColumn(
         "_high", F.max(F.col("_start") + F.col("_top")).over(
             by_chunk.rowsBetween(Window.unboundedPreceding, -1)))
+    chained = settle(chained, "sequence-chunks")
     broken = chained.where(
         (F.col("_drop") > HALF_SPACE)
         | (F.col("_high") - F.col("_start") - F.col("_low") > HALF_SPACE)
@@ -197,7 +199,9 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
         F.lag("_end").over(by_chunk).alias("_base"), F.col("_high").alias("_top"),
     ).where(F.col("_base").isNotNull()).withColumn("_carried", F.lit(True))
 
-    both = rows.join(broken, keys, "left_anti").withColumn("_carried", F.lit(False)).unionByName(
+    jumps = not broken.isEmpty()
+    orderly = rows.join(broken, keys, "left_anti") if jumps else rows
+    both = orderly.withColumn("_carried", F.lit(False)).unionByName(
         carried, allowMissingColumns=True)
     ordered = Window.partitionBy(*step).orderBy(F.col(order).asc_nulls_first())
     straight = both.withColumn(
@@ -209,6 +213,8 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
         "highest_before", F.max(F.coalesce(F.col("_top"), F.col("extended"))).over(
             ordered.rowsBetween(Window.unboundedPreceding, -1))
     ).where(~F.col("_carried")).select(*df.columns, "extended", "highest_before")
+    if not jumps:
+        return straight
     folded = fold_extend(rows.join(broken, keys, "left_semi"), keys, "_seq", order).select(
         *df.columns, "extended", "highest_before")
     return straight.unionByName(folded)

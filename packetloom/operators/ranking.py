@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.operators.ordered import chunk_of, scan
+from packetloom.settings import settle
 
 BUCKET_BITS = 12
 
@@ -45,9 +46,10 @@ def rank_descending(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
     """Number rows from 1 by `value` descending, then `tie` ascending; `tie` is unique.
 
     Rows are grouped by (value, chunk of tie), so equal values never share one task, and only the
-    counts of those groups are accumulated.
+    counts of those groups are accumulated. `df` is a grouped table; it is stored first, so that what
+    it was grouped from is read once.
     """
-    rows = df.withColumn("_chunk", chunk_of(tie))
+    rows = settle(df, "ranked").withColumn("_chunk", chunk_of(tie))
     counts = rows.groupBy(value, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     per_value = counts.groupBy(value).agg(F.sum("_n").alias("_n"))
     ahead = cumulative(per_value, [], bucket(F.col(value)), value, "_n", descending=True).select(
@@ -64,10 +66,12 @@ def rank_descending(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
 
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, coarse: Column,
-                 points: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles of a key, the index rounded half to even."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("_n")).withColumn("_bucket", coarse)
+                 points: dict[str, float], weight: str) -> DataFrame:
+    """Exact nearest-rank percentiles of a key, the index rounded half to even.
+
+    `df` has one row per key and distinct value with its `weight`.
+    """
+    counts = df.withColumnRenamed(weight, "_n").withColumn("_bucket", coarse)
     by_key = Window.partitionBy(*keys)
     ahead = by_key.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     indexes = F.array(*[

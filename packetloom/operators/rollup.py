@@ -11,7 +11,10 @@ from packetloom.functions.protocols import expanded, field_names, layer_names
 from packetloom.operators.keys import FLOW_COLUMNS
 from packetloom.operators.ordered import ordered_distinct, scan
 from packetloom.operators.ranking import bucket, by_frequency, nearest_rank, rank_descending
+from packetloom.settings import settle
 
+CORE_COLUMNS = [*FLOW_COLUMNS, "packet_count", "byte_count", "first_seen", "last_seen", "first_frame",
+                "a_to_b_packets", "b_to_a_packets", "a_to_b_bytes", "b_to_a_bytes"]
 # Issue tags a packet can carry.
 ISSUE_TAGS = ["tcp_retransmission", "tcp_out_of_order", "tcp_duplicate_ack", "tcp_lost_segment",
               "tcp_zero_window", "tcp_reset", "tls_alert", "tls_fatal_alert"]
@@ -156,13 +159,14 @@ def rtt_stats(pk: DataFrame) -> DataFrame:
     """Sample count, mean, median, 95th percentile and maximum of the round trips of a flow."""
     samples = pk.where(F.col("rtt_seconds").isNotNull()).select(
         "flow_key", (F.col("rtt_seconds") * 1000).alias("rtt_ms"))
-    totals = samples.groupBy("flow_key").agg(
-        F.count(F.lit(1)).alias("rtt_samples"),
-        F.sum(F.col("rtt_ms").cast("decimal(28,9)")).alias("_sum"),
+    counts = settle(samples.groupBy("flow_key", "rtt_ms").agg(F.count(F.lit(1)).alias("n")), "rtt")
+    exact = F.col("rtt_ms").cast("decimal(22,9)") * F.col("n").cast("decimal(12,0)")
+    totals = counts.groupBy("flow_key").agg(
+        F.sum("n").alias("rtt_samples"), F.sum(exact).alias("_sum"),
         F.max("rtt_ms").alias("rtt_max_ms"))
     ranked = nearest_rank(
-        samples, ["flow_key"], "rtt_ms", bucket(F.floor(F.col("rtt_ms") * 1e6)),
-        {"rtt_median_ms": 0.5, "rtt_p95_ms": 0.95})
+        counts, ["flow_key"], "rtt_ms", bucket(F.floor(F.col("rtt_ms") * 1e6)),
+        {"rtt_median_ms": 0.5, "rtt_p95_ms": 0.95}, weight="n")
     return totals.join(ranked, "flow_key").select(
         "flow_key", "rtt_samples",
         (F.col("_sum").cast("double") / F.col("rtt_samples")).alias("rtt_mean_ms"),

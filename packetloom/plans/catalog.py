@@ -8,7 +8,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packetloom.operators.rollup import flow_rollup, rank_flows
+from packetloom.operators.rollup import CORE_COLUMNS, flow_rollup, rank_flows
 from packetloom.schemas import PACKET_COLUMNS
 from packetloom.sources import derived
 
@@ -41,6 +41,12 @@ class Tables:
 
     @cached_property
     def ranked(self) -> DataFrame:
+        """Flow ids with the counters most queries need."""
+        return rank_flows(self.flows.select(*CORE_COLUMNS))
+
+    @cached_property
+    def ranked_facts(self) -> DataFrame:
+        """Flow ids with every counter of the rollup."""
         return rank_flows(self.flows)
 
     @cached_property

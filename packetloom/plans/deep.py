@@ -225,7 +225,7 @@ SELECT flow_id, CASE WHEN r_rtp IS NOT NULL THEN 'deep_rtp_flow' WHEN r_tls IS N
   coalesce(r_rtp, r_tls, r_smb, r_esp, r_tcp, r_udp) AS reason FROM fr
 WHERE coalesce(r_rtp, r_tls, r_smb, r_esp, r_tcp, r_udp) IS NOT NULL ORDER BY flow_id LIMIT 2"""))
 def routed_tools(t):
-    return deep.route_tools(t.ranked).select("flow_id", "tool", "reason")
+    return deep.route_tools(t.ranked_facts).select("flow_id", "tool", "reason")
 
 
 @query("x01_protocol_registry", pk(PROTOCOL_NAMES + """

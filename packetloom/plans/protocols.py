@@ -434,7 +434,7 @@ SELECT flow_id, flow_key, hh.packet_count, hh.byte_count, round(hh.duration_s, 3
 FROM hh JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key) JOIN (SELECT flow_key, r FROM z)
   USING (flow_key) LEFT JOIN ef USING (flow_key) WHERE flow_id <= 25 OR flow_id = 60"""))
 def flow_report(t):
-    return report.flow_report(t.packets, t.ranked, 25, 60).select(
+    return report.flow_report(t.packets, t.ranked_facts, 25, 60).select(
         "flow_id", "flow_key", "packet_count", "byte_count", "duration_s",
         F.array_join("diagnostic_hints", "|").alias("hints"), "loss_rate", "retransmission_rate",
         "one_way")
@@ -491,7 +491,7 @@ SELECT flow_id, concat(concat_ws(':', endpoint_a, CAST(port_a AS VARCHAR)), ' <-
   concat_ws(':', endpoint_b, CAST(port_b AS VARCHAR))) AS endpoint
 FROM ranked WHERE flow_id <= 200 AND protocol = 'TCP' AND (port_a = 443 OR port_b = 443)"""))
 def detail_tls(t):
-    return report.detail_tls(t.packets, report.chosen_flows(t.ranked, 200)).select("flow_id", "endpoint")
+    return report.detail_tls(t.packets, report.chosen_flows(t.ranked_facts, 200)).select("flow_id", "endpoint")
 
 
 @query("m19_detail_evidence", pk(FLOWS + WINDOWS + """

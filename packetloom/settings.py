@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 CHUNK_ROWS = "packetloom.chunkRows"
 DEFAULT_CHUNK_ROWS = 1 << 19
 
+_private: dict[str, str] = {}
+
 
 def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
@@ -24,8 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names for checkpoints; a private one only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="packetloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        application = spark.sparkContext.applicationId
+        if application not in _private:
+            _private[application] = tempfile.mkdtemp(prefix="packetloom-")
+        folder = _private[application]
     return folder.rstrip("/")
 
 

@@ -168,9 +168,10 @@ def test_buckets_keep_order(spark):
 def test_nearest_rank_rounds_half_to_even(spark):
     rng = random.Random(4)
     groups = {n: [round(rng.uniform(0, 200), 3) for _ in range(n)] for n in range(1, 40)}
-    df = spark.createDataFrame([(n, v) for n, vs in groups.items() for v in vs], "g int, v double")
+    df = spark.createDataFrame([(n, v) for n, vs in groups.items() for v in vs], "g int, v double"
+                               ).groupBy("g", "v").agg(F.count(F.lit(1)).alias("w"))
     out = ranking.nearest_rank(df, ["g"], "v", ranking.bucket(F.floor(F.col("v") * 1e6)),
-                               {"median": 0.5, "p95": 0.95}).collect()
+                               {"median": 0.5, "p95": 0.95}, weight="w").collect()
     assert {r.g: (r.median, r.p95) for r in out} == {
         n: (sorted(vs)[round((n - 1) * 0.5)], sorted(vs)[round((n - 1) * 0.95)])
         for n, vs in groups.items()}
