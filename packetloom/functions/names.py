@@ -109,7 +109,7 @@ SMB2_NAMES = {t: n for c, n in enumerate(SMB2_COMMANDS) for t in (str(c), f"0x{c
 
 
 def _table(names: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.expr("map(" + ", ".join(f"{key!r}, {name!r}" for key, name in names.items()) + ")")
 
 
 def _lookup(names: dict, key: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Queries that feed the packet table to a stream in three parts and read its result."""
+"""Queries that feed the packet table to a stream in two parts and read its result."""
 
 from pyspark.sql import functions as F
 
@@ -8,7 +8,7 @@ from packetloom.plans.sql import ESP, FLOWS, pk
 from packetloom.settings import scratch_path
 from packetloom.streaming import keystate, rollup
 
-PARTS = 3
+PARTS = 2
 
 
 def drained(t, start):
