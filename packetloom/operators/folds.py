@@ -92,6 +92,26 @@ def _follow_sequence(state: int, part: pd.DataFrame) -> int:
     return state if row["_exit"] == KEEP else state - residue + int(row["_exit"])
 
 
+def fold_short(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFrame:
+    """Extended 16-bit numbers of streams of a bounded length, one array each."""
+    null = F.lit(None).cast("bigint")
+    item = "struct<extended:bigint,highest_before:bigint>"
+    nothing = F.struct(null.alias("high"), F.array().cast(f"array<{item}>").alias("out"))
+
+    def follow(state, row):
+        high = state["high"]
+        value = F.when(high.isNull(), row[seq]).otherwise(
+            high + F.pmod(row[seq] - high + HALF, F.lit(SPACE)) - HALF).cast("bigint")
+        return F.struct(F.greatest(high, value).alias("high"), F.concat(state["out"], F.array(
+            F.struct(value.alias("extended"), high.alias("highest_before")))).alias("out"))
+
+    own = [c for c in df.columns if c not in keys and c != order]
+    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *own))).alias("row"))
+    folded = rows.withColumn("fold", F.aggregate("row", nothing, follow)["out"])
+    return folded.select(*keys, F.explode(F.arrays_zip("row", "fold")).alias("z")).select(
+        *keys, "z.row.*", "z.fold.*")
+
+
 def fold_extend(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFrame:
     """Extended 16-bit numbers and the maximum before each row; `df` has a `_chunk` column."""
     step = [*keys, "_chunk"]

@@ -17,6 +17,7 @@ from packetloom.settings import chunk_rows, settle
 SEQUENCE_SPACE = 1 << 16
 HALF_SPACE = 1 << 15
 DEFAULT_PAUSE_MS = 300.0
+SHORT_STREAM = 1024
 
 
 def chunk_of(order: str) -> Column:
@@ -154,15 +155,16 @@ def _wrapped(now: Column, before: Column) -> Column:
     return F.pmod(now - before + F.lit(HALF_SPACE), F.lit(SEQUENCE_SPACE)) - F.lit(HALF_SPACE)
 
 
-def extend_sequence(df: DataFrame, keys: list[str], seq: str,
-                    order: str = "frame_number") -> DataFrame:
+def extend_sequence(df: DataFrame, keys: list[str], seq: str, order: str = "frame_number",
+                    short_stream: int = SHORT_STREAM) -> DataFrame:
     """Unroll a 16-bit counter against its running maximum; adds `extended`, `highest_before`.
 
     Summing the wrapped steps between neighbours gives the same numbers unless a row falls more than
     half the space below the maximum. Streams where that happens take the exact fold instead. The sums
-    of each chunk, one row per stream and chunk, are stored and tell which streams those are.
+    of each chunk, one row per stream and chunk, are stored and tell which streams those are. Short ones
+    are folded as one array, longer ones in chunks of their own rows.
     """
-    from packetloom.operators.folds import fold_extend
+    from packetloom.operators.folds import fold_extend, fold_short
 
     step = [*keys, "_chunk"]
     rows = df.withColumn("_chunk", chunk_of(order)).withColumn("_seq", F.col(seq).cast("bigint"))
@@ -178,7 +180,8 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
     ends = local.groupBy(*step).agg(
         F.min_by("_seq", order).alias("_first"), F.max_by("_seq", order).alias("_last"),
         F.max_by("_at", order).alias("_moved"), F.max("_at").alias("_top"),
-        F.min("_at").alias("_low"), F.max("_drop").alias("_drop"))
+        F.min("_at").alias("_low"), F.max("_drop").alias("_drop"),
+        F.count(F.lit(1)).alias("_rows"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     upto = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
     chained = ends.withColumn(
@@ -190,10 +193,11 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
         "_high", F.max(F.col("_start") + F.col("_top")).over(
             by_chunk.rowsBetween(Window.unboundedPreceding, -1)))
     chained = settle(chained, "sequence-chunks")
-    broken = chained.where(
-        (F.col("_drop") > HALF_SPACE)
-        | (F.col("_high") - F.col("_start") - F.col("_low") > HALF_SPACE)
-    ).select(*keys).distinct()
+    falls = (F.col("_drop") > HALF_SPACE) | (
+        F.col("_high") - F.col("_start") - F.col("_low") > HALF_SPACE)
+    broken = chained.groupBy(*keys).agg(
+        F.bool_or(F.coalesce(falls, F.lit(False))).alias("_falls"), F.sum("_rows").alias("_rows")
+    ).where("_falls").drop("_falls")
     carried = chained.select(
         *step, F.lag("_last").over(by_chunk).alias("_seq"),
         F.lag("_end").over(by_chunk).alias("_base"), F.col("_high").alias("_top"),
@@ -215,9 +219,17 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str,
     ).where(~F.col("_carried")).select(*df.columns, "extended", "highest_before")
     if not jumps:
         return straight
-    folded = fold_extend(rows.join(broken, keys, "left_semi"), keys, "_seq", order).select(
-        *df.columns, "extended", "highest_before")
-    return straight.unionByName(folded)
+    jumping = rows.drop("_chunk").join(broken.where(F.col("_rows") <= short_stream), keys, "left_semi")
+    result = straight.unionByName(fold_short(jumping, keys, "_seq", order).select(
+        *df.columns, "extended", "highest_before"))
+    lengthy = broken.where(F.col("_rows") > short_stream)
+    if lengthy.isEmpty():
+        return result
+    placed = scan(rows.drop("_chunk").join(lengthy, keys, "left_semi"), keys, order, position="_nth")
+    own_chunks = placed.withColumn(
+        "_chunk", F.floor((F.col("_nth") - 1) / F.lit(chunk_rows())).cast("bigint")).drop("_nth")
+    return result.unionByName(fold_extend(own_chunks, keys, "_seq", order).select(
+        *df.columns, "extended", "highest_before"))
 
 
 def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str = "frame_number",

@@ -83,8 +83,8 @@ def extended_by_fold(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_extended_sequences_equal_the_fold(spark, small_chunks, seed):
+@pytest.mark.parametrize("seed,short", [(0, 1024), (1, 0), (2, 1024), (3, 0)])
+def test_extended_sequences_equal_the_fold(spark, small_chunks, seed, short):
     """Orderly streams, and streams whose jumps break the chain of steps."""
     rng = random.Random(seed)
     rows, at = [], {"calm": 65500, "wild": 0, "down": 400}
@@ -94,7 +94,7 @@ def test_extended_sequences_equal_the_fold(spark, small_chunks, seed):
                    "down": at[key] - rng.randint(0, 20000)}[key]
         rows.append((n, key, at[key] % 65536))
     df = spark.createDataFrame(rows, "n bigint, key string, seq bigint")
-    out = ordered.extend_sequence(df, ["key"], "seq", "n")
+    out = ordered.extend_sequence(df, ["key"], "seq", "n", short_stream=short)
     assert by_frame(out, "extended", "highest_before") == extended_by_fold(rows)
 
 
