@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,12 +25,20 @@ def chunk_rows() -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; a private one only where none is named."""
+    """The folder the cluster names in `spark.checkpoint.dir`; all executors share it.
+
+    Without that setting only a local master may go on, in a private folder that is removed when the
+    process ends. On a cluster each executor would write to its own disk, so this raises.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         application = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local") or \
+                spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if application not in _private:
             _private[application] = tempfile.mkdtemp(prefix="packetloom-")
+            atexit.register(shutil.rmtree, _private[application], ignore_errors=True)
         folder = _private[application]
     return folder.rstrip("/")
 

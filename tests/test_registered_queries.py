@@ -7,12 +7,13 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_points
+from packetloom.plans.catalog import load
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-SQL = entry_points.oracle_sql()
-QUERIES = entry_points.queries()
+SQL = {name: text for name, text in entry_points.oracle_sql().items() if name in load()}
+QUERIES = {name: job for name, job in entry_points.queries().items() if name in load()}
 
 
 @pytest.fixture(scope="module")
