@@ -133,8 +133,11 @@ def ask(units: DataFrame, send: Callable[..., Iterator[tuple[int, int, int, byte
 
 
 def attach(units: DataFrame, answers: DataFrame, name: str = "answers") -> DataFrame:
-    """Units with their answers in a column of this name; null where there are none."""
-    return units.join(answers.withColumnRenamed("answers", name), "unit", "left")
+    """Units with their answers in a column of this name; null where there are none.
+
+    Answers grow with the units, so the join is the same sort-merge join at every size.
+    """
+    return units.join(answers.withColumnRenamed("answers", name).hint("merge"), "unit", "left")
 
 
 def answered(answers: list | None, hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, int, bytes]]:
