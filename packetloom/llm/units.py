@@ -72,8 +72,8 @@ def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield Unit(cells), *[v for n, v in cells.items() if n.startswith("answers")]
 
 
-def bucket_count(df: DataFrame) -> int:
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+def bucket_count(df: DataFrame, per_partition: int = 4) -> int:
+    return per_partition * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
 def bucket_edges(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -148,11 +148,12 @@ def answered(answers: list | None, hashes: np.ndarray, buckets: int) -> Iterator
             yield int(edges[told["bucket"]]), int(edges[told["bucket"] + 1]), told["answer"]
 
 
-def marked(answers: list | None, hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """One truth value per sorted hash from answers that are packed bits."""
+def marked(answers: list | None, hashes: np.ndarray, buckets: int, part: int = 0) -> np.ndarray:
+    """One truth value per sorted hash from answers that are packed bits; `part` counts sets of bits."""
     out = np.zeros(len(hashes), bool)
     for first, last, data in answered(answers, hashes, buckets):
-        out[first:last] = np.unpackbits(np.frombuffer(data, np.uint8), count=last - first)
+        skip = part * -(-(last - first) // 8)
+        out[first:last] = np.unpackbits(np.frombuffer(data, np.uint8)[skip:], count=last - first)
     return out
 
 
@@ -172,17 +173,23 @@ def send_shared(number: int, hashes: np.ndarray, buckets: int) -> Iterator[tuple
     return entries(number, hashes, buckets, pack)
 
 
-def reply_shared(sizes: list[int], payloads: list[bytes]) -> list[bytes]:
-    """Which hashes came from two units or more."""
+def reply_shared(sizes: list[int], payloads: list[bytes], hot_units: int = 0) -> list[bytes]:
+    """Which hashes came from two units or more; after those bits, if `hot_units` is given, which came from
+    more units than that."""
     parts = [unplanes(bytes(2 * n) + data, n) for n, data in zip(sizes, payloads)]
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
     ranked = every[order]
-    same = ranked[1:] == ranked[:-1]
-    flags = np.empty(len(every), bool)
-    flags[order] = np.append(same, False) | np.append(False, same)
+    edges = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    held = np.empty(len(every), np.int64)
+    held[order] = np.repeat(np.diff(np.append(edges, len(ranked))), np.diff(np.append(edges, len(ranked))))
     ends = np.cumsum(sizes)
-    return [packed_bits(flags[end - n:end]) for n, end in zip(sizes, ends)]
+    out = []
+    for n, end in zip(sizes, ends.tolist()):
+        own = held[end - n:end]
+        bits = packed_bits(own > 1)
+        out.append(bits + np.packbits(own > hot_units).tobytes() if bits and hot_units else bits)
+    return out
 
 
 def own_shared(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
