@@ -1,0 +1,123 @@
+import base64
+import hashlib
+import hmac
+import json
+import random
+import re
+
+import pyarrow as pa
+
+from packetloom.llm.key_formats import openssh_key, private_key, signed_token
+from packetloom.llm.secret_scan import redact, scan, text_spans
+
+KEYWORD = "(" + "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w)
+                         for w in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+ASSIGN = re.compile(KEYWORD + r"""["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def base(text):
+    text = text or ""
+    out = [(m.start(), 0, "assign", m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return [f"{k}:{a}:{b}" for a, _, k, b in sorted(out)]
+
+
+def tlv(tag, data):
+    size = len(data)
+    if size < 128:
+        return bytes([tag, size]) + data
+    count = (size.bit_length() + 7) // 8
+    return bytes([tag, 0x80 | count]) + size.to_bytes(count, "big") + data
+
+
+def number(n):
+    return tlv(2, n.to_bytes(n.bit_length() // 8 + 1, "big"))
+
+
+P, Q = (1 << 521) - 1, (1 << 607) - 1
+RSA = tlv(0x30, b"".join(map(number, [0, P * Q, 65537, 12345, P, Q, 3, 5, 7])))
+EC = tlv(0x30, number(1) + tlv(4, bytes(range(32))) + tlv(0xA0, tlv(6, b"\x2a\x86\x48\xce\x3d\x03\x01\x07")))
+PKCS8 = tlv(0x30, number(0) + tlv(0x30, tlv(6, b"\x2a\x86\x48") + tlv(5, b"")) + tlv(4, RSA))
+ED = tlv(0x30, number(0) + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, bytes(32))))
+
+
+def ssh():
+    s = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + s(b"none") + s(b"none") + s(b"") + (1).to_bytes(4, "big") + s(
+        s(b"ssh-ed25519") + s(bytes(32))) + s(bytes(136))
+
+
+def jwt(alg="HS256", size=32):
+    part = lambda b: base64.urlsafe_b64encode(b).rstrip(b"=").decode()
+    head, body = part(json.dumps({"alg": alg, "typ": "JWT"}).encode()), part(b'{"sub":"x"}')
+    return f"{head}.{body}.{part(hmac.digest(b'k', f'{head}.{body}'.encode(), hashlib.sha256)[:size])}"
+
+
+def kinds(text):
+    return [(k, text[a:b]) for a, b, k, _ in text_spans(pa.array([text]))[0]]
+
+
+def test_key_structures():
+    assert [private_key(k) for k in (RSA, EC, PKCS8, ED)] == ["rsa", "ec", "pkcs8", "pkcs8"]
+    for key in (RSA, EC, PKCS8, ED):
+        assert private_key(key[:-1]) is None and private_key(key + b"\0") is None
+    assert private_key(tlv(0x30, b"".join(map(number, [0, P * Q + 2, 65537, 1, P, Q, 3, 5, 7])))) is None
+    assert openssh_key(ssh()) == "openssh" and openssh_key(ssh()[:-1]) is None
+    assert private_key(b"") is None and private_key(b"\x30") is None
+
+
+def test_confirmed_spans():
+    b64 = base64.b64encode(RSA).decode()
+    lines = "\n".join(b64[i:i + 64] for i in range(0, len(b64), 64))
+    armour = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    assert ("pem", armour) in kinds(f"é {armour} rest")
+    assert kinds(f"中 {base64.b64encode(EC).decode()} .") == [("der", base64.b64encode(EC).decode())]
+    assert ("derhex", ED.hex()) in kinds(f"x {ED.hex()} y")
+    assert kinds(f"ñ {base64.b64encode(ssh()).decode()}\n") == [("der", base64.b64encode(ssh()).decode())]
+    assert kinds(f"({jwt()})") == [("token", jwt())]
+    assert kinds(jwt("RS256")) == [] and kinds(jwt("none", 0)) == [] and kinds(jwt("HS256", 20)) == []
+    assert kinds("A" * 500 + " " + "MII" + "g" * 400) == []
+    assert signed_token(b"!!", b"", b"") is None
+
+
+def random_texts():
+    rng = random.Random(9)
+    bits = ["password", "PassWord", "ſecret", "secret", "toKen", "token", "api_key", "APIKEY", ":", "=", ' "', "'", " ",
+            "  ", "abcdefgh", "abc.def-1234", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef" * 2, "0123456789ABCDEF", "é", "中",
+            "\n", "x", "passwd", ";", "eyJ", jwt()]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(400)]
+    return [*texts, None, "", "secret: token: abcdefghij", "x" * 300_000 + " token=abcdefghij"]
+
+
+def test_base_equals_brute_force(spark):
+    rows = [(None if k == 5 else k // 2, t) for k, t in enumerate(random_texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS spans").repartition(3)
+    got = sorted(((r.doc_id, [f"{s.kind}:{s.start}:{s.end}" for s in r.spans if s.kind in ("assign", "access", "hex")])
+                  for r in scan(df).collect()), key=repr)
+    assert got == sorted(((d, base(t)) for d, t in rows), key=repr)
+    assert scan(df.limit(0)).count() == 0
+
+
+def test_redaction(spark):
+    rows = [(1, "é token=abcdefgh12 end"), (2, None), (3, "clean"), (4, "secret: " + "0123456789abcdef" * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("text", "doc_id", "2 AS spans")
+    out = redact(df)
+    assert out.schema == df.schema
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "é [SECRET] end", 2: None, 3: "clean", 4: "[SECRET]"}
+
+
+def test_query_over_the_whole_table(spark):
+    from packetloom.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in QUERIES["op1_secret_scan"](spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for doc in docs:
+        spans, row = base(doc.text), got[doc.doc_id]
+        assert row.base_sha256 == hashlib.sha256(",".join(spans).encode()).hexdigest()
+        assert [row.n_assign, row.n_access, row.n_hex] == [
+            sum(s.startswith(k) for s in spans) for k in ("assign", "access", "hex")]
+        assert set(spans) <= set(row.spans.split(",")) | {""}
+    assert any(r.n_assign for r in got.values())
