@@ -80,7 +80,6 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = secret_scan.base_spans(F.col("spans"))
     return found.select(
         "doc_id",
-        *[F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-          for kind in secret_scan.BASE],
+        *[secret_scan.kind_count(F.col("spans"), kind).alias(f"n_{kind}") for kind in secret_scan.BASE],
         F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
         secret_scan.span_text(F.col("spans")).alias("spans"))

@@ -145,6 +145,10 @@ def base_spans(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*BASE))
 
 
+def kind_count(spans: Column, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by `mark` (overlapping ones by one), all columns kept.
 
