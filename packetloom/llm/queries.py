@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packetloom.llm import bpe, decontamination, secret_scan, substring_dedup, suffix_dedup
+from packetloom.llm import bpe, decontamination, minhash, secret_scan, substring_dedup, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[secret_scan.kind_count(F.col("spans"), kind).alias(f"n_{kind}") for kind in secret_scan.BASE],
         F.sha2(secret_scan.span_text(base), 256).alias("base_sha256"),
         secret_scan.span_text(F.col("spans")).alias("spans"))
+
+
+@query
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(table(spark, sf_dir, "documents"))
