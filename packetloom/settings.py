@@ -55,4 +55,13 @@ def settle(df, name: str):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_in = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete the files of settled tables that nothing reads any more."""
+    for table in tables:
+        folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._settled_in)
+        folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
