@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.settings import settle
+from packetloom.settings import discard, settle
 
 
 def _with_least(links: DataFrame) -> DataFrame:
@@ -33,7 +33,8 @@ def _small_star(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, label) for every node of the links (u, v): the label is the least node of its component.
 
-    Nodes may be of any type that can be ordered. Each round is written to the shared folder; only a count
+    Nodes may be of any type that can be ordered. Each round is written to the shared folder in place of the
+    one before, and so are the labels; only a count
     and a checksum reach the driver. A node linked to a third of all others is split by Spark's skewed joins.
     """
     now = settle(links.where(F.col("u") != F.col("v")).select("u", "v").distinct(), "links")
@@ -43,6 +44,9 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(seen) == before:
             break
         before = tuple(seen)
-        now = settle(_small_star(_large_star(now)), "links")
+        old, now = now, settle(_small_star(_large_star(now)), "links")
+        discard(old)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots)
+    labels = settle(now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(roots), "labels")
+    discard(now)
+    return labels

@@ -5,7 +5,7 @@ register, and a register keeps the shingle whose arrival comes first. Two texts
 probability Jaccard similarity of their weighted shingles. Arrivals are made in rounds for many texts at once,
 and a shingle stops as soon as its next arrival is later than the latest register of its text.
 
-Texts of equal words are one *node*. Bands of registers are hashed; nodes with a common band hash form a
+Equal texts are one *node*. Bands of registers are hashed; nodes with a common band hash form a
 bucket. No bucket is expanded into pairs. Instead
 
 1. every member of a bucket is verified against one pivot, drawn by hash from the bucket;
@@ -28,19 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.llm.components import components
-from packetloom.llm.texts import BASE_1, BASE_2, flat, mix, powers, text_slices, word_hashes, word_spans
-from packetloom.settings import settle
+from packetloom.llm.texts import BASE_1, BASE_2, as_bytes, flat, limited_broadcast, mix, text_slices, word_hashes, word_spans
+from packetloom.settings import discard, settle
 
 SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 32, 5
 REGISTERS = BANDS * BAND_ROWS
 #: Five standard errors below the threshold: what the registers rate lower is not verified.
 SURELY_LESS = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 BLOCK = 1024
-STORED = "row long, doc_id long, node binary, bands array<long>, registers binary, packed binary"
+STORED = "row long, doc_id long, node binary, bands array<long>, registers binary"
 
 
 class Shingles:
-    """The distinct shingles of each text of a flat buffer with their weights, and a key of all its words."""
+    """The distinct shingles of each text of a flat buffer with their weights."""
 
     def __init__(self, buffer: np.ndarray, starts: np.ndarray, width: int = SHINGLE):
         begin, end, text = word_spans(buffer, starts)
@@ -65,12 +65,6 @@ class Shingles:
         self.text, self.hash = owner[new], made[new]
         self.weight = np.diff(np.append(edges, len(made))).astype(np.float64)
         self.first = np.searchsorted(self.text, np.arange(self.rows + 1))
-        place = within.astype(np.int64)
-        self.keys = np.zeros((self.rows, 2), np.uint64)
-        for k, base in enumerate((BASE_1, BASE_2)):
-            terms = hashes * powers(base, int(count.max(initial=0)) + 1)[place]
-            total = np.append(np.uint64(0), np.cumsum(terms, dtype=np.uint64))
-            self.keys[:, k] = mix(total[first[1:]] - total[first[:-1]] + count.astype(np.uint64))
 
 
 def _uniform(hashes: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,59 +118,65 @@ def probability_jaccard(one: np.ndarray, one_weight: np.ndarray, two: np.ndarray
                      for k, r in enumerate(ratio.tolist())))
 
 
-def store(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """What later steps read, written to the shared folder: per row its number (that of column `row`, if
-    given), id, node, band keys, registers (16 bits each) and packed text. Other columns are not kept."""
+def node_of(text: Column) -> Column:
+    """The node of a text: 128 bits of a digest of it."""
+    return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """What later steps read, written to the shared folder: per row of (doc_id, text) its number, id, node
+    (null for a text without words), band keys and registers (16 bits each)."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for first, last in text_slices(batch.column(2)):
+            for first, last in text_slices(batch.column(3)):
                 part = batch.slice(first, last - first)
-                buffer, starts = flat(part.column(2))
-                shingles = Shingles(buffer, starts)
+                shingles = Shingles(*flat(part.column(3)))
                 kept = prob_minhash(shingles)
                 some = np.diff(shingles.first) > 0
-                bands = band_keys(kept)
-                short = kept.astype(np.uint16)
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), part.column(1),
-                    pa.array([k.tobytes() if s else None for k, s in zip(shingles.keys, some)], pa.binary()),
-                    pa.array([b if s else [] for b, s in zip(bands, some)], pa.list_(pa.int64())),
-                    pa.array([r.tobytes() for r in short], pa.binary()),
-                    pa.array([None if t is None else squeeze.compress(t.encode())
-                              for t in part.column(2).to_pylist()], pa.binary())],
-                    ["row", "doc_id", "node", "bands", "registers", "packed"])
-
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    picked = docs.select(number.alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
-                         F.col("text").cast("string").alias("text"))
+                    pa.array([k if s else None for k, s in zip(part.column(2).to_pylist(), some)], pa.binary()),
+                    pa.array([b if s else [] for b, s in zip(band_keys(kept), some)], pa.list_(pa.int64())),
+                    pa.array([r.tobytes() for r in kept.astype(np.uint16)], pa.binary())],
+                    ["row", "doc_id", "node", "bands", "registers"])
+
+    picked = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+                         node_of(F.col("text")).alias("node"), F.col("text").cast("string").alias("text"))
     return settle(picked.mapInArrow(make, STORED), "signatures")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+def node_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed): the compressed text of each of these nodes, written to the shared folder."""
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [press.compress(t) for t in as_bytes(batch.column(1)).to_pylist()], pa.binary())], ["node", "packed"])
+
+    packed = docs.select(node_of(F.col("text")).alias("node"), F.col("text").cast("string").alias("text")).mapInArrow(
+        squeeze, "node binary, packed binary")
+    needed = packed.join(nodes.hint("merge"), "node", "left_semi")
+    return settle(needed.groupBy("node").agg(F.min("packed").alias("packed")), "node_texts")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of nodes with at least this similarity, computed exactly."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            ends = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                    for k in (2, 3)]
-            likely = np.flatnonzero((ends[0] == ends[1]).mean(axis=1) >= SURELY_LESS - SIMILARITY + similarity)
-            for at in np.array_split(likely, -(-len(likely) // 128) or 1):
-                texts = [expand.decompress(batch.column(k)[i].as_py()) for k in (4, 5) for i in at.tolist()]
-                s = Shingles(*flat(pa.array(texts, pa.binary())))
+            for first in range(0, batch.num_rows, 64):
+                part = batch.slice(first, 64)
+                held = [expand.decompress(x) for k in (2, 3) for x in part.column(k).to_pylist()]
+                s = Shingles(*flat(pa.array(held, pa.binary())))
                 own = [(s.hash[a:b], s.weight[a:b]) for a, b in zip(s.first[:-1], s.first[1:])]
-                half = len(at)
-                good = [i for n, i in enumerate(at.tolist())
-                        if probability_jaccard(*own[n], *own[n + half]) >= similarity - 1e-9]
-                if good:
-                    yield batch.select(["u", "v"]).take(pa.array(good))
+                near = [probability_jaccard(*a, *b) >= similarity - 1e-9
+                        for a, b in zip(own[:part.num_rows], own[part.num_rows:])]
+                yield part.select(["u", "v"]).filter(pa.array(near))
 
     def ends(name: str) -> DataFrame:
-        return nodes.select(F.col("node").alias(name), F.col("registers").alias(f"{name}_registers"),
-                            F.col("packed").alias(f"{name}_packed"))
+        return texts.select(F.col("node").alias(name), F.col("packed").alias(f"{name}_packed")).hint("merge")
 
-    joined = pairs.join(ends("u").hint("merge"), "u").join(ends("v").hint("merge"), "v").select(
-        "u", "v", "u_registers", "v_registers", "u_packed", "v_packed")
+    joined = pairs.join(ends("u"), "u").join(ends("v"), "v").select("u", "v", "u_packed", "v_packed")
     return settle(joined.mapInArrow(check, "u binary, v binary"), "near_links")
 
 
@@ -227,37 +227,37 @@ def leftover_pairs(members: DataFrame, similarity: float, block: int = BLOCK) ->
     return both.groupBy("bucket", "out_block", "block").applyInArrow(compare, "u binary, v binary").distinct()
 
 
-def near_links(stored: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """The component of every linked node, as (node, label), and the verified links."""
-    nodes = stored.where("node IS NOT NULL").groupBy("node").agg(
-        F.min(F.struct("row", "bands", "registers", "packed")).alias("one")).select("node", "one.*")
-    nodes = settle(nodes.drop("row"), "nodes")
+def near_labels(docs: DataFrame, stored: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, label) of every node with a near-duplicate: the component of its verified links."""
+    nodes = settle(stored.where("node IS NOT NULL").groupBy("node").agg(
+        F.min(F.struct("bands", "registers")).alias("one")).select("node", "one.*"), "nodes")
     member = nodes.select(F.explode("bands").alias("bucket"), "node")
     pivots = member.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("bucket", "node").alias("draw"), "node")).alias("pivot")
-    ).where("n > 1").select("bucket", F.col("pivot.node").alias("pivot"))
+    ).where("n > 1").select("bucket", "n", F.col("pivot.node").alias("pivot"))
     buckets = settle(member.join(pivots.hint("merge"), "bucket"), "buckets")
-    stars = buckets.where("node != pivot").select(*_ordered("node", "pivot")).distinct()
-    first = verified(stars, nodes, similarity)
-    labels = settle(components(first), "labels")
+    stars = settle(buckets.where("node != pivot").select(*_ordered("node", "pivot")).distinct(), "stars")
+    texts = node_texts(docs, buckets.select("node").distinct())
+    first = verified(stars, texts, similarity)
+    labels = components(first)
 
     def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
         told = labels.select(F.col("node").alias(node), F.col("label").alias(name))
         return df.join(told.hint("merge"), node, "left").withColumn(name, F.coalesce(name, node))
 
-    several = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("bucket")
-    known = labelled(labelled(buckets.join(several.hint("merge"), "bucket", "left_semi"), "node", "label"),
-                     "pivot", "pivot_label")
+    known = settle(labelled(labelled(buckets.where("n > 2"), "node", "label"), "pivot", "pivot_label"), "known")
     split = known.where("label != pivot_label").select("bucket").distinct()
-    unclear = settle(known.join(split.hint("merge"), "bucket", "left_semi").join(
+    unclear = settle(known.select("bucket", "node", "label", "pivot_label").join(
+        split.hint("merge"), "bucket", "left_semi").join(
         nodes.select("node", "registers").hint("merge"), "node"), "unclear")
-    tried = stars.hint("merge")
-    rest = leftover_pairs(unclear, similarity).join(tried, ["u", "v"], "left_anti")
-    second = verified(rest, nodes, similarity)
-    links = first.unionByName(second)
-    if second.isEmpty():
-        return labels, links
-    return settle(components(links), "labels"), links
+    rest = leftover_pairs(unclear, similarity).join(stars.hint("merge"), ["u", "v"], "left_anti")
+    second = verified(rest, texts, similarity)
+    discard(nodes, buckets, stars, texts, known, unclear)
+    if not second.isEmpty():
+        old, labels = labels, components(first.unionByName(second))
+        discard(old)
+    discard(first, second)
+    return labels
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -268,26 +268,42 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     of one to four words is one shingle; a text without words (null, empty, white space) is a class of its own.
     A null doc_id sorts after all others. Other columns are not looked at; an empty table gives no rows.
     """
-    return _decided(store(docs), similarity).select("doc_id", "class_id", "class_size", "kept")
+    return _decided(docs, similarity).select("doc_id", "class_id", "class_size", "kept")
 
 
-def _decided(stored: DataFrame, similarity: float) -> DataFrame:
-    labels, _ = near_links(stored, similarity)
-    rows = stored.select("row", "doc_id", "node").join(labels.hint("merge"), "node", "left").select(
-        "row", "doc_id", F.coalesce("label", "node", F.concat(F.lit(b"row"), F.col("row").cast("string").cast("binary")))
-        .alias("label"))
-    best = rows.groupBy("label").agg(
+def _decided(docs: DataFrame, similarity: float) -> DataFrame:
+    stored = store(docs)
+    rows = stored.select("row", "doc_id", "node")
+    labels = near_labels(docs, stored, similarity)
+    told = rows.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce(
+        "label", "node", F.concat(F.lit(b"row"), F.col("row").cast("string").cast("binary"))))
+    best = told.groupBy("label").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")).alias("best"),
         F.count(F.lit(1)).alias("class_size"))
-    return rows.join(best.hint("merge"), "label").select(
-        "row", "doc_id", F.col("best.doc_id").alias("class_id"), "class_size",
-        (F.col("row") == F.col("best.row")).alias("kept"))
+    found = settle(told.join(best.hint("merge"), "label").select(
+        "doc_id", "node", F.col("best.doc_id").alias("class_id"), "class_size",
+        (F.col("row") == F.col("best.row")).alias("kept")), "classes")
+    discard(stored, labels)
+    return found
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents with one row of each class of near-duplicates, all columns kept."""
-    name = next(n for n in map("row_{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
-    numbered = settle(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
-    stored = store(numbered, name)
-    kept = _decided(stored, similarity).where("kept").select(F.col("row").alias(name))
-    return numbered.join(kept.hint("merge"), name, "left_semi").select(*docs.columns)
+    """The documents with one row of each class of near-duplicates, all columns kept.
+
+    Rows with equal doc_id and text are told apart only where one of them stays: then any one of them does.
+    """
+    key = next(n for n in map("key_{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+
+    def keyed(node: Column) -> Column:
+        return F.concat(node, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).cast("binary")).alias(key)
+
+    rows = _decided(docs, similarity).where("node IS NOT NULL").select(keyed(F.col("node")), "kept")
+    counts = settle(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")), "keys")
+    gone = limited_broadcast(counts.where("NOT kept OR n > 1").select(key))
+    numbered = docs.select("*", keyed(node_of(F.col("text"))))
+    out = numbered.join(gone, key, "left_anti").drop(key)
+    several = counts.where("kept AND n > 1").select(key)
+    if several.isEmpty():
+        return out
+    again = numbered.join(limited_broadcast(several), key, "left_semi").dropDuplicates([key]).drop(key)
+    return out.unionByName(again)

@@ -11,6 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 20
 _seed = np.random.default_rng(20240607)
@@ -153,3 +155,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
+
+
+def limited_broadcast(keys: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A table of short keys with a join hint: broadcast up to `most_rows` rows, else sort-merge."""
+    return F.broadcast(keys) if keys.limit(most_rows + 1).count() <= most_rows else keys.hint("merge")

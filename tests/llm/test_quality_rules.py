@@ -5,7 +5,6 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.llm import quality_rules
 from packetloom.llm.quality_rules import Condition, judge, learn, statistics, verdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -91,4 +90,3 @@ def test_query_over_the_whole_table(spark, folder):
     bad = [d for d in passed if not quality[d]]
     assert sum(got[d].kept for d in good) >= 0.97 * len(good)
     assert sum(not got[d].kept for d in bad) >= 0.6 * len(bad)
-    assert quality_rules.FEATURES
