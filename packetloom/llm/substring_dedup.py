@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from packetloom.llm import units
-from packetloom.llm.texts import BASE_2, rolling, sliding_min, word_hashes, word_spans
+from packetloom.llm.texts import BASE_2, mix, rolling, sliding_min, word_hashes, word_spans
 
 FIELDS = ("doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, "
           "kept_text string")
@@ -38,7 +38,7 @@ class _Windows:
         half = max(1, width // 2)
         least = sliding_min(rolling(self.hashes, half), width - half + 1)
         self.at = np.flatnonzero(self.text[:len(least)] == self.text[len(self.text) - len(least):])
-        self.keys = least[self.at]
+        self.keys = mix(least[self.at])  # a least hash is small; buckets are ranges
         self.owner = unit.ids[self.text[self.at]]
 
     def shared(self, answers: list | None, buckets: int) -> None:
@@ -67,21 +67,6 @@ class _Windows:
         return np.cumsum(steps)[:-1] > 0
 
 
-def _reply(sizes: list[int], payloads: list[bytes]) -> list[bytes]:
-    """For every window hash of a unit: does another unit hold it under a smaller id?"""
-    first = np.concatenate([units.unplanes(p, n) for n, p in zip(sizes, payloads)])
-    second = np.concatenate([units.unplanes(p[8 * n:], n, np.uint32) for n, p in zip(sizes, payloads)])
-    ids = np.concatenate([units.unplanes(p[12 * n:], n, np.int64) for n, p in zip(sizes, payloads)])
-    order = np.lexsort((second, first))
-    a, b = first[order], second[order]
-    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    flags = np.empty(len(order), bool)
-    flags[order] = least < ids[order]
-    ends = np.cumsum(sizes)
-    return [units.packed_bits(flags[end - n:end]) for n, end in zip(sizes, ends)]
-
-
 def _rows(unit: units.Unit, windows: _Windows, gone: np.ndarray) -> pa.RecordBatch:
     """One row per text: what was removed, and the kept words joined by one space."""
     rows = len(unit.ids)
@@ -136,9 +121,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50, unit_bytes: int =
     def whole(unit: units.Unit, shared: list | None) -> Iterator[tuple[int, int, int, bytes]]:
         windows = _Windows(unit, width)
         windows.shared(shared, buckets)
-        return units.entries(unit.number, windows.first, buckets, lambda i, j: (
-            units.planes(windows.first[i:j]) + units.planes(windows.second[i:j])
-            + units.planes(windows.least_id[i:j])))
+        return units.entries(unit.number, windows.first, buckets, lambda i, j: units.smaller_id_entry(
+            windows.first[i:j], windows.second[i:j], windows.least_id[i:j]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for unit, shared, repeated in units.opened(batches):
@@ -148,5 +132,5 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50, unit_bytes: int =
 
     shared = units.ask(packed, halves, units.reply_shared)
     asked = units.attach(packed, shared, "answers_shared")
-    repeated = units.ask(asked, whole, _reply)
+    repeated = units.ask(asked, whole, units.reply_smaller_id)
     return units.attach(asked, repeated, "answers_repeated").mapInArrow(cut, FIELDS)

@@ -192,6 +192,26 @@ def reply_shared(sizes: list[int], payloads: list[bytes], hot_units: int = 0) ->
     return out
 
 
+def smaller_id_entry(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> bytes:
+    """Distinct 96-bit hashes with the least id of the unit for each, as `reply_smaller_id` reads them."""
+    return planes(first) + planes(second) + planes(ids)
+
+
+def reply_smaller_id(sizes: list[int], payloads: list[bytes]) -> list[bytes]:
+    """For every hash of a unit: does another unit hold it under a smaller id?"""
+    first = np.concatenate([unplanes(p, n) for n, p in zip(sizes, payloads)])
+    second = np.concatenate([unplanes(p[8 * n:], n, np.uint32) for n, p in zip(sizes, payloads)])
+    ids = np.concatenate([unplanes(p[12 * n:], n, np.int64) for n, p in zip(sizes, payloads)])
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    flags = np.empty(len(order), bool)
+    flags[order] = least < ids[order]
+    ends = np.cumsum(sizes)
+    return [packed_bits(flags[end - n:end]) for n, end in zip(sizes, ends)]
+
+
 def own_shared(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys of a unit, and which of them two of its documents hold."""
     order = np.argsort(keys, kind="stable")
