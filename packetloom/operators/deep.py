@@ -9,7 +9,7 @@ from packetloom.functions.parse import nanoseconds, relative
 from packetloom.operators import metrics
 from packetloom.operators.filters import TOOL_TRANSPORTS, endpoint_pair, tool_predicate
 from packetloom.operators.ordered import DEFAULT_PAUSE_MS, gap_stats, packet_gaps
-from packetloom.operators.paging import PAGE_ROWS, page_descriptor
+from packetloom.operators.paging import PAGE_ROWS, page_descriptor, page_rows
 from packetloom.schemas import field
 
 # Tools from the one asked first, and the ports that suggest TLS or SMB.
@@ -202,11 +202,12 @@ def requested_rows(requests: DataFrame, ranked: DataFrame, headers: DataFrame,
     """The rows of the requested pages: (request_id, flow, tool, position, frame_number)."""
     targets = requests.join(ranked.select("flow_id", "flow_key"), "flow_id").select(
         "request_id", "tool", "flow_key", "offset")
-    rows = listed_rows(headers).join(targets, ["flow_key", "tool"])
+    rows = listed_rows(headers).join(
+        targets.select("flow_key", "tool").distinct(), ["flow_key", "tool"], "left_semi")
     from packetloom.operators.ranking import row_positions
 
-    return row_positions(rows, ["request_id"], "frame_number", "position").where(
-        (F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + limit)
-    ).select("request_id", "flow_key", "tool", "position", "frame_number")
+    numbered = row_positions(rows, ["flow_key", "tool"], "frame_number", "position")
+    return page_rows(numbered, targets, ["flow_key", "tool"], limit).select(
+        "request_id", "flow_key", "tool", "position", "frame_number")
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.functions.parse import filled, marked, safe_int
 
 LINK_PROTOCOLS = ["MACSEC", "EAPOL"]
 # Transports in the order they are looked for.
 TRANSPORTS = ["tcp", "esp", "udp", "ah", "gre", "icmp", "icmpv6"]
+# Columns that an inner protocol of a link-security frame would fill.
+INNER_PREFIXES = ("dns_", "dhcp_", "tls_", "sip_", "smb_", "rtp_", "esp_")
+INNER_COLUMNS = {"src_ip", "dst_ip", "src_port", "dst_port", "ike", "bgp_fields", "srtp", "issue_tags",
+                 "rtt_seconds", "initial_rtt_seconds"}
 FLOW_COLUMNS = ["flow_key", "address_type", "link_type", "vlan_ids", "protocol", "endpoint_a",
                 "port_a", "endpoint_b", "port_b"]
 
@@ -30,10 +35,17 @@ def link_protocol(layers: Column) -> Column:
 
 
 def link_override(df: DataFrame, layers: str = "decoded_protocols") -> DataFrame:
-    """MACsec, then EAPOL, win over IP: MAC endpoints, no addresses, no ports."""
+    """MACsec, then EAPOL, win over IP: MAC endpoints, no addresses, no ports, and nothing of the
+    protocols inside; lists become empty and flags false."""
     link = link_protocol(F.col(layers))
-    cleared = {name: F.when(link.isNull(), F.col(name))
-               for name in ("src_ip", "dst_ip", "src_port", "dst_port") if name in df.columns}
+
+    def nothing(kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            return F.array().cast(kind)
+        return F.lit(False) if isinstance(kind, T.BooleanType) else F.lit(None).cast(kind)
+
+    cleared = {f.name: F.when(link.isNull(), F.col(f.name)).otherwise(nothing(f.dataType))
+               for f in df.schema if f.name.startswith(INNER_PREFIXES) or f.name in INNER_COLUMNS}
     return df.withColumns({
         **cleared,
         "protocol": F.coalesce(link, F.col("protocol")),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.settings import chunk_rows, settle
 
@@ -20,8 +21,17 @@ DEFAULT_PAUSE_MS = 300.0
 SHORT_STREAM = 1024
 
 
-def chunk_of(order: str) -> Column:
-    return F.floor(F.col(order) / F.lit(chunk_rows())).cast("bigint")
+def chunk_of(order: str, df: DataFrame | None = None) -> Column:
+    """Chunk of a place in capture order; where that is a struct (frame, slot), its first field counts."""
+    place = F.col(order)
+    if df is not None and isinstance(df.schema[order].dataType, T.StructType):
+        place = place[df.schema[order].dataType.names[0]]
+    return F.floor(place / F.lit(chunk_rows())).cast("bigint")
+
+
+def place_in_packet(slot: Column, frame: str = "frame_number") -> Column:
+    """Place of a value in capture order, however many values a packet holds."""
+    return F.struct(F.col(frame).alias("frame"), slot.cast("bigint").alias("slot"))
 
 
 def scan(
@@ -47,9 +57,9 @@ def scan(
         for out, column in (columns or {}).items()
     ]
     step = [*keys, "_chunk"]
-    rows = df.withColumn("_chunk", chunk_of(order)).withColumns(
+    rows = df.withColumn("_chunk", chunk_of(order, df)).withColumns(
         {f"_v{i}": column for i, (_, _, column) in enumerate(wanted)}
-    ) if wanted else df.withColumn("_chunk", chunk_of(order))
+    ) if wanted else df.withColumn("_chunk", chunk_of(order, df))
 
     def at_end(i: int, kind: str) -> Column:
         value = F.col(f"_v{i}")

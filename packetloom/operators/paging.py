@@ -55,6 +55,20 @@ def describe_page(df: DataFrame, offset: int = 0, limit: int | None = PAGE_ROWS)
 def paged_by_flow(df: DataFrame, requests: DataFrame, order: str, limit: int = PAGE_ROWS
                   ) -> DataFrame:
     """Rows of several requested pages at once; requests are (flow_key, offset)."""
-    asked = df.join(requests, "flow_key")
-    return row_positions(asked, ["flow_key", "offset"], order, "position").where(
-        (F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + limit))
+    numbered = row_positions(df.join(requests.select("flow_key").distinct(), "flow_key", "left_semi"),
+                             ["flow_key"], order, "position")
+    return page_rows(numbered, requests, ["flow_key"], limit)
+
+
+def page_rows(numbered: DataFrame, requests: DataFrame, keys: list[str], limit: int = PAGE_ROWS
+              ) -> DataFrame:
+    """Rows numbered once per key in `position`, joined to the pages that ask for them (keys, offset).
+
+    A page touches at most two blocks of `limit` positions, so a row meets only pages near it.
+    """
+    asked = requests.withColumn("_block", F.explode(F.array_distinct(F.array(
+        F.floor(F.col("offset") / limit), F.floor((F.col("offset") + limit - 1) / limit)))))
+    return numbered.withColumn("_block", F.floor(F.col("position") / limit)).join(
+        asked, [*keys, "_block"]).where(
+            (F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + limit)
+    ).drop("_block")

@@ -49,7 +49,8 @@ def rank_descending(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
     counts of those groups are accumulated. `df` is a grouped table; it is stored first, so that what
     it was grouped from is read once.
     """
-    rows = settle(df, "ranked").withColumn("_chunk", chunk_of(tie))
+    rows = settle(df, "ranked")
+    rows = rows.withColumn("_chunk", chunk_of(tie, rows))
     counts = rows.groupBy(value, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
     per_value = counts.groupBy(value).agg(F.sum("_n").alias("_n"))
     ahead = cumulative(per_value, [], bucket(F.col(value)), value, "_n", descending=True).select(

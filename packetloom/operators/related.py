@@ -31,8 +31,15 @@ def calls_by_phone(pk: DataFrame, number: str) -> DataFrame:
 
 
 def url_host(url: Column) -> Column:
-    host = F.try_parse_url(url, F.lit("HOST"))
-    return F.nullif(F.lower(F.regexp_replace(host, r"^\[|\]$", "")), F.lit(""))
+    """The host of a URL with an authority, lower-cased, without user, port and brackets.
+
+    Found by pattern, as names that no strict URI allows occur in redirects.
+    """
+    authority = F.regexp_extract(url, r"^\s*(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    place = F.regexp_replace(authority, r"^.*@", "")
+    host = F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(
+        F.regexp_extract(place, r"^([^:]*)", 1))
+    return F.nullif(F.lower(F.trim(host)), F.lit(""))
 
 
 def is_ip(text: Column) -> Column:

@@ -9,7 +9,7 @@ from packetloom.functions.names import dns_success, smb_failed
 from packetloom.functions.parse import filled
 from packetloom.functions.protocols import expanded, field_names, layer_names
 from packetloom.operators.keys import FLOW_COLUMNS
-from packetloom.operators.ordered import ordered_distinct, scan
+from packetloom.operators.ordered import ordered_distinct, place_in_packet, scan
 from packetloom.operators.ranking import bucket, by_frequency, nearest_rank, rank_descending
 from packetloom.settings import settle
 
@@ -18,8 +18,8 @@ CORE_COLUMNS = [*FLOW_COLUMNS, "packet_count", "byte_count", "first_seen", "last
 # Issue tags a packet can carry.
 ISSUE_TAGS = ["tcp_retransmission", "tcp_out_of_order", "tcp_duplicate_ack", "tcp_lost_segment",
               "tcp_zero_window", "tcp_reset", "tls_alert", "tls_fatal_alert"]
-SLOTS = 4
-
+# How many of each kind a saved summary keeps.
+SAVED_MOST = {"protocol": 20, "port": 20, "issue": 30, "name": 50}
 
 def capture_totals(pk: DataFrame) -> DataFrame:
     per_flow = pk.groupBy("flow_key").agg(
@@ -30,14 +30,9 @@ def capture_totals(pk: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("flow_count"))
 
 
-def _slot(index: int) -> Column:
-    """Place of a value in capture order, several values to a packet."""
-    return F.col("frame_number") * SLOTS + F.lit(index)
-
-
 def _values(pk: DataFrame, out: str, columns: list[Column], keys: list[str] = ()) -> DataFrame:
     entries = F.array(*[
-        F.struct(c.alias(out), _slot(i).alias("at")) for i, c in enumerate(columns)])
+        F.struct(c.alias(out), place_in_packet(F.lit(i)).alias("at")) for i, c in enumerate(columns)])
     return pk.select(*keys, F.inline(entries))
 
 
@@ -66,7 +61,7 @@ def _issues(pk: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def issue_counts(pk: DataFrame) -> DataFrame:
-    tags = _issues(pk, []).withColumn("at", F.col("frame_number") * len(ISSUE_TAGS) + F.col("slot"))
+    tags = _issues(pk, []).withColumn("at", place_in_packet(F.col("slot")))
     return counter(tags, "issue")
 
 
@@ -217,7 +212,7 @@ def flow_names(pk: DataFrame) -> DataFrame:
         F.col("dns_query"), F.col("http_host"), F.col("tls_sni")))))
     listed = pk.select("flow_key", "frame_number", F.posexplode(names).alias("slot", "name"))
     return ordered_distinct(
-        listed.withColumn("at", F.col("frame_number") * SLOTS + F.col("slot")),
+        listed.withColumn("at", place_in_packet(F.col("slot"))),
         ["flow_key"], "name", "at").select("flow_key", "name", "position")
 
 
@@ -226,17 +221,18 @@ def redirect_locations(pk: DataFrame) -> DataFrame:
         "flow_key", "http_location", "position")
 
 
-def summary_from_flows(ranked: DataFrame, issues: DataFrame, names: DataFrame) -> DataFrame:
-    """Count tables of a chosen set of flows: (kind, value, n, rank).
+def summary_from_flows(ranked: DataFrame, issues: DataFrame, names: DataFrame,
+                       most: dict[str, int] | None = None) -> DataFrame:
+    """Count tables of a chosen set of flows: (kind, value, n, rank), whole unless `most` cuts a kind.
 
-    A saved summary keeps the first 20 protocols and ports, 30 issues and 50 names.
+    A saved summary keeps the first ones of each kind: `most=SAVED_MOST`.
     """
     fl = ranked.select("flow_key", "flow_id", "protocol", "port_a", "port_b", "packet_count")
     protocols = fl.groupBy(F.col("protocol").alias("value")).agg(
         F.sum("packet_count").alias("n"), F.min("flow_id").alias("first"))
     ports = fl.select("packet_count", F.inline(F.array(
-        F.struct(F.col("port_a").alias("value"), (F.col("flow_id") * 2).alias("at")),
-        F.struct(F.col("port_b").alias("value"), (F.col("flow_id") * 2 + 1).alias("at")))),
+        F.struct(F.col("port_a").alias("value"), place_in_packet(F.lit(0), "flow_id").alias("at")),
+        F.struct(F.col("port_b").alias("value"), place_in_packet(F.lit(1), "flow_id").alias("at")))),
     ).where(F.col("value").isNotNull()).groupBy(F.col("value").cast("string").alias("value")).agg(
         F.sum("packet_count").alias("n"), F.min("at").alias("first"))
     tagged = issues.groupBy("flow_key", "issue").agg(F.sum("n").alias("n")).join(
@@ -246,23 +242,20 @@ def summary_from_flows(ranked: DataFrame, issues: DataFrame, names: DataFrame) -
         F.col("name").alias("value")).agg(
             F.min(F.struct("flow_id", "position")).alias("first"))
 
-    def cut(table: DataFrame, kind: str, most: int, *order: Column) -> DataFrame:
-        kept = table.orderBy(*order).limit(most)
-        return kept.select(F.lit(kind).alias("kind"), "value", "n",
-                           F.row_number().over(_whole(order)).alias("rank"))
-
-    frequent = (F.col("n").desc(), F.col("first").asc(), F.col("value").asc())
-    return (cut(protocols, "protocol", 20, *frequent)
-            .unionByName(cut(ports, "port", 20, *frequent))
-            .unionByName(cut(tagged, "issue", 30, *frequent))
-            .unionByName(cut(named.withColumn("n", F.lit(None).cast("bigint")), "name", 50,
-                             F.col("first").asc())))
-
+    def numbered(table: DataFrame, kind: str, *tie: str) -> DataFrame:
+        """Values by count; ties by first appearance, then value."""
+        counted = table.select("value", "n", F.struct(*tie, "value").alias("tie"))
+        return cut(by_frequency(counted, "n", "tie"), kind)
 
-def _whole(order):
-    from pyspark.sql import Window
+    def cut(table: DataFrame, kind: str) -> DataFrame:
+        kept = table.where(F.col("rank") <= most[kind]) if most and kind in most else table
+        return kept.select(F.lit(kind).alias("kind"), "value", "n", "rank")
 
-    return Window.partitionBy(F.lit(0)).orderBy(*order)
+    in_order = scan(named, [], "first", position="rank").withColumn("n", F.lit(None).cast("bigint"))
+    return (numbered(protocols, "protocol", "first")
+            .unionByName(numbered(ports, "port", "first.frame", "first.slot"))
+            .unionByName(numbered(tagged, "issue", "first"))
+            .unionByName(cut(in_order, "name")))
 
 
 def endpoint_inventory(fl: DataFrame) -> DataFrame:

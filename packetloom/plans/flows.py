@@ -161,7 +161,7 @@ def counter_by_frequency(t):
 
 
 @query("a33_summary_from_flows", pk(FLOWS + TAGS + FLOW_NAMES + """
-, keep AS (SELECT * FROM ranked WHERE flow_id <= 200),
+, keep AS (SELECT * FROM ranked),
 pr AS (SELECT 'protocol' AS kind, protocol AS value, CAST(sum(packet_count) AS BIGINT) AS n,
     min(flow_id) AS first FROM keep GROUP BY protocol),
 po AS (SELECT 'port' AS kind, CAST(port AS VARCHAR) AS value, CAST(sum(packet_count) AS BIGINT) AS n,
@@ -176,12 +176,23 @@ nm AS (SELECT 'name' AS kind, name AS value, CAST(NULL AS BIGINT) AS n, row_numb
 allr AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, first, value) AS rank FROM
     (SELECT * FROM pr UNION ALL SELECT * FROM po UNION ALL SELECT * FROM iss
      UNION ALL SELECT * FROM nm))
-SELECT kind, value, n, rank FROM allr
-WHERE rank <= CASE kind WHEN 'issue' THEN 30 WHEN 'name' THEN 50 ELSE 20 END"""))
+SELECT kind, value, n, rank FROM allr"""))
 def summary_from_flows(t):
     return rollup.summary_from_flows(
-        rollup.top_flows(t.ranked, 200), rollup.flow_issue_counts(t.packets),
-        rollup.flow_names(t.packets))
+        t.ranked, rollup.flow_issue_counts(t.packets), rollup.flow_names(t.packets))
+
+
+@query("a33_saved_summary", pk(FLOWS + """
+, po AS (SELECT CAST(port AS VARCHAR) AS value, CAST(sum(packet_count) AS BIGINT) AS n, min(pos) AS first
+    FROM (SELECT port_a AS port, packet_count, flow_id * 2 AS pos FROM ranked
+      UNION ALL SELECT port_b, packet_count, flow_id * 2 + 1 FROM ranked) WHERE port IS NOT NULL GROUP BY port)
+SELECT 'port' AS kind, value, n, row_number() OVER (ORDER BY n DESC, first, value) AS rank FROM po
+QUALIFY rank <= 20"""))
+def saved_summary(t):
+    """The documented cut of a saved summary, where it is asked for."""
+    cut = rollup.summary_from_flows(t.ranked, rollup.flow_issue_counts(t.packets),
+                                    rollup.flow_names(t.packets), rollup.SAVED_MOST)
+    return cut.where("kind = 'port'")
 
 
 @query("u01_endpoint_inventory", pk(FLOWS + """

@@ -146,7 +146,7 @@ DHCP = """
 dd AS (SELECT flow_key, list, value, min(frame_number) AS first_at FROM dv WHERE value IS NOT NULL
   GROUP BY ALL),
 dl AS (SELECT flow_key, list, value, row_number() OVER (PARTITION BY flow_key, list ORDER BY first_at)
-  AS position FROM dd QUALIFY position <= 25)"""
+  AS position FROM dd)"""
 
 
 @query("a19_dhcp_lists", pk(DHCP + "SELECT flow_key, list, value, position FROM dl"))
@@ -250,7 +250,7 @@ def smb_counts(t):
 ld AS (SELECT flow_key, list, value, min(frame_number) AS first_at FROM lv WHERE value IS NOT NULL
   GROUP BY ALL),
 ll AS (SELECT flow_key, list, value, row_number() OVER (PARTITION BY flow_key, list ORDER BY first_at)
-  AS position FROM ld QUALIFY position <= 25),
+  AS position FROM ld),
 m AS (SELECT flow_key, count(smb_command) AS commands, count(smb_status) AS statuses,
     count(*) FILTER (smb_encrypted) AS encrypted_packets,
     count(*) FILTER (smb_status = '0xc0000022') AS errors FROM pk WHERE kind = 'smb' GROUP BY flow_key)
@@ -448,9 +448,9 @@ SELECT flow_id, child, n FROM (
     WHERE sip_call_id IS NOT NULL GROUP BY flow_key
   UNION ALL SELECT flow_key, 'esp_sequence', count(DISTINCT (esp_spi, src_ip)) FROM pk
     WHERE esp_spi IS NOT NULL GROUP BY flow_key)
-JOIN ranked USING (flow_key) WHERE flow_id <= 100"""))
+JOIN ranked USING (flow_key)"""))
 def report_children(t):
-    children = report.report_children(t.packets, report.chosen_flows(t.ranked, 100))
+    children = report.report_children(t.packets, t.ranked)
     rows = [children[name].select("flow_id", F.lit(child).alias("child")) for name, child in (
         ("names", "name"), ("sip_calls", "sip_call"), ("esp_sequences", "esp_sequence"))]
     return rows[0].unionByName(rows[1]).unionByName(rows[2]).groupBy("flow_id", "child").agg(
@@ -472,34 +472,34 @@ def flow_throughput(t):
     arg_min(sip_from, frame_number) FILTER (sip_from IS NOT NULL) AS caller,
     count(cls) AS failures FROM sp GROUP BY ALL)
 SELECT flow_id, sip_call_id, caller, failures, row_number() OVER (PARTITION BY flow_id ORDER BY first_at)
-  AS place FROM ca JOIN ranked USING (flow_key) WHERE flow_id <= 300 QUALIFY place <= 10"""))
+  AS place FROM ca JOIN ranked USING (flow_key)"""))
 def detail_sip(t):
-    return report.detail_sip(t.packets, report.chosen_flows(t.ranked, 300)).select(
+    return report.detail_sip(t.packets, t.ranked).select(
         "flow_id", "sip_call_id", "caller", "failures", "place")
 
 
 @query("m19_detail_dns", pk(FLOWS + """
 SELECT flow_id, count(DISTINCT dns_query) AS queries, count(*) FILTER (dns_response_code <> '0') AS errors
-FROM pk JOIN ranked USING (flow_key) WHERE kind = 'dns' AND flow_id <= 300 GROUP BY flow_id"""))
+FROM pk JOIN ranked USING (flow_key) WHERE kind = 'dns' GROUP BY flow_id"""))
 def detail_dns(t):
-    return report.detail_dns(t.packets, report.chosen_flows(t.ranked, 300)).select(
+    return report.detail_dns(t.packets, t.ranked).select(
         "flow_id", F.col("distinct_query").alias("queries"), F.col("error_count").alias("errors"))
 
 
 @query("m19_detail_tls", pk(FLOWS + """
 SELECT flow_id, concat(concat_ws(':', endpoint_a, CAST(port_a AS VARCHAR)), ' <-> ',
   concat_ws(':', endpoint_b, CAST(port_b AS VARCHAR))) AS endpoint
-FROM ranked WHERE flow_id <= 200 AND protocol = 'TCP' AND (port_a = 443 OR port_b = 443)"""))
+FROM ranked WHERE protocol = 'TCP' AND (port_a = 443 OR port_b = 443)"""))
 def detail_tls(t):
-    return report.detail_tls(t.packets, report.chosen_flows(t.ranked_facts, 200)).select("flow_id", "endpoint")
+    return report.detail_tls(t.packets, t.ranked_facts).select("flow_id", "endpoint")
 
 
 @query("m19_detail_evidence", pk(FLOWS + WINDOWS + """
 SELECT flow_id, tool, sample_offset, issue_packet_index, issue_count FROM ew
-JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key) WHERE flow_id <= 50"""))
+JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key)"""))
 def detail_evidence(t):
     windows = evidence.merge_windows(evidence.evidence_triggers(t.packets, PAUSE_MS))
-    return report.detail_evidence(windows, report.chosen_flows(t.ranked, 50)).drop(
+    return report.detail_evidence(windows, t.ranked).drop(
         "reasons", "frame_number")
 
 

@@ -14,7 +14,6 @@ from packetloom.settings import settle
 # Registry name of a protocol that goes by another one in a packet.
 REGISTRY_NAMES = {"isakmp": "ike", "ikev1": "ike", "ikev2": "ike", "srtp": "rtp", "dtls": "tls",
                   "ssl": "tls", "smb2": "smb", "bootp": "dhcp", "mka": "eapol", "eap": "eapol"}
-CALLS_SHOWN = 10
 LIKELY_TLS_PORTS = [443, 853, 8443]
 
 
@@ -101,11 +100,11 @@ def _with_ids(table: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def detail_sip(pk: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The first ten calls of each chosen flow."""
+    """The calls of each chosen flow, numbered in order."""
     from packetloom.operators.ordered import scan
 
     calls = scan(sip.sip_calls(_own(pk, chosen)), ["flow_key"], "first_at", position="place")
-    return _with_ids(calls.where(F.col("place") <= CALLS_SHOWN), chosen)
+    return _with_ids(calls, chosen)
 
 
 def detail_dns(pk: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packetloom.functions.names import dns_explain, dns_success
 from packetloom.functions.parse import comma_items, filled
-from packetloom.operators.ordered import ordered_distinct
+from packetloom.operators.ordered import ordered_distinct, place_in_packet
 
 KINDS = {"query": "dns_query", "query_type": "dns_query_type", "rcode": "dns_response_code"}
 
@@ -26,11 +26,11 @@ def dns_counts(pk: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.min("frame_number").alias("first_at"))
 
 
-def dns_answer_list(pk: DataFrame, per_packet: int = 1 << 12) -> DataFrame:
+def dns_answer_list(pk: DataFrame) -> DataFrame:
     """Distinct answers of a flow in order of appearance."""
     listed = pk.select("flow_key", "frame_number", F.posexplode("dns_answers").alias("slot", "answer"))
     return ordered_distinct(
-        listed.withColumn("at", F.col("frame_number") * per_packet + F.col("slot")),
+        listed.withColumn("at", place_in_packet(F.col("slot"))),
         ["flow_key"], "answer", "at").select("flow_key", "answer", "position")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.names import sip_class, sip_status
 from packetloom.functions.parse import filled
 from packetloom.operators.keys import endpoint_label
-from packetloom.operators.ordered import ordered_distinct
+from packetloom.operators.ordered import ordered_distinct, place_in_packet
 
 CALL = ["flow_key", "sip_call_id"]
 
@@ -89,7 +89,7 @@ def sip_participants(pk: DataFrame) -> DataFrame:
     """Callers and callees of a flow in order of appearance, the sender of a packet first."""
     c = F.col
     listed = sip_rows(pk).select("flow_key", F.inline(F.array(
-        F.struct((c("frame_number") * 2).alias("at"), c("sip_from").alias("participant")),
-        F.struct((c("frame_number") * 2 + 1).alias("at"), c("sip_to").alias("participant")))))
+        F.struct(place_in_packet(F.lit(0)).alias("at"), c("sip_from").alias("participant")),
+        F.struct(place_in_packet(F.lit(1)).alias("at"), c("sip_to").alias("participant")))))
     return ordered_distinct(listed, ["flow_key"], "participant", "at").select(
         "flow_key", "participant", "position")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from packetloom.functions.names import (
     SMB2_NAMES, smb1_label, smb_create_intents, smb_failed, smb_mask_labels, smb_name)
 from packetloom.functions.parse import filled, first_filled, first_row_int, marked, safe_int
-from packetloom.operators.ordered import ordered_distinct, scan
+from packetloom.operators.ordered import ordered_distinct, place_in_packet, scan
 from packetloom.protocols.dhcp import first_distinct
 from packetloom.schemas import field
 from packetloom.settings import settle
@@ -164,12 +164,13 @@ def smb_counts(pk: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("n"), F.min("frame_number").alias("first_at"))
 
 
-def smb_lists(pk: DataFrame) -> DataFrame:
-    """First 25 session ids, tree ids and file names of a flow."""
-    return first_distinct(pk, ["flow_key"], LISTS)
+def smb_lists(pk: DataFrame, cap: int | None = None) -> DataFrame:
+    """Session ids, tree ids and file names of a flow; `cap` keeps the first ones."""
+    return first_distinct(pk, ["flow_key"], LISTS, cap)
 
 
-def smb_summary(pk: DataFrame) -> DataFrame:
+def smb_summary(pk: DataFrame, cap: int | None = None) -> DataFrame:
+    """Totals and lists per flow; lists are whole unless `cap` keeps the first values."""
     counts = smb_counts(pk).groupBy("flow_key").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "command", F.col("n"))), F.lit(0)).alias("commands"),
         F.coalesce(F.sum(F.when(F.col("kind") == "status", F.col("n"))), F.lit(0)).alias("statuses"))
@@ -177,20 +178,22 @@ def smb_summary(pk: DataFrame) -> DataFrame:
         F.count_if("smb_encrypted").alias("encrypted_packets"),
         F.count_if(smb_failed(F.col("smb_status"))).alias("errors"))
     entry = F.struct("position", "value")
-    lists = smb_lists(pk).groupBy("flow_key").agg(*[
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == name, entry))),
-                    lambda e: e["value"]).alias(name) for name in LISTS])
+    kept = F.lit(True) if cap is None else F.col("position") <= cap
+    lists = smb_lists(pk).groupBy("flow_key").agg(
+        *[F.transform(F.array_sort(F.collect_list(F.when((F.col("list") == name) & kept, entry))),
+                      lambda e: e["value"]).alias(name) for name in LISTS],
+        *[F.count_if(F.col("list") == name).alias(f"n_{name}") for name in LISTS])
     return counts.join(flags, "flow_key").join(lists, "flow_key", "left")
 
 
-def smb_capability_sides(pk: DataFrame, per_packet: int = 64) -> DataFrame:
-    """First 25 capabilities each side of a flow announced; the side with a server port serves."""
+def smb_capability_sides(pk: DataFrame, cap: int | None = None) -> DataFrame:
+    """Capabilities each side of a flow announced; the side with a server port serves."""
     side = F.when(F.col("src_port").isin(SERVER_PORTS), "server").otherwise("client")
     listed = pk.select("flow_key", side.alias("side"), "frame_number",
                        F.posexplode("smb_capabilities").alias("slot", "capability"))
     return ordered_distinct(
-        listed.withColumn("at", F.col("frame_number") * per_packet + F.col("slot")),
-        ["flow_key", "side"], "capability", "at", 25).select(
+        listed.withColumn("at", place_in_packet(F.col("slot"))),
+        ["flow_key", "side"], "capability", "at", cap).select(
             "flow_key", "side", "capability", "position")
 
 
@@ -315,14 +318,19 @@ def smb_file_bytes(ops: DataFrame) -> DataFrame:
             F.sum(_moved()).alias("bytes"), F.min("frame_number").alias("first_at"))
 
 
-def large_files(files: DataFrame, min_bytes: int = LARGE_FILE_BYTES, k: int = LARGE_FILES
+def large_files(files: DataFrame, min_bytes: int = LARGE_FILE_BYTES, k: int | None = LARGE_FILES
                 ) -> DataFrame:
-    """The k largest files of each flow and direction; part of each group is ranked first."""
+    """The k largest files of `min_bytes` or more of each flow and direction; all of them, without
+    ranks, if k is None. Each chunk of a group is ranked on its own first.
+    """
     from pyspark.sql import Window
 
     from packetloom.operators.ordered import chunk_of
 
-    big = files.where(F.col("bytes") >= min_bytes).withColumn("_chunk", chunk_of("first_at"))
+    large = files.where(F.col("bytes") >= min_bytes)
+    if k is None:
+        return large.withColumn("rank", F.lit(None).cast("int"))
+    big = large.withColumn("_chunk", chunk_of("first_at"))
     best = (F.col("bytes").desc(), F.col("first_at").asc(), F.col("filename").asc())
     group = ["flow_key", "kind"]
     local = Window.partitionBy(*group, "_chunk").orderBy(*best)

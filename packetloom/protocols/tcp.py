@@ -21,7 +21,11 @@ TCP_FIELDS = [
     "ipv6.dst", "tcp.srcport", "tcp.dstport", "tcp.seq", "tcp.ack", "tcp.len",
     "tcp.window_size_value", "tcp.window_size", "tcp.window_size_scalefactor", "tcp.flags",
     "tcp.flags.syn", "tcp.flags.ack", "tcp.flags.fin", "tcp.flags.reset", "tcp.flags.push",
-    "tcp.options.mss_val", *TCP_MARKERS, "tcp.analysis.bytes_in_flight",
+    "tcp.options.mss_val", "tcp.options.mss.absent", "tcp.options.mss.present",
+    "tcp.options.mss.exceeded", "tcp.analysis.retransmission", "tcp.analysis.fast_retransmission",
+    "tcp.analysis.lost_segment", "tcp.analysis.out_of_order", "tcp.analysis.duplicate_ack",
+    "tcp.analysis.zero_window", "tcp.analysis.zero_window_probe", "tcp.analysis.window_update",
+    "tcp.analysis.window_full", "tcp.analysis.window_full_segment", "tcp.analysis.bytes_in_flight",
     "tcp.analysis.initial_rtt",
 ]
 UDP_FIELDS = [

@@ -10,32 +10,53 @@ from pyspark.sql import functions as F
 from packetloom.functions.names import tls_alert_label
 from packetloom.functions.parse import comma_items, filled
 from packetloom.operators.keys import endpoint_label
-from packetloom.operators.ordered import ordered_distinct, scan
+from packetloom.operators.ordered import ordered_distinct, place_in_packet, scan
 from packetloom.schemas import field
 
-_BOTH = ["record.content_type", "record.version", "handshake.type", "handshake.version",
-         "handshake.extensions_server_name"]
 # Fields that name an algorithm, for either prefix.
 ALGORITHMS = [
     "handshake.ciphersuites", "handshake.ciphersuite", "handshake.ciphersuite.undecoded",
     "handshake.extensions_supported_groups", "handshake.extensions_supported_group",
     "handshake.extensions_key_share_group", "handshake.extensions_key_share_selected_group",
     "handshake.sig_hash_alg", "handshake.sig_hash_hash", "handshake.sig_hash_sig",
-    "handshake.server_curve_type", "handshake.server_named_curve",
-    "compress_certificate.algorithm", "esni.suite", "ech.hpke.keyconfig.cipher_suite",
-    "ech.hpke.keyconfig.cipher_suite.kdf_id", "ech.hpke.keyconfig.cipher_suite.aead_id",
-    "ech.cipher_suite",
+    "handshake.server_curve_type", "handshake.server_named_curve", "compress_certificate.algorithm",
+    "esni.suite", "ech.hpke.keyconfig.cipher_suite", "ech.hpke.keyconfig.cipher_suite.kdf_id",
+    "ech.hpke.keyconfig.cipher_suite.aead_id", "ech.cipher_suite",
 ]
-# Exported header fields of the tool.
+# Exported header fields of the tool, in the order of the export.
 FIELDS = [
     "frame.number", "frame.time_relative", "frame.time_epoch", "ip.src", "ipv6.src", "ip.dst",
     "ipv6.dst", "tcp.srcport", "tcp.dstport", "tcp.seq", "tcp.ack", "tcp.len",
     "tcp.window_size_value", "tcp.flags", "tcp.analysis.retransmission",
     "tcp.analysis.lost_segment", "tcp.analysis.out_of_order", "tcp.analysis.zero_window",
     "udp.srcport", "udp.dstport", "udp.length", "udp.checksum.status",
-    *[f"{p}.{n}" for p in ("tls", "dtls") for n in [
-        *_BOTH, *ALGORITHMS, "handshake.certificate", "alert_message.level",
-        "alert_message.desc"]],
+    "tls.record.content_type", "tls.record.version", "tls.handshake.type", "tls.handshake.version",
+    "tls.handshake.extensions_server_name", "tls.handshake.cipher_suites_length",
+    "tls.handshake.ciphersuites", "tls.handshake.ciphersuite",
+    "tls.handshake.ciphersuite.undecoded", "tls.handshake.extensions_supported_groups",
+    "tls.handshake.extensions_supported_group", "tls.handshake.extensions_key_share_group",
+    "tls.handshake.extensions_key_share_selected_group", "tls.handshake.sig_hash_alg",
+    "tls.handshake.sig_hash_hash", "tls.handshake.sig_hash_sig", "tls.handshake.server_curve_type",
+    "tls.handshake.server_named_curve", "tls.handshake.client_cert_vrfy.sig",
+    "tls.compress_certificate.algorithm", "tls.esni.suite", "tls.ech.hpke.keyconfig.cipher_suite",
+    "tls.ech.hpke.keyconfig.cipher_suite.kdf_id", "tls.ech.hpke.keyconfig.cipher_suite.aead_id",
+    "tls.ech.cipher_suite", "tls.handshake.certificate", "tls.alert_message.level",
+    "tls.alert_message.desc",
+    "x509af.subject", "x509af.issuer", "x509af.serialNumber", "x509af.notBefore", "x509af.notAfter",
+    "x509ce.dNSName",
+    "dtls.record.content_type", "dtls.record.version", "dtls.handshake.type",
+    "dtls.handshake.version", "dtls.handshake.extensions_server_name",
+    "dtls.handshake.cipher_suites_length", "dtls.handshake.ciphersuites",
+    "dtls.handshake.ciphersuite", "dtls.handshake.ciphersuite.undecoded",
+    "dtls.handshake.extensions_supported_groups", "dtls.handshake.extensions_supported_group",
+    "dtls.handshake.extensions_key_share_group",
+    "dtls.handshake.extensions_key_share_selected_group", "dtls.handshake.sig_hash_alg",
+    "dtls.handshake.sig_hash_hash", "dtls.handshake.sig_hash_sig",
+    "dtls.handshake.server_curve_type", "dtls.handshake.server_named_curve",
+    "dtls.handshake.client_cert_vrfy.sig", "dtls.compress_certificate.algorithm", "dtls.esni.suite",
+    "dtls.ech.hpke.keyconfig.cipher_suite", "dtls.ech.hpke.keyconfig.cipher_suite.kdf_id",
+    "dtls.ech.hpke.keyconfig.cipher_suite.aead_id", "dtls.ech.cipher_suite",
+    "dtls.handshake.certificate", "dtls.alert_message.level", "dtls.alert_message.desc",
 ]
 LIKELY_TCP_PORTS = [443, 853, 8443]
 LIKELY_UDP_PORTS = [443, 853, 4433]
@@ -75,7 +96,7 @@ def packet_certificates(pk: DataFrame) -> DataFrame:
     listed = pk.select("flow_key", "frame_number", "src_ip", "src_port",
                        F.posexplode("tls_certificates").alias("slot", "c"))
     return listed.select(
-        "flow_key", (F.col("frame_number") * 1024 + F.col("slot")).alias("at"),
+        "flow_key", place_in_packet(F.col("slot")).alias("at"),
         F.coalesce("c.presenter_ip", "src_ip").alias("presenter_ip"),
         F.coalesce("c.presenter_port", "src_port").alias("presenter_port"),
         *[F.col(f"c.{n}").alias(n) for n in (

@@ -346,10 +346,12 @@ def test_link_security_values_and_ranges(packets):
     assert pk.first().flow_key == "EAPOL|02:00:00:00:00:01||02:00:00:00:00:02||eth|7"
 
 
-def test_lists_keep_their_first_25_values(packets):
+def test_lists_are_whole_unless_a_cap_is_asked_for(packets):
     pk = packets([between(dhcp_message_type="Discover", dhcp_transaction_id=f"x{i}") for i in range(40)])
     row = one(dhcp.dhcp_summary(pk))
-    assert row.transaction_ids == [f"x{i}" for i in range(25)] and not row.has_ack
+    assert row.transaction_ids == [f"x{i}" for i in range(40)] and not row.has_ack
+    row = one(dhcp.dhcp_summary(pk, cap=25))
+    assert row.transaction_ids == [f"x{i}" for i in range(25)] and row.n_transaction_ids == 40
 
 
 def test_certificates_roles_and_validity(spark, packets):
@@ -491,3 +493,41 @@ def test_phone_and_unverified_addresses(spark, packets):
     seen = spark.createDataFrame([(A,)], "address string")
     assert [tuple(r) for r in related.unverified_addresses(texts, "id", "text", seen).collect()] == [
         (1, "8.8.8.8")]
+
+
+def test_hosts_of_redirects(spark):
+    from packetloom.operators.related import url_host
+
+    cases = {"https://my_host.example/x": "my_host.example", "http://H.example/a|b": "h.example", "//h.example/a b": "h.example",
+             "http://u:p@h.example:8080?q={x}": "h.example", "http://h.example/%zz": "h.example",
+             "http://[2001:DB8::1]:80/x": "2001:db8::1", "/only/path": None, "h.example/x": None, "": None}
+    df = spark.createDataFrame([(u,) for u in cases], "url string").select("url", url_host(F.col("url")).alias("host"))
+    assert {r.url: r.host for r in df.collect()} == cases
+
+
+def test_link_frames_hold_nothing_of_inner_protocols(packets):
+    from packetloom.operators.keys import link_override
+
+    inner = {"dns_query": "a.example", "dns_response_code": "3", "dns_answers": ["192.0.2.1"], "tls_sni": "x",
+             "smb_encrypted": True, "issue_tags": ["tcp_reset"], "src_ip": "10.0.0.1", "dst_ip": "10.0.0.2",
+             "src_mac": "AA:00", "dst_mac": "bb:00"}
+    df = packets([{**inner, "decoded_protocols": ["eth", "macsec", "dns"]}, {**inner, "decoded_protocols": ["ip", "dns"]}])
+    first, second = link_override(df.drop("flow_key")).orderBy("frame_number").collect()
+    assert (first.protocol, first.dns_query, first.dns_answers, first.tls_sni, first.smb_encrypted, first.src_ip) == (
+        "MACSEC", None, [], None, False, None)
+    assert (second.dns_query, second.dns_answers, second.smb_encrypted) == ("a.example", ["192.0.2.1"], True)
+
+
+def test_summary_cut_only_where_asked(spark):
+    from packetloom.operators import rollup
+
+    flows = spark.createDataFrame([(f"f{k}", k, "TCP", 1000 + k, 443, 5) for k in range(1, 61)],
+                                  "flow_key string, flow_id long, protocol string, port_a int, port_b int, packet_count long")
+    issues = spark.createDataFrame([], "flow_key string, a_to_b boolean, issue string, n long")
+    names = spark.createDataFrame([(f"f{k}", f"n{k}", 1) for k in range(1, 61)], "flow_key string, name string, position long")
+    whole = rollup.summary_from_flows(flows, issues, names)
+    assert whole.where("kind = 'port'").count() == 61 and whole.where("kind = 'name'").count() == 60
+    saved = rollup.summary_from_flows(flows, issues, names, rollup.SAVED_MOST)
+    assert saved.where("kind = 'port'").count() == 20 and saved.where("kind = 'name'").count() == 50
+    first = saved.where("kind = 'port'").orderBy("rank").limit(3).collect()
+    assert [(r.value, r.n) for r in first] == [("443", 300), ("1001", 5), ("1002", 5)]
