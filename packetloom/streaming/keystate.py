@@ -41,29 +41,32 @@ def _write(df: DataFrame, folder: str, name: str, batch: int) -> None:
 
 
 def gap_state(packets: DataFrame, before: DataFrame, threshold_ms: float) -> DataFrame:
-    """State of every direction after a batch. The state's last packet leads the new ones."""
+    """State of every direction after a batch, in order of arrival: by batch, then by frame.
+
+    The state's last packet stands before the new ones, whatever its frame number, so a packet that comes
+    late is measured against the one that arrived before it.
+    """
     c = F.col
     rows = packets.select(*WAY, "frame_number", packet_time_ns().alias("ns"),
-                          F.lit(True).alias("new"))
+                          c("frame_number").alias("place"), F.lit(True).alias("new"))
     lead = before.select(*WAY, c("last_frame").alias("frame_number"), c("last_ns").alias("ns"),
-                         F.lit(False).alias("new"))
+                         F.lit(-1).cast("bigint").alias("place"), F.lit(False).alias("new"))
     step = c("ns") - c("_before")
     ahead = F.when(c("new") & (step >= 0), step)
-    added = scan(rows.unionByName(lead), WAY, "frame_number", previous={"_before": c("ns")}).groupBy(
+    added = scan(rows.unionByName(lead), WAY, "place", previous={"_before": c("ns")}).groupBy(
         *WAY).agg(
-            F.max("frame_number").alias("last_frame"),
-            F.max_by(F.struct("ns"), "frame_number")["ns"].alias("last_ns"),
+            F.max_by(F.struct(c("frame_number").alias("last_frame"), c("ns").alias("last_ns")), "place").alias("last"),
             F.count_if("new").alias("packets"), F.count(ahead).alias("intervals"),
             F.count_if(ahead / F.lit(1e6) >= threshold_ms).alias("pauses"),
             F.count_if(c("new") & (step < 0)).alias("backward"),
             F.count_if(c("new") & c("ns").isNull()).alias("missing_times"),
             F.coalesce(F.sum(ahead), F.lit(0)).alias("total_ns"), F.max(ahead).alias("max_ns"))
-    both = added.unionByName(before)
     sums = ["packets", "intervals", "pauses", "backward", "missing_times", "total_ns"]
+    state = before.select(*WAY, F.struct("last_frame", "last_ns").alias("last"), *sums, "max_ns")
+    both = added.withColumn("turn", F.lit(1)).unionByName(state.withColumn("turn", F.lit(0)))
     return both.groupBy(*WAY).agg(
-        F.max("last_frame").alias("last_frame"),
-        F.max_by(F.struct("last_ns"), F.struct("last_frame", "packets"))["last_ns"].alias("last_ns"),
-        *[F.sum(n).alias(n) for n in sums], F.max("max_ns").alias("max_ns"))
+        F.max_by("last", "turn").alias("last"), *[F.sum(n).alias(n) for n in sums],
+        F.max("max_ns").alias("max_ns")).select(*WAY, "last.*", *sums, "max_ns")
 
 
 def sequence_state(packets: DataFrame, before: DataFrame, seen: DataFrame
