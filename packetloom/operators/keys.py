@@ -91,6 +91,20 @@ def direction_label(src: Column, src_port: Column, dst: Column, dst_port: Column
     return F.concat(endpoint_label(src, src_port), F.lit(" -> "), endpoint_label(dst, dst_port))
 
 
+def flow_key_text() -> Column:
+    """One text for the key columns of a flow, fresh or saved."""
+    c = F.col
+    link = c("protocol").isin(LINK_PROTOCOLS)
+
+    def port_text(name: str) -> Column:
+        return F.coalesce(c(name).cast("string"), F.lit(""))
+
+    return F.concat_ws(
+        "|", c("protocol"), c("endpoint_a"), port_text("port_a"), c("endpoint_b"), port_text("port_b"),
+        F.when(link, F.coalesce(c("link_type"), F.lit(""))),
+        F.when(link, F.array_join(c("vlan_ids").cast("array<string>"), ",")))
+
+
 def with_flow(df: DataFrame) -> DataFrame:
     """Add the unordered endpoint pair, one text key for it, and the direction flag."""
     c = F.col
@@ -98,9 +112,6 @@ def with_flow(df: DataFrame) -> DataFrame:
     source_first = F.struct(c("src_endpoint"), F.coalesce(c("src_port"), F.lit(-1))) <= F.struct(
         c("dst_endpoint"), F.coalesce(c("dst_port"), F.lit(-1)))
 
-    def port_text(name: str) -> Column:
-        return F.coalesce(c(name).cast("string"), F.lit(""))
-
     ended = df.withColumns({"src_endpoint": source_endpoint(),
                             "dst_endpoint": destination_endpoint()})
     paired = ended.withColumns({
@@ -114,11 +125,7 @@ def with_flow(df: DataFrame) -> DataFrame:
             F.array().cast("array<int>")),
     })
     return paired.withColumns({
-        "flow_key": F.concat_ws(
-            "|", c("protocol"), c("endpoint_a"), port_text("port_a"), c("endpoint_b"),
-            port_text("port_b"),
-            F.when(link, F.coalesce(c("link_type"), F.lit(""))),
-            F.when(link, F.array_join(c("vlan_ids").cast("array<string>"), ","))),
+        "flow_key": flow_key_text(),
         "a_to_b": F.coalesce(
             (c("src_endpoint") == c("endpoint_a"))
             & (c("port_a").isNull() | (c("src_port") == c("port_a"))), F.lit(False)),

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from packetloom.functions import names, parse
 from packetloom.functions.protocols import canonical, expanded, flow_protocols, packet_protocols
-from packetloom.operators import filters, keys, rollup
+from packetloom.operators import filters, keys, metrics, rollup
 from packetloom.operators.filters import FlowFilter
 from packetloom.plans.catalog import query
 from packetloom.plans.sql import FLOWS, PROTOCOL_NAMES, pk
 from packetloom.protocols import dns, rtp
+from packetloom.settings import scratch_path
 from packetloom.sources import tables
 
 
@@ -26,8 +27,6 @@ def packet_source(t):
 SELECT flow_key, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes,
   count(*) FILTER (protocol = 'TCP') AS tcp_rows FROM pk GROUP BY flow_key"""))
 def detailed_tables(t):
-    from packetloom.settings import scratch_path
-
     path = scratch_path(t.spark, "details")
     tables.write_details(t.packets.select("flow_key", "frame_number", "length"),
                          t.headers.select("flow_key", "frame_number", "`tcp.srcport`"), path)
@@ -512,6 +511,36 @@ def flows_by_any(t):
         host="10.0.0.3", protocol="dns", src_port=5060, match_any=True)).select("flow_key")
 
 
+def saved_and_read(t):
+    """All flows written as summary documents of 50 flows and read again."""
+    path = scratch_path(t.spark, "summary")
+    named = t.ranked_facts.join(rollup.flow_protocol_sets(t.packets), "flow_key", "left")
+    tables.write_summary(named, path, 50)
+    return tables.flows_of_summary(tables.read_summary(t.spark, path))
+
+
+@query("s03_saved_flows_in_one_direction", pk("""
+SELECT DISTINCT flow_key FROM pk WHERE dst_port = 443 AND dst_ip IN ('192.0.2.1', '192.0.2.2')
+  AND src_port IN (40000, 40001, 40005)"""))
+def saved_flows_in_one_direction(t):
+    return filters.filter_flows(saved_and_read(t), FlowFilter(
+        dst_port=443, dst=["192.0.2.1", "192.0.2.2"], src_port=[40000, 40001, 40005],
+        protocol="TLS")).select("flow_key")
+
+
+@query("s04_summary_round_trip", pk(FLOWS + """
+, tg AS (SELECT flow_key, count(*) FILTER (tcp_tag = 'tcp_retransmission') AS tcp_retransmission,
+    count(*) FILTER (tcp_tag = 'tcp_reset' AND a_to_b) AS a_to_b_tcp_reset FROM pk GROUP BY flow_key)
+SELECT flow_key, protocol, endpoint_a, port_a, endpoint_b, port_b, packet_count, byte_count, a_to_b_packets,
+  b_to_a_packets, a_to_b_bytes, b_to_a_bytes, duration_s, tcp_retransmission, a_to_b_tcp_reset
+FROM fl JOIN tg USING (flow_key)"""))
+def summary_round_trip(t):
+    return metrics.with_duration(saved_and_read(t)).select(
+        "flow_key", "protocol", "endpoint_a", "port_a", "endpoint_b", "port_b", "packet_count", "byte_count",
+        "a_to_b_packets", "b_to_a_packets", "a_to_b_bytes", "b_to_a_bytes", "duration_s", "tcp_retransmission",
+        "a_to_b_tcp_reset")
+
+
 @query("f11_endpoint_pair", pk(SELECTED + """
   (src_ip = '10.0.0.2' AND dst_ip = '192.0.2.2' AND src_port = 40001 AND dst_port = 443)
   OR (src_ip = '192.0.2.2' AND dst_ip = '10.0.0.2' AND src_port = 443 AND dst_port = 40001)"""))

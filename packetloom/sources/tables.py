@@ -91,6 +91,72 @@ def read_summary(spark: SparkSession, path: str) -> DataFrame:
         *[section(n, inner) for n, inner in SECTIONS.items()])
 
 
+def flows_of_summary(saved: DataFrame) -> DataFrame:
+    """Saved flows with the columns of a fresh rollup: counters by direction, issues by tag, protocol sets.
+
+    Filters, metrics, ranks and summaries of chosen flows take them as they take `flow_rollup`. The key text
+    is made anew from the key columns; times read as timestamps without zone.
+    """
+    from packetloom.operators.keys import flow_key_text
+    from packetloom.operators.rollup import ISSUE_TAGS
+
+    c = F.col
+
+    def counted(column: str, tag: str) -> Column:
+        return F.coalesce(F.element_at(column, F.lit(tag)), F.lit(0)).cast("bigint")
+
+    ways = (("a_to_b", "src_to_dst"), ("b_to_a", "dst_to_src"))
+    return saved.select(
+        "file", "source_capture_path", "flow_id", flow_key_text().alias("flow_key"), "address_type",
+        "link_type", "vlan_ids", "protocol", "endpoint_a", "port_a", "endpoint_b", "port_b",
+        "packet_count", "byte_count",
+        *[c(n).cast("timestamp_ntz").alias(n) for n in ("first_seen", "last_seen")],
+        c("flow_id").alias("first_frame"),
+        *[F.coalesce(c(f"{saved_way}_{n}"), F.lit(0)).alias(f"{way}_{n}")
+          for n in ("packets", "bytes") for way, saved_way in ways],
+        *[column for tag in ISSUE_TAGS for column in (
+            counted("issue_counts", tag).alias(tag),
+            *[counted(f"{saved_way}_issue_counts", tag).alias(f"{way}_{tag}") for way, saved_way in ways])],
+        "initial_rtt_ms", "max_interarrival_ms", "decoded_protocols", "protocols_a_to_b",
+        "protocols_b_to_a", "names", "redirect_locations")
+
+
+def write_summary(flows: DataFrame, path: str, flows_in_document: int = 10_000) -> None:
+    """Save flows (a rollup with `flow_id`; protocol sets, names and redirects if there) in the nested shape
+    that `read_summary` reads.
+
+    A document holds the flows of `flows_in_document` consecutive ids, in order, and is a file of its own,
+    so none grows with the capture. Nothing is replaced, and readers see only complete output.
+    """
+    from packetloom.operators.rollup import ISSUE_TAGS
+
+    c, there = F.col, set(flows.columns)
+
+    def tags(prefix: str) -> Column:
+        pairs = [F.when(c(f"{prefix}{tag}") > 0, F.struct(F.lit(tag).alias("key"), c(f"{prefix}{tag}").alias("value")))
+                 for tag in ISSUE_TAGS if f"{prefix}{tag}" in there]
+        return F.map_from_entries(F.array_compact(F.array(*pairs))) if pairs else F.lit(None)
+
+    key = F.struct("address_type", "link_type", "vlan_ids", "endpoint_a", "endpoint_b", "port_a", "port_b", "protocol")
+    optional = [n for n in ("decoded_protocols", "protocols_a_to_b", "protocols_b_to_a", "initial_rtt_ms",
+                            "max_interarrival_ms", "names", "redirect_locations") if n in there]
+    flow = F.struct(
+        key.alias("key"), "packet_count", "byte_count",
+        *[c(n).cast("string").alias(n) for n in ("first_seen", "last_seen")],
+        *[c(f"{way}_{n}").alias(f"{saved}_{n}") for n in ("packets", "bytes")
+          for way, saved in (("a_to_b", "src_to_dst"), ("b_to_a", "dst_to_src"))],
+        tags("").alias("issue_counts"), tags("a_to_b_").alias("src_to_dst_issue_counts"),
+        tags("b_to_a_").alias("dst_to_src_issue_counts"), *optional)
+    documents = flows.select(
+        F.floor((c("flow_id") - 1) / flows_in_document).alias("document"), "packet_count", "byte_count",
+        F.struct("flow_id", flow.alias("flow")).alias("one")).groupBy("document").agg(
+            F.sum("packet_count").alias("packet_count"), F.sum("byte_count").alias("total_bytes"),
+            F.count(F.lit(1)).alias("flow_count"),
+            F.transform(F.array_sort(F.collect_list("one"), lambda a, b: F.when(
+                a["flow_id"] < b["flow_id"], -1).otherwise(1)), lambda x: x["flow"]).alias("flows"))
+    documents.drop("document").write.mode("errorifexists").option("maxRecordsPerFile", 1).json(path)
+
+
 def saved_triggers(flows: DataFrame) -> DataFrame:
     """Triggers of saved windows, merged or single, ready to be merged again."""
     c = F.col
