@@ -11,7 +11,7 @@ bucket. No bucket is expanded into pairs. Instead
 1. every member of a bucket is verified against one pivot, drawn by hash from the bucket;
 2. the components of the verified links are found;
 3. only in buckets that still hold several components, members outside the pivot's component are compared
-   with the others, in blocks of bounded size, by their registers; what may be similar is verified.
+   with the others, in blocks of bounded size: by their registers, and exactly where those leave it open.
 
 Two nodes of one bucket are either in one component after step 2 or compared in step 3, so no link between
 texts that share a bucket is lost. Verification computes the exact probability Jaccard similarity.
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -184,9 +185,64 @@ def _ordered(a: str, b: str) -> tuple[Column, Column]:
     return F.least(a, b).alias("u"), F.greatest(a, b).alias("v")
 
 
-def leftover_pairs(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
-    """Pairs (u, v) inside buckets, one of them outside the component of the bucket's pivot, whose registers
-    do not rule them out. `members` has bucket, node, label, pivot_label and registers.
+class _Side:
+    """One block of a bucket's members, as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.nodes, self.labels, self.packed = (table[n].to_pylist() for n in ("node", "label", "packed"))
+        self.outside = np.array(table["outside"].to_pylist(), bool)
+        self.bands = np.array(table["bands"].to_pylist(), np.int64).reshape(len(self.nodes), BANDS)
+        self.registers = np.frombuffer(b"".join(table["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+
+    def shingles(self, rows: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        expand, out = zstandard.ZstdDecompressor(), {}
+        for first in range(0, len(rows), 256):
+            part = rows[first:first + 256]
+            s = Shingles(*flat(pa.array([expand.decompress(self.packed[k]) for k in part], pa.binary())))
+            out |= {k: (s.hash[a:b], s.weight[a:b]) for k, a, b in zip(part, s.first[:-1], s.first[1:])}
+        return out
+
+
+def _block_links(table: pa.Table, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Verified links between outsiders and members of one bucket that join two labels.
+
+    A pair is looked at in the first of the bands that both texts share, and where both are outsiders from
+    one side only; likely pairs come first, and what has become one label is not compared further.
+    """
+    bucket = table["bucket"][0].as_py()
+    role = pa.array(np.array(table["out"].to_pylist(), bool))
+    out, other = _Side(table.filter(role)), _Side(table.filter(pa.compute.invert(role)))
+    numbers = {label: k for k, label in enumerate({*out.labels, *other.labels})}
+    root = list(range(len(numbers)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    other_number = np.array([numbers[x] for x in other.labels], np.int64)
+    floor = SURELY_LESS - SIMILARITY + similarity
+    likely = []
+    for k, node in enumerate(out.nodes):
+        rate = (other.registers == out.registers[k]).mean(axis=1)
+        close = np.flatnonzero((rate >= floor) & (other_number != numbers[out.labels[k]]))
+        shared = other.bands[close] == out.bands[k]
+        close = close[out.bands[k][shared.argmax(axis=1)] == bucket] if len(close) else close
+        likely += [(-rate[m], k, m) for m in close.tolist() if not other.outside[m] or node < other.nodes[m]]
+    likely.sort()
+    own, others = out.shingles(sorted({k for _, k, _ in likely})), other.shingles(sorted({m for _, _, m in likely}))
+    links = []
+    for _, k, m in likely:
+        a, b = find(numbers[out.labels[k]]), find(int(other_number[m]))
+        if a != b and probability_jaccard(*own[k], *others[m]) >= similarity - 1e-9:
+            root[a] = b
+            links.append((min(out.nodes[k], other.nodes[m]), max(out.nodes[k], other.nodes[m])))
+    return links
+
+
+def leftover_links(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Verified links (u, v) inside buckets between a member outside the component of the bucket's pivot and
+    any other component. `members` has bucket, node, label, pivot_label, bands, registers and packed.
 
     The members of a bucket are dealt into blocks by a hash of the node, as many as their number asks for;
     a task sees one block of outsiders and one block of members at a time.
@@ -195,36 +251,23 @@ def leftover_pairs(members: DataFrame, similarity: float, block: int = BLOCK) ->
         F.count(F.lit(1)).alias("n"), F.sum((F.col("label") != F.col("pivot_label")).cast("long")).alias("n_out"))
     open_buckets = sizes.where((F.col("n_out") > 0) & (F.col("n") > 2)).select(
         "bucket", F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("n_out") / block).alias("out_blocks"))
-    dealt = members.join(open_buckets.hint("merge"), "bucket").withColumn("hash", F.xxhash64("node"))
-    outside = dealt.where(F.col("label") != F.col("pivot_label")).select(
+    dealt = members.join(open_buckets.hint("merge"), "bucket").select(
+        "*", F.xxhash64("node").alias("hash"), (F.col("label") != F.col("pivot_label")).alias("outside"))
+    fields = ["node", "label", "outside", "bands", "registers", "packed"]
+    outsiders = dealt.where("outside").select(
         "bucket", F.pmod("hash", "out_blocks").alias("out_block"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node", "label", "registers",
-        F.lit(True).alias("out"))
-    inside = dealt.select(
+        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *fields, F.lit(True).alias("out"))
+    others = dealt.select(
         "bucket", F.explode(F.sequence(F.lit(0), F.col("out_blocks") - 1)).alias("out_block"),
-        F.pmod("hash", "blocks").alias("block"), "node", "label", "registers", F.lit(False).alias("out"))
-    floor = SURELY_LESS - SIMILARITY + similarity
+        F.pmod("hash", "blocks").alias("block"), *fields, F.lit(False).alias("out"))
 
     def compare(table: pa.Table) -> pa.Table:
-        out = table["out"].to_numpy()
-        parts = []
-        for flag in (True, False):
-            side = table.filter(pa.array(out == flag))
-            parts.append((side["node"].to_pylist(), side["label"].to_pylist(),
-                          np.frombuffer(b"".join(side["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)))
-        (nodes, labels, kept), (others, other_labels, other_kept) = parts
-        numbers = {label: k for k, label in enumerate({*labels, *other_labels})}
-        other_number = np.array([numbers[x] for x in other_labels], np.int64)
-        left, right = [], []
-        for node, label, own in zip(nodes, labels, kept):
-            close = np.flatnonzero(((other_kept == own).mean(axis=1) >= floor) & (other_number != numbers[label]))
-            for k in close.tolist():
-                left.append(min(node, others[k]))
-                right.append(max(node, others[k]))
-        return pa.table({"u": pa.array(left, pa.binary()), "v": pa.array(right, pa.binary())})
-
-    both = outside.unionByName(inside)
-    return both.groupBy("bucket", "out_block", "block").applyInArrow(compare, "u binary, v binary").distinct()
+        links = _block_links(table, similarity)
+        return pa.table({"u": pa.array([u for u, _ in links], pa.binary()),
+                         "v": pa.array([v for _, v in links], pa.binary())})
+
+    return outsiders.unionByName(others).groupBy("bucket", "out_block", "block").applyInArrow(
+        compare, "u binary, v binary")
 
 
 def near_labels(docs: DataFrame, stored: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -247,16 +290,21 @@ def near_labels(docs: DataFrame, stored: DataFrame, similarity: float = SIMILARI
 
     known = settle(labelled(labelled(buckets.where("n > 2"), "node", "label"), "pivot", "pivot_label"), "known")
     split = known.where("label != pivot_label").select("bucket").distinct()
-    unclear = settle(known.select("bucket", "node", "label", "pivot_label").join(
-        split.hint("merge"), "bucket", "left_semi").join(
-        nodes.select("node", "registers").hint("merge"), "node"), "unclear")
-    rest = leftover_pairs(unclear, similarity).join(stars.hint("merge"), ["u", "v"], "left_anti")
-    second = verified(rest, texts, similarity)
-    discard(nodes, buckets, stars, texts, known, unclear)
-    if not second.isEmpty():
-        old, labels = labels, components(first.unionByName(second))
-        discard(old)
-    discard(first, second)
+    unclear = (known.select("bucket", "node", "label", "pivot_label").join(
+        split.hint("merge"), "bucket", "left_semi")
+        .join(nodes.hint("merge"), "node").join(texts.hint("merge"), "node"))
+    second = settle(leftover_links(unclear, similarity), "leftover_links")
+    joined = settle(labelled(labelled(second, "u", "a"), "v", "b").select(
+        F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "label_links")
+    discard(nodes, buckets, stars, texts, known, first, second)
+    if not joined.isEmpty():  # the links go between labels, so the components of labels are few
+        merged = components(joined)
+        old = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("whole")).hint("merge"),
+                          "label", "left").select("node", F.coalesce("whole", "label").alias("label"))
+        alone = merged.join(labels.select("node").hint("merge"), "node", "left_anti").select("node", "label")
+        before, labels = labels, settle(old.unionByName(alone), "labels")
+        discard(before, merged)
+    discard(joined)
     return labels
 
 

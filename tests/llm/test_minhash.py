@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from packetloom.llm import minhash
 from packetloom.llm.components import components
@@ -107,16 +108,47 @@ def test_buckets_without_one_centre(spark):
     assert got(classes(df)) == plain(rows)
 
 
-def test_blocks_of_leftover_pairs(spark):
-    s = Shingles(*flat(pa.array([t for _, t in make_rows(3, 80)])))
-    registers = [r.tobytes() for r in prob_minhash(s).astype(np.uint16)]
-    nodes = [bytes([k]) * 16 for k in range(80)]
-    rows = [(b, nodes[k], nodes[k if k % 3 else 0], nodes[0], registers[k]) for b in range(2) for k in range(80)]
-    df = spark.createDataFrame(rows, "bucket long, node binary, label binary, pivot_label binary, registers binary")
-    found = [{(bytes(r.u), bytes(r.v)) for r in minhash.leftover_pairs(df, 0.8, block).collect()} for block in (1000, 7)]
-    assert found[0] == found[1] and found[0]
+def test_blocks_of_leftover_links(spark):
+    """Whatever the block size, the links join the labels that have a similar pair across them."""
+    texts = sorted({t for _, t in make_rows(3, 80)})
+    s = Shingles(*flat(pa.array(texts)))
+    kept = prob_minhash(s)
+    bands = minhash.band_keys(kept)
+    nodes = [bytes([k]) * 16 for k in range(len(texts))]
+    press = zstandard.ZstdCompressor()
+    rows = [(int(key), nodes[k], nodes[k if k % 3 else 0], nodes[0], bands[k].tolist(),
+             kept[k].astype(np.uint16).tobytes(), press.compress(t.encode()))
+            for k, t in enumerate(texts) for key in bands[k]]
+    df = spark.createDataFrame(rows, "bucket long, node binary, label binary, pivot_label binary, bands array<long>, "
+                                     "registers binary, packed binary")
     label = {r[1]: r[2] for r in rows}
-    assert all(label[u] != label[v] and u < v for u, v in found[0])
+    bag = dict(zip(nodes, map(weights, texts)))
+
+    def partition(links):
+        root = {x: x for x in label.values()}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+        for u, v in links:
+            root[find(label[u])] = find(label[v])
+        return {x: find(x) for x in root}
+
+    def groups(links):
+        whole = partition(links)
+        return sorted(sorted(x for x in whole if whole[x] == r) for r in set(whole.values()))
+
+    size, keys = Counter(r[0] for r in rows), dict(zip(nodes, bands.tolist()))
+
+    def shared(u, v):  # members of the first common bucket; a bucket of two is left to its pivot
+        return next((size[a] for a, b in zip(keys[u], keys[v]) if a == b), 0)
+
+    every = [(u, v) for u in nodes for v in nodes
+             if u < v and shared(u, v) > 2 and similarity(bag[u], bag[v]) >= 0.8]
+    for block in (1000, 7):
+        found = [(bytes(r.u), bytes(r.v)) for r in minhash.leftover_links(df, 0.8, block).collect()]
+        assert found and set(found) <= set(every) and groups(found) == groups(every)
 
 
 def test_one_of_each(spark):
