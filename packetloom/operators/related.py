@@ -94,6 +94,15 @@ def ipv4_mentions(texts: DataFrame, key: str, text: str) -> DataFrame:
         F.col("address").rlike(IPV4))
 
 
+def observed_addresses(pk: DataFrame) -> DataFrame:
+    """Every address packets show: endpoints, DNS answers, DHCP offers and requests, hosts of redirects."""
+    host = url_host(F.col("http_location"))
+    shown = F.array("src_ip", "dst_ip", "dhcp_your_ip", "dhcp_requested_ip", "dhcp_server_id", "http_host", host)
+    return pk.select(F.explode(F.concat(shown, F.coalesce(
+        "dns_answers", F.array().cast("array<string>")))).alias("address")).where(
+            is_ip(F.col("address"))).distinct()
+
+
 def unverified_addresses(texts: DataFrame, key: str, text: str, inventory: DataFrame) -> DataFrame:
     """Mentions that occur nowhere in the inventory of observed addresses (column `address`)."""
     return ipv4_mentions(texts, key, text).join(

@@ -486,6 +486,31 @@ def detail_dns(t):
         "flow_id", F.col("distinct_query").alias("queries"), F.col("error_count").alias("errors"))
 
 
+@query("m19_detail_dhcp", pk(FLOWS + DHCP + """
+, m AS (SELECT flow_key, count(*) AS messages, bool_or(dhcp_message_type LIKE 'ACK%') AS has_ack
+    FROM pk WHERE kind = 'dhcp' GROUP BY flow_key)
+SELECT flow_id, messages, has_ack, (SELECT count(*) FROM dl WHERE dl.flow_key = m.flow_key
+  AND list = 'transaction_ids') AS n_transaction_ids FROM m JOIN ranked USING (flow_key)"""))
+def detail_dhcp(t):
+    return report.detail_dhcp(t.packets, t.ranked).select("flow_id", "messages", "has_ack", "n_transaction_ids")
+
+
+@query("m19_detail_smb", pk(FLOWS + """
+SELECT flow_id, count(smb_command) AS commands, count(smb_status) AS statuses,
+  count(*) FILTER (smb_status = '0xc0000022') AS errors, count(DISTINCT smb_filename) AS n_filenames
+FROM pk JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key) WHERE kind = 'smb' GROUP BY flow_id"""))
+def detail_smb(t):
+    return report.detail_smb(t.packets, t.ranked).select(
+        "flow_id", "commands", "statuses", "errors", F.coalesce("n_filenames", F.lit(0)).alias("n_filenames"))
+
+
+@query("m19_detail_rtp", pk(FLOWS + """
+SELECT flow_id, rtp_ssrc, CASE WHEN a_to_b THEN 'A_to_B' ELSE 'B_to_A' END AS direction, count(*) AS packets
+FROM pk JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key) WHERE kind = 'rtp' GROUP BY ALL"""))
+def detail_rtp(t):
+    return report.detail_rtp(t.packets, t.ranked).select("flow_id", "rtp_ssrc", "direction", "packets")
+
+
 @query("m19_detail_tls", pk(FLOWS + """
 SELECT flow_id, concat(concat_ws(':', endpoint_a, CAST(port_a AS VARCHAR)), ' <-> ',
   concat_ws(':', endpoint_b, CAST(port_b AS VARCHAR))) AS endpoint

@@ -196,9 +196,10 @@ OCTET = "(0|[1-9][0-9]?|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 @query("j07_unverified_addresses", pk(f"""
 , m AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text,
     '\\b((?:\\d{{1,3}}\\.){{3}}\\d{{1,3}})\\b', 1)) AS address FROM documents),
-inv AS (SELECT src_ip AS address FROM pk UNION SELECT dst_ip FROM pk)
+inv AS (SELECT src_ip AS address FROM pk UNION SELECT dst_ip FROM pk
+  UNION SELECT dns_answer FROM pk)
 SELECT doc_id, address FROM m WHERE regexp_full_match(address, '{OCTET}(\\.{OCTET}){{3}}')
-  AND address NOT IN (SELECT address FROM inv)"""))
+  AND address NOT IN (SELECT address FROM inv WHERE address IS NOT NULL)"""))
 def unverified_addresses(t):
-    ends = t.packets.select(F.explode(F.array("src_ip", "dst_ip")).alias("address"))
-    return related.unverified_addresses(t.given("documents"), "doc_id", "text", ends)
+    return related.unverified_addresses(
+        t.given("documents"), "doc_id", "text", related.observed_addresses(t.packets))
