@@ -30,7 +30,7 @@ from packetloom.settings import settle
 
 SPLIT_CHARS = 1 << 16
 LEAF_BYTES = 256
-TABLE_SIZE = 300_000
+TABLE_SIZE = 250_000
 # The White_Space characters, as the tokenizer's pattern sees them.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -209,16 +209,21 @@ class Bpe:
 
 
 class _Table(dict):
-    """Ids of chunks seen lately; emptied when it is full."""
+    """Ids of chunks seen lately, in two generations: when the young one is full it becomes the old one, and
+    chunks met again move back."""
 
     def __init__(self, bpe: Bpe, size: int):
         super().__init__()
         self.bpe, self.size = bpe, size
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, chunk: str) -> bytes:
-        found = array(self.bpe.code, self.bpe.chunk(chunk)).tobytes() if chunk else b""
+        found = self.old.get(chunk)
+        if found is None:
+            found = array(self.bpe.code, self.bpe.chunk(chunk)).tobytes() if chunk else b""
         if len(chunk) <= 64:
             if len(self) >= self.size:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = found
         return found

@@ -84,9 +84,9 @@ def split(lengths: list[int], capacity: int) -> list[tuple[int, int, int]]:
             for start in range(0, max(n, 1), capacity)]
 
 
-def _pack(table: pa.Table, capacity: int, pad: int) -> pa.Table:
+def _pack(table: pa.Table, capacity: int, pad: int, id_bytes: int) -> pa.Table:
     table = table.sort_by([("doc_id", "ascending"), ("tokens", "ascending")])
-    kind = np.dtype(np.uint32)
+    kind = np.dtype(f"<u{id_bytes}")
     place = np.dtype(np.uint16 if capacity <= 1 << 16 else np.uint32)
     ids = table["doc_id"].to_pylist()
     tokens = [np.frombuffer(t, kind) for t in table["tokens"].to_pylist()]
@@ -110,14 +110,14 @@ def _pack(table: pa.Table, capacity: int, pad: int) -> pa.Table:
 
 
 def tokenized(docs: DataFrame, tokenizer: Broadcast) -> DataFrame:
-    """(doc_id, tokens) of documents (doc_id, text): ids as little-endian 32-bit numbers; null text has none."""
+    """(doc_id, tokens) of documents (doc_id, text): ids end to end, little-endian, 16 bits each if the vocabulary
+    fits into them, else 32; a null text has none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = in_worker(tokenizer.value)
         for batch in batches:
             for first, last in text_slices(batch.column(1)):
                 part = batch.slice(first, last - first)
-                packed = [np.frombuffer(bpe.packed(t or ""), bpe.kind).astype(np.uint32).tobytes()
-                          for t in part.column(1).to_pylist()]
+                packed = [bpe.packed(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["doc_id", "tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
@@ -125,10 +125,10 @@ def tokenized(docs: DataFrame, tokenizer: Broadcast) -> DataFrame:
 
 
 def pack(tokens: DataFrame, capacity: int = ROW_TOKENS, pad: int = 50256,
-         docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
-    """Rows of exactly `capacity` ids from (doc_id, tokens), tokens being 32-bit little-endian ids.
+         docs_per_group: int = DOCS_PER_GROUP, id_bytes: int = 4) -> DataFrame:
+    """Rows of exactly `capacity` ids from (doc_id, tokens), tokens being little-endian ids of `id_bytes` bytes.
 
-    Per row: `ids` (32 bits each, `pad` behind the last piece), `positions` (restarting from 0 with every
+    Per row: `ids` (`id_bytes` each, `pad` behind the last piece), `positions` (restarting from 0 with every
     piece, 16 bits), `cumulative` segment lengths from 0, and for every segment its `doc_ids` and `starts`
     (where it starts in its document). A document without tokens is a segment of length 0; a null doc_id is
     kept; equal rows are packed as often as they occur; an empty table gives no rows.
@@ -136,13 +136,14 @@ def pack(tokens: DataFrame, capacity: int = ROW_TOKENS, pad: int = 50256,
     groups = max(1, -(-tokens.count() // docs_per_group))
     dealt = tokens.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens")).withColumn(
         "packing_group", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)))
-    return dealt.groupBy("packing_group").applyInArrow(lambda table: _pack(table, capacity, pad), PACKED)
+    return dealt.groupBy("packing_group").applyInArrow(lambda table: _pack(table, capacity, pad, id_bytes), PACKED)
 
 
 def pack_texts(docs: DataFrame, tokenizer: Broadcast, capacity: int = ROW_TOKENS, pad: int = 50256,
                docs_per_group: int = DOCS_PER_GROUP) -> DataFrame:
     """Documents (doc_id, text) as packed rows; the tokens are written to the shared folder first."""
-    return pack(settle(tokenized(docs, tokenizer), "tokens"), capacity, pad, docs_per_group)
+    id_bytes = np.dtype(in_worker(tokenizer.value).kind).itemsize
+    return pack(settle(tokenized(docs, tokenizer), "tokens"), capacity, pad, docs_per_group, id_bytes)
 
 
 def write_packed(packed: DataFrame, path: str) -> None:
@@ -150,7 +151,7 @@ def write_packed(packed: DataFrame, path: str) -> None:
     packed.sortWithinPartitions("packing_group", "row").write.mode("errorifexists").parquet(path)
 
 
-def unpacked(packed: DataFrame) -> DataFrame:
+def unpacked(packed: DataFrame, id_bytes: int = 4) -> DataFrame:
     """(doc_id, start, tokens) of every segment: the way back."""
     def back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,6 +159,7 @@ def unpacked(packed: DataFrame) -> DataFrame:
                 cuts = r["cumulative"]
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": pa.array(r["doc_ids"], pa.int64()), "start": pa.array(r["starts"], pa.int64()),
-                    "tokens": pa.array([r["ids"][4 * a:4 * b] for a, b in zip(cuts, cuts[1:])], pa.binary())})
+                    "tokens": pa.array([r["ids"][id_bytes * a:id_bytes * b] for a, b in zip(cuts, cuts[1:])],
+                                       pa.binary())})
 
     return packed.mapInArrow(back, "doc_id long, start long, tokens binary")

@@ -72,11 +72,11 @@ def test_query_round_trip(spark):
     packed = QUERIES["op3_token_packing"](spark, folder)
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     back = {}
-    for r in unpacked(packed).collect():
+    for r in unpacked(packed, 2).collect():
         back.setdefault(r.doc_id, []).append((r.start, bytes(r.tokens)))
     assert back.keys() == docs.keys()
     for d, parts in back.items():
-        ids = np.frombuffer(b"".join(t for _, t in sorted(parts)), np.uint32).tolist()
+        ids = np.frombuffer(b"".join(t for _, t in sorted(parts)), np.uint16).tolist()
         assert ids == library.encode(docs[d], add_special_tokens=False).ids
     used = [r.n_tokens for r in packed.select("n_tokens").collect()]
     assert sum(used) / len(used) > 0.97 * 2048
