@@ -119,6 +119,24 @@ def probability_jaccard(one: np.ndarray, one_weight: np.ndarray, two: np.ndarray
                      for k, r in enumerate(ratio.tolist())))
 
 
+def similarities(one: tuple[np.ndarray, np.ndarray], others: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The probability Jaccard similarity of one text to many; hashes are sorted.
+
+    Where no shingle is repeated it is the share of common shingles, counted for all texts at once.
+    """
+    hashes, weight = one
+    sizes = np.array([len(h) for h, _ in others], np.int64)
+    every = np.concatenate([h for h, _ in others])
+    place = np.minimum(np.searchsorted(hashes, every), len(hashes) - 1)
+    common = np.add.reduceat(hashes[place] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+    found = common / (len(hashes) + sizes - common)
+    single = weight.max() == 1
+    for k, (h, w) in enumerate(others):
+        if not single or w.max() != 1:
+            found[k] = probability_jaccard(hashes, weight, h, w)
+    return found
+
+
 def node_of(text: Column) -> Column:
     """The node of a text: 128 bits of a digest of it."""
     return F.unhex(F.md5(F.coalesce(text.cast("string"), F.lit("")).cast("binary")))
@@ -207,7 +225,7 @@ def _block_links(table: pa.Table, similarity: float) -> list[tuple[bytes, bytes]
     """Verified links between outsiders and members of one bucket that join two labels.
 
     A pair is looked at in the first of the bands that both texts share, and where both are outsiders from
-    one side only; likely pairs come first, and what has become one label is not compared further.
+    one side only; what has become one label is not compared further.
     """
     bucket = table["bucket"][0].as_py()
     role = pa.array(np.array(table["out"].to_pylist(), bool))
@@ -222,21 +240,26 @@ def _block_links(table: pa.Table, similarity: float) -> list[tuple[bytes, bytes]
 
     other_number = np.array([numbers[x] for x in other.labels], np.int64)
     floor = SURELY_LESS - SIMILARITY + similarity
-    likely = []
+    likely: dict[int, list[int]] = {}
     for k, node in enumerate(out.nodes):
         rate = (other.registers == out.registers[k]).mean(axis=1)
         close = np.flatnonzero((rate >= floor) & (other_number != numbers[out.labels[k]]))
         shared = other.bands[close] == out.bands[k]
         close = close[out.bands[k][shared.argmax(axis=1)] == bucket] if len(close) else close
-        likely += [(-rate[m], k, m) for m in close.tolist() if not other.outside[m] or node < other.nodes[m]]
-    likely.sort()
-    own, others = out.shingles(sorted({k for _, k, _ in likely})), other.shingles(sorted({m for _, _, m in likely}))
+        if chosen := [m for m in close.tolist() if not other.outside[m] or node < other.nodes[m]]:
+            likely[k] = chosen
+    own, others = out.shingles(list(likely)), other.shingles(sorted({m for ms in likely.values() for m in ms}))
     links = []
-    for _, k, m in likely:
-        a, b = find(numbers[out.labels[k]]), find(int(other_number[m]))
-        if a != b and probability_jaccard(*own[k], *others[m]) >= similarity - 1e-9:
-            root[a] = b
-            links.append((min(out.nodes[k], other.nodes[m]), max(out.nodes[k], other.nodes[m])))
+    for k, ms in likely.items():
+        ms = [m for m in ms if find(numbers[out.labels[k]]) != find(int(other_number[m]))]
+        if not ms:
+            continue
+        near = similarities(own[k], [others[m] for m in ms]) >= similarity - 1e-9
+        for m in np.array(ms)[near].tolist():
+            a, b = find(numbers[out.labels[k]]), find(int(other_number[m]))
+            if a != b:
+                root[a] = b
+                links.append((min(out.nodes[k], other.nodes[m]), max(out.nodes[k], other.nodes[m])))
     return links
 
 

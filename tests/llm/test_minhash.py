@@ -78,6 +78,12 @@ def test_registers_estimate_the_similarity():
         assert abs((kept[0] == kept[1]).mean() - exact) < 0.04
         own = [(s.hash[a:b], s.weight[a:b]) for a, b in zip(s.first[:-1], s.first[1:])]
         assert probability_jaccard(*own[0], *own[1]) == pytest.approx(exact)
+        plain_words = " ".join(dict.fromkeys(words[:60]))
+        s = Shingles(*flat(pa.array([*texts, plain_words, plain_words + " and more", "none of them"])))
+        own = [(s.hash[a:b], s.weight[a:b]) for a, b in zip(s.first[:-1], s.first[1:])]
+        for one in own:
+            assert minhash.similarities(one, own).tolist() == pytest.approx(
+                [probability_jaccard(*one, *two) for two in own])
 
 
 def test_short_and_empty_texts():
