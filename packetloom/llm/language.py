@@ -8,8 +8,9 @@ The posterior of a language is the product of
 * the host's prior, smoothed towards the prior of its domain, which is smoothed towards that of all rows.
 
 The last three come from counts over all rows: (value, language that the text alone suggests), by grouped
-aggregation. The tables of hosts, domains, suffixes and declarations grow with the data, so they are joined,
-not broadcast.
+aggregation. The tables of hosts, domains, suffixes and declarations grow with the data: each is broadcast up
+to a checked number of rows, so that a host or language with most of the rows stays spread, and joined by
+sort-merge beyond, where Spark splits skewed partitions.
 """
 
 from __future__ import annotations
@@ -197,7 +198,7 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
 
     joined = scored
     for side, key in ((hosts, "host"), (likelihoods("declared"), "declared"), (likelihoods("suffix"), "suffix")):
-        joined = joined.join(side.hint("merge"), key, "left")
+        joined = joined.join(limited_broadcast(side), key, "left")
     nothing = F.array(*[F.lit(0.0) for _ in spread])
     logs = F.transform(F.coalesce("host_prior", everywhere), lambda p: F.log(p))
     for part in (F.col("scores"), F.coalesce("declared_likelihood", nothing), F.coalesce("suffix_likelihood", nothing)):
