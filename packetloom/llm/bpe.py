@@ -30,7 +30,7 @@ from packetloom.settings import settle
 
 SPLIT_CHARS = 1 << 16
 LEAF_BYTES = 256
-TABLE_SIZE = 250_000
+TABLE_SIZE = 100_000
 # The White_Space characters, as the tokenizer's pattern sees them.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
