@@ -7,8 +7,14 @@ The posterior of a language is the product of
 * the likelihoods of the declared language and of the address suffix, given the language; and
 * the host's prior, smoothed towards the prior of its domain, which is smoothed towards that of all rows.
 
-The last three come from counts over all rows: (value, language that the text alone suggests), by grouped
-aggregation. The tables of hosts, domains, suffixes and declarations grow with the data: each is broadcast up
+One class more stands for every language without labels: an even mixture of all fitted languages and of trigrams
+drawn at random. A text of a fitted language is more probable under that language than under the mixture by up to
+2 × the number of languages a trigram; letters of any other language, script or none are less probable. Texts in
+several fitted languages are kept: the class must win against the best language of every BLOCK bytes. A text of
+the class has an unknown language.
+
+The declared language, suffix and host come from counts over all rows: (value, language that the text alone suggests), by grouped
+aggregation; the class of unknown languages is one of them. The tables of hosts, domains, suffixes and declarations grow with the data: each is broadcast up
 to a checked number of rows, so that a host or language with most of the rows stays spread, and joined by
 sort-merge beyond, where Spark splits skewed partitions.
 """
@@ -33,6 +39,8 @@ MOST_LANGUAGES = 200
 TEMPER = 1 / 3
 SMOOTH_HOST, SMOOTH_VALUE = 8.0, 1.0
 LEAST_LETTERS, LEAST_POSTERIOR = 4, 0.6
+#: Bytes of a text that may be in a language of their own.
+BLOCK = 128
 # Letters in lower case, everything else one blank.
 SHAPE = np.full(256, 0x20, np.uint8)
 SHAPE[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -53,23 +61,35 @@ def trigram_codes(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 class TextModel:
-    """Log-likelihoods of trigram codes, one row per language."""
+    """Log-likelihoods of trigram codes, one row per language, and of the class of unknown languages."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, smooth: float = 0.5):
         self.languages = languages
         smoothed = counts.astype(np.float64) + smooth
-        self.table = (np.log(smoothed / smoothed.sum(axis=1, keepdims=True)) if len(languages)
-                      else np.zeros((0, CODES))).astype(np.float32)
+        shares = smoothed / smoothed.sum(axis=1, keepdims=True) if len(languages) else np.zeros((0, CODES))
+        self.table = np.log(shares).astype(np.float32)
+        pooled = shares.mean(axis=0) if len(languages) else 1 / CODES
+        self.unknown = np.log(0.5 * pooled + np.full(CODES, 0.5 / CODES)).astype(np.float32)
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Per text its tempered log-likelihoods, and how many letters it has (bytes that are letters)."""
+        """Per text its tempered log-likelihoods, the class of unknown languages last, and how many letters it has
+        (bytes that are letters). What the best languages of the blocks gain over the best one of the whole text is
+        taken from the class, so that both are compared with the same cut."""
         buffer, starts = flat(column)
         codes, good = trigram_codes(buffer, starts)
         letters = np.append(0, np.cumsum(good))
-        out = np.zeros((len(starts) - 1, len(self.languages)))
-        for k in range(len(self.languages)):
-            total = np.append(0.0, np.cumsum(np.where(good, self.table[k][codes], 0.0), dtype=np.float64))
+        blocks = np.maximum(1, -(-(starts[1:] - starts[:-1]) // BLOCK))
+        first = np.append(0, np.cumsum(blocks))
+        cuts = np.append(np.repeat(starts[:-1] - first[:-1] * BLOCK, blocks) + np.arange(first[-1]) * BLOCK, starts[-1])
+        out = np.zeros((len(starts) - 1, len(self.languages) + 1))
+        best = np.full(first[-1], -np.inf)
+        for k, table in enumerate([*self.table, self.unknown]):
+            total = np.append(0.0, np.cumsum(np.where(good, table[codes], 0.0), dtype=np.float64))
             out[:, k] = (total[starts[1:]] - total[starts[:-1]]) * TEMPER
+            if k < len(self.languages):
+                np.maximum(best, np.diff(total[cuts]), out=best)
+        if self.languages and len(out):
+            out[:, -1] -= np.add.reduceat(best, first[:-1]) * TEMPER - out[:, :-1].max(axis=1)
         return out, letters[starts[1:]] - letters[starts[:-1]]
 
 
@@ -138,8 +158,8 @@ def visible_text(html: Column) -> Column:
 def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
     """The language of `rows` (id, text, declared, address), one row per row.
 
-    `language` is the most probable one, `posterior` its probability, `text_language` what the text alone
-    suggests, `kept` whether the language is known: at least LEAST_LETTERS letters (bytes of letters) and a
+    `language` is the most probable one, null if that is the class of unknown languages, `posterior` its
+    probability, `text_language` what the text alone suggests, `kept` whether the language is known: at least LEAST_LETTERS letters (bytes of letters) and a
     posterior of LEAST_POSTERIOR. Any column may be null: a missing text has no letters, other missing
     evidence says nothing. A repeated or null id is a row of its own; an empty table gives no rows; without
     languages in the model nothing is kept. Ties go to the first language by name.
@@ -151,7 +171,7 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
             for first, last in text_slices(batch.column(1)):
                 part = batch.slice(first, last - first)
                 scores, letters = model.value.score(part.column(1))
-                best = scores.argmax(axis=1) if scores.shape[1] else np.zeros(len(scores), np.int64)
+                best = scores.argmax(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(list(scores), pa.list_(pa.float64())),
                      pa.array(np.where(letters >= LEAST_LETTERS, best, -1).astype(np.int32)),
@@ -170,7 +190,7 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
                              F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("kept"))
     cells = settle(scored.where("best >= 0").groupBy("host", "domain", "suffix", "declared", "best").agg(
         F.count(F.lit(1)).alias("n")), "evidence")
-    spread = range(len(languages))
+    spread = range(len(languages) + 1)
 
     def counts(key: str) -> DataFrame:
         return cells.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.array(*[
@@ -204,13 +224,13 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
     for part in (F.col("scores"), F.coalesce("declared_likelihood", nothing), F.coalesce("suffix_likelihood", nothing)):
         logs = F.zip_with(logs, part, lambda a, b: a + b)
     ranked = joined.select("id", "best", "letters", logs.alias("logs")).withColumn("top", F.array_max("logs"))
-    names = F.array(*map(F.lit, languages))
+    names = F.array(*map(F.lit, languages), F.lit(None).cast("string"))
     chosen = ranked.select(
         "id", "letters", F.get(names, (F.array_position("logs", F.col("top")) - 1).cast("int")).alias("language"),
         (1 / F.aggregate("logs", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))).alias("posterior"),
         F.when(F.col("best") >= 0, F.get(names, F.col("best"))).alias("text_language"))
     return chosen.select("id", "language", "posterior", "text_language", (
-        (F.col("letters") >= LEAST_LETTERS) & (F.col("posterior") >= LEAST_POSTERIOR)).alias("kept"))
+        F.col("language").isNotNull() & (F.col("letters") >= LEAST_LETTERS) & (F.col("posterior") >= LEAST_POSTERIOR)).alias("kept"))
 
 
 def document_languages(docs: DataFrame, train_docs: int = TRAIN_DOCS, key: str = "doc_id") -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -92,6 +94,32 @@ def test_clean_documents_stay(spark, docs):
     assert not ids & {5000, 5001, 5002} and len(ids) >= 995
 
 
+def test_languages_without_labels_go(spark, docs):
+    draw = random.Random(5)
+    strange = ["".join(draw.choice(letters) for _ in range(size)) for size in (60, 200, 1000) for letters in (
+        "abcdefghijklmnopqrstuvwxyz   ", "абвгдежзиклмнопрстуфхцчшщэюя   ", "αβγδεζηθικλμνξοπρστυφχψω   ",
+        "".join(map(chr, range(0x4E00, 0x5E00)))) for _ in range(5)]
+    rows = docs.select("doc_id", "text", "lang", F.lit("h").alias("source"))
+    truth = {r.doc_id: r.lang for r in rows.collect()}
+    for hidden in ("es", "en"):
+        gibberish = spark.createDataFrame([(10_000 + k, t, None, "h") for k, t in enumerate(strange)], rows.schema)
+        told = {r.doc_id: r for r in document_languages(
+            rows.withColumn("lang", F.expr(f"nullif(lang, '{hidden}')")).unionByName(gibberish)).collect()}
+        held_out = [told[d] for d in truth if truth[d] == hidden]
+        assert sum(not r.kept and r.language is None for r in held_out) >= 0.98 * len(held_out)
+        assert not any(r.kept for d, r in told.items() if d >= 10_000)
+        clean = [told[d] for d in truth if truth[d] != hidden]
+        assert sum(r.kept for r in clean) >= 0.995 * len(clean)
+
+
+def test_texts_in_two_known_languages_stay(docs):
+    parts = {k: docs.where(f"lang = '{k}' AND n_chars > 400").select(F.substring("text", 1, 400).alias(k)).first()[k]
+             for k in ("en", "fr")}
+    model = fit(docs.select("text", F.col("lang").alias("language"))).value
+    scores, _ = model.score(pa.array([" ".join(parts.values())]))
+    assert scores[0].argmax() < len(model.languages)
+
+
 def test_pages(spark, docs):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     got = {r.page_id: r for r in page_languages(pages, docs).collect()}
