@@ -112,6 +112,24 @@ def openssh_key(data: bytes) -> str | None:
         return None
 
 
+def announced_size(data: bytes) -> int | None:
+    """How many bytes a DER or OpenSSH private key that starts like this has; None if it does not, or goes on."""
+    if data[:1] == b"\x30" and len(data) > 6:
+        count = data[1] & 0x7F if data[1] & 0x80 else 0
+        if count > 4 or data[2 + count] not in (INTEGER, SEQUENCE):
+            return None
+        return 2 + count + (int.from_bytes(data[2:2 + count], "big") if count else data[1])
+    if data.startswith(OPENSSH_MAGIC):
+        try:
+            _, at = _strings(data, len(OPENSSH_MAGIC), 3)
+            keys = int.from_bytes(data[at:at + 4], "big")
+            _, at = _strings(data, at + 4, keys if keys <= 16 else 0)
+        except Malformed:
+            return None
+        return at + 4 + int.from_bytes(data[at:at + 4], "big") if at + 4 <= len(data) else None
+    return None
+
+
 def decoded(text: bytes) -> bytes | None:
     """Base64 in either alphabet, padded or not."""
     text = text.rstrip(b"=").translate(bytes.maketrans(b"-_", b"+/"))

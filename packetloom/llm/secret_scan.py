@@ -2,8 +2,10 @@
 
 The base patterns report by form alone. Beyond them, base64 and hex candidates are decoded and reported only
 if what they hold parses: DER private keys whose nested lengths fill each other exactly, OpenSSH keys with
-their length-prefixed fields, armoured key blocks around such a key, and tokens of three parts whose header
-names an algorithm that the signature's size agrees with.
+their length-prefixed fields, armoured key blocks around such a key, base64 or hex of such blocks, and tokens of
+three parts whose header names an algorithm that the signature's size agrees with. Encoded keys may be broken
+into lines, by real or escaped line ends, with indents, quoted or as strings that are put together; the lengths
+in a key say where it ends.
 
 Candidates are found in the flat UTF-8 bytes of many texts at once; all patterns are ASCII, so byte matches
 are the character matches. Positions are turned into code points where something was found.
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.key_formats import decoded, key_blob, signed_token
+from packetloom.llm.key_formats import OPENSSH_MAGIC, announced_size, decoded, key_blob, signed_token
 from packetloom.llm.texts import flat, text_slices
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base.
@@ -27,9 +29,15 @@ KINDS = ("assign", "access", "hex", "pem", "der", "derhex", "token")
 BASE = KINDS[:3]
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
-ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^\x00]*?)-----END \1-----")
+ARMOUR = re.compile(rb"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----BEGIN )[^\x00])*?)-----END \1-----")
 ARMOUR_HEADER = re.compile(rb"\A\s*(?:[A-Za-z-]+: [^\n]*\n)+")
+#: What stands between the lines of an encoded key: line ends, escaped or not, indents, marks of quotes and
+#: comments, ends and starts of strings that are put together; and a backslash before a slash.
+BETWEEN = rb"""["']\s{0,64}\+?\s{0,64}["']|\\+[nrt]|[\s>#]|\\+(?=[\s/])"""
+GAP = re.compile(rb"(?:" + BETWEEN + rb")+")
+ESCAPED_END, PADDING, JUNK = re.compile(rb"\\+[nr]"), re.compile(rb"\\+u003[dD]"), re.compile(BETWEEN + rb"""|["'\\]""")
 MIN_ENCODED = 40
+PEM = b"-----BEGIN "
 SPANS = "array<struct<kind:string,start:long,end:long,detail:string>>"
 
 
@@ -54,6 +62,89 @@ def runs(buffer: np.ndarray, table: np.ndarray, least: int) -> Iterator[tuple[in
     return zip(begin[long].tolist(), end[long].tolist())
 
 
+def armoured(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """Armoured key blocks that hold a key, as (start, end, detail)."""
+    for m in ARMOUR.finditer(data) if PEM in data else ():
+        body = ARMOUR_HEADER.sub(b"", PADDING.sub(b"=", ESCAPED_END.sub(b"\n", m[2])))
+        held = decoded(JUNK.sub(b"", body))
+        legacy = b"DEK-Info:" in m[2] and held is not None and len(held) >= 32
+        detail = key_blob(held) or ("encrypted" if legacy else None)
+        if detail:
+            yield m.start(), m.end(), detail
+
+
+class Encoding:
+    """A way to write bytes as text: how keys start in it, its characters, and how many of them `size` bytes take."""
+
+    def __init__(self, kind: str, heads: bytes, chunk: bytes, before: np.ndarray, decode, length, least: int):
+        self.kind, self.heads, self.chunk = kind, re.compile(heads), re.compile(chunk)
+        self.before, self.decode, self.length, self.least = before, decode, length, least
+
+    def gather(self, data: bytes, start: int, most: int) -> tuple[bytes, int]:
+        """Up to `most` characters from `start` on, without what stands between lines, and where they end."""
+        pieces, count, at, end = [], 0, start, start
+        while count < most and (m := self.chunk.match(data, at)):
+            piece = m[0][:most - count]
+            pieces.append(piece)
+            count, end = count + len(piece), at + len(piece)
+            if not (gap := GAP.match(data, m.end())):
+                break
+            at = gap.end()
+        return b"".join(pieces), end
+
+    def keys(self, data: bytes) -> Iterator[tuple[int, int, str, str]]:
+        done = 0
+        for m in self.heads.finditer(data):
+            start = m.start()
+            if start < done or (start and self.before[data[start - 1]] and data[start - 5:start] != b"-----"
+                                and not (data[start - 2:start - 1] == b"\\" and data[start - 1] in b"nrt")):
+                continue
+            found = self.key(data, start)
+            if found:
+                done = found[0]
+                yield start, *found
+
+    def key(self, data: bytes, start: int) -> tuple[int, str, str] | None:
+        """The key that is written from `start` on, as (end, kind, detail)."""
+        most = 64
+        while True:
+            text, end = self.gather(data, start, most)
+            held = self.decode(text) or self.decode(text[:-1]) or b""
+            if held.startswith(PEM):
+                plain = held.isascii()
+                if len(text) < most or not plain:
+                    return self.armour(data, start, held)
+            elif size := announced_size(held):
+                text, end = self.gather(data, start, self.length(size))
+                detail = (key_blob(self.decode(text)) if self.least <= len(text) == self.length(size)
+                          and not self.chunk.match(data, end) else None)
+                return (self.padded(data, end), self.kind, detail) if detail else None
+            elif len(text) < most or not held.startswith(OPENSSH_MAGIC):
+                return None
+            most *= 4
+
+    def armour(self, data: bytes, start: int, held: bytes) -> tuple[int, str, str] | None:
+        blocks = list(armoured(held))
+        if not blocks:
+            return None
+        _, end = self.gather(data, start, self.length(blocks[-1][1]))
+        rest = self.chunk.match(data, end)
+        return self.padded(data, rest.end() if rest else end), "pem", blocks[0][2]
+
+    @staticmethod
+    def padded(data: bytes, end: int) -> int:
+        while end < len(data) and data[end] == 0x3D:
+            end += 1
+        return end
+
+
+ENCODINGS = (
+    Encoding("der", rb"M[A-P]|b3BlbnNzaC1r|LS0tLS1CRUdJTi", rb"(?:[A-Za-z0-9+/_]|-(?!----))+", BASE64, decoded,
+             lambda size: (size * 4 + 2) // 3, MIN_ENCODED),
+    Encoding("derhex", rb"30(?=[0-9A-Fa-f]{4})|6[fF]70656[eE]7373|2[dD]2[dD]2[dD]2[dD]2[dD]42", rb"[0-9A-Fa-f]+", HEX,
+             lambda text: bytes.fromhex(text[:len(text) // 2 * 2].decode()), lambda size: 2 * size, 2 * MIN_ENCODED))
+
+
 def find(buffer: np.ndarray) -> Iterator[tuple[int, int, str, str | None]]:
     """Spans of a flat buffer as (start, end, kind, detail), in bytes."""
     data = buffer.tobytes()
@@ -65,26 +156,10 @@ def find(buffer: np.ndarray) -> Iterator[tuple[int, int, str, str | None]]:
             yield m.start(), m.end(), "access", None
     for start, end in runs(buffer, LOWER_HEX, 32):
         yield start, end, "hex", None
-    if b"-----BEGIN " in data:
-        for m in ARMOUR.finditer(data):
-            body = ARMOUR_HEADER.sub(b"", m[2])
-            held = decoded(b"".join(body.split()))
-            legacy = b"DEK-Info:" in m[2] and held is not None and len(held) >= 32
-            detail = key_blob(held) or ("encrypted" if legacy else None)
-            if detail:
-                yield m.start(), m.end(), "pem", detail
-    for start, end in runs(buffer, BASE64, MIN_ENCODED):
-        if (head := decoded(data[start:start + 24])) and (head[:1] == b"\x30" or head.startswith(b"openssh-key-v1")):
-            detail = key_blob(decoded(data[start:end]))
-            if detail:
-                while end < len(data) and data[end] == 0x3D:
-                    end += 1
-                yield start, end, "der", detail
-    for start, end in runs(buffer, HEX, 2 * MIN_ENCODED):
-        if (end - start) % 2 == 0 and data[start:start + 2] == b"30":
-            detail = key_blob(bytes.fromhex(data[start:end].decode()))
-            if detail:
-                yield start, end, "derhex", detail
+    for start, end, detail in armoured(data):
+        yield start, end, "pem", detail
+    for encoding in ENCODINGS:
+        yield from encoding.keys(data)
     for start, end in runs(buffer, TOKEN_PART, 12):
         if data[start:start + 2] == b"ey" and data[end:end + 1] == b".":
             parts, at = [data[start:end]], end

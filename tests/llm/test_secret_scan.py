@@ -81,6 +81,56 @@ def test_confirmed_spans():
     assert signed_token(b"!!", b"", b"") is None
 
 
+def broken_keys():
+    """Texts with one key each that no single unbroken run holds, and the span that must be found."""
+    wrap = lambda t, n, e: e.join(t[i:i + n] for i in range(0, len(t), n))
+    block = lambda key, n, e, label: f"-----BEGIN {label}-----{e}{wrap(base64.b64encode(key).decode(), n, e)}{e}-----END {label}-----"
+    rsa = base64.b64encode(RSA).decode()
+    real, open_ssh = block(RSA, 64, "\n", "RSA PRIVATE KEY"), block(ssh(), 70, "\n", "OPENSSH PRIVATE KEY")
+    for e in ("\\n", "\\r\\n", "\\\\n", '\\n" +\n    "', "\n  "):
+        for key, label in ((RSA, "RSA PRIVATE KEY"), (PKCS8, "PRIVATE KEY"), (ssh(), "OPENSSH PRIVATE KEY")):
+            yield '{"private_key": "%s\\n", "x": 1}', block(key, 64, e, label), "pem"
+    yield '"%s"', block(PKCS8, 64, "\\n", "PRIVATE KEY").replace("/", "\\/"), "pem"
+    yield "It starts with -----BEGIN RSA PRIVATE KEY----- as in\n%s", real, "pem"
+    yield "-----BEGIN RSA PRIVATE KEY-----\nMIIcut\n\n%s\n", real, "pem"
+    for n in (64, 76):
+        for e in ("\n", "\r\n", "\\n", "\n    ", "\n> "):
+            yield "é key:\n%s\nand words that go on", wrap(rsa, n, e), "der"
+            yield "\\n%s\\nwords", wrap(base64.b64encode(ssh()).decode(), n, e), "der"
+    yield "-----BEGIN RSA PRIVATE KEY-----\n%s\n", wrap(rsa, 64, "\n"), "der"
+    yield "%s\n-----END RSA PRIVATE KEY-----", wrap(rsa, 64, "\n"), "der"
+    for text in (real, real + "\n", open_ssh, "-----BEGIN CERTIFICATE-----\nMIIB\n-----END CERTIFICATE-----\n" + real):
+        whole = base64.b64encode(text.encode()).decode()
+        yield "data: %s\nnext words", whole, "pem"
+        yield "data:\n  %s\n", wrap(whole, 76, "\n  "), "pem"
+        yield "x %s y", text.encode().hex(), "pem"
+    yield "x %s y", ssh().hex(), "derhex"
+    yield "x %s y", ssh().hex().upper(), "derhex"
+    yield "x\n%s\ny", wrap(PKCS8.hex(), 60, "\n"), "derhex"
+
+
+def test_broken_keys(spark):
+    cases = list(broken_keys())
+    for frame, key, kind in cases:
+        assert (kind, key) in kinds(frame % key), (kind, frame, key)
+    import corpus_pipeline
+
+    rows = [(k, frame % key, "en", "s", 1) for k, (frame, key, _) in enumerate(cases)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for r in corpus_pipeline.secret_removal(spark, docs, "").collect():
+        frame, key, _ = cases[r.doc_id]
+        assert key not in r.text and "[SECRET]" in r.text and r.n_chars == len(r.text)
+
+
+def test_what_only_looks_like_broken_keys():
+    rng = random.Random(3)
+    draw = lambda n: "".join(rng.choice("ABCDabcd0123+/") for _ in range(n))
+    for text in ("MII" + draw(61) + "\n" + draw(64), "LS0tLS1CRUdJTi" + draw(300), "b3BlbnNzaC1rZXktdjEA" + draw(500), "30" * 60,
+                 "6f70656e7373682d6b65792d763100" + "ab" * 50, base64.b64encode(RSA[:-9]).decode(), "MII", "M" * 99, "30820", "x M"):
+        assert not [k for k, _ in kinds(text + " words") if k in ("pem", "der", "derhex")]
+        assert not [k for k, _ in kinds(text) if k in ("pem", "der", "derhex")]
+
+
 def random_texts():
     rng = random.Random(9)
     bits = ["password", "PassWord", "ſecret", "secret", "toKen", "token", "api_key", "APIKEY", ":", "=", ' "', "'", " ",
