@@ -3,7 +3,7 @@
 The posterior of a language is the product of
 
 * the text's likelihood: a multinomial over hashed byte trigrams of the lower-cased letters, fitted on a
-  bounded sample of labelled rows (`train_docs`, the only bounded step);
+  bounded sample of labelled texts (`train_docs`, the only bounded step);
 * the likelihoods of the declared language and of the address suffix, given the language; and
 * the host's prior, smoothed towards the prior of its domain, which is smoothed towards that of all rows.
 
@@ -21,7 +21,7 @@ sort-merge beyond, where Spark splits skewed partitions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,6 @@ from packetloom.settings import settle
 
 TRAIN_DOCS = 20_000
 CODES = 1 << 16
-MOST_LANGUAGES = 200
 #: Neighbouring trigrams overlap, so each counts as a third of a letter's evidence.
 TEMPER = 1 / 3
 SMOOTH_HOST, SMOOTH_VALUE = 8.0, 1.0
@@ -61,15 +60,30 @@ def trigram_codes(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
 
 
 class TextModel:
-    """Log-likelihoods of trigram codes, one row per language, and of the class of unknown languages."""
+    """Log-likelihoods of trigram codes, one table per language, and one of the class of unknown languages.
 
-    def __init__(self, languages: list[str], counts: np.ndarray, smooth: float = 0.5):
+    A language keeps only the codes it was fitted on, so the model's size is bounded by the sample, not by
+    the number of languages.
+    """
+
+    def __init__(self, languages: list[str], counts: Iterable[np.ndarray], smooth: float = 0.5):
         self.languages = languages
-        smoothed = counts.astype(np.float64) + smooth
-        shares = smoothed / smoothed.sum(axis=1, keepdims=True) if len(languages) else np.zeros((0, CODES))
-        self.table = np.log(shares).astype(np.float32)
-        pooled = shares.mean(axis=0) if len(languages) else 1 / CODES
-        self.unknown = np.log(0.5 * pooled + np.full(CODES, 0.5 / CODES)).astype(np.float32)
+        self.seen: list[tuple[np.ndarray, np.ndarray, np.float32]] = []
+        pooled = np.zeros(CODES)
+        for row in counts:
+            shares = (row + smooth) / (row.sum() + smooth * CODES)
+            pooled += shares / len(languages)
+            codes = np.flatnonzero(row)
+            self.seen.append((codes.astype(np.uint16), np.log(shares[codes]).astype(np.float32),
+                              np.float32(np.log(smooth / (row.sum() + smooth * CODES)))))
+        self.unknown = np.log(0.5 * (pooled if languages else 1 / CODES) + np.full(CODES, 0.5 / CODES)).astype(np.float32)
+
+    def tables(self) -> Iterator[np.ndarray]:
+        for codes, values, other in self.seen:
+            table = np.full(CODES, other, np.float32)
+            table[codes] = values
+            yield table
+        yield self.unknown
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per text its tempered log-likelihoods, the class of unknown languages last, and how many letters it has
@@ -83,7 +97,7 @@ class TextModel:
         cuts = np.append(np.repeat(starts[:-1] - first[:-1] * BLOCK, blocks) + np.arange(first[-1]) * BLOCK, starts[-1])
         out = np.zeros((len(starts) - 1, len(self.languages) + 1))
         best = np.full(first[-1], -np.inf)
-        for k, table in enumerate([*self.table, self.unknown]):
+        for k, table in enumerate(self.tables()):
             total = np.append(0.0, np.cumsum(np.where(good, table[codes], 0.0), dtype=np.float64))
             out[:, k] = (total[starts[1:]] - total[starts[:-1]]) * TEMPER
             if k < len(self.languages):
@@ -93,41 +107,54 @@ class TextModel:
         return out, letters[starts[1:]] - letters[starts[:-1]]
 
 
+def primary(tag: Column) -> Column:
+    """The primary language of a tag such as `en-US`, lower-cased; null if there is none."""
+    return F.nullif(F.lower(F.trim(F.regexp_extract(tag.cast("string"), r"^([^-_]*)", 1))), F.lit(""))
+
+
 def fit(labelled: DataFrame, train_docs: int = TRAIN_DOCS) -> Broadcast:
-    """A text model from (text, language), on a sample by hash of about `train_docs` rows with a language.
+    """A text model from (text, language), on a sample by hash of about `train_docs` distinct texts with a language.
 
-    There may be at most MOST_LANGUAGES languages; the model has a fixed size for each.
+    Labels count as their primary language; a repeated text counts once for each of its languages.
     """
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("language").cast("string").alias("language")
+    rows = labelled.select(F.col("text").cast("string").alias("text"), primary(F.col("language")).alias("language")
                            ).where("text IS NOT NULL AND language IS NOT NULL")
-    every = max(1, rows.select("language").count() // train_docs)
-    languages = [r.language for r in rows.select("language").distinct().orderBy("language").limit(MOST_LANGUAGES + 1).collect()]
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    texts = rows.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0]
+    every = max(1, texts // train_docs)
+    languages = [r.language for r in rows.select("language").distinct().orderBy("language").collect()]
+    number = {name: k for k, name in enumerate(languages)}
+
+    def packed(k: int, counts: np.ndarray) -> dict:
+        codes = np.flatnonzero(counts)
+        return {"k": [k], "codes": [codes.astype(np.uint16).tobytes()], "counts": [counts[codes].astype(np.int64).tobytes()]}
+
+    def opened(codes: bytes, counts: bytes) -> np.ndarray:
+        out = np.zeros(CODES, np.int64)
+        out[np.frombuffer(codes, np.uint16)] = np.frombuffer(counts, np.int64)
+        return out
+
+    schema = pa.schema([("k", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(languages), CODES), np.int64)
         for batch in batches:
             for first, last in text_slices(batch.column(0)):
-                for k, name in enumerate(languages):
-                    part = batch.slice(first, last - first)
-                    part = part.filter(pa.array([x == name for x in part.column(1).to_pylist()]))
-                    if part.num_rows:
-                        codes, good = trigram_codes(*flat(part.column(0)))
-                        counts[k] += np.bincount(codes[good], minlength=CODES)
-        for k in range(len(languages)):
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "counts": [counts[k].tobytes()]})
+                part = batch.slice(first, last - first)
+                of = np.array([number[x] for x in part.column(1).to_pylist()], np.int64)
+                for k in np.unique(of).tolist():
+                    codes, good = trigram_codes(*flat(part.column(0).filter(pa.array(of == k))))
+                    yield pa.RecordBatch.from_pydict(packed(k, np.bincount(codes[good], minlength=CODES)), schema)
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())
-        return pa.table({"k": table["k"].slice(0, 1), "counts": [total.tobytes()]})
+        total = np.zeros(CODES, np.int64)
+        for codes, counts in zip(table["codes"].to_pylist(), table["counts"].to_pylist()):
+            total += opened(codes, counts)
+        return pa.table(packed(table["k"][0].as_py(), total), schema)
 
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).coalesce(16)
-    fields = "k int, counts binary"
-    total = np.zeros((len(languages), CODES), np.int64)
-    for r in chosen.mapInArrow(count, fields).groupBy("k").applyInArrow(add, fields).collect():
-        total[r.k] = np.frombuffer(r.counts, np.int64)
-    return labelled.sparkSession.sparkContext.broadcast(TextModel(languages, total))
+    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
+    fields = "k int, codes binary, counts binary"
+    found = {r.k: (r.codes, r.counts) for r in chosen.mapInArrow(count, fields).groupBy("k").applyInArrow(add, fields).collect()}
+    counts = (opened(*found.get(k, (b"", b""))) for k in range(len(languages)))
+    return labelled.sparkSession.sparkContext.broadcast(TextModel(languages, counts))
 
 
 def host_of(address: Column) -> Column:
@@ -179,7 +206,7 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
                     ["id", "scores", "best", "letters", "declared", "host"])
 
     picked = rows.select("id", F.col("text").cast("string").alias("text"),
-                         F.lower(F.substring_index(F.col("declared").cast("string"), "-", 1)).alias("declared"),
+                         primary(F.col("declared")).alias("declared"),
                          host_of(F.col("address").cast("string")).alias("host"))
     id_type = rows.schema["id"].dataType.simpleString()
     scored = settle(picked.mapInArrow(run, f"id {id_type}, scores array<double>, best int, letters long, "
@@ -196,8 +223,8 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
         return cells.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.array(*[
             F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0)).cast("double") for k in spread]).alias("counts"))
 
-    whole = cells.agg(*[F.sum(F.when(F.col("best") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in spread]).first()
-    total = [float(whole[f"n{k}"] or 0) for k in spread]
+    whole = {r.best: r.n for r in cells.groupBy("best").agg(F.sum("n").alias("n")).collect()}
+    total = [float(whole.get(k, 0)) for k in spread]
     shares = [(n + 1) / (sum(total) + len(total)) for n in total]
     everywhere = F.array(*map(F.lit, shares))
 
@@ -211,10 +238,9 @@ def identify(rows: DataFrame, model: Broadcast) -> DataFrame:
 
     def likelihoods(key: str) -> DataFrame:
         """P(value | language): counts of the value against all of a language, smoothed by the value's share."""
-        size = F.aggregate("counts", F.lit(0.0), lambda a, n: a + n)
-        return counts(key).select(key, F.array(*[
-            F.log((F.get("counts", F.lit(k)) + SMOOTH_VALUE * size / max(1.0, sum(total))) / (total[k] + SMOOTH_VALUE))
-            for k in spread]).alias(f"{key}_likelihood"))
+        sized = counts(key).withColumn("size", F.aggregate("counts", F.lit(0.0), lambda a, n: a + n))
+        return sized.select(key, F.zip_with("counts", F.array(*map(F.lit, total)), lambda n, t: F.log(
+            (n + SMOOTH_VALUE * F.col("size") / max(1.0, sum(total))) / (t + SMOOTH_VALUE))).alias(f"{key}_likelihood"))
 
     joined = scored
     for side, key in ((hosts, "host"), (likelihoods("declared"), "declared"), (likelihoods("suffix"), "suffix")):

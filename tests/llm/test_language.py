@@ -120,6 +120,35 @@ def test_texts_in_two_known_languages_stay(docs):
     assert scores[0].argmax() < len(model.languages)
 
 
+def test_labels_count_as_their_primary_language(docs):
+    tags = F.when(F.col("doc_id") % 3 == 0, F.upper("lang")).when(
+        F.col("doc_id") % 3 == 1, F.concat("lang", F.lit("-X"))).otherwise(F.concat(F.lit(" "), "lang", F.lit("_yy")))
+    plain = fit(docs.select("text", F.col("lang").alias("language"))).value
+    messy = fit(docs.select("text", tags.alias("language"))).value
+    assert messy.languages == plain.languages == ["de", "en", "es", "fr"]
+    texts = pa.array([r.text for r in docs.limit(20).collect()])
+    assert np.allclose(messy.score(texts)[0], plain.score(texts)[0])
+
+
+def test_copies_do_not_fill_the_sample(docs):
+    some = docs.select("text", F.col("lang").alias("language"))
+    copies = some.unionByName(some.limit(1).crossJoin(docs.sparkSession.range(3000)).select("text", "language"))
+    texts = pa.array([r.text for r in docs.limit(20).collect()])
+    assert np.allclose(fit(copies).value.score(texts)[0], fit(some).value.score(texts)[0])
+
+
+def test_any_number_of_languages(spark):
+    draw = random.Random(8)
+    names = ["q" + "".join(chr(97 + k // 26 ** p % 26) for p in range(2)) for k in range(230)]
+    rows = []
+    for k, name in enumerate(names):
+        own = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(12)]
+        rows += [(3 * k + j, " ".join(draw.choice(own) for _ in range(60)), name, "s") for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = {r.doc_id: r for r in document_languages(docs).collect()}
+    assert all(told[d].language == name and told[d].kept for d, _, name, _ in rows)
+
+
 def test_pages(spark, docs):
     pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
     got = {r.page_id: r for r in page_languages(pages, docs).collect()}
