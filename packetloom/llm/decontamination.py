@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from packetloom.llm import units
 from packetloom.llm.texts import flat, rolling, text_slices, word_hashes, word_spans
+from packetloom.settings import discard
 
 BROADCAST_BYTES = 16 << 20
 LOWER = np.arange(256, dtype=np.uint8)
@@ -223,17 +224,21 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove:
                     broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents without benchmark text, all their columns kept.
 
-    `remove="documents"` drops documents with a hit word, `remove="spans"` cuts the hit runs out of `text`.
+    `remove="documents"` drops documents with a hit word, `remove="spans"` cuts the hit runs out of `text`. Every
+    slice of the test set is a pass of its own, so that an executor holds one slice at a time.
     """
     if remove not in ("documents", "spans"):
         raise ValueError(f"remove is documents or spans, not {remove}")
     tests = test_sets(benchmark, n, broadcast_bytes)
     at = docs.columns.index("text")
     if remove == "documents":
-        out = docs
-        for one in tests:
-            out = out.mapInArrow(_dropper(one, at), docs.schema)
-        return out
+        out, before = docs, None
+        for one in tests[:-1]:
+            out = units.settle(out.mapInArrow(_dropper(one, at), docs.schema), "kept")
+            if before is not None:
+                discard(before)
+            before = out
+        return out.mapInArrow(_dropper(tests[-1], at), docs.schema)
     row = next(name for name in map("row_{}".format, range(len(docs.columns) + 1)) if name not in docs.columns)
     numbered = units.settle(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
     picked = numbered.select(F.col(row).alias("doc_id"), F.col("text").cast("string").alias("text"))

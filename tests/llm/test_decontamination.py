@@ -4,6 +4,7 @@ import re
 import pytest
 
 from packetloom.llm.decontamination import clean_documents, scan
+from packetloom.llm.decontamination import test_sets as sliced
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 UPPER = {c: c + 32 for c in range(65, 91)}
@@ -87,6 +88,15 @@ def test_removal(spark, tables, limit):
     assert cut == {(doc, n - expected[doc, n]) for doc, n in expected}
 
 
+def test_removal_holds_one_slice_at_a_time(spark, tables):
+    docs, items = tables
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    assert len(sliced(b, 10, 6000)) > 2
+    plan = clean_documents(d, b, broadcast_bytes=6000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_query_over_the_whole_table(spark):
     import hashlib
 
