@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packetloom.operators.ordered import scan
 from packetloom.schemas import PACKETS, conform
 
 # Sections of a saved flow, and the names their fields had before.
@@ -59,8 +60,9 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 
 
 def packet_limit(pk: DataFrame, first: int) -> DataFrame:
-    """The first captured packets, counted before any packet is left out."""
-    return pk.where(F.col("frame_number") <= first)
+    """The first captured packets, counted in capture order before any packet is left out, whatever their numbers."""
+    placed = scan(pk.where(F.col("frame_number").isNotNull()), [], "frame_number", position="_place")
+    return placed.where(F.col("_place") <= first).select(*pk.columns)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:

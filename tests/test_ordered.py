@@ -198,3 +198,14 @@ def test_late_packets_of_a_stream_are_counted(spark, packets):
         state = spark.createDataFrame(gap_state(batch, state, 300.0).collect(), GAP_STATE)
     (row,) = state.collect()
     assert (row.packets, row.backward, row.intervals, row.pauses, row.last_frame) == (3, 1, 1, 1, 11)
+
+
+def test_packet_limit_counts_packets_not_numbers(packets, small_chunks):
+    from packetloom.sources.tables import packet_limit
+
+    pk = packets([{"src_ip": "10.0.0.1", "dst_ip": "10.0.0.2"} for _ in range(40)]).withColumn(
+        "frame_number", F.col("frame_number") * 3 + 100)
+    got = packet_limit(pk, 17)
+    assert got.columns == pk.columns
+    assert sorted(r.frame_number for r in got.collect()) == [3 * k + 100 for k in range(1, 18)]
+    assert packet_limit(pk, 100).count() == 40 and packet_limit(pk, 0).count() == 0
