@@ -1,6 +1,7 @@
 """Packed token ids: best-fit-decreasing into rows of a fixed length, with binary columns.
 
-Documents are dealt into groups by a hash; the number of groups follows the number of documents. Inside a
+Documents are dealt into groups by a hash of their content and their place in the stored table, so that copies
+spread too; the number of groups follows the number of documents. Inside a
 group, a document longer than a row is split into full rows and a rest; the pieces are packed in decreasing
 length, each into the open row with the least room that still fits. A segment tree over the amounts of room
 finds that row in logarithmic time. Nothing is lost: every piece says which document it is from and where it
@@ -133,9 +134,11 @@ def pack(tokens: DataFrame, capacity: int = ROW_TOKENS, pad: int = 50256,
     (where it starts in its document). A document without tokens is a segment of length 0; a null doc_id is
     kept; equal rows are packed as often as they occur; an empty table gives no rows.
     """
-    groups = max(1, -(-tokens.count() // docs_per_group))
-    dealt = tokens.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens")).withColumn(
-        "packing_group", F.pmod(F.xxhash64("doc_id", "tokens"), F.lit(groups)))
+    # A place is the same each time only in a table that is stored.
+    stored = tokens if hasattr(tokens, "_settled_in") else settle(tokens.select("doc_id", "tokens"), "tokens")
+    groups = max(1, -(-stored.count() // docs_per_group))
+    dealt = stored.select("doc_id", F.coalesce("tokens", F.lit(b"")).alias("tokens"), F.monotonically_increasing_id().alias(
+        "place")).select("doc_id", "tokens", F.pmod(F.xxhash64("doc_id", "tokens", "place"), F.lit(groups)).alias("packing_group"))
     return dealt.groupBy("packing_group").applyInArrow(lambda table: _pack(table, capacity, pad, id_bytes), PACKED)
 
 

@@ -64,6 +64,15 @@ def test_rows_are_whole(spark, tmp_path):
     assert pack(df.limit(0)).count() == 0
 
 
+def test_copies_spread_over_the_groups(spark):
+    rows = [(None, b"\1\0\0\0")] * 2000 + [(k, b"\2\0\0\0") for k in range(2000)]
+    packed = pack(spark.createDataFrame(rows, "doc_id long, tokens binary"), capacity=8, docs_per_group=200).collect()
+    sizes = {}
+    for r in packed:
+        sizes[r.packing_group] = sizes.get(r.packing_group, 0) + len(r.doc_ids)
+    assert len(sizes) == 20 and sum(sizes.values()) == 4000 and max(sizes.values()) < 300
+
+
 def test_query_round_trip(spark):
     from packetloom.llm.queries import QUERIES
 
