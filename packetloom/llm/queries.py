@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packetloom.llm import (
-    bpe, decontamination, language, minhash, packing, quality_rules, secret_scan, sharding, substring_dedup,
-    suffix_dedup)
+    bpe, decontamination, language, minhash, packing, phrases, quality_rules, secret_scan, sharding,
+    substring_dedup, suffix_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,3 +115,34 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.best_phrases(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_phrases"] = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f
+      FROM w, unnest(range(1, 6)) AS s(k), unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k
+      GROUP BY lang, k, phrase),
+totals AS (SELECT lang, sum(f) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS ws FROM g WHERE k > 1 AND f >= 100),
+longer AS (SELECT lang, phrase, max(a) AS most FROM (
+      SELECT lang, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase, a
+      FROM c, unnest(range(2, 5)) AS s(m), unnest(range(1, k - m + 2)) AS t(i) WHERE m < k) GROUP BY lang, phrase),
+cuts AS (SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, totals.n, j,
+      (1000 * c.a::HUGEINT * totals.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT) AS score
+      FROM c JOIN totals USING (lang), unnest(range(1, c.k)) AS t(j), g AS x, g AS y
+      WHERE x.lang = c.lang AND x.phrase = array_to_string(list_slice(c.ws, 1, j), ' ') AND y.lang = c.lang
+        AND y.phrase = array_to_string(list_slice(c.ws, j + 1, c.k), ' ')),
+weakest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+held AS (SELECT weakest.* FROM weakest LEFT JOIN longer USING (lang, phrase)
+      WHERE longer.most IS NULL OR 100 * longer.most < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM held)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000
+"""
