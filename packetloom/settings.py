@@ -60,8 +60,25 @@ def settle(df, name: str):
     return out
 
 
+def settle_clustered(df, name: str, key: str, buckets: int):
+    """Write an intermediate table bucketed and sorted by a key, so that joins on it need no exchange of this side.
+
+    The rows should come dealt by the key already, else every task writes a file for each bucket. The table has a
+    name in the session's catalogue and its files in the shared folder; `discard` takes both away.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"packetloom_{path.rpartition('/')[2].replace('-', '_')}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    out._settled_in, out._table = path, table
+    return out
+
+
 def discard(*tables) -> None:
     """Delete the files of settled tables that nothing reads any more."""
     for table in tables:
+        if getattr(table, "_table", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {table._table}")
         folder = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._settled_in)
         folder.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
