@@ -2,7 +2,7 @@
 
 Texts are cut into pieces at punctuation and line ends, and pieces into words. About `unit_bytes` of texts form a
 shard. The words that are frequent in their language get global ids; each shard keeps a bidirectional FM-index
-(`fm_index`) over these ids, stored in the shared folder. Level by level every shard extends the n-grams that
+(`fm_index`) over these ids, stored in the shared folder, clustered by shard. Level by level every shard extends the n-grams that
 are known to be frequent by one word and sends those of its own, each once with its count, to buckets by a hash;
 a bucket adds up the counts of all shards, names the n-grams that reach `min_count`, and tells the shards which they
 are. An n-gram is named by the ids of its parts without the last and without the first word, so sums are
@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from packetloom.llm.fm_index import Extensions, FMIndex, Grams
 from packetloom.llm.texts import (
-    BASE_1, BASE_2, SLICE_BYTES, flat, limited_broadcast, mix, text_slices, word_hashes, word_spans)
+    BASE_1, BASE_2, SLICE_BYTES, flat, mix, text_slices, word_hashes, word_spans)
 from packetloom.llm.units import bucket_edges, packed_bits, planes, unplanes
-from packetloom.settings import discard, settle
+from packetloom.settings import discard, settle, settle_clustered
 
 #: Bytes that end a piece, and those that only end a word (fixed values).
 PIECE_ENDS = np.zeros(256, bool)
@@ -38,13 +38,16 @@ NOT_WORD[[0x20, 0x09]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-SHARDS = ("shard long, langs array<string>, totals array<long>, words array<string>, lang_of array<int>, "
-          "counts array<long>, codes binary")
+SHARDS = ("shard long, langs array<string>, totals array<long>, n_words long, lang_of binary, counts binary, "
+          "lengths binary, words binary, codes binary")
+ASKED_WORDS = "shard long, bucket int, n int, langs array<string>, payload binary"
+TOLD_WORDS = ("shard long, bucket int, n int, answer binary, langs array<string>, phrases array<string>, "
+              "fs array<long>")
 INDEXES = "shard long, tokens long, ids binary, forward binary, backward binary"
 ASKED = "shard long, bucket int, n int, payload binary"
 TOLD = "shard long, bucket int, n int, answer binary"
 GRAMS = "id long, prefix_id long, suffix_id long, f long"
-#: In the column `shard` of what a bucket tells: the frequent n-grams themselves.
+#: In the column `shard` of what a bucket tells: the frequent words or n-grams themselves.
 TABLE = -1
 
 
@@ -66,7 +69,7 @@ def _hashes(buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, base: np.uin
 
 
 def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One place for each distinct pair of hashes, and which of them stands at every place."""
+    """One place for each distinct pair of hashes, in order of the first, and which of them stands at every place."""
     _, at, code = np.unique(first, return_index=True, return_inverse=True)
     if not np.array_equal(second[at][code], second):
         pairs = np.rec.fromarrays([first, second])
@@ -74,6 +77,12 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, code
 
 
+def _salts(langs: list[str]) -> np.ndarray:
+    """A hash for each language that is the same in every shard."""
+    buffer, starts = flat(pa.array([f"_{x}" for x in langs], pa.string()))
+    return mix(word_hashes(buffer, starts[:-1], starts[1:] - 1, BASE_2))
+
+
 def _shard(number: int, texts: pa.Array, langs: list[str]) -> dict:
     buffer, starts = flat(texts)
     buffer = LOWER[buffer]
@@ -81,7 +90,7 @@ def _shard(number: int, texts: pa.Array, langs: list[str]) -> dict:
     names = sorted(set(langs))
     place = {name: k for k, name in enumerate(names)}
     lang = np.array([place[x] for x in langs], np.int64)[text]
-    salt = mix(lang.astype(np.uint64) + np.uint64(1))
+    salt = _salts(names)[lang]
     at, code = _distinct(_hashes(buffer, begin, end, BASE_1) ^ salt, _hashes(buffer, begin, end, BASE_2) ^ salt)
 
     ends = np.cumsum(PIECE_ENDS[buffer], dtype=np.int64)
@@ -91,14 +100,21 @@ def _shard(number: int, texts: pa.Array, langs: list[str]) -> dict:
     codes = np.zeros(len(begin) + int(apart.sum()) + 2, np.int32)
     codes[1 + np.arange(len(begin)) + np.cumsum(apart)] = code + 1
     data = buffer.tobytes()
-    words = [data[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist())]
+    words = b"".join([data[b:e] for b, e in zip(begin[at].tolist(), end[at].tolist())])
     return {"shard": number, "langs": names, "totals": np.bincount(lang, minlength=len(names)).tolist(),
-            "words": pa.array(words, pa.binary()).cast(pa.string()), "lang_of": lang[at].astype(np.int32),
-            "counts": np.bincount(code, minlength=len(at)), "codes": _squeezed(codes)}
+            "n_words": len(at), "lang_of": lang[at].astype(np.int32).tobytes(),
+            "counts": np.bincount(code, minlength=len(at)).astype(np.int64).tobytes(),
+            "lengths": (end - begin)[at].astype(np.int32).tobytes(), "words": words, "codes": _squeezed(codes)}
+
+
+_SHARD_SCHEMA = pa.schema([
+    ("shard", pa.int64()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("n_words", pa.int64()),
+    *[(name, pa.binary()) for name in ("lang_of", "counts", "lengths", "words", "codes")]])
 
 
 def make_shards(docs: DataFrame, unit_bytes: int) -> DataFrame:
-    """Texts (text, lang) as shards: their words by language with counts, and the order of the words."""
+    """Texts (text, lang) as shards: their distinct words by language, ordered by hash, with counts, and the order
+    in which the words stand in the texts."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
         for batch in batches:
@@ -106,34 +122,138 @@ def make_shards(docs: DataFrame, unit_bytes: int) -> DataFrame:
                 row = _shard(number, batch.column(0).slice(first, last - first),
                              batch.column(1).slice(first, last - first).to_pylist())
                 number += 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]], pa.int64()), pa.array([row["langs"]], pa.list_(pa.string())),
-                     pa.array([row["totals"]], pa.list_(pa.int64())), _one_list(row["words"]),
-                     _one_list(pa.array(row["lang_of"])), _one_list(pa.array(row["counts"], pa.int64())),
-                     pa.array([row["codes"]], pa.binary())],
-                    ["shard", "langs", "totals", "words", "lang_of", "counts", "codes"])
+                yield pa.RecordBatch.from_pydict({k: [v] for k, v in row.items()}, schema=_SHARD_SCHEMA)
 
     picked = docs.select(F.col("text").cast("string").alias("text"),
                          F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     return settle(picked.mapInArrow(pack, SHARDS), "shards")
 
 
-def _one_list(values: pa.Array) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+# Words -----------------------------------------------------------------------------------------------
+
+class _Words:
+    """The distinct words of a shard, in order of their hashes."""
+
+    def __init__(self, langs: list[str], lang_of: bytes, lengths: bytes, words: bytes):
+        self.langs, self.lang_of = langs, np.frombuffer(lang_of, np.int32)
+        self.lengths = np.frombuffer(lengths, np.int32)
+        self.ends = np.cumsum(self.lengths, dtype=np.int64)
+        self.words = words
+        begin = self.ends - self.lengths
+        data = np.frombuffer(words, np.uint8)
+        self.hashes = _hashes(data, begin, self.ends, BASE_1) ^ _salts(langs)[self.lang_of]
+
+    def entry(self, first: int, last: int, counts: np.ndarray) -> bytes:
+        start = int(self.ends[first] - self.lengths[first])
+        return b"".join([self.lang_of[first:last].tobytes(), self.lengths[first:last].tobytes(),
+                         planes(counts[first:last]), self.words[start:int(self.ends[last - 1])]])
+
+
+def _ask_words(buckets: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard, langs, lang_of, lengths, words, counts = (c[row].as_py() for c in batch.columns)
+                own = _Words(langs, lang_of, lengths, words)
+                counts = np.frombuffer(counts, np.int64)
+                edges = bucket_edges(own.hashes, buckets).tolist()
+                out = [(shard, b, j - i, langs, own.entry(i, j, counts))
+                       for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*out), (
+                            pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.binary()))],
+                        ["shard", "bucket", "n", "langs", "payload"])
+    return ask
 
 
-def _word_rows(shards: DataFrame) -> DataFrame:
-    """One row per shard and distinct word: shard, place, lang, phrase, n."""
-    return shards.select("shard", "langs", F.posexplode(F.arrays_zip("words", "lang_of", "counts"))).select(
-        "shard", F.col("pos").alias("place"), F.col("langs")[F.col("col.lang_of")].alias("lang"),
-        F.col("col.words").alias("phrase"), F.col("col.counts").alias("n"))
+def _sum_words(table: pa.Table, min_count: int) -> pa.Table:
+    """Add up the counts of a bucket's words, compared whole; tell each shard which are frequent, and their numbers."""
+    sizes = table["n"].to_pylist()
+    names: dict[str, int] = {}
+    lang, count, words = [], [], []
+    for n, langs, data in zip(sizes, table["langs"].to_pylist(), table["payload"].to_pylist()):
+        place = np.array([names.setdefault(x, len(names)) for x in langs], np.int64)
+        lang.append(place[np.frombuffer(data, np.int32, n)])
+        lengths = np.frombuffer(data, np.int32, n, 4 * n)
+        count.append(unplanes(data[8 * n:], n, np.int64))
+        offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        words.append(pa.Array.from_buffers(pa.large_binary(), n, [
+            None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[16 * n:])]))
+    encoded = pa.chunked_array(words, pa.large_binary()).combine_chunks().dictionary_encode()
+    lang, count = np.concatenate(lang), np.concatenate(count)
+    key = encoded.indices.to_numpy() * np.int64(len(names)) + lang
+    each, number, told = _numbered(key[None], count, min_count)
+    at = told["first"]
+    told_words = encoded.dictionary.take(pa.array(key[at] // len(names))).cast(pa.large_string()).to_pylist()
+    order = list(names)
+    bucket, out = table["bucket"][0].as_py(), []
+    if len(at):
+        out.append((TABLE, bucket, len(at), None, [order[k] for k in (key[at] % len(names)).tolist()], told_words,
+                    told["total"].tolist()))
+    out += [(shard, bucket, n, answer, None, None, None)
+            for shard, n, answer in _told(table["shard"].to_pylist(), sizes, each)]
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.string()),
+             pa.list_(pa.int64()))
+    return pa.Table.from_arrays([pa.array([row[k] for row in out], t) for k, t in enumerate(kinds)],
+                                ["shard", "bucket", "n", "answer", "langs", "phrases", "fs"])
+
+
+def _numbered(keys: np.ndarray, count: np.ndarray, min_count: int) -> tuple[np.ndarray, int, dict]:
+    """Sums over equal keys (a row for each part of the key): the number of its key at every place, -1 if it
+    is not frequent; how many are; and for each of those a place and its sum."""
+    order = np.lexsort(keys[::-1])
+    ranked = keys[:, order]
+    edge = np.flatnonzero(np.append(True, (ranked[:, 1:] != ranked[:, :-1]).any(0)))
+    total = np.add.reduceat(count[order], edge)
+    frequent = total >= min_count
+    number = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+    each = np.empty(len(order), np.int32)
+    each[order] = np.repeat(number, np.diff(np.append(edge, len(order))))
+    return each, int(frequent.sum()), {"first": order[edge[frequent]], "total": total[frequent]}
 
 
-def frequent_words(shards: DataFrame, min_count: int) -> DataFrame:
-    """Words that occur `min_count` times in their language, under ids that are fixed once written."""
-    return settle(_word_rows(shards).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
-                  .where(F.col("f") >= min_count)
-                  .select(F.monotonically_increasing_id().alias("id"), "lang", "phrase", "f"), "words")
+def _told(shards: list[int], sizes: list[int], each: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """For each shard with anything frequent: bits for what it asked about, then the numbers of those."""
+    for shard, n, end in zip(shards, sizes, np.cumsum(sizes).tolist()):
+        own = each[end - n:end]
+        if (own >= 0).any():
+            yield shard, n, packed_bits(own >= 0) + own[own >= 0].tobytes()
+
+
+def _named(answers: list[dict], hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sorted hashes that the buckets have named, and the ids."""
+    edges = bucket_edges(hashes, buckets)
+    at, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for answer in answers:
+        first, last = int(edges[answer["bucket"]]), int(edges[answer["bucket"] + 1])
+        data, bits = answer["answer"], -(-(last - first) // 8)
+        at.append(first + np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, bits), count=last - first)))
+        ids.append((np.int64(answer["bucket"]) << 32) + np.frombuffer(data[bits:], np.int32).astype(np.int64))
+    return np.concatenate(at), np.concatenate(ids)
+
+
+def _answers(told: DataFrame, level: int) -> DataFrame:
+    return told.where(F.col("shard") != TABLE).select(
+        "shard", F.struct(F.lit(level).alias("level"), "bucket", "answer").alias("told"))
+
+
+def _collected(answers: DataFrame) -> DataFrame:
+    return answers.groupBy("shard").agg(F.collect_list("told").alias("told")).hint("merge")
+
+
+def frequent_words(shards: DataFrame, min_count: int, bucket_keys: int) -> tuple[DataFrame, DataFrame, int]:
+    """Words that occur `min_count` times in their language (id, lang, phrase, f); what the shards are told of
+    them; and the number of buckets."""
+    buckets = max(1, -(-int(shards.agg(F.sum("n_words")).first()[0] or 0) // bucket_keys))
+    told = settle(shards.select("shard", "langs", "lang_of", "lengths", "words", "counts").mapInArrow(
+        _ask_words(buckets), ASKED_WORDS).groupBy("bucket").applyInArrow(
+        lambda t: _sum_words(t, min_count), TOLD_WORDS), "told_words")
+    words = told.where(F.col("shard") == TABLE).select(
+        "bucket", F.posexplode(F.arrays_zip("langs", "phrases", "fs"))).select(
+        (F.shiftleft(F.col("bucket").cast("long"), 32) + F.col("pos")).alias("id"), F.col("col.langs").alias("lang"),
+        F.col("col.phrases").alias("phrase"), F.col("col.fs").alias("f"))
+    return words, told, buckets
 
 
 def _sequence(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -152,28 +272,27 @@ def _sequence(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
     return text if len(text) and text[-1] == 0 else np.append(text, np.int32(0))
 
 
-def make_indexes(shards: DataFrame, words: DataFrame, max_words: int) -> DataFrame:
-    """The FM-index of every shard over the ids of its frequent words."""
-    known = limited_broadcast(words.select("lang", "phrase", "id"))
-    named = _word_rows(shards).join(known, ["lang", "phrase"]).groupBy("shard").agg(
-        F.collect_list(F.struct("place", "id")).alias("named"))
+def make_indexes(shards: DataFrame, told: DataFrame, buckets: int, max_words: int) -> DataFrame:
+    """The FM-index of every shard over the ids of its frequent words, clustered by shard.
 
+    Every level joins the indexes with what the shards have been told; clustered, they stay where they are.
+    """
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                codes = _opened(batch.column(1)[row].as_py())
-                named = batch.column(2)[row].values
-                place, ids = (named.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
+                shard, langs, lang_of, lengths, words, codes, answers = (c[row].as_py() for c in batch.columns)
+                place, ids = _named(answers, _Words(langs, lang_of, lengths, words).hashes, buckets)
                 order = np.argsort(place)
-                text = _sequence(codes, place[order])
+                text = _sequence(_opened(codes), place[order])
                 index = FMIndex.of(text, max_words)
                 yield pa.RecordBatch.from_pydict({
-                    "shard": [batch.column(0)[row].as_py()], "tokens": [len(text)],
-                    "ids": [_squeezed(ids[order])], "forward": [_squeezed(index.forward)],
-                    "backward": [_squeezed(index.backward)]})
+                    "shard": [shard], "tokens": [len(text)], "ids": [_squeezed(ids[order])],
+                    "forward": [_squeezed(index.forward)], "backward": [_squeezed(index.backward)]})
 
-    joined = shards.select("shard", "codes").join(named.hint("merge"), "shard")
-    return settle(joined.mapInArrow(build, INDEXES), "indexes")
+    joined = shards.select("shard", "langs", "lang_of", "lengths", "words", "codes").join(
+        _collected(_answers(told, 0)), "shard")
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return settle_clustered(joined.mapInArrow(build, INDEXES), "indexes", "shard", parts)
 
 
 # Levels ----------------------------------------------------------------------------------------------
@@ -189,15 +308,8 @@ def _asked(found: Extensions, level: Grams) -> tuple[np.ndarray, ...]:
 def _known(found: Extensions, level: Grams, buckets: int, told: list[dict]) -> Grams:
     """Those n-grams of a shard that the buckets have named, with their ids."""
     hashes, _, _, _, order = _asked(found, level)
-    edges = bucket_edges(hashes, buckets)
-    at, ids = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for answer in told:
-        first, last = int(edges[answer["bucket"]]), int(edges[answer["bucket"] + 1])
-        data, bits = answer["answer"], -(-(last - first) // 8)
-        held = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, bits), count=last - first))
-        at.append(order[first + held])
-        ids.append((np.int64(answer["bucket"]) << 32) + np.frombuffer(data[bits:], np.int32).astype(np.int64))
-    at, ids = np.concatenate(at), np.concatenate(ids)
+    at, ids = _named(told, hashes, buckets)
+    at = order[at]
     by_low = np.argsort(found.low[at])
     at = at[by_low]
     return Grams(found.low[at], found.back[at], found.size[at], ids[by_low])
@@ -208,23 +320,12 @@ def _sum_counts(table: pa.Table, min_count: int) -> pa.Table:
     sizes, payloads = table["n"].to_pylist(), table["payload"].to_pylist()
     prefix, suffix, count = (np.concatenate([unplanes(p[8 * k * n:], n, np.int64) for n, p in zip(sizes, payloads)])
                              for k in range(3))
-    order = np.lexsort((suffix, prefix))
-    a, b = prefix[order], suffix[order]
-    edge = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    total = np.add.reduceat(count[order], edge)
-    frequent = total >= min_count
-    number = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
-    each = np.empty(len(order), np.int32)
-    each[order] = np.repeat(number, np.diff(np.append(edge, len(order))))
-    bucket = table["bucket"][0].as_py()
-    out = []
-    if frequent.any():
-        table_of = planes(a[edge][frequent]) + planes(b[edge][frequent]) + planes(total[frequent])
-        out.append((TABLE, bucket, int(frequent.sum()), table_of))
-    for shard, n, end in zip(table["shard"].to_pylist(), sizes, np.cumsum(sizes).tolist()):
-        own = each[end - n:end]
-        if (own >= 0).any():
-            out.append((shard, bucket, n, packed_bits(own >= 0) + own[own >= 0].tobytes()))
+    each, frequent, told = _numbered(np.stack([prefix, suffix]), count, min_count)
+    bucket, out = table["bucket"][0].as_py(), []
+    if frequent:
+        at = told["first"]
+        out.append((TABLE, bucket, frequent, planes(prefix[at]) + planes(suffix[at]) + planes(told["total"])))
+    out += [(shard, bucket, n, answer) for shard, n, answer in _told(table["shard"].to_pylist(), sizes, each)]
     return pa.Table.from_arrays([pa.array([row[k] for row in out], t) for k, t in enumerate(
         (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["shard", "bucket", "n", "answer"])
 
@@ -249,10 +350,8 @@ def count_levels(indexes: DataFrame, min_count: int, max_words: int, bucket_keys
         buckets.append(max(1, -(-int(bound) // bucket_keys)))
         table = indexes.select("shard", "ids", "forward", "backward")
         if told:
-            answers = reduce(DataFrame.unionByName, [
-                t.where(F.col("shard") != TABLE).select("shard", F.struct(
-                    F.lit(k).alias("level"), "bucket", "answer").alias("told")) for k, t in enumerate(told)])
-            table = table.join(answers.groupBy("shard").agg(F.collect_list("told").alias("told")).hint("merge"), "shard")
+            answers = reduce(DataFrame.unionByName, [_answers(t, k) for k, t in enumerate(told)])
+            table = table.join(_collected(answers), "shard")
         found = settle(table.mapInArrow(_asker(list(buckets)), ASKED).groupBy("bucket").applyInArrow(
             lambda t: _sum_counts(t, min_count), TOLD), "told")
         rows = settle(_gram_rows(found), "grams")
@@ -325,8 +424,8 @@ def phrases(docs: DataFrame, min_count: int = 100, max_words: int = 5, absorb_pe
     totals = shards.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(
         F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
     totals = settle(totals, "totals")
-    words = frequent_words(shards, min_count)
-    indexes = make_indexes(shards, words, max_words)
+    words, told, buckets = frequent_words(shards, min_count, bucket_keys)
+    indexes = make_indexes(shards, told, buckets, max_words)
     levels = count_levels(indexes, min_count, max_words, bucket_keys)
 
     empty = F.array().cast("array<long>")
