@@ -3,8 +3,8 @@
 Records are sorted by page and cut into ranges of about equal size. The cuts are sums over the sorted records, so they
 depend on the pages alone, not on how Spark dealt them; one task writes a range and rolls its files by compressed
 size. So the same pages give the same files, byte for byte. Of pages with equal payloads of some length only
-one is written whole (`response`); the others point to it (`revisit`). A payload is shuffled once under its digest,
-copies combined before, and once to its range; everything else works on rows without payloads.
+one is written whole (`response`); the others point to it (`revisit`). Which it is, and where the cuts are, is found on
+rows without payloads; payloads are shuffled once, each straight to the range of its response.
 
 Files get temporary names; once the whole job has ended they are renamed, and a manifest that names them is
 published last by one rename. Readers go through the manifest, so half-written archives cannot be read.
@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import quote, unquote
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.settings import discard, settle
 
@@ -173,18 +175,76 @@ class _File:
                 "sha256": self.digest.hexdigest()}
 
 
+def _order(page: object, digest: str, url: str | None) -> tuple:
+    """What records are sorted by, as a tuple that sorts like Spark's columns, nulls last."""
+    return page is None, page, digest, url is None, url
+
+
+class _Key:
+    """A tuple of `_order` and a copy number; fields that are null are only met by other nulls."""
+
+    __slots__ = ("value",)
+
+    def __init__(self, value: tuple):
+        self.value = value
+
+    def __lt__(self, other: _Key) -> bool:
+        for a, b in zip(self.value, other.value):
+            if a != b:
+                return a < b
+        return False
+
+
+def _sender(starts: list[tuple[int, tuple]], most_known: int = 200_000):
+    """Give payloads the range of their response. A page that comes after another with its payload in the same task
+    is a revisit whatever the other tasks hold, and is not sent; so copies meet before the shuffle."""
+    ranges, keys = [r for r, _ in starts], [_Key(k) for _, k in starts]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, _Key] = {}
+        for batch in batches:
+            held, to = [], []
+            for row, (page, url, digest) in enumerate(zip(*[batch.column(k).to_pylist() for k in range(3)])):
+                own = _Key((*_order(page, digest, url), 0))
+                seen = known.get(digest)
+                if seen is None or own < seen:
+                    if seen is not None or len(known) < most_known:
+                        known[digest] = own
+                    held.append(row)
+                    to.append(ranges[bisect_right(keys, own) - 1])
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(held, pa.int64())).columns, pa.array(to, pa.int32())],
+                                             [*batch.schema.names, "range"])
+    return send
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch one by one; a payload is taken out of it only when its turn comes."""
+    columns = dict(zip(batch.schema.names, batch.columns))
+    payloads = columns.pop("payload")
+    for row, values in enumerate(zip(*[c.to_pylist() for c in columns.values()])):
+        yield dict(zip(columns, values)) | {"payload": payloads[row]}
+
+
 def _writer(folder: str, roll_bytes: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, at, done = None, (-1, 0), []
+        held, at, done, sent = None, (-1, 0), [], (None, b"")
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _rows(batch):
+                key = row["page_id"], row["digest"], row["url"]
+                if row["turn"] == 0:  # the payload of the records that follow
+                    sent = key, row["payload"]
+                    continue
                 if held is not None and (row["range"] != at[0] or held.bytes >= roll_bytes):
                     done.append(held.close())
                     held = None
                 if held is None:
                     at = (row["range"], at[1] + 1 if row["range"] == at[0] else 0)
                     held = _File(folder, f"pages-{at[0]:06d}-{at[1]:05d}.warc.gz", date)
-                held.add(page_record(row, row["payload"].encode() if row["response"] else None, date))
+                payload = None
+                if row["response"]:
+                    text = row["payload"] if row["payload"].is_valid or sent[0] != key else sent[1]
+                    payload = text.as_buffer().to_pybytes()
+                held.add(page_record(row, payload, date))
         if held is not None:
             done.append(held.close())
         if done:
@@ -228,15 +288,18 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 100, roll_b
     system.mkdirs(target.getParent())
     records, ranges = in_ranges(plan_records(pages, least_bytes), range_bytes, most_ranges)
     records = settle(records, "records")
-    large = F.col("payload_bytes") >= least_bytes
-    payloads = pages.select(F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload")).where(
-        F.octet_length("payload") >= least_bytes).groupBy(F.sha2("payload", 256).alias("digest")).agg(
-        F.first("payload").alias("payload"))
-    whole = records.where("response").where(large).join(payloads.hint("merge"), "digest")
-    light = records.where(~(F.col("response") & large)).withColumn("payload", F.col("inline"))
-    every = whole.select(*records.columns, "payload").unionByName(light).drop("inline")
-    dealt = every.repartitionById(max(1, ranges), F.col("range")).sortWithinPartitions(
-        "range", F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last(), "copy")
+    starts = records.groupBy("range").agg(F.min(F.struct(
+        F.col("page_id").isNull(), "page_id", "digest", F.col("url").isNull(), "url", "copy")).alias("start")).orderBy("range")
+    starts = [(r["range"], tuple(r.start)) for r in starts.collect()]  # at most `most_ranges`
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    large = pages.select("page_id", F.col("url").cast("string").alias("url"), F.sha2(html, 256).alias("digest"),
+                         html.alias("payload")).where(F.octet_length("payload") >= least_bytes)
+    light = records.withColumnRenamed("inline", "payload")
+    heavy = large.mapInArrow(_sender(starts), T.StructType([*large.schema.fields, light.schema["range"]]))
+    dealt = light.withColumn("turn", F.lit(1)).unionByName(
+        heavy.withColumn("turn", F.lit(0)), allowMissingColumns=True).repartitionById(
+        max(1, ranges), F.col("range")).sortWithinPartitions(
+        "range", F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last(), "turn", "copy")
     written = settle(dealt.mapInArrow(_writer(folder, roll_bytes, date), FILES), "files")
     renamed = written.mapInArrow(_renamer(folder), FILES)
     staged = f"{folder}/manifest-{uuid.uuid4().hex}.tmp"
