@@ -1,132 +1,277 @@
-"""Running gap and sequence results per key over a stream of packets.
+"""Running gap and sequence results per key over a stream of packets, in Spark's own keyed state.
 
-Each batch starts from the state the batch before it wrote, goes through the same chunked ordered
-passes as a stored table, and writes the new state under its own batch number. A key with most of the
-packets is therefore split in a stream as it is in a table, and a repeated batch gives the same state.
-Packets that arrive with an earlier time are counted, never dropped.
+A batch is cut into segments: the rows of one key in one chunk of capture order, so a key with a third of the
+packets is summarised by many tasks, and no task holds more than a chunk. Segments are small and can be joined end
+to end; a stateful operator keeps one value per key and appends the segments of each batch to it, in order of
+arrival: by batch, then by frame. Packets that arrive with an earlier time are counted, never dropped.
+
+Which sequence numbers a stream has had is a second stateful operator, whose keys are salted by ranges of numbers: a
+range keeps bitmaps in a map state, which may expire. Only the keys of a batch are read and written; state
+lives in the checkpoint, is restored from there after a restart, and is read with Spark's state reader.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from packetloom.functions.parse import filled, packet_time_ns
-from packetloom.operators.ordered import DEFAULT_PAUSE_MS, scan
+from packetloom.operators.ordered import DEFAULT_PAUSE_MS, chunk_of
 
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+EMPTY_BATCHES = "spark.sql.streaming.noDataMicroBatches.enabled"
 WAY = ["flow_key", "a_to_b"]
 SOURCE = ["flow_key", "a_to_b", "esp_spi"]
-GAP_STATE = ("flow_key string, a_to_b boolean, last_frame bigint, last_ns bigint, packets bigint, "
-             "intervals bigint, pauses bigint, backward bigint, missing_times bigint, "
-             "total_ns bigint, max_ns bigint")
-SEQUENCE_STATE = ("flow_key string, a_to_b boolean, esp_spi string, packets bigint, "
-                  "distinct_sequences bigint, out_of_order bigint, gap_missing bigint, "
-                  "highest_sequence bigint")
-SEEN = "flow_key string, a_to_b boolean, esp_spi string, esp_sequence bigint"
+WAY_KEY = "flow_key string, a_to_b boolean"
+SOURCE_KEY = f"{WAY_KEY}, esp_spi string"
 
+GAP_SUMS = ["packets", "intervals", "pauses", "backward", "missing_times", "total_ns"]
+#: A time is a number and whether there is one; `max_ns` is -1 without intervals.
+GAP_VALUE = ("last_frame bigint, last_ns bigint, last_timed boolean, packets bigint, intervals bigint, "
+             "pauses bigint, backward bigint, missing_times bigint, total_ns bigint, max_ns bigint")
+GAP_SEGMENT = f"{WAY_KEY}, chunk bigint, first_ns bigint, first_timed boolean, {GAP_VALUE}"
+ORDER_VALUE = "first_sequence bigint, highest_sequence bigint, records bigint"
+RUN = f"{SOURCE_KEY}, chunk bigint, run bigint, low bigint, high bigint"
+COPIES = f"{SOURCE_KEY}, part bigint, number bigint, copies bigint"
+SEEN_VALUE = "packets bigint, distinct_sequences bigint"
+#: Numbers in the bitmap of a block, and blocks in the range of numbers that makes a key of its own.
+BLOCK, BLOCKS = 1 << 12, 1 << 6
 
-def _earlier(spark: SparkSession, folder: str, name: str, schema: str, batch: int,
-             every: bool = False, horizon: int | None = None) -> DataFrame:
-    """State written by earlier batches: the last one, or all within the horizon."""
-    if batch == 0:
-        return spark.createDataFrame([], schema)
-    first = batch - 1 if not every else max(0, batch - horizon) if horizon else 0
-    return spark.read.schema(f"{schema}, batch bigint").parquet(f"{folder}/{name}").where(
-        F.col("batch").between(first, batch - 1)).drop("batch")
 
+# Gaps ------------------------------------------------------------------------------------------------
 
-def _write(df: DataFrame, folder: str, name: str, batch: int) -> None:
-    df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+def gap_segment(ns: np.ndarray, timed: np.ndarray, threshold_ms: float) -> dict:
+    """What the rows of a segment, in order, add up to; a row without time breaks the chain on both sides."""
+    step = np.diff(ns)[timed[1:] & timed[:-1]]
+    ahead = step[step >= 0]
+    return {"packets": len(ns), "intervals": len(ahead), "pauses": int((ahead / 1e6 >= threshold_ms).sum()),
+            "backward": int((step < 0).sum()), "missing_times": int((~timed).sum()), "total_ns": int(ahead.sum()),
+            "max_ns": int(ahead.max(initial=-1))}
 
 
-def gap_state(packets: DataFrame, before: DataFrame, threshold_ms: float) -> DataFrame:
-    """State of every direction after a batch, in order of arrival: by batch, then by frame.
+def append_segment(state: dict | None, segment: dict, threshold_ms: float) -> dict:
+    """The state of a key after one more segment."""
+    if state is None:
+        return dict(segment)
+    out = {name: state[name] + segment[name] for name in GAP_SUMS}
+    out["max_ns"] = max(state["max_ns"], segment["max_ns"])
+    if state["last_timed"] and segment["first_timed"]:
+        step = segment["first_ns"] - state["last_ns"]
+        if step < 0:
+            out["backward"] += 1
+        else:
+            out["intervals"] += 1
+            out["pauses"] += step / 1e6 >= threshold_ms
+            out["total_ns"] += step
+            out["max_ns"] = max(out["max_ns"], step)
+    return out | {name: segment[name] for name in ("last_frame", "last_ns", "last_timed")}
 
-    The state's last packet stands before the new ones, whatever its frame number, so a packet that comes
-    late is measured against the one that arrived before it.
-    """
-    c = F.col
-    rows = packets.select(*WAY, "frame_number", packet_time_ns().alias("ns"),
-                          c("frame_number").alias("place"), F.lit(True).alias("new"))
-    lead = before.select(*WAY, c("last_frame").alias("frame_number"), c("last_ns").alias("ns"),
-                         F.lit(-1).cast("bigint").alias("place"), F.lit(False).alias("new"))
-    step = c("ns") - c("_before")
-    ahead = F.when(c("new") & (step >= 0), step)
-    added = scan(rows.unionByName(lead), WAY, "place", previous={"_before": c("ns")}).groupBy(
-        *WAY).agg(
-            F.max_by(F.struct(c("frame_number").alias("last_frame"), c("ns").alias("last_ns")), "place").alias("last"),
-            F.count_if("new").alias("packets"), F.count(ahead).alias("intervals"),
-            F.count_if(ahead / F.lit(1e6) >= threshold_ms).alias("pauses"),
-            F.count_if(c("new") & (step < 0)).alias("backward"),
-            F.count_if(c("new") & c("ns").isNull()).alias("missing_times"),
-            F.coalesce(F.sum(ahead), F.lit(0)).alias("total_ns"), F.max(ahead).alias("max_ns"))
-    sums = ["packets", "intervals", "pauses", "backward", "missing_times", "total_ns"]
-    state = before.select(*WAY, F.struct("last_frame", "last_ns").alias("last"), *sums, "max_ns")
-    both = added.withColumn("turn", F.lit(1)).unionByName(state.withColumn("turn", F.lit(0)))
-    return both.groupBy(*WAY).agg(
-        F.max_by("last", "turn").alias("last"), *[F.sum(n).alias(n) for n in sums],
-        F.max("max_ns").alias("max_ns")).select(*WAY, "last.*", *sums, "max_ns")
-
-
-def sequence_state(packets: DataFrame, before: DataFrame, seen: DataFrame
-                   ) -> tuple[DataFrame, DataFrame]:
-    """State of every ESP stream after a batch, and the numbers the batch saw for the first time."""
-    c = F.col
-    rows = packets.where(filled(c("esp_spi")) & c("esp_sequence").isNotNull()).select(
-        *SOURCE, "esp_sequence", "frame_number")
-    points = rows.groupBy(*SOURCE, "esp_sequence").agg(
-        F.min("frame_number").alias("first_at"), F.count(F.lit(1)).alias("copies"))
-    fresh = points.join(seen, [*SOURCE, "esp_sequence"], "left_anti").select(
-        *SOURCE, "esp_sequence", "first_at")
-    lead = before.select(*SOURCE, c("highest_sequence").alias("esp_sequence"),
-                         F.lit(-1).cast("bigint").alias("first_at"))
-    high = scan(fresh.unionByName(lead), SOURCE, "first_at", highest={"_high": c("esp_sequence")})
-    number, new = c("esp_sequence"), c("first_at") >= 0
-    ordered = high.groupBy(*SOURCE).agg(
-        F.count_if(new).alias("distinct_sequences"),
-        F.count_if(new & (number < c("_high"))).alias("out_of_order"),
-        F.coalesce(F.sum(F.when(new & (number > c("_high") + 1), number - c("_high") - 1)),
-                   F.lit(0)).alias("gap_missing"),
-        F.max(number).alias("highest_sequence"))
-    counted = points.groupBy(*SOURCE).agg(F.sum("copies").alias("packets"))
-    added = ordered.join(counted, SOURCE, "full").na.fill(0, [
-        "packets", "distinct_sequences", "out_of_order", "gap_missing"])
-    sums = ["packets", "distinct_sequences", "out_of_order", "gap_missing"]
-    state = added.unionByName(before).groupBy(*SOURCE).agg(
-        *[F.sum(n).alias(n) for n in sums], F.max("highest_sequence").alias("highest_sequence"))
-    return state, fresh.select(*SOURCE, "esp_sequence")
-
-
-def start_key_state(stream: DataFrame, folder: str, checkpoint: str,
-                    threshold_ms: float = DEFAULT_PAUSE_MS, horizon: int | None = None
-                    ) -> StreamingQuery:
-    """Keep the state of every key up to date.
-
-    `horizon` bounds how many batches of seen numbers are kept in mind; without it every copy is
+
+def gap_segments(packets: DataFrame, threshold_ms: float) -> DataFrame:
+    """One row per direction and chunk of capture order of a batch."""
+    def summarise(table: pa.Table) -> pa.Table:
+        table = table.sort_by("frame_number")
+        ns, timed = table["ns"].to_numpy(), table["timed"].to_numpy(zero_copy_only=False)
+        row = {name: table[name][0].as_py() for name in (*WAY, "chunk")}
+        row |= {"first_ns": int(ns[0]), "first_timed": bool(timed[0]), "last_frame": table["frame_number"][-1].as_py(),
+                "last_ns": int(ns[-1]), "last_timed": bool(timed[-1]), **gap_segment(ns, timed, threshold_ms)}
+        return pa.Table.from_pylist([{name: row[name] for name in _names(GAP_SEGMENT)}])
+
+    time = packet_time_ns()
+    rows = packets.select(*WAY, chunk_of("frame_number").alias("chunk"), "frame_number",
+                          F.coalesce(time, F.lit(0).cast("bigint")).alias("ns"), time.isNotNull().alias("timed"))
+    return rows.groupBy(*WAY, "chunk").applyInArrow(summarise, GAP_SEGMENT)
+
+
+class GapState(StatefulProcessor):
+    """One value per direction: its gaps so far, and the packet the next one is measured against."""
+
+    def __init__(self, threshold_ms: float):
+        self.threshold_ms = threshold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("gaps", GAP_VALUE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        segments = [row for pdf in rows for row in pdf.to_dict("records")]
+        state = dict(zip(_names(GAP_VALUE), self.value.get())) if self.value.exists() else None
+        for segment in sorted(segments, key=lambda s: s["chunk"]):
+            state = append_segment(state, segment, self.threshold_ms)
+        self.value.update(tuple(bool(state[n]) if n == "last_timed" else int(state[n]) for n in _names(GAP_VALUE)))
+        yield _touched(WAY, key)
+
+    def close(self) -> None:
+        pass
+
+
+# Sequence numbers ------------------------------------------------------------------------------------
+
+def record_runs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of consecutive numbers among those that exceed all before them: first and last of each."""
+    highest = np.maximum.accumulate(numbers)
+    records = highest[np.append(True, highest[1:] > highest[:-1])]
+    cut = np.flatnonzero(np.diff(records) > 1) + 1
+    return records[np.append(0, cut)], records[np.append(cut, len(records)) - 1]
+
+
+def append_runs(state: tuple[int, int, int] | None, low: int, high: int) -> tuple[int, int, int]:
+    """First number, highest number and count of records after one more run."""
+    if state is None:
+        return low, high, high - low + 1
+    first, highest, records = state
+    return first, max(highest, high), records + max(0, high - max(low - 1, highest))
+
+
+def sequence_rows(packets: DataFrame) -> DataFrame:
+    return packets.where(filled(F.col("esp_spi")) & F.col("esp_sequence").isNotNull()).select(
+        *SOURCE, F.col("esp_sequence").alias("number"), "frame_number")
+
+
+def sequence_runs(packets: DataFrame) -> DataFrame:
+    """The runs of each stream and chunk of a batch, numbered."""
+    def summarise(table: pa.Table) -> pa.Table:
+        low, high = record_runs(table.sort_by("frame_number")["number"].to_numpy())
+        same = {name: pa.array([table[name][0].as_py()] * len(low), table.schema.field(name).type)
+                for name in (*SOURCE, "chunk")}
+        return pa.table(same | {"run": np.arange(len(low)), "low": low, "high": high})
+
+    rows = sequence_rows(packets).withColumn("chunk", chunk_of("frame_number"))
+    return rows.groupBy(*SOURCE, "chunk").applyInArrow(summarise, RUN)
+
+
+class OrderState(StatefulProcessor):
+    """One value per stream: its first and highest number, and how many numbers were the highest so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("order", ORDER_VALUE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        runs = pd.concat(list(rows)).sort_values(["chunk", "run"])
+        state = tuple(self.value.get()) if self.value.exists() else None
+        for low, high in zip(runs["low"].tolist(), runs["high"].tolist()):
+            state = append_runs(state, low, high)
+        self.value.update(state)
+        yield _touched(SOURCE, key)
+
+    def close(self) -> None:
+        pass
+
+
+def number_copies(packets: DataFrame) -> DataFrame:
+    """Numbers with their copies, added up inside each task first: (stream, range of numbers, number, copies)."""
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = _names(COPIES)
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(names[:-1]).aggregate([("copies", "sum")])
+            yield from found.rename_columns({"copies_sum": "copies"}).select(names).combine_chunks().to_batches()
+
+    part = F.floor(F.col("number") / F.lit(BLOCK * BLOCKS)).cast("bigint")
+    return sequence_rows(packets).select(
+        *SOURCE, part.alias("part"), "number", F.lit(1).cast("bigint").alias("copies")).mapInArrow(combine, COPIES)
+
+
+class SeenState(StatefulProcessor):
+    """Which numbers of a range a stream has had: a bitmap for each block of them, and counts."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.counts = handle.getValueState("seen_counts", SEEN_VALUE)
+        self.bits = handle.getMapState("seen_bits", "block int", "bits binary", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+        packets, distinct = self.counts.get() if self.counts.exists() else (0, 0)
+        rows = pd.concat(list(rows))
+        packets += int(rows["copies"].sum())
+        within = rows["number"].to_numpy(np.int64) - int(key[-1]) * BLOCK * BLOCKS
+        for block in np.unique(within // BLOCK).tolist():
+            own = within[within // BLOCK == block] % BLOCK
+            held = self.bits.getValue((block,)) if self.bits.containsKey((block,)) else None
+            seen = np.unpackbits(np.frombuffer(held[0], np.uint8)) if held else np.zeros(BLOCK, np.uint8)
+            before = int(seen.sum())
+            seen[own] = 1
+            distinct += int(seen.sum()) - before
+            self.bits.updateValue((block,), (np.packbits(seen).tobytes(),))
+        self.counts.update((packets, distinct))
+        yield _touched(SOURCE, key[:-1])
+
+    def close(self) -> None:
+        pass
+
+
+# Streams ---------------------------------------------------------------------------------------------
+
+def _names(schema: str) -> list[str]:
+    return [column.split(" ")[0] for column in schema.split(", ")]
+
+
+def _touched(names: list[str], key: tuple) -> pd.DataFrame:
+    return pd.DataFrame({name: [value] for name, value in zip(names, key)})
+
+
+def _start(rows: DataFrame, keys: list[str], processor: StatefulProcessor, out: str, checkpoint: str,
+           time_mode: str = "none") -> StreamingQuery:
+    conf = rows.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    # a query with a clock would run batches without data for ever, and so never end
+    empty_batches = conf.get(EMPTY_BATCHES, "true")
+    conf.set(EMPTY_BATCHES, "false")
+    try:
+        kept = rows.groupBy(*keys).transformWithStateInPandas(processor, out, "update", time_mode)
+        return (kept.writeStream.outputMode("update").format("noop").option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    finally:
+        conf.set(EMPTY_BATCHES, empty_batches)
+
+
+def start_gap_state(stream: DataFrame, folder: str, threshold_ms: float = DEFAULT_PAUSE_MS) -> StreamingQuery:
+    """Keep the gaps of every direction up to date; the state is in the checkpoint below `folder`."""
+    return _start(gap_segments(stream, threshold_ms), WAY, GapState(threshold_ms), WAY_KEY, f"{folder}/gaps")
+
+
+def start_sequence_state(stream: DataFrame, folder: str, keep_ms: int | None = None) -> list[StreamingQuery]:
+    """Keep the sequence counts of every ESP stream up to date.
+
+    `keep_ms` bounds how long a block of numbers is remembered after it was last touched; without it every copy is
     recognised however late it comes.
     """
-    def advance(packets: DataFrame, batch: int) -> None:
-        spark = packets.sparkSession
-        _write(gap_state(packets, _earlier(spark, folder, "gaps", GAP_STATE, batch), threshold_ms),
-               folder, "gaps", batch)
-        state, fresh = sequence_state(
-            packets, _earlier(spark, folder, "sequences", SEQUENCE_STATE, batch),
-            _earlier(spark, folder, "seen", SEEN, batch, every=True, horizon=horizon))
-        _write(state, folder, "sequences", batch)
-        _write(fresh, folder, "seen", batch)
+    return [
+        _start(sequence_runs(stream), SOURCE, OrderState(), SOURCE_KEY, f"{folder}/order"),
+        _start(number_copies(stream), [*SOURCE, "part"], SeenState(keep_ms), SOURCE_KEY, f"{folder}/seen",
+               "none" if keep_ms is None else "processingTime")]
+
+
+def _state(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
+    return spark.read.format("statestore").option("stateVarName", name).load(checkpoint).select("key.*", "value.*")
 
-    return (stream.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
 
+def current_gaps(spark: SparkSession, folder: str) -> DataFrame:
+    """The gaps of every direction after the last batch."""
+    return _state(spark, f"{folder}/gaps", "gaps").select(
+        *WAY, "last_frame", F.when(F.col("last_timed"), F.col("last_ns")).alias("last_ns"), *GAP_SUMS,
+        F.when(F.col("max_ns") >= 0, F.col("max_ns")).alias("max_ns"))
 
-def current_state(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The state after the last batch, `name` being `gaps` or `sequences`."""
-    rows = spark.read.parquet(f"{folder}/{name}")
-    last = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+
+def current_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    """The sequence counts of every ESP stream after the last batch.
+
+    A number that exceeds all before it is new, so what is new and not such a record came out of order, and the
+    gaps are the numbers between the first and the highest that are no records.
+    """
+    seen = _state(spark, f"{folder}/seen", "seen_counts").groupBy(*SOURCE).agg(
+        F.sum("packets").alias("packets"), F.sum("distinct_sequences").alias("distinct_sequences"))
+    return _state(spark, f"{folder}/order", "order").join(seen, SOURCE).select(
+        *SOURCE, "packets", "distinct_sequences", (F.col("distinct_sequences") - F.col("records")).alias("out_of_order"),
+        (F.col("highest_sequence") - F.col("first_sequence") + 1 - F.col("records")).alias("gap_missing"), "highest_sequence")
 
 
 def stream_backward_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Packets per direction that arrived behind the time of the packet before them."""
-    return current_state(spark, folder, "gaps").select(*WAY, "packets", "backward")
+    return current_gaps(spark, folder).select(*WAY, "packets", "backward")

@@ -35,7 +35,7 @@ def start_rollup(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQu
 
 
 def current_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """The last state of every flow; only the batch number of a flow's newest row is looked up."""
+    """The last state of every flow: its newest row, found in one pass over the batches."""
     rows = spark.read.parquet(folder)
-    newest = rows.groupBy("flow_key").agg(F.max("batch").alias("batch"))
-    return rows.join(newest, ["flow_key", "batch"], "left_semi").drop("batch")
+    own = [c for c in rows.columns if c not in ("flow_key", "batch")]
+    return rows.groupBy("flow_key").agg(F.max_by(F.struct(*own), "batch").alias("last")).select("flow_key", "last.*")

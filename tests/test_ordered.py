@@ -186,20 +186,6 @@ def test_ordered_distinct_keeps_the_first_values(spark, small_chunks):
         (1, "b"), (2, "a"), (3, "c")]
 
 
-def test_late_packets_of_a_stream_are_counted(spark, packets):
-    """Frame 10 arrives first, frame 5 with an earlier time in the next batch, frame 11 in the third."""
-    from packetloom.streaming.keystate import GAP_STATE, gap_state
-
-    way = {"src_ip": "10.0.0.1", "dst_ip": "10.0.0.2", "protocol": "UDP", "src_port": 1, "dst_port": 2}
-    state = spark.createDataFrame([], GAP_STATE)
-    for frame, seconds in ((10, "100.0"), (5, "99.0"), (11, "99.5")):
-        batch = packets([{**way, "timestamp_epoch": seconds}]).withColumn(
-            "frame_number", F.lit(frame).cast("bigint"))
-        state = spark.createDataFrame(gap_state(batch, state, 300.0).collect(), GAP_STATE)
-    (row,) = state.collect()
-    assert (row.packets, row.backward, row.intervals, row.pauses, row.last_frame) == (3, 1, 1, 1, 11)
-
-
 def test_packet_limit_counts_packets_not_numbers(packets, small_chunks):
     from packetloom.sources.tables import packet_limit
 
