@@ -1,226 +1,179 @@
 """Exact sequential folds, one chunk of one key at a time.
 
-Both folds here keep one number as state, and a row either leaves it or replaces it by a value of its
-own, so a chunk maps its entry state to its exit state by a short step function. Spark groups build these maps
-per (key, chunk), a second grouping runs through the maps of a key to find every entry state, and a
-third replays the rows of each chunk from its entry. No group holds more than a chunk of rows.
+Both folds are chains of successors. A window opener is followed by the first trigger behind its window, and a
+16-bit counter that falls more than half its space below its maximum starts anew from that row. Successors
+of all rows of a chunk are found at once, and which rows the chain meets follows from the state the chunk
+is entered with; those states come from step maps that are composed over the chunks (`chains`). There is one path
+for keys of any size, and no group holds more than a chunk of rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packetloom.settings import settle
+from packetloom.operators.chains import FAN, LOW, StepMap, entry_states, labels, map_row, map_schema, step_map
 
 SPACE = 1 << 16
 HALF = 1 << 15
 WINDOW_ROWS = 1000
 CONTEXT_ROWS = 100
 
-# Exit of a part of a step map that leaves the state as it is.
-KEEP = -1
 
-MAP_FIELDS = [("_low", T.LongType()), ("_high", T.LongType()), ("_exit", T.LongType())]
+def chain_ends(following: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows the chain from each row meets, and the value of the last one, by pointer doubling.
 
+    `following` is the next row of the chain, or the number of rows where it ends.
+    """
+    size = len(following)
+    to = np.append(following, size)
+    met = np.append(np.ones(size, np.int64), 0)
+    last = np.append(np.arange(size), size)
+    while (to < size).any():
+        met = met + met[to]
+        last = np.where(to < size, last[to], last)
+        to = to[to]
+    return met[:size], value[last[:size]]
 
-def _schema(df: DataFrame, names: list[str], extra: list[tuple[str, T.DataType]]) -> T.StructType:
-    return T.StructType([df.schema[n] for n in names] + [T.StructField(*e) for e in extra])
 
+def chain_rows(following: np.ndarray, first: int) -> np.ndarray:
+    """The rows that the chain from a row meets."""
+    steps, out = following.tolist(), []
+    while first < len(steps):
+        out.append(first)
+        first = steps[first]
+    return np.array(out, np.int64)
 
-def _labelled(out: pd.DataFrame, group: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
-    """Put the key values of a group on every row."""
-    for key in keys:
-        out[key] = pd.Series([group[key].iloc[0]] * len(out), dtype=object, index=out.index)
-    return out
 
+# Counters that jump ----------------------------------------------------------------------------------
 
-def _entries(maps: DataFrame, keys: list[str], follow) -> DataFrame:
-    """Entry state of every chunk: run through the step maps of a key in chunk order."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = None, []
-        for chunk, part in pdf.sort_values(["_chunk", "_low"]).groupby("_chunk", sort=True):
-            if state is None:
-                state = int(part["_first"].iloc[0])
-            out.append((chunk, state))
-            state = follow(state, part)
-        result = pd.DataFrame(out, columns=["_chunk", "_entry"])
-        return _labelled(result, pdf, keys)[[*keys, "_chunk", "_entry"]]
+def falls_after(x: np.ndarray) -> np.ndarray:
+    """For a chain that starts anew at each row: the first later row more than half the space below the maximum since.
 
-    return maps.groupBy(*keys).applyInPandas(
-        run, _schema(maps, keys, [("_chunk", T.LongType()), ("_entry", T.LongType())]))
+    Blocks of 2, 4, 8, ... rows know their extremes and their deepest fall inside; every row skips the largest
+    blocks in which nothing happens, first growing and then shrinking.
+    """
+    size = len(x)
+    levels = [(x, x, np.zeros(size, np.int64))]
+    while len(levels[-1][0]) > 1:
+        top, low, fall = levels[-1]
+        if len(top) % 2:
+            top, low, fall = np.append(top, LOW), np.append(low, -LOW), np.append(fall, 0)
+            levels[-1] = top, low, fall
+        a, b = slice(0, None, 2), slice(1, None, 2)
+        levels.append((np.maximum(top[a], top[b]), np.minimum(low[a], low[b]), np.maximum(
+            np.maximum(fall[a], fall[b]), np.where(low[b] < -LOW, top[a] - low[b], 0))))
+    at, top = np.arange(1, size + 1), x.copy()
+    for level, up in [(k, True) for k in range(len(levels))] + [(k, False) for k in reversed(range(len(levels)))]:
+        high, low, fall = levels[level]
+        block = at >> level
+        fits = (at & ((1 << level) - 1) == 0) & (block < len(high)) & ((block & 1 == 1) | (not up))
+        block = np.where(fits, block, 0)
+        quiet = fits & (low[block] >= top - HALF) & (fall[block] <= HALF)
+        top = np.where(quiet, np.maximum(top, high[block]), top)
+        at = np.where(quiet, at + (1 << level), at)
+    return np.minimum(at, size)
+
+
+def unrolled(numbers: np.ndarray) -> np.ndarray:
+    """Sums of the wrapped steps between neighbours, from 0."""
+    return np.cumsum(np.append(0, (np.diff(numbers) + HALF) % SPACE - HALF))
+
+
+def sequence_map(x: np.ndarray) -> StepMap:
+    """The step map of a chunk over the maximum it is entered with, in the numbers of `x`; it counts falls."""
+    following = falls_after(x)
+    behind = np.maximum.accumulate(x[::-1])[::-1]
+    met, leave = chain_ends(following, behind)
+    start = int(following[0])  # the first fall if the chunk is entered with nothing above its first row
+    lowest = np.minimum.accumulate(x)
+    falls = np.flatnonzero(np.append(True, lowest[1:] < lowest[:-1]))
+    falls = falls[(falls < start) & (x[falls] >= x[0] - SPACE)]
+    # entered with more than x + HALF, the chain starts anew at the first row that low
+    low = x[falls][::-1] + HALF + 1
+    if start < len(x):
+        first = leave[start], False, met[start]
+    else:
+        first = x.max(), True, 0
+    return step_map(np.append(LOW, low), np.append(first[0], leave[falls][::-1]),
+                    np.append(first[1], np.zeros(len(falls), bool)), np.append(first[2], met[falls][::-1]))
+
+
+def sequence_falls(x: np.ndarray, entry: int) -> np.ndarray:
+    """The rows of a chunk at which the counter starts anew."""
+    following = falls_after(x)
+    below = np.flatnonzero(x < entry - HALF)
+    return chain_rows(following, min(int(following[0]), int(below[0]) if len(below) else len(x)))
+
+
+def counter_falls(rows: DataFrame, keys: list[str], seq: str, order: str, fan: int = FAN
+                  ) -> tuple[DataFrame, DataFrame]:
+    """Where counters start anew (keys, _chunk, order), and what each chunk is entered with (keys, _chunk, _entry: the
+    maximum since the last fall, _count: the falls before it).
+
+    `rows` hold a number and, in `_start`, the unrolled value of the chunk's first row.
+    """
+    step = [*keys, "_chunk"]
 
+    def numbers(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        table = table.sort_by(order)
+        return table, unrolled(table[seq].to_numpy()) + table["_start"][0].as_py()
 
-def _cut(low: int, high: int, left: int, right: int, to: int) -> list[tuple[int, int, int]]:
-    """Split a part that keeps its entry so that left..right lead to `to`."""
-    inner, outer = max(low, left), min(high, right)
-    parts = [(low, inner - 1, KEEP), (inner, outer, to), (outer + 1, high, KEEP)]
-    return [p for p in parts if p[0] <= p[1]]
+    def summarise(table: pa.Table) -> pa.Table:
+        table, x = numbers(table)
+        return pa.table(labels(table, step) | map_row(sequence_map(x)))
 
+    def replay(table: pa.Table) -> pa.Table:
+        table, x = numbers(table)
+        at = sequence_falls(x, table["_entry"][0].as_py())
+        return pa.table(labels(table, step, len(at)) | {order: table[order].take(pa.array(at))})
 
-def _sequence_map(numbers: list[int]) -> list[tuple[int, int, int]]:
-    """Step map over entry residues 0..65535: (first residue, last residue, exit value).
+    entries = entry_states(rows.groupBy(*step).applyInArrow(summarise, map_schema(rows, step)), keys, LOW, fan)
+    found = rows.join(entries, step).groupBy(*step).applyInArrow(
+        replay, T.StructType([rows.schema[n] for n in [*step, order]]))
+    return found, entries
 
-    A row lifts every value up to half the space behind its number to that number. Parts that were
-    not lifted yet keep their entry; parts that were are single values, few and moved together.
-    """
-    low, high, value = [np.array([x], dtype=np.int64) for x in (0, SPACE - 1, KEEP)]
-    for s in numbers:
-        ahead = (s - value) % SPACE
-        value = np.where((value != KEEP) & (ahead > 0) & (ahead < HALF), value + ahead, value)
-        for to in (s, s + SPACE):
-            left, right = to - HALF + 1, to - 1
-            hit = (value == KEEP) & (low <= right) & (high >= left)
-            if hit.any():
-                parts = [p for lo, hi, v, h in zip(
-                    low.tolist(), high.tolist(), value.tolist(), hit.tolist())
-                    for p in (_cut(lo, hi, left, right, to) if h else [(lo, hi, v)])]
-                low, high, value = (np.array(x, dtype=np.int64) for x in zip(*parts))
-        if len(value) > 1:
-            starts = np.r_[True, value[1:] != value[:-1]]
-            low, value = low[starts], value[starts]
-            high = np.r_[low[1:] - 1, SPACE - 1]
-    return list(zip(low.tolist(), high.tolist(), value.tolist()))
-
-
-def _follow_sequence(state: int, part: pd.DataFrame) -> int:
-    residue = state % SPACE
-    row = part[(part["_low"] <= residue) & (part["_high"] >= residue)].iloc[0]
-    return state if row["_exit"] == KEEP else state - residue + int(row["_exit"])
-
-
-def fold_short(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFrame:
-    """Extended 16-bit numbers of streams of a bounded length, one array each."""
-    null = F.lit(None).cast("bigint")
-    item = "struct<extended:bigint,highest_before:bigint>"
-    nothing = F.struct(null.alias("high"), F.array().cast(f"array<{item}>").alias("out"))
-
-    def follow(state, row):
-        high = state["high"]
-        value = F.when(high.isNull(), row[seq]).otherwise(
-            high + F.pmod(row[seq] - high + HALF, F.lit(SPACE)) - HALF).cast("bigint")
-        return F.struct(F.greatest(high, value).alias("high"), F.concat(state["out"], F.array(
-            F.struct(value.alias("extended"), high.alias("highest_before")))).alias("out"))
-
-    own = [c for c in df.columns if c not in keys and c != order]
-    rows = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *own))).alias("row"))
-    folded = rows.withColumn("fold", F.aggregate("row", nothing, follow)["out"])
-    return folded.select(*keys, F.explode(F.arrays_zip("row", "fold")).alias("z")).select(
-        *keys, "z.row.*", "z.fold.*")
-
-
-def fold_extend(df: DataFrame, keys: list[str], seq: str, order: str) -> DataFrame:
-    """Extended 16-bit numbers and the maximum before each row; `df` has a `_chunk` column."""
-    step = [*keys, "_chunk"]
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        numbers = pdf.sort_values(order)[seq].to_numpy(np.int64).tolist()
-        out = pd.DataFrame(_sequence_map(numbers), columns=["_low", "_high", "_exit"])
-        out["_first"] = numbers[0]
-        return _labelled(out, pdf, step)[[*step, "_first", "_low", "_high", "_exit"]]
-
-    maps = df.select(*step, order, seq).groupBy(*step).applyInPandas(
-        summarise, _schema(df, step, [("_first", T.LongType()), *MAP_FIELDS]))
-    entries = _entries(maps, keys, _follow_sequence)
-    kept = df.columns
-
-    def replay(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order)
-        first_chunk = bool((entry["_chunk"] == entry["_first_chunk"]).iloc[0])
-        high = int(entry["_entry"].iloc[0])
-        extended, before = [], []
-        for i, number in enumerate(rows[seq].to_numpy(np.int64).tolist()):
-            value = high + (number - high + HALF) % SPACE - HALF
-            before.append(None if first_chunk and i == 0 else high)
-            extended.append(value)
-            high = max(high, value)
-        return rows[kept].astype(object).assign(
-            extended=extended, highest_before=pd.array(before, dtype="Int64"))
-
-    started = entries.join(
-        entries.groupBy(*keys).agg(F.min("_chunk").alias("_first_chunk")), keys)
-    return df.groupBy(*step).cogroup(started.groupBy(*step)).applyInPandas(
-        replay, _schema(df, kept, [("extended", T.LongType()), ("highest_before", T.LongType())]))
-
-
-def _reach(position):
-    """First position after the window that a trigger opens."""
-    return np.maximum(position - CONTEXT_ROWS, 0) + WINDOW_ROWS
+# Evidence windows ------------------------------------------------------------------------------------
 
+def _reach(position: np.ndarray) -> np.ndarray:
+    """First position behind the window that a trigger opens."""
+    return np.maximum(position - CONTEXT_ROWS, 0) + WINDOW_ROWS
 
-def _follow_window(state: int, part: pd.DataFrame) -> int:
-    reachable = part[part["_high"] >= state]
-    return state if reachable.empty else int(reachable["_exit"].iloc[0])
 
+def window_map(at: np.ndarray) -> StepMap:
+    """The step map of a chunk of trigger positions over the end of the window it is entered with."""
+    count, leave = chain_ends(np.searchsorted(at, _reach(at)), _reach(at))
+    return step_map(np.append(LOW, at + 1), np.append(leave, LOW), np.append(np.zeros(len(at), bool), True),
+                    np.append(count, 0))
 
-def window_openers(df: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """Triggers that open an evidence window: (keys, position).
 
-    A key whose triggers lie in one chunk of positions is folded where its short list is built. Only
-    keys that span chunks need the maps.
-    """
+def window_openers(df: DataFrame, keys: list[str], position: str, fan: int = FAN) -> DataFrame:
+    """Triggers that open an evidence window: (keys, position)."""
     from packetloom.operators.ordered import chunk_of
 
     step = [*keys, "_chunk"]
-    rows = df.select(*keys, position).withColumn("_chunk", chunk_of(position))
-    spread = rows.groupBy(*keys).agg(
-        F.min("_chunk").alias("_from"), F.max("_chunk").alias("_to")).where(
-            F.col("_from") < F.col("_to")).select(*keys)
-    spread = settle(spread, "spread")
-    wide = not spread.isEmpty()
-
-    nothing = F.struct(F.lit(0).cast("bigint").alias("end"),
-                       F.array().cast("array<bigint>").alias("opened"))
-
-    def take(state, at):
-        opened = F.struct(
-            (F.greatest(at - CONTEXT_ROWS, F.lit(0)) + WINDOW_ROWS).cast("bigint").alias("end"),
-            F.concat(state["opened"], F.array(at)).alias("opened"))
-        return F.when(at >= state["end"], opened).otherwise(state)
-
-    narrow = rows.join(spread, keys, "left_anti") if wide else rows
-    short = narrow.groupBy(*step).agg(F.aggregate(
-        F.array_sort(F.collect_list(position)), nothing, take)["opened"].alias("opened")).select(
-            *keys, F.explode("opened").alias(position))
-    if not wide:
-        return short
-    return short.unionByName(
-        _chunked_openers(rows.join(spread, keys, "left_semi"), keys, position))
-
-
-def _chunked_openers(rows: DataFrame, keys: list[str], position: str) -> DataFrame:
-    step = [*keys, "_chunk"]
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = np.sort(pdf[position].to_numpy(np.int64))
-        following = np.searchsorted(at, _reach(at))
-        leave = _reach(at).copy()
-        for i in range(len(at) - 1, -1, -1):
-            if following[i] < len(at):
-                leave[i] = leave[following[i]]
-        # An open window reaches less than 1000 positions into the chunk.
-        near = int(np.searchsorted(at, at[0] + WINDOW_ROWS, side="right")) + 1
-        out = pd.DataFrame({"_low": at[:near], "_high": at[:near], "_exit": leave[:near]})
-        # Neighbouring entries that lead to one exit are one part; chains of windows soon meet.
-        run = (out["_exit"] != out["_exit"].shift()).cumsum()
-        out = out.groupby(run, as_index=False).agg({"_low": "min", "_high": "max", "_exit": "first"})
-        out["_first"] = 0
-        return _labelled(out, pdf, step)[[*step, "_first", "_low", "_high", "_exit"]]
-
-    maps = rows.groupBy(*step).applyInPandas(
-        summarise, _schema(rows, step, [("_first", T.LongType()), *MAP_FIELDS]))
-    entries = _entries(maps, keys, _follow_window)
-
-    def replay(rows: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        end, opened = int(entry["_entry"].iloc[0]), []
-        for at in np.sort(rows[position].to_numpy(np.int64)).tolist():
-            if at >= end:
-                end = max(at - CONTEXT_ROWS, 0) + WINDOW_ROWS
-                opened.append(at)
-        return _labelled(pd.DataFrame({position: opened}), rows, keys)[[*keys, position]]
-
-    return rows.groupBy(*step).cogroup(entries.groupBy(*step)).applyInPandas(
-        replay, _schema(rows, [*keys, position], []))
+    rows = df.select(*keys, F.col(position).cast("bigint").alias(position)).withColumn("_chunk", chunk_of(position))
+
+    def summarise(table: pa.Table) -> pa.Table:
+        found = window_map(np.unique(table[position].to_numpy()))
+        near = found.low <= found.low[1] + WINDOW_ROWS  # an open window reaches no further into the chunk
+        near[-1] = True
+        return pa.table(labels(table, step) | map_row(StepMap(*[x[near] for x in found])))
+
+    def replay(table: pa.Table) -> pa.Table:
+        at = np.unique(table[position].to_numpy())
+        first = int(np.searchsorted(at, table["_entry"][0].as_py() or 0))
+        opened = at[chain_rows(np.searchsorted(at, _reach(at)), first)]
+        return pa.table(labels(table, keys, len(opened)) | {position: pa.array(opened, pa.int64())})
+
+    # only keys with several chunks have anything to pass on
+    chunks = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    spread = rows.select(*step).distinct().withColumn("_chunks", chunks).where("_chunks > 1").drop("_chunks")
+    maps = rows.join(spread, step, "left_semi").groupBy(*step).applyInArrow(summarise, map_schema(rows, step))
+    entries = entry_states(maps, keys, 0, fan).drop("_count")
+    return rows.join(entries, step, "left").groupBy(*step).applyInArrow(
+        replay, T.StructType([rows.schema[n] for n in [*keys, position]]))

@@ -13,12 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packetloom.operators.chains import FAN
 from packetloom.settings import chunk_rows, settle
 
 SEQUENCE_SPACE = 1 << 16
 HALF_SPACE = 1 << 15
 DEFAULT_PAUSE_MS = 300.0
-SHORT_STREAM = 1024
 
 
 def chunk_of(order: str, df: DataFrame | None = None) -> Column:
@@ -166,15 +166,15 @@ def _wrapped(now: Column, before: Column) -> Column:
 
 
 def extend_sequence(df: DataFrame, keys: list[str], seq: str, order: str = "frame_number",
-                    short_stream: int = SHORT_STREAM) -> DataFrame:
+                    fan: int = FAN) -> DataFrame:
     """Unroll a 16-bit counter against its running maximum; adds `extended`, `highest_before`.
 
-    Summing the wrapped steps between neighbours gives the same numbers unless a row falls more than
-    half the space below the maximum. Streams where that happens take the exact fold instead. The sums
-    of each chunk, one row per stream and chunk, are stored and tell which streams those are. Short ones
-    are folded as one array, longer ones in chunks of their own rows.
+    Summing the wrapped steps between neighbours gives the same numbers until a row falls more than half the space
+    below the maximum. From such a row on everything lies one space higher, and the maximum starts anew. The sums
+    of each chunk, one row per stream and chunk, are stored and tell which streams fall at all; where they do
+    is found chunk by chunk (`folds.counter_falls`), and each fall is one more step in the same sums.
     """
-    from packetloom.operators.folds import fold_extend, fold_short
+    from packetloom.operators.folds import counter_falls
 
     step = [*keys, "_chunk"]
     rows = df.withColumn("_chunk", chunk_of(order)).withColumn("_seq", F.col(seq).cast("bigint"))
@@ -190,8 +190,7 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str, order: str = "fram
     ends = local.groupBy(*step).agg(
         F.min_by("_seq", order).alias("_first"), F.max_by("_seq", order).alias("_last"),
         F.max_by("_at", order).alias("_moved"), F.max("_at").alias("_top"),
-        F.min("_at").alias("_low"), F.max("_drop").alias("_drop"),
-        F.count(F.lit(1)).alias("_rows"))
+        F.min("_at").alias("_low"), F.max("_drop").alias("_drop"))
     by_chunk = Window.partitionBy(*keys).orderBy("_chunk")
     upto = by_chunk.rowsBetween(Window.unboundedPreceding, 0)
     chained = ends.withColumn(
@@ -202,44 +201,31 @@ def extend_sequence(df: DataFrame, keys: list[str], seq: str, order: str = "fram
     ).withColumn(
         "_high", F.max(F.col("_start") + F.col("_top")).over(
             by_chunk.rowsBetween(Window.unboundedPreceding, -1)))
-    chained = settle(chained, "sequence-chunks")
-    falls = (F.col("_drop") > HALF_SPACE) | (
-        F.col("_high") - F.col("_start") - F.col("_low") > HALF_SPACE)
-    broken = chained.groupBy(*keys).agg(
-        F.bool_or(F.coalesce(falls, F.lit(False))).alias("_falls"), F.sum("_rows").alias("_rows")
-    ).where("_falls").drop("_falls")
-    carried = chained.select(
-        *step, F.lag("_last").over(by_chunk).alias("_seq"),
-        F.lag("_end").over(by_chunk).alias("_base"), F.col("_high").alias("_top"),
-    ).where(F.col("_base").isNotNull()).withColumn("_carried", F.lit(True))
-
-    jumps = not broken.isEmpty()
-    orderly = rows.join(broken, keys, "left_anti") if jumps else rows
-    both = orderly.withColumn("_carried", F.lit(False)).unionByName(
-        carried, allowMissingColumns=True)
-    ordered = Window.partitionBy(*step).orderBy(F.col(order).asc_nulls_first())
-    straight = both.withColumn(
-        "_move", F.coalesce(F.col("_base"),
-                            _wrapped(F.col("_seq"), F.lag("_seq").over(ordered)), F.col("_seq"))
+    falls = F.coalesce((F.col("_drop") > HALF_SPACE) | (
+        F.col("_high") - F.col("_start") - F.col("_low") > HALF_SPACE), F.lit(False))
+    chained = settle(chained.withColumn("_falls", F.bool_or(falls).over(Window.partitionBy(*keys))).withColumn(
+        "_last", F.lag("_last").over(by_chunk)).withColumn("_base", F.lag("_end").over(by_chunk)).select(
+        *step, "_start", "_high", "_last", "_base", "_falls"), "sequence-chunks")
+
+    falling = rows.select(*step, order, "_seq").join(chained.where("_falls").select(*step, "_start"), step)
+    marks, entries = counter_falls(falling, keys, "_seq", order, fan)
+    lift = F.coalesce(F.col("_count"), F.lit(0)) * SEQUENCE_SPACE
+    carried = chained.where(F.col("_base").isNotNull()).join(entries, step, "left").select(
+        *step, F.col("_last").alias("_seq"), (F.col("_base") + lift).alias("_base"),
+        (F.coalesce(F.col("_entry"), F.col("_high")) + lift).alias("_top"), F.lit(0).alias("_kind"))
+    both = rows.withColumn("_kind", F.lit(2)).unionByName(carried, allowMissingColumns=True).unionByName(
+        marks.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    ordered = Window.partitionBy(*step).orderBy(F.col(order).asc_nulls_first(), "_kind")
+    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    mark = F.col("_kind") == 1
+    return both.withColumn("_move", F.coalesce(
+        F.when(mark, F.lit(SEQUENCE_SPACE).cast("bigint")), F.col("_base"),
+        _wrapped(F.col("_seq"), F.last("_seq", ignorenulls=True).over(before)), F.col("_seq"))
     ).withColumn(
         "extended", F.sum("_move").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn(
-        "highest_before", F.max(F.coalesce(F.col("_top"), F.col("extended"))).over(
-            ordered.rowsBetween(Window.unboundedPreceding, -1))
-    ).where(~F.col("_carried")).select(*df.columns, "extended", "highest_before")
-    if not jumps:
-        return straight
-    jumping = rows.drop("_chunk").join(broken.where(F.col("_rows") <= short_stream), keys, "left_semi")
-    result = straight.unionByName(fold_short(jumping, keys, "_seq", order).select(
-        *df.columns, "extended", "highest_before"))
-    lengthy = broken.where(F.col("_rows") > short_stream)
-    if lengthy.isEmpty():
-        return result
-    placed = scan(rows.drop("_chunk").join(lengthy, keys, "left_semi"), keys, order, position="_nth")
-    own_chunks = placed.withColumn(
-        "_chunk", F.floor((F.col("_nth") - 1) / F.lit(chunk_rows())).cast("bigint")).drop("_nth")
-    return result.unionByName(fold_extend(own_chunks, keys, "_seq", order).select(
-        *df.columns, "extended", "highest_before"))
+        "highest_before", F.max(F.when(~mark, F.coalesce(F.col("_top"), F.col("extended")))).over(before)
+    ).where(F.col("_kind") == 2).select(*df.columns, "extended", "highest_before")
 
 
 def ordered_distinct(df: DataFrame, keys: list[str], value: str, order: str = "frame_number",

@@ -138,9 +138,9 @@ rs AS (SELECT frame_number, slot AS o, issue AS reason FROM tags
       THEN 'duplicate sequence' WHEN ext < high THEN 'out-of-order sequence'
       ELSE concat('sequence gap of ', CAST(ext - high - 1 AS BIGINT)) END,
       ' observed (not proven loss)') FROM r2 WHERE nth > 1 OR ext < high OR ext > high + 1),
-tr AS (SELECT frame_number, string_agg(reason, '; ' ORDER BY o, reason) AS reasons FROM rs
-  GROUP BY frame_number)""" + TOOLS + """,
-trig AS (SELECT pos.*, reasons FROM pos JOIN tr USING (frame_number))"""
+tr AS (SELECT frame_number, string_agg(reason, '; ' ORDER BY o, reason) AS reasons,
+    list(reason ORDER BY o, reason) AS listed FROM rs GROUP BY frame_number)""" + TOOLS + """,
+trig AS (SELECT pos.*, reasons, listed FROM pos JOIN tr USING (frame_number))"""
 
 
 @query("w06_evidence_positions", pk(TOOLS + """
@@ -166,14 +166,29 @@ win AS (WITH RECURSIVE w AS (
       SELECT min(nx.position) AS position FROM nx WHERE nx.flow_key = w.flow_key
         AND nx.tool = w.tool AND nx.position >= w.start + 1000) n ON n.position IS NOT NULL)
   SELECT * FROM w),
-ew AS (SELECT win.flow_key, win.tool, win.start AS sample_offset, win.position AS issue_packet_index,
-  count(*) AS issue_count
+inw AS (SELECT win.flow_key, win.tool, win.start AS sample_offset, win.position AS opener, trig.position,
+  trig.frame_number, trig.a_to_b, trig.listed
 FROM win JOIN trig ON trig.flow_key = win.flow_key AND trig.tool = win.tool
-  AND trig.position >= win.position AND trig.position < win.start + 1000 GROUP BY ALL)"""
+  AND trig.position >= win.position AND trig.position < win.start + 1000),
+said AS (SELECT flow_key, tool, sample_offset, position, k, listed[k] AS reason
+  FROM inw, unnest(range(1, len(listed) + 1)) AS x(k)),
+named AS (SELECT *, row_number() OVER (PARTITION BY flow_key, tool, sample_offset ORDER BY first) - 1 AS idx
+  FROM (SELECT flow_key, tool, sample_offset, reason, min((position, k)) AS first FROM said GROUP BY ALL)),
+pointed AS (SELECT flow_key, tool, sample_offset, position, string_agg(idx, ',' ORDER BY k) AS indices
+  FROM said JOIN named USING (flow_key, tool, sample_offset, reason) GROUP BY ALL),
+ew AS (SELECT flow_key, tool, sample_offset, opener AS issue_packet_index, count(*) AS issue_count,
+  string_agg(concat(position, ':', frame_number, ':', a_to_b, ':', indices), ' ' ORDER BY position) AS events
+FROM inw JOIN pointed USING (flow_key, tool, sample_offset, position) GROUP BY ALL),
+er AS (SELECT flow_key, tool, sample_offset, string_agg(reason, '; ' ORDER BY idx) AS reasons FROM named GROUP BY ALL)"""
 
 
 @query("w09_evidence_windows", pk(WINDOWS + """
-SELECT flow_key, tool, sample_offset, issue_packet_index, issue_count FROM ew"""))
+SELECT flow_key, tool, sample_offset, issue_packet_index, issue_count, reasons, events
+FROM ew JOIN er USING (flow_key, tool, sample_offset)"""))
 def evidence_windows(t):
+    told = F.transform("events", lambda e: F.concat_ws(
+        ":", e["issue_packet_index"], e["frame_number"], e["a_to_b"],
+        F.array_join(e["reason_indices"].cast("array<string>"), ",")))
     return evidence.merge_windows(evidence.evidence_triggers(t.packets, PAUSE_MS)).select(
-        "flow_key", "tool", "sample_offset", "issue_packet_index", "issue_count")
+        "flow_key", "tool", "sample_offset", "issue_packet_index", "issue_count",
+        F.array_join("reasons", "; ").alias("reasons"), F.array_join(told, " ").alias("events"))

@@ -83,8 +83,8 @@ def extended_by_fold(rows):
     return out
 
 
-@pytest.mark.parametrize("seed,short", [(0, 1024), (1, 0), (2, 1024), (3, 0)])
-def test_extended_sequences_equal_the_fold(spark, small_chunks, seed, short):
+@pytest.mark.parametrize("seed,fan", [(0, 1024), (1, 2), (2, 3)])
+def test_extended_sequences_equal_the_fold(spark, small_chunks, seed, fan):
     """Orderly streams, and streams whose jumps break the chain of steps."""
     rng = random.Random(seed)
     rows, at = [], {"calm": 65500, "wild": 0, "down": 400}
@@ -94,7 +94,7 @@ def test_extended_sequences_equal_the_fold(spark, small_chunks, seed, short):
                    "down": at[key] - rng.randint(0, 20000)}[key]
         rows.append((n, key, at[key] % 65536))
     df = spark.createDataFrame(rows, "n bigint, key string, seq bigint")
-    out = ordered.extend_sequence(df, ["key"], "seq", "n", short_stream=short)
+    out = ordered.extend_sequence(df, ["key"], "seq", "n", fan=fan)
     assert by_frame(out, "extended", "highest_before") == extended_by_fold(rows)
 
 
@@ -107,8 +107,8 @@ def windows_by_fold(positions):
     return opened
 
 
-@pytest.mark.parametrize("chunk", ["300", "1500", "100000"])
-def test_window_openers_equal_the_greedy_rule(spark, chunk):
+@pytest.mark.parametrize("chunk,fan", [("300", 2), ("1500", 1024), ("100000", 1024)])
+def test_window_openers_equal_the_greedy_rule(spark, chunk, fan):
     spark.conf.set("packetloom.chunkRows", chunk)
     try:
         rng = random.Random(3)
@@ -118,7 +118,7 @@ def test_window_openers_equal_the_greedy_rule(spark, chunk):
         df = spark.createDataFrame(
             [(k, p) for k, ps in groups.items() for p in ps], "key string, position bigint")
         found = {}
-        for row in folds.window_openers(df, ["key"], "position").collect():
+        for row in folds.window_openers(df, ["key"], "position", fan).collect():
             found.setdefault(row.key, []).append(row.position)
         assert {k: sorted(v) for k, v in found.items()} == {
             k: windows_by_fold(v) for k, v in groups.items()}
