@@ -11,6 +11,49 @@ from packetloom.functions.parse import filled, has_items
 ALIASES = {"ISAKMP": "IKE", "IPV4": "IP", "ICMP6": "ICMPV6", "BOOTP": "DHCP", "SSL": "TLS"}
 BELONGS_TO = {"IKEV1": "IKE", "IKEV2": "IKE", "SRTP": "RTP", "MKA": "EAPOL", "SMB2": "SMB"}
 
+# Names with a bit of their own in a protocol mask; all others are kept as texts beside it.
+KNOWN = (
+    "ARP AH BGP DATA DHCP DHCPV6 DNS DTLS EAP EAPOL ESP ETH FRAME HTTP HTTP2 ICMP ICMPV6 IGMP IKE IKEV1 IKEV2 IP "
+    "IPV6 LLC MACSEC MKA NBNS NBSS NTP QUIC RTCP RTP SCTP SDP SIP SMB SMB2 SRTP SSH TCP TLS UDP UNKNOWN VLAN X509AF"
+).split()
+BITS = {name: 1 << k for k, name in enumerate(KNOWN)}
+
+
+def mask_of(*names: str) -> int:
+    """Bits of canonical names and of the protocols they belong to."""
+    mask = 0
+    for name in names:
+        mask |= BITS[name] | BITS.get(BELONGS_TO.get(name, ""), 0)
+    return mask
+
+
+#: The mask of every spelling of a known name.
+MASKS = {name: mask_of(name) for name in KNOWN} | {alias: mask_of(name) for alias, name in ALIASES.items()}
+
+
+def _masks() -> Column:
+    return F.create_map(*[F.lit(x) for name, mask in MASKS.items() for x in (name, mask)])
+
+
+def known_mask(names: Column) -> Column:
+    """Bits of the known names of an array, however they are spelled."""
+    nothing = F.lit(0).cast("bigint")
+    return F.aggregate(names, nothing, lambda mask, name: mask.bitwiseOR(
+        F.coalesce(F.try_element_at(_masks(), F.upper(F.trim(name))).cast("bigint"), nothing)))
+
+
+def other_names(names: Column) -> Column:
+    """The names of an array that have no bit."""
+    standard = F.transform(F.filter(names, lambda n: filled(n)), lambda n: F.upper(F.trim(n)))
+    return F.array_sort(F.array_distinct(F.filter(standard, lambda n: F.try_element_at(_masks(), n).isNull())))
+
+
+def names_of(mask: Column, others: Column) -> Column:
+    """Sorted names of a mask and of the texts beside it."""
+    known = F.array_compact(F.array(*[
+        F.when(mask.bitwiseAND(F.lit(bit)) != 0, F.lit(name)) for name, bit in BITS.items()]))
+    return F.array_sort(F.array_distinct(F.concat(known, others)))
+
 
 def canonical(name: Column) -> Column:
     text = F.upper(F.trim(name))
@@ -107,14 +150,3 @@ def shows_any(wanted: list[str]) -> Column:
     in_layers = F.exists(layer_names(), lambda n: F.upper(F.trim(n)).isin(texts))
     in_fields = [test & name.isin(wanted) for test, name in field_evidence()]
     return _any(_true(in_layers), *[_true(t) for t in in_fields])
-
-
-def flow_protocols(recorded: Column, protocol: Column, evidence: list[tuple[Column, Column]]
-                   ) -> Column:
-    """Sorted names of a flow: its transport, the names recorded on its packets, and child records
-    given as (present, name)."""
-    names = expanded(F.concat(F.array(protocol),
-                              F.coalesce(recorded, F.array().cast("array<string>"))))
-    found = F.array_compact(F.array(*[F.when(_true(t), n) for t, n in evidence])) if evidence \
-        else F.array().cast("array<string>")
-    return F.array_sort(F.array_distinct(F.concat(names, found)))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import dns_success, smb_failed
 from packetloom.functions.parse import filled
-from packetloom.functions.protocols import expanded, field_names, layer_names
+from packetloom.functions.protocols import field_names, known_mask, layer_names, mask_of, names_of, other_names
 from packetloom.operators.keys import FLOW_COLUMNS
 from packetloom.operators.ordered import ordered_distinct, place_in_packet, scan
 from packetloom.operators.ranking import bucket, by_frequency, nearest_rank, rank_descending
@@ -183,27 +185,100 @@ def max_interarrival(pk: DataFrame) -> DataFrame:
         wait >= 0).groupBy("flow_key").agg((F.max(wait) / F.lit(1e3)).alias("max_interarrival_ms"))
 
 
-def flow_protocol_names(pk: DataFrame) -> DataFrame:
-    """Each protocol name seen in a flow with the directions it was seen in.
+# Protocol evidence: (flow_key, mask, mask_a_to_b, mask_b_to_a, others, others_a_to_b, others_b_to_a). What is only in
+# the undirected columns shows a protocol without showing its direction.
+_WAYS = ("", "_a_to_b", "_b_to_a")
 
-    Names are made canonical after the few distinct spellings of a flow and direction are left.
-    """
-    keys = ["flow_key", "a_to_b"]
-    seen = pk.select(*keys, F.explode(F.concat(layer_names(), field_names())).alias("name")).where(
-        filled(F.col("name"))).distinct()
-    return seen.select(*keys, F.explode(expanded(F.array("name"))).alias("name")).groupBy(
-        "flow_key", "name").agg(F.bool_or("a_to_b").alias("in_a_to_b"),
-                                F.bool_or(~F.col("a_to_b")).alias("in_b_to_a"))
+
+def _evidence(rows: DataFrame) -> DataFrame:
+    """Evidence added up per flow: bits by `bit_or`, the few other names as a set."""
+    def others(way: str) -> Column:
+        listed = F.col(f"others{way}")
+        return F.array_distinct(F.flatten(F.collect_set(F.when(F.size(listed) > 0, listed)))).alias(f"others{way}")
+
+    return rows.groupBy("flow_key").agg(
+        *[F.coalesce(F.bit_or(f"mask{way}"), F.lit(0).cast("bigint")).alias(f"mask{way}") for way in _WAYS],
+        *[others(way) for way in _WAYS])
+
+
+def _directed(rows: DataFrame, mask: Column, others: Column, forward: Column, backward: Column) -> DataFrame:
+    """Evidence rows from a mask and other names, seen forward, backward or both."""
+    nothing, none = F.lit(0).cast("bigint"), F.array().cast("array<string>")
+    return rows.select("flow_key", mask.alias("_mask"), others.alias("_others"), forward.alias("_f"), backward.alias("_b")).select(
+        "flow_key", F.col("_mask").alias("mask"),
+        F.when(F.col("_f"), F.col("_mask")).otherwise(nothing).alias("mask_a_to_b"),
+        F.when(F.col("_b"), F.col("_mask")).otherwise(nothing).alias("mask_b_to_a"), F.col("_others").alias("others"),
+        F.when(F.col("_f"), F.col("_others")).otherwise(none).alias("others_a_to_b"),
+        F.when(F.col("_b"), F.col("_others")).otherwise(none).alias("others_b_to_a"))
+
+
+def packet_evidence(pk: DataFrame) -> DataFrame:
+    """What the packets of a flow show, by direction; one pass that combines before the shuffle."""
+    names = F.concat(layer_names(), field_names())
+    rows = pk.select("flow_key", "a_to_b", names.alias("names"))
+    return _evidence(_directed(rows, known_mask(F.col("names")), other_names(F.col("names")), F.col("a_to_b"), ~F.col("a_to_b")))
+
+
+def child_evidence(ike_sessions: DataFrame | None = None, rtp_streams: DataFrame | None = None,
+                   bgp_packets: DataFrame | None = None) -> list[DataFrame]:
+    """What the child tables of flows show without their packets, by direction."""
+    c, none, found = F.col, F.array().cast("array<string>"), []
+    if ike_sessions is not None:
+        major = F.shiftright("version", 4)
+        version = F.when(major == 1, mask_of("IKEV1")).when(major == 2, mask_of("IKEV2")).otherwise(mask_of("IKE"))
+        other = F.when(major.isin(1, 2), none).otherwise(F.array(F.concat(F.lit("IKEV"), major.cast("string"))))
+        found.append(_directed(ike_sessions, version.cast("bigint"), other, c("a_to_b_packets") > 0, c("b_to_a_packets") > 0))
+    if rtp_streams is not None:
+        media = F.when(c("srtp_packets") > 0, mask_of("SRTP")).otherwise(mask_of("RTP"))
+        forward = c("direction") == "A_to_B"
+        found.append(_directed(rtp_streams, media.cast("bigint"), none, forward, ~forward))
+    if bgp_packets is not None:
+        found.append(_directed(bgp_packets.where("packets > 0"), F.lit(mask_of("BGP")).cast("bigint"), none,
+                               c("a_to_b_packets") > 0, c("b_to_a_packets") > 0))
+    return found
+
+
+def counter_evidence(fl: DataFrame) -> DataFrame:
+    """What the counters of flows show: that a protocol is there, but not in which direction."""
+    c, nothing = F.col, F.lit(0).cast("bigint")
+
+    def any_of(*counters: str) -> Column:
+        return F.greatest(*[c(n) for n in counters]) > 0
+
+    secured = F.when(c("protocol") == "UDP", mask_of("DTLS")).otherwise(mask_of("TLS"))
+    tests = [
+        (any_of("dns_queries", "dns_responses", "dns_answered"), F.lit(mask_of("DNS"))),
+        (c("dhcp_messages") > 0, F.lit(mask_of("DHCP"))), (c("sip_packets") > 0, F.lit(mask_of("SIP"))),
+        (any_of("smb_commands", "smb_statuses", "smb_encrypted_packets"), F.lit(mask_of("SMB"))),
+        (any_of("tls_snis", "tls_certified", "tls_alerts"), secured)]
+    mask = reduce(Column.bitwiseOR, [F.when(t, m.cast("bigint")).otherwise(nothing) for t, m in tests])
+    never = F.lit(False)
+    return _directed(fl, mask, F.array().cast("array<string>"), never, never)
+
+
+def transport_evidence(fl: DataFrame) -> DataFrame:
+    """The transport a flow is keyed by belongs to both directions."""
+    names = F.array("protocol")
+    return _directed(fl, known_mask(names), other_names(names), F.lit(True), F.lit(True))
+
+
+def protocol_sets(*evidence: DataFrame) -> DataFrame:
+    """Sorted names per flow from any number of evidence tables, in all and by direction."""
+    whole = _evidence(reduce(DataFrame.unionByName, evidence))
+    return whole.select("flow_key", *[names_of(F.col(f"mask{way}"), F.col(f"others{way}")).alias(name) for way, name in zip(
+        _WAYS, ("decoded_protocols", "protocols_a_to_b", "protocols_b_to_a"))])
 
 
 def flow_protocol_sets(pk: DataFrame) -> DataFrame:
-    """Sorted names per flow, in all and by direction. The names of a flow are few and distinct."""
-    return flow_protocol_names(pk).groupBy("flow_key").agg(
-        F.array_sort(F.collect_list("name")).alias("decoded_protocols"),
-        F.array_sort(F.collect_list(F.when(F.col("in_a_to_b"), F.col("name")))).alias(
-            "protocols_a_to_b"),
-        F.array_sort(F.collect_list(F.when(F.col("in_b_to_a"), F.col("name")))).alias(
-            "protocols_b_to_a"))
+    """Sorted names per flow that its packets show, in all and by direction."""
+    found = packet_evidence(pk)
+    return found.select("flow_key", *[names_of(F.col(f"mask{way}"), F.col(f"others{way}")).alias(name) for way, name in zip(
+        _WAYS, ("decoded_protocols", "protocols_a_to_b", "protocols_b_to_a"))])
+
+
+def flow_protocol_names(pk: DataFrame) -> DataFrame:
+    """Each protocol name seen in a flow."""
+    return flow_protocol_sets(pk).select("flow_key", F.explode("decoded_protocols").alias("name"))
 
 
 def flow_names(pk: DataFrame) -> DataFrame:

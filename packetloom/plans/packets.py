@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from packetloom.functions import names, parse
-from packetloom.functions.protocols import canonical, expanded, flow_protocols, packet_protocols
+from packetloom.functions.protocols import canonical, expanded, packet_protocols
 from packetloom.operators import filters, keys, metrics, rollup
 from packetloom.operators.filters import FlowFilter
 from packetloom.plans.catalog import query
@@ -206,16 +206,36 @@ def packet_protocol_names(t):
     return t.packets.select("frame_number", F.array_join(packet_protocols(), ",").alias("names"))
 
 
+def by_way(sets):
+    return sets.select("flow_key", *[F.array_join(c, ",").alias(c) for c in sets.columns[1:]])
+
+
 @query("p15_flow_protocols", pk(PROTOCOL_NAMES + FLOWS + """
-, n AS (SELECT flow_key, name FROM pn UNION SELECT flow_key, 'RTP' FROM pk WHERE rtp_ssrc IS NOT NULL)
-SELECT flow_key, string_agg(name, ',' ORDER BY name) AS names FROM n GROUP BY flow_key"""))
-def flow_protocol_names(t):
-    c = F.col
-    recorded = rollup.flow_protocol_sets(t.packets).join(
-        t.flows.select("flow_key", "protocol", "rtp_packets", "dns_queries"), "flow_key")
-    evidence = [(c("rtp_packets") > 0, F.lit("RTP")), (c("dns_queries") > 0, F.lit("DNS"))]
-    return recorded.select("flow_key", F.array_join(flow_protocols(
-        c("decoded_protocols"), c("protocol"), evidence), ",").alias("names"))
+, n AS (SELECT flow_key, name, a_to_b, NOT a_to_b AS b_to_a FROM pn
+  UNION ALL SELECT flow_key, protocol, TRUE, TRUE FROM fl
+  UNION ALL SELECT flow_key, 'DNS', FALSE, FALSE FROM pk WHERE dns_query IS NOT NULL),
+m AS (SELECT flow_key, name, bool_or(a_to_b) AS ab, bool_or(b_to_a) AS ba FROM n GROUP BY ALL)
+SELECT flow_key, string_agg(name, ',' ORDER BY name) AS decoded_protocols,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (ab), '') AS protocols_a_to_b,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (ba), '') AS protocols_b_to_a FROM m GROUP BY flow_key"""))
+def flow_protocols(t):
+    return by_way(rollup.protocol_sets(
+        rollup.packet_evidence(t.packets), rollup.transport_evidence(t.flows), rollup.counter_evidence(t.flows)))
+
+
+@query("p15_media_from_streams", pk(FLOWS + """
+, m AS (SELECT flow_key, src_label, a_to_b, bool_or(srtp) AS srtp FROM pk WHERE kind = 'rtp' GROUP BY ALL),
+n AS (SELECT flow_key, 'RTP' AS name, a_to_b AS ab, NOT a_to_b AS ba FROM m
+  UNION ALL SELECT flow_key, 'SRTP', a_to_b, NOT a_to_b FROM m WHERE srtp
+  UNION ALL SELECT flow_key, protocol, TRUE, TRUE FROM fl),
+x AS (SELECT flow_key, name, bool_or(ab) AS ab, bool_or(ba) AS ba FROM n GROUP BY ALL)
+SELECT flow_key, string_agg(name, ',' ORDER BY name) AS decoded_protocols,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (ab), '') AS protocols_a_to_b,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (ba), '') AS protocols_b_to_a FROM x GROUP BY flow_key"""))
+def media_from_streams(t):
+    """Protocols of flows without looking at packets: their transport and their stored streams."""
+    return by_way(rollup.protocol_sets(
+        rollup.transport_evidence(t.flows), *rollup.child_evidence(rtp_streams=rtp.rtp_streams(t.packets))))
 
 
 def sql_case(column, mapping, otherwise):
@@ -503,6 +523,16 @@ def flows_in_one_direction(t):
         protocol="TLS")).select("flow_key")
 
 
+@query("f09_flows_by_stored_streams", pk("""
+SELECT DISTINCT flow_key FROM pk WHERE kind = 'rtp' AND srtp AND dst_port = 5004"""))
+def flows_by_stored_streams(t):
+    """Directional selection of flows whose packets are gone: their streams tell which way media went."""
+    sets = rollup.protocol_sets(
+        rollup.transport_evidence(t.flows), *rollup.child_evidence(rtp_streams=rtp.rtp_streams(t.packets)))
+    return filters.filter_flows(t.flows.join(sets, "flow_key"), FlowFilter(
+        dst_port=5004, protocol="srtp")).select("flow_key")
+
+
 @query("f09_flows_by_any", pk(FLOWS + PROTOCOL_NAMES + """
 SELECT flow_key FROM fl WHERE endpoint_a = '10.0.0.3' OR endpoint_b = '10.0.0.3'
 UNION SELECT flow_key FROM pn WHERE name = 'DNS' UNION SELECT flow_key FROM pk WHERE src_port = 5060"""))

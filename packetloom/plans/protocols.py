@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from packetloom.functions import names
-from packetloom.operators import evidence, metrics
+from packetloom.operators import evidence, metrics, rollup
 from packetloom.plans import report
 from packetloom.plans.catalog import query
 from packetloom.plans.packets import CONTROL, MASK
@@ -81,6 +81,19 @@ def bgp_packets(t):
     return bgp.bgp_packets(t.control)
 
 
+@query("p15_control_from_children", IKE + BGP.removeprefix(CONTROL) + """,
+n AS (SELECT flow_key, concat('IKEV', version // 16) AS name, forward AS ab FROM kf
+  UNION ALL SELECT flow_key, 'IKE', forward FROM kf UNION ALL SELECT flow_key, 'BGP', a_to_b FROM bf),
+m AS (SELECT flow_key, name, bool_or(ab) AS ab, bool_or(NOT ab) AS ba FROM n GROUP BY ALL)
+SELECT flow_key, string_agg(name, ',' ORDER BY name) AS decoded_protocols,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (ab), '') AS protocols_a_to_b,
+  coalesce(string_agg(name, ',' ORDER BY name) FILTER (ba), '') AS protocols_b_to_a FROM m GROUP BY flow_key""")
+def control_from_children(t):
+    sets = rollup.protocol_sets(*rollup.child_evidence(
+        ike_sessions=ike.ike_sessions(t.control), bgp_packets=bgp.bgp_packets(t.control)))
+    return sets.select("flow_key", *[F.array_join(c, ",").alias(c) for c in sets.columns[1:]])
+
+
 @query("a17_link_counts", CONTROL + """
 SELECT flow_key, CASE protocol WHEN 'MACSEC' THEN 'macsec.AN' ELSE 'eap.code' END AS field,
   CAST(CASE protocol WHEN 'MACSEC' THEN k % 4 ELSE 1 + k % 4 END AS VARCHAR) AS value,
