@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import binascii
 import json
+from collections.abc import Callable
 
 INTEGER, BIT_STRING, OCTET_STRING, OBJECT, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 #: Signature bytes of token algorithms; the RSA ones are at least this long.
 SIGNATURE_BYTES = {"HS256": 32, "HS384": 48, "HS512": 64, "ES256": 64, "ES384": 96, "ES512": 132, "EdDSA": 64}
 RSA_ALGORITHMS = {"RS256", "RS384", "RS512", "PS256", "PS384", "PS512"}
 OPENSSH_MAGIC = b"openssh-key-v1\0"
+#: A private key has at most so many elements, and with them at most so many bytes (RSA of 16,384 bits has under 10,000).
+MOST_ELEMENTS, MOST_KEY_BYTES = 16, 1 << 16
 
 
 class Malformed(ValueError):
@@ -112,22 +115,59 @@ def openssh_key(data: bytes) -> str | None:
         return None
 
 
-def announced_size(data: bytes) -> int | None:
-    """How many bytes a DER or OpenSSH private key that starts like this has; None if it does not, or goes on."""
-    if data[:1] == b"\x30" and len(data) > 6:
-        count = data[1] & 0x7F if data[1] & 0x80 else 0
-        if count > 4 or data[2 + count] not in (INTEGER, SEQUENCE):
-            return None
-        return 2 + count + (int.from_bytes(data[2:2 + count], "big") if count else data[1])
-    if data.startswith(OPENSSH_MAGIC):
-        try:
-            _, at = _strings(data, len(OPENSSH_MAGIC), 3)
-            keys = int.from_bytes(data[at:at + 4], "big")
-            _, at = _strings(data, at + 4, keys if keys <= 16 else 0)
-        except Malformed:
-            return None
-        return at + 4 + int.from_bytes(data[at:at + 4], "big") if at + 4 <= len(data) else None
-    return None
+def _header(read: Callable[[int, int], bytes], at: int) -> tuple[int, int, int]:
+    """Tag, start of the content and end of the DER element that starts at `at`."""
+    head = read(at, 6)
+    if len(head) < 2 or head[0] & 0x1F == 0x1F:
+        raise Malformed
+    size, count = head[1], 0
+    if size & 0x80:
+        count = size & 0x7F
+        if not 1 <= count <= 4 or len(head) < 2 + count:
+            raise Malformed
+        size = int.from_bytes(head[2:2 + count], "big")
+    return head[0], at + 2 + count, at + 2 + count + size
+
+
+def _der_size(read: Callable[[int, int], bytes]) -> int:
+    """The size of a sequence that a known number of elements fill exactly, by their headers alone."""
+    tag, at, end = _header(read, 0)
+    tags = []
+    while at < end and tag == SEQUENCE:
+        inner, _, at = _header(read, at)
+        tags.append(inner)
+        if len(tags) > MOST_ELEMENTS or at > end:
+            raise Malformed
+    if tag != SEQUENCE or not tags or tags[0] not in (INTEGER, SEQUENCE):
+        raise Malformed
+    return end
+
+
+def _openssh_size(read: Callable[[int, int], bytes]) -> int:
+    def number(at: int) -> int:
+        held = read(at, 4)
+        if len(held) < 4:
+            raise Malformed
+        return int.from_bytes(held, "big")
+
+    at = len(OPENSSH_MAGIC)
+    for _ in range(3):
+        at += 4 + number(at)
+    keys, at = number(at), at + 4
+    if not 1 <= keys <= MOST_ELEMENTS:
+        raise Malformed
+    for _ in range(keys + 1):
+        at += 4 + number(at)
+    return at
+
+
+def key_size(read: Callable[[int, int], bytes]) -> int | None:
+    """How many bytes the DER or OpenSSH private key has that `read` (offset, count) starts with; None if there is
+    none. Only headers are read, however much they announce."""
+    try:
+        return _openssh_size(read) if read(0, len(OPENSSH_MAGIC)) == OPENSSH_MAGIC else _der_size(read)
+    except Malformed:
+        return None
 
 
 def decoded(text: bytes) -> bytes | None:

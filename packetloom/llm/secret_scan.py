@@ -5,7 +5,7 @@ if what they hold parses: DER private keys whose nested lengths fill each other
 their length-prefixed fields, armoured key blocks around such a key, base64 or hex of such blocks, and tokens of
 three parts whose header names an algorithm that the signature's size agrees with. Encoded keys may be broken
 into lines, by real or escaped line ends, with indents, quoted or as strings that are put together; the lengths
-in a key say where it ends.
+in a key say where it ends. A private key has at most 64 kB (`key_formats.MOST_KEY_BYTES`).
 
 Candidates are found in the flat UTF-8 bytes of many texts at once; all patterns are ASCII, so byte matches
 are the character matches. Positions are turned into code points where something was found.
@@ -14,14 +14,16 @@ are the character matches. Positions are turned into code points where something
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.llm.key_formats import OPENSSH_MAGIC, announced_size, decoded, key_blob, signed_token
+from packetloom.llm.key_formats import MOST_KEY_BYTES, decoded, key_blob, key_size, signed_token
 from packetloom.llm.texts import flat, text_slices
 
 #: Kinds in the order in which spans with one start are listed; the first three are the base.
@@ -73,63 +75,113 @@ def armoured(data: bytes) -> Iterator[tuple[int, int, str]]:
             yield m.start(), m.end(), detail
 
 
+class Stretch:
+    """Lines of encoded characters that follow one another, joined once, and where each of them stands."""
+
+    def __init__(self, data: bytes, pieces: list[tuple[int, int]]):
+        self.starts = [a for a, _ in pieces]
+        self.offsets = list(accumulate((b - a for a, b in pieces), initial=0))
+        self.text = b"".join([data[a:b] for a, b in pieces])
+
+    def place(self, at: int) -> int:
+        """Where a byte of the data stands in the joined text."""
+        piece = bisect_right(self.starts, at) - 1
+        return self.offsets[piece] + at - self.starts[piece]
+
+    def end(self, upto: int) -> int:
+        """Where the data go on after so many joined characters."""
+        piece = bisect_right(self.offsets, upto - 1) - 1
+        return self.starts[piece] + upto - self.offsets[piece]
+
+
 class Encoding:
-    """A way to write bytes as text: how keys start in it, its characters, and how many of them `size` bytes take."""
+    """A way to write bytes as text: how keys start in it, its characters, and how many of them `size` bytes take.
 
-    def __init__(self, kind: str, heads: bytes, chunk: bytes, before: np.ndarray, decode, length, least: int):
-        self.kind, self.heads, self.chunk = kind, re.compile(heads), re.compile(chunk)
-        self.before, self.decode, self.length, self.least = before, decode, length, least
+    Every stretch is joined once. What a key announces is read at its place in the joined text, a few bytes at
+    a time, and only what nests is decoded whole, so that the time follows the text, whatever it announces.
+    """
 
-    def gather(self, data: bytes, start: int, most: int) -> tuple[bytes, int]:
-        """Up to `most` characters from `start` on, without what stands between lines, and where they end."""
-        pieces, count, at, end = [], 0, start, start
-        while count < most and (m := self.chunk.match(data, at)):
-            piece = m[0][:most - count]
-            pieces.append(piece)
-            count, end = count + len(piece), at + len(piece)
-            if not (gap := GAP.match(data, m.end())):
-                break
-            at = gap.end()
-        return b"".join(pieces), end
+    def __init__(self, kind: str, heads: bytes, pem_heads: bytes, chunk: bytes, before: np.ndarray, decode, length,
+                 group: tuple[int, int], least: int):
+        self.kind, self.heads, self.pem_heads, self.chunk = kind, re.compile(heads), re.compile(pem_heads), re.compile(chunk)
+        self.before, self.decode, self.length, self.least = before, decode, length, least
+        self.characters, self.bytes = group
+
+    def stretches(self, data: bytes, heads: list[int]) -> Iterator[tuple[Stretch, list[int]]]:
+        """Stretches with the heads inside them."""
+        at, known = 0, 0
+        while known < len(heads):
+            at = heads[known]
+            pieces = []
+            while m := self.chunk.match(data, at):
+                pieces.append((at, m.end()))
+                if not (gap := GAP.match(data, m.end())):
+                    break
+                at = gap.end()
+            if not pieces:
+                known += 1
+                continue
+            upto = bisect_left(heads, pieces[-1][1], known)
+            inside = [h for h in heads[known:upto] if any_piece(pieces, h)]
+            yield Stretch(data, pieces), inside
+            known = max(upto, known + 1)
 
     def keys(self, data: bytes) -> Iterator[tuple[int, int, str, str]]:
-        done = 0
-        for m in self.heads.finditer(data):
-            start = m.start()
-            if start < done or (start and self.before[data[start - 1]] and data[start - 5:start] != b"-----"
-                                and not (data[start - 2:start - 1] == b"\\" and data[start - 1] in b"nrt")):
-                continue
-            found = self.key(data, start)
-            if found:
-                done = found[0]
-                yield start, *found
-
-    def key(self, data: bytes, start: int) -> tuple[int, str, str] | None:
-        """The key that is written from `start` on, as (end, kind, detail)."""
-        most = 64
-        while True:
-            text, end = self.gather(data, start, most)
+        def alone(start: int) -> bool:
+            return not (start and self.before[data[start - 1]] and data[start - 5:start] != b"-----"
+                        and not (data[start - 2:start - 1] == b"\\" and data[start - 1] in b"nrt"))
+
+        pems = {m.start() for m in self.pem_heads.finditer(data)}
+        heads = sorted({m.start() for m in self.heads.finditer(data)} | pems)
+        for stretch, inside in self.stretches(data, [h for h in heads if alone(h)]):
+            done, looked = 0, set()
+            for start in inside:
+                if start < done:
+                    continue
+                at = stretch.place(start)
+                if start in pems:
+                    if at % self.characters in looked:
+                        continue
+                    looked.add(at % self.characters)
+                    found = self.armour(data, stretch, at)
+                else:
+                    found = self.key(data, stretch, at)
+                if found:
+                    done = found[1]
+                    yield found
+
+    def key(self, data: bytes, stretch: Stretch, at: int) -> tuple[int, int, str, str] | None:
+        """The key that is written from a place on, as (start, end, kind, detail)."""
+        def read(offset: int, count: int) -> bytes:
+            first = at + offset // self.bytes * self.characters
+            text = stretch.text[first:first + -(-(offset % self.bytes + count) // self.bytes) * self.characters]
             held = self.decode(text) or self.decode(text[:-1]) or b""
-            if held.startswith(PEM):
-                plain = held.isascii()
-                if len(text) < most or not plain:
-                    return self.armour(data, start, held)
-            elif size := announced_size(held):
-                text, end = self.gather(data, start, self.length(size))
-                detail = (key_blob(self.decode(text)) if self.least <= len(text) == self.length(size)
-                          and not self.chunk.match(data, end) else None)
-                return (self.padded(data, end), self.kind, detail) if detail else None
-            elif len(text) < most or not held.startswith(OPENSSH_MAGIC):
-                return None
-            most *= 4
-
-    def armour(self, data: bytes, start: int, held: bytes) -> tuple[int, str, str] | None:
+            return held[offset % self.bytes:offset % self.bytes + count]
+
+        size = key_size(read)
+        if size is None or size > MOST_KEY_BYTES:
+            return None
+        upto = at + self.length(size)
+        if upto > len(stretch.text) or self.length(size) < self.least:
+            return None
+        end = stretch.end(upto)
+        if self.chunk.match(data, end):
+            return None
+        detail = key_blob(self.decode(stretch.text[at:upto]))
+        return (stretch.end(at + 1) - 1, self.padded(data, end), self.kind, detail) if detail else None
+
+    def armour(self, data: bytes, stretch: Stretch, at: int) -> tuple[int, int, str, str] | None:
+        """Armoured blocks in what a stretch holds from a place on, up to the last with a key; looked at once for all
+        heads of one alignment."""
+        text = stretch.text[at:]
+        held = self.decode(text) or self.decode(text[:-1]) or b""
         blocks = list(armoured(held))
         if not blocks:
             return None
-        _, end = self.gather(data, start, self.length(blocks[-1][1]))
+        start = stretch.end(at + 1) - 1
+        end = stretch.end(min(len(stretch.text), at + self.length(blocks[-1][1])))
         rest = self.chunk.match(data, end)
-        return self.padded(data, rest.end() if rest else end), "pem", blocks[0][2]
+        return start, self.padded(data, rest.end() if rest else end), "pem", blocks[0][2]
 
     @staticmethod
     def padded(data: bytes, end: int) -> int:
@@ -138,11 +190,16 @@ class Encoding:
         return end
 
 
+def any_piece(pieces: list[tuple[int, int]], at: int) -> bool:
+    piece = bisect_right(pieces, (at, 1 << 62)) - 1
+    return piece >= 0 and pieces[piece][0] <= at < pieces[piece][1]
+
+
 ENCODINGS = (
-    Encoding("der", rb"M[A-P]|b3BlbnNzaC1r|LS0tLS1CRUdJTi", rb"(?:[A-Za-z0-9+/_]|-(?!----))+", BASE64, decoded,
-             lambda size: (size * 4 + 2) // 3, MIN_ENCODED),
-    Encoding("derhex", rb"30(?=[0-9A-Fa-f]{4})|6[fF]70656[eE]7373|2[dD]2[dD]2[dD]2[dD]2[dD]42", rb"[0-9A-Fa-f]+", HEX,
-             lambda text: bytes.fromhex(text[:len(text) // 2 * 2].decode()), lambda size: 2 * size, 2 * MIN_ENCODED))
+    Encoding("der", rb"M[A-P]|b3BlbnNzaC1r", rb"LS0tLS1CRUdJTi", rb"(?:[A-Za-z0-9+/_]|-(?!----))+", BASE64, decoded,
+             lambda size: (size * 4 + 2) // 3, (4, 3), MIN_ENCODED),
+    Encoding("derhex", rb"30(?=[0-9A-Fa-f]{4})|6[fF]70656[eE]7373", rb"2[dD]2[dD]2[dD]2[dD]2[dD]42", rb"[0-9A-Fa-f]+", HEX,
+             lambda text: bytes.fromhex(text[:len(text) // 2 * 2].decode()), lambda size: 2 * size, (2, 1), 2 * MIN_ENCODED))
 
 
 def find(buffer: np.ndarray) -> Iterator[tuple[int, int, str, str | None]]:
