@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packetloom.functions.names import dns_success, smb_failed
@@ -17,12 +17,15 @@ from packetloom.settings import settle
 
 CORE_COLUMNS = [*FLOW_COLUMNS, "packet_count", "byte_count", "first_seen", "last_seen", "first_frame",
                 "a_to_b_packets", "b_to_a_packets", "a_to_b_bytes", "b_to_a_bytes"]
+#: Flows that an ordered limit may hold in one task.
+MOST_LISTED = 100_000
 # Issue tags a packet can carry.
 ISSUE_TAGS = ["tcp_retransmission", "tcp_out_of_order", "tcp_duplicate_ack", "tcp_lost_segment",
               "tcp_zero_window", "tcp_reset", "tls_alert", "tls_fatal_alert"]
 # How many of each kind a saved summary keeps.
 SAVED_MOST = {"protocol": 20, "port": 20, "issue": 30, "name": 50}
 
+
 def capture_totals(pk: DataFrame) -> DataFrame:
     per_flow = pk.groupBy("flow_key").agg(
         F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"))
@@ -132,14 +135,28 @@ def rank_flows(fl: DataFrame) -> DataFrame:
     return rank_descending(fl, "byte_count", "first_frame", "flow_id")
 
 
-def top_flows(ranked: DataFrame, k: int) -> DataFrame:
-    return ranked.where(F.col("flow_id") <= k)
+def first_flows(fl: DataFrame, k: int) -> DataFrame:
+    """The first k flows by bytes under their ids: an ordered limit, which keeps k rows of every task."""
+    order = [F.desc("byte_count"), F.asc("first_frame")]
+    return fl.orderBy(*order).limit(max(0, k)).withColumn("flow_id", F.row_number().over(
+        Window.orderBy(*order)).cast("bigint"))  # k rows
+
+
+def top_flows(fl: DataFrame, k: int) -> DataFrame:
+    """The first k flows; flows that have no ids yet are not all ranked for it."""
+    return fl.where(F.col("flow_id") <= k) if "flow_id" in fl.columns else first_flows(fl, k)
 
 
-def select_flows(ranked: DataFrame, k: int, include_id: int | None = None) -> DataFrame:
-    """The first k flows and one more by id; an id outside the table adds nothing."""
+def select_flows(fl: DataFrame, k: int, include_id: int | None = None) -> DataFrame:
+    """The first k flows and one more by id; an id outside the table adds nothing.
+
+    Flows without ids are ranked as far as the last wanted one; beyond `MOST_LISTED` that is a rank of all.
+    """
+    if "flow_id" not in fl.columns:
+        reach = max(k, include_id or 0)
+        fl = first_flows(fl, reach) if reach <= MOST_LISTED else rank_flows(fl)
     wanted = F.col("flow_id") <= max(0, k)
-    return ranked.where(wanted if include_id is None else wanted | (F.col("flow_id") == include_id))
+    return fl.where(wanted if include_id is None else wanted | (F.col("flow_id") == include_id))
 
 
 def direction_totals(pk: DataFrame) -> DataFrame:

@@ -145,12 +145,12 @@ def with_rates(flows):
 
 @query("g01_top_flows", pk(FLOWS + TOP + " WHERE flow_id <= 25"))
 def top_flows(t):
-    return with_rates(rollup.top_flows(t.ranked, 25))
+    return with_rates(rollup.top_flows(t.flows.select(*rollup.CORE_COLUMNS), 25))
 
 
 @query("g02_top_flows_and_one", pk(FLOWS + TOP + " WHERE flow_id <= 10 OR flow_id = 50"))
 def select_flows(t):
-    return with_rates(rollup.select_flows(t.ranked, 10, 50))
+    return with_rates(rollup.select_flows(t.flows.select(*rollup.CORE_COLUMNS), 10, 50))
 
 
 @query("g05_counter_by_frequency", pk("""
