@@ -55,6 +55,12 @@ class Tables:
 
         return header_rows(self.packets)
 
+    @cached_property
+    def control_headers(self) -> DataFrame:
+        from packetloom.sources.headers import control_header_rows
+
+        return control_header_rows(self.control)
+
 
 @dataclass(frozen=True)
 class Query:

@@ -2,9 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from packetloom.operators import deep
+from packetloom.operators import deep, rollup
+from packetloom.operators.deep_query import deep_query as answered
 from packetloom.operators.paging import describe_page, page, paged_by_flow
-from packetloom.plans.catalog import query
+from packetloom.plans import protocols as _protocols  # noqa: F401  its twins are used here
+from packetloom.plans.catalog import QUERIES, query
 from packetloom.plans.sequences import GAPS
 from packetloom.plans.sql import FLOWS, PROTOCOL_NAMES, RTP, pk
 from packetloom.protocols import esp, rtp, smb, tcp, tls
@@ -266,3 +268,111 @@ SELECT frame_number, CASE WHEN k % 4 = 0 THEN 'SRTP (dissector or explicit port)
 def rtp_security(t):
     return rtp.secured_rows(deep.tool_rows(t.headers, "deep_rtp_flow")).select(
         "frame_number", "media_security")
+
+
+PACKET_TOOLS = ["deep_tcp_flow", "deep_udp_flow", "deep_tls_flow", "deep_smb2_flow", "deep_esp_flow", "deep_rtp_flow"]
+CONTROL_TOOLS = ["deep_ike_flow", "deep_bgp_flow", "deep_macsec_flow", "deep_eapol_flow"]
+
+
+def melted(name, tool, item="NULL", leave=()):
+    """The counters of another query's twin as rows."""
+    keys = ["flow_key", *leave]
+    return f"""SELECT flow_key, '{tool}' AS tool, counter, CAST({item} AS VARCHAR) AS item, value FROM (
+  UNPIVOT (SELECT {', '.join(keys)}, COLUMNS(* EXCLUDE ({', '.join(keys)}))::VARCHAR FROM ({QUERIES[name].sql}))
+  ON COLUMNS(* EXCLUDE ({', '.join(keys)})) INTO NAME counter VALUE value)"""
+
+
+def requests_for_all(t, flows, tools):
+    """Every flow with every tool, and one request each that cannot be answered."""
+    asked = flows.select("flow_id", F.explode(F.array(*[F.lit(x) for x in tools])).alias("tool"))
+    odd = t.spark.createDataFrame([(1, "no_such_tool"), (-5, tools[0])], "flow_id long, tool string")
+    return asked.unionByName(odd).select(
+        F.concat_ws("/", "flow_id", "tool").alias("request_id"), "tool", "flow_id", F.lit(2).cast("bigint").alias("offset"))
+
+
+def deep_answers(t):
+    flows = t.ranked_facts
+    return answered(requests_for_all(t, flows, PACKET_TOOLS), flows, t.headers, 5, 6 * 3600 * 1000.0, PACKET_TOOLS)
+
+
+RTP_ITEMS = """SELECT flow_key, 'deep_rtp_flow' AS tool, 'rtp_packets' AS counter, NULL AS item, count(*)::VARCHAR AS value
+FROM ({packets} SELECT flow_key FROM pk WHERE kind = 'rtp') GROUP BY ALL"""
+STREAM_COUNTERS = ("packets", "srtp_packets", "duplicates", "out_of_order", "holes", "interval_count", "pause_count")
+
+
+@query("x02_deep_counters", " UNION ALL ".join([
+    "SELECT flow_key, 'deep_tcp_flow' AS tool, field AS counter, CAST(NULL AS VARCHAR) AS item, n::VARCHAR AS value "
+    f"FROM ({QUERIES['a26_tcp_marker_counts'].sql})",
+    melted("a27_tcp_window_stats", "deep_tcp_flow"), melted("a28_udp_counts", "deep_udp_flow"),
+    melted("a29_tls_counts", "deep_tls_flow"), melted("a30_smb2_credits", "deep_smb2_flow"),
+    melted("a31_esp_counts", "deep_esp_flow"), RTP_ITEMS.format(packets=pk("").strip()),
+    f"SELECT * FROM ({melted('a14_rtp_streams', 'deep_rtp_flow', "concat(direction, ' ', rtp_ssrc)", ('direction', 'rtp_ssrc'))}) "
+    f"WHERE counter IN {STREAM_COUNTERS}"]))
+def deep_counters_of_all(t):
+    found = deep_answers(t).counters
+    return found.where((F.col("tool") != "deep_rtp_flow") | F.col("item").isNull()
+                       | F.col("counter").isin(*STREAM_COUNTERS))
+
+
+@query("x02_deep_answers", pk(FLOWS + """
+, tool AS (SELECT unnest(['deep_tcp_flow', 'deep_udp_flow', 'deep_tls_flow', 'deep_smb2_flow', 'deep_esp_flow',
+    'deep_rtp_flow']) AS tool),
+hits AS (SELECT flow_key, unnest(CASE kind WHEN 'web' THEN ['deep_tcp_flow', 'deep_tls_flow'] WHEN 'smb' THEN
+    ['deep_tcp_flow', 'deep_smb2_flow'] WHEN 'esp' THEN ['deep_esp_flow'] WHEN 'rtp' THEN ['deep_udp_flow',
+    'deep_rtp_flow'] ELSE ['deep_udp_flow'] END) AS tool FROM pk),
+totals AS (SELECT flow_key, tool, count(*) AS n FROM hits GROUP BY ALL),
+fit AS (SELECT ranked.flow_id, flow_key, tool, CASE tool WHEN 'deep_tcp_flow' THEN protocol = 'TCP' WHEN 'deep_smb2_flow'
+    THEN protocol = 'TCP' WHEN 'deep_udp_flow' THEN protocol = 'UDP' WHEN 'deep_rtp_flow' THEN protocol = 'UDP'
+    WHEN 'deep_esp_flow' THEN protocol = 'ESP' ELSE protocol IN ('TCP', 'UDP') END AS fits FROM ranked, tool)
+SELECT concat_ws('/', flow_id, tool) AS request_id, tool, flow_id,
+  CASE WHEN NOT fits THEN 'skipped' WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status,
+  CASE WHEN fits THEN coalesce(n, 0) END AS total_matching,
+  CASE WHEN fits THEN greatest(0, least(5, coalesce(n, 0) - 2)) END AS returned,
+  CASE WHEN fits AND n > 7 THEN 7 END AS next_offset
+FROM fit LEFT JOIN totals USING (flow_key, tool)
+UNION ALL SELECT '1/no_such_tool', 'no_such_tool', 1, 'rejected', NULL, NULL, NULL
+UNION ALL SELECT '-5/deep_tcp_flow', 'deep_tcp_flow', -5, 'not_found', NULL, NULL, NULL"""))
+def deep_answers_of_all(t):
+    return deep_answers(t).answers.select(
+        "request_id", "tool", "flow_id", "status", "total_matching", "returned", "next_offset")
+
+
+SESSION = ("version", "initiator_spi", "responder_spi")
+SESSION_ITEM = "concat_ws(' ', version, coalesce(initiator_spi, '-'), coalesce(responder_spi, '-'))"
+
+
+def sql_of(name):
+    return f"({QUERIES[name].sql})"
+
+
+@query("x02_deep_control_counters", f"""
+SELECT flow_key, 'deep_ike_flow' AS tool, 'ike_packets' AS counter, CAST(NULL AS VARCHAR) AS item,
+  sum(a_to_b_packets + b_to_a_packets)::BIGINT::VARCHAR AS value FROM {sql_of("a15_ike_sessions")} GROUP BY flow_key
+UNION ALL SELECT * FROM ({melted("a15_ike_sessions", "deep_ike_flow", SESSION_ITEM, SESSION)}) WHERE counter <> 'first_at'
+UNION ALL SELECT flow_key, 'deep_ike_flow', kind, concat({SESSION_ITEM}, ' ', value), n::VARCHAR FROM {sql_of("a15_ike_counts")}
+UNION ALL SELECT flow_key, 'deep_bgp_flow', 'bgp_packets', NULL, packets::VARCHAR FROM {sql_of("a16_bgp_packets")}
+UNION ALL SELECT flow_key, 'deep_bgp_flow', field, value, sum(n)::BIGINT::VARCHAR FROM {sql_of("a16_bgp_summary")} GROUP BY ALL
+UNION ALL SELECT flow_key, tool, 'packets', NULL, count(*)::VARCHAR FROM (SELECT flow_key, concat('deep_', lower(protocol), '_flow')
+  AS tool FROM ({_protocols.CONTROL} SELECT flow_key, protocol FROM lf)) GROUP BY ALL
+UNION ALL SELECT flow_key, concat('deep_', CASE split_part(field, '.', 1) WHEN 'macsec' THEN 'macsec' ELSE 'eapol' END, '_flow'),
+  field, value, n::VARCHAR FROM {sql_of("a17_link_counts")}
+UNION ALL SELECT flow_key, concat('deep_', CASE split_part(field, '.', 1) WHEN 'macsec' THEN 'macsec' ELSE 'eapol' END, '_flow'),
+  field, unnest(['low', 'high']), unnest([low, high])::BIGINT::VARCHAR FROM {sql_of("a17_link_ranges")}""")
+def deep_control_counters(t):
+    flows = rollup.rank_flows(rollup.flow_rollup(t.control))
+    return answered(requests_for_all(t, flows, CONTROL_TOOLS), flows, t.control_headers, tools=CONTROL_TOOLS).counters
+
+
+@query("p25_ike_metadata", _protocols.IKE + """
+SELECT frame_number, version, initiator_spi, responder_spi, exchange AS exchange_type, k AS message_id, flags, next_payload,
+  CASE k % 10 WHEN 0 THEN '24' WHEN 1 THEN '16388,16389' WHEN 2 THEN '36136,36136' ELSE '' END AS notify_types,
+  CASE WHEN k % 5 = 2 THEN '12,12,20' END AS encryption, CASE WHEN k % 7 = 1 THEN k % 4 END AS fragment_number FROM ik""")
+def ike_metadata(t):
+    from packetloom.protocols.ike import ike_metadata as metadata
+
+    rows = t.control_headers.select("frame_number", metadata().alias("ike")).where("ike IS NOT NULL")
+    return rows.select("frame_number", "ike.version", "ike.initiator_spi", "ike.responder_spi", "ike.exchange_type",
+                       "ike.message_id", "ike.flags", "ike.next_payload",
+                       F.array_join(F.col("ike.notify_types").cast("array<string>"), ",").alias("notify_types"),
+                       F.array_join(F.col("ike.proposal_fields")["tf.id.encr"], ",").alias("encryption"),
+                       "ike.fragment_number")

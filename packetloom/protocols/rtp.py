@@ -55,7 +55,23 @@ def stream_rows(pk: DataFrame) -> DataFrame:
 
 def rtp_streams(pk: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> DataFrame:
     """One row per stream: copies, late packets, holes in the unrolled numbers, and packet gaps."""
-    rows = stream_rows(pk)
+    return streams_of(stream_rows(pk), threshold_ms)
+
+
+def header_stream_rows(fr: DataFrame) -> DataFrame:
+    """The rows of streams among header rows, in the shape of `stream_rows`."""
+    from packetloom.functions.parse import nanoseconds, relative
+    from packetloom.schemas import field
+
+    rows = secured_rows(fr).select(
+        "flow_key", F.when(F.col("a_to_b"), "A_to_B").otherwise("B_to_A").alias("direction"),
+        field("rtp.ssrc").alias("rtp_ssrc"), safe_int(field("rtp.seq")).cast("bigint").alias("rtp_sequence"), "srtp",
+        "frame_number", nanoseconds(relative(field("frame.time_relative"))).alias("time_ns"))
+    return rows.where("rtp_ssrc IS NOT NULL AND rtp_sequence IS NOT NULL")
+
+
+def streams_of(rows: DataFrame, threshold_ms: float = DEFAULT_PAUSE_MS) -> DataFrame:
+    """Streams of rows that name their stream, number and time."""
     extended = extend_sequence(
         rows.select(*STREAM, "rtp_sequence", "frame_number", "srtp"), STREAM, "rtp_sequence")
     points = extended.groupBy(*STREAM, "extended").agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packetloom.protocols import esp, rtp, smb, tcp, tls
+from packetloom.protocols import bgp, esp, ike, link, rtp, smb, tcp, tls
 from packetloom.sources.fields import with_fields
 
 FIELD_NAMES = sorted({*esp.FIELDS, *rtp.FIELDS, *smb.FIELDS, *tcp.TCP_FIELDS, *tcp.UDP_FIELDS,
@@ -74,3 +74,27 @@ def header_rows(pk: DataFrame) -> DataFrame:
     rows = pk.select(*KEPT, F.col("src_ip").alias("src"), F.col("dst_ip").alias("dst"),
                      *[F.expr(e).alias(n) for n, e in EXPRESSIONS.items()])
     return with_fields(rows, FIELD_NAMES)
+
+
+_LISTED = {"bgp_fields": bgp.FIELDS, "macsec_fields": link.MACSEC_FIELDS, "eapol_fields": link.EAPOL_FIELDS}
+CONTROL_EXPRESSIONS = {n: EXPRESSIONS[n] for n in ("frame.number", "frame.len", "frame.time_relative", "ip.src", "ip.dst")} | {
+    "tcp.srcport": EXPRESSIONS["tcp.srcport"], "tcp.dstport": EXPRESSIONS["tcp.dstport"],
+    "udp.srcport": EXPRESSIONS["udp.srcport"], "udp.dstport": EXPRESSIONS["udp.dstport"],
+    "eth.src": "src_mac", "eth.dst": "dst_mac",
+    "isakmp.version": "CAST(ike.version AS STRING)", "isakmp.ispi": "upper(ike.initiator_spi)",
+    "isakmp.rspi": "ike.responder_spi", "isakmp.exchangetype": "CAST(ike.exchange_type AS STRING)",
+    "isakmp.messageid": "concat('0x', lower(hex(ike.message_id)))", "isakmp.flags": "CAST(ike.flags AS STRING)",
+    "isakmp.nextpayload": "CAST(ike.next_payload AS STRING)", "isakmp.length": "CAST(ike.length AS STRING)",
+    "isakmp.notify.msgtype": "array_join(ike.notify_types, ',')",
+    "isakmp.frag.number": "CAST(ike.fragment_number AS STRING)", "isakmp.frag.total": "CAST(ike.fragment_total AS STRING)",
+    "isakmp.frag.packetid": "CAST(ike.fragment_id AS STRING)",
+    "isakmp.tf.id.encr": "array_join(ike.proposal_fields['tf.id.encr'], ',')",
+    "isakmp.tf.type": "array_join(ike.proposal_fields['tf.type'], ',')",
+} | {name: f"array_join({column}['{name}'], ',')" for column, names in _LISTED.items() for name in names}
+
+
+def control_header_rows(pk: DataFrame) -> DataFrame:
+    """Header rows of IKE, BGP, MACsec and EAPOL packets."""
+    rows = pk.select(*KEPT, F.coalesce("src_ip", "src_mac").alias("src"), F.coalesce("dst_ip", "dst_mac").alias("dst"),
+                     *[F.expr(e).alias(n) for n, e in CONTROL_EXPRESSIONS.items()])
+    return with_fields(rows, sorted({*ike.FIELDS, *bgp.FIELDS, *link.MACSEC_FIELDS, *link.EAPOL_FIELDS}))
