@@ -11,7 +11,8 @@ bucket. No bucket is expanded into pairs. Instead
 1. every member of a bucket is verified against one pivot, drawn by hash from the bucket;
 2. the components of the verified links are found;
 3. only in buckets that still hold several components, members outside the pivot's component are compared
-   with the others, in blocks of bounded size: by their registers, and exactly where those leave it open.
+   with the others, in blocks of bounded size: by their registers, and exactly where those leave it open. Buckets
+   of one component that overlap are compared as one, so that a text is sent once and not for every band.
 
 Two nodes of one bucket are either in one component after step 2 or compared in step 3, so no link between
 texts that share a bucket is lost. Verification computes the exact probability Jaccard similarity.
@@ -37,6 +38,8 @@ REGISTERS = BANDS * BAND_ROWS
 #: Five standard errors below the threshold: what the registers rate lower is not verified.
 SURELY_LESS = SIMILARITY - 5 * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 BLOCK = 1024
+#: Buckets of one component are merged if together they hold at most so many times the texts of the largest.
+OVERLAP = 4
 STORED = "row long, doc_id long, node binary, bands array<long>, registers binary"
 
 
@@ -224,10 +227,11 @@ class _Side:
 def _block_links(table: pa.Table, similarity: float) -> list[tuple[bytes, bytes]]:
     """Verified links between outsiders and members of one bucket that join two labels.
 
-    A pair is looked at in the first of the bands that both texts share, and where both are outsiders from
-    one side only; what has become one label is not compared further.
+    A pair is looked at if both texts share a band: in its bucket the first they share, and where buckets are
+    merged any. Where both are outsiders it is looked at from one side only; what has become one label is not
+    compared further.
     """
-    bucket = table["bucket"][0].as_py()
+    band = table["band"][0].as_py()
     role = pa.array(np.array(table["out"].to_pylist(), bool))
     out, other = _Side(table.filter(role)), _Side(table.filter(pa.compute.invert(role)))
     numbers = {label: k for k, label in enumerate({*out.labels, *other.labels})}
@@ -245,7 +249,10 @@ def _block_links(table: pa.Table, similarity: float) -> list[tuple[bytes, bytes]
         rate = (other.registers == out.registers[k]).mean(axis=1)
         close = np.flatnonzero((rate >= floor) & (other_number != numbers[out.labels[k]]))
         shared = other.bands[close] == out.bands[k]
-        close = close[out.bands[k][shared.argmax(axis=1)] == bucket] if len(close) else close
+        held = shared.any(axis=1)
+        if band is not None:
+            held &= out.bands[k][shared.argmax(axis=1)] == band
+        close = close[held]
         if chosen := [m for m in close.tolist() if not other.outside[m] or node < other.nodes[m]]:
             likely[k] = chosen
     own, others = out.shingles(list(likely)), other.shingles(sorted({m for ms in likely.values() for m in ms}))
@@ -265,7 +272,8 @@ def _block_links(table: pa.Table, similarity: float) -> list[tuple[bytes, bytes]
 
 def leftover_links(members: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
     """Verified links (u, v) inside buckets between a member outside the component of the bucket's pivot and
-    any other component. `members` has bucket, node, label, pivot_label, bands, registers and packed.
+    any other component. `members` has bucket (one of a band, or several merged), band (null if merged), node, label,
+    pivot_label, bands, registers and packed.
 
     The members of a bucket are dealt into blocks by a hash of the node, as many as their number asks for;
     a task sees one block of outsiders and one block of members at a time.
@@ -276,7 +284,7 @@ def leftover_links(members: DataFrame, similarity: float, block: int = BLOCK) ->
         "bucket", F.ceil(F.col("n") / block).alias("blocks"), F.ceil(F.col("n_out") / block).alias("out_blocks"))
     dealt = members.join(open_buckets.hint("merge"), "bucket").select(
         "*", F.xxhash64("node").alias("hash"), (F.col("label") != F.col("pivot_label")).alias("outside"))
-    fields = ["node", "label", "outside", "bands", "registers", "packed"]
+    fields = ["band", "node", "label", "outside", "bands", "registers", "packed"]
     outsiders = dealt.where("outside").select(
         "bucket", F.pmod("hash", "out_blocks").alias("out_block"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *fields, F.lit(True).alias("out"))
@@ -293,6 +301,27 @@ def leftover_links(members: DataFrame, similarity: float, block: int = BLOCK) ->
         compare, "u binary, v binary")
 
 
+def unclear_members(known: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """Members of buckets that may still hold several components: (bucket, band, node, label, pivot_label).
+
+    The buckets of one pivot component mostly hold the same texts, as a group of near copies meets in every band. If
+    together they have at most `overlap` times the texts of the largest, they become one bucket, named by the
+    component, and each text stands in it once; else they stay apart.
+    """
+    members = settle(known.groupBy("pivot_label", "node", "label").agg(
+        F.collect_list("bucket").alias("bands_in"), F.max("n").alias("n")), "bucket_members")  # a bucket for each band
+    sizes = members.groupBy("pivot_label").agg(
+        F.count(F.lit(1)).alias("texts"), F.max("n").alias("most"),
+        F.max(F.col("label") != F.col("pivot_label")).alias("split")).where("split").select(
+        "pivot_label", (F.col("texts") <= overlap * F.col("most")).alias("merged"))
+    dealt = members.join(sizes.hint("merge"), "pivot_label")
+    whole = dealt.where("merged").select(
+        F.col("pivot_label").alias("bucket"), F.lit(None).cast(known.schema["bucket"].dataType).alias("band"), "node",
+        "label", "pivot_label")
+    apart = dealt.where("NOT merged").select(F.explode("bands_in").alias("band"), "node", "label", "pivot_label")
+    return whole.unionByName(apart.withColumn("bucket", F.col("band").cast("string").cast("binary")))
+
+
 def near_labels(docs: DataFrame, stored: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, label) of every node with a near-duplicate: the component of its verified links."""
     nodes = settle(stored.where("node IS NOT NULL").groupBy("node").agg(
@@ -312,10 +341,7 @@ def near_labels(docs: DataFrame, stored: DataFrame, similarity: float = SIMILARI
         return df.join(told.hint("merge"), node, "left").withColumn(name, F.coalesce(name, node))
 
     known = settle(labelled(labelled(buckets.where("n > 2"), "node", "label"), "pivot", "pivot_label"), "known")
-    split = known.where("label != pivot_label").select("bucket").distinct()
-    unclear = (known.select("bucket", "node", "label", "pivot_label").join(
-        split.hint("merge"), "bucket", "left_semi")
-        .join(nodes.hint("merge"), "node").join(texts.hint("merge"), "node"))
+    unclear = unclear_members(known).join(nodes.hint("merge"), "node").join(texts.hint("merge"), "node")
     second = settle(leftover_links(unclear, similarity), "leftover_links")
     joined = settle(labelled(labelled(second, "u", "a"), "v", "b").select(
         F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "label_links")

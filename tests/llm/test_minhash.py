@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 import zstandard
 
 from packetloom.llm import minhash
@@ -126,7 +127,8 @@ def test_blocks_of_leftover_links(spark):
              kept[k].astype(np.uint16).tobytes(), press.compress(t.encode()))
             for k, t in enumerate(texts) for key in bands[k]]
     df = spark.createDataFrame(rows, "bucket long, node binary, label binary, pivot_label binary, bands array<long>, "
-                                     "registers binary, packed binary")
+                                     "registers binary, packed binary").withColumn("band", F.col("bucket"))
+    once = df.withColumns({"bucket": F.col("pivot_label"), "band": F.lit(None).cast("long")}).dropDuplicates(["node"])
     label = {r[1]: r[2] for r in rows}
     bag = dict(zip(nodes, map(weights, texts)))
 
@@ -150,11 +152,24 @@ def test_blocks_of_leftover_links(spark):
     def shared(u, v):  # members of the first common bucket; a bucket of two is left to its pivot
         return next((size[a] for a, b in zip(keys[u], keys[v]) if a == b), 0)
 
-    every = [(u, v) for u in nodes for v in nodes
-             if u < v and shared(u, v) > 2 and similarity(bag[u], bag[v]) >= 0.8]
-    for block in (1000, 7):
-        found = [(bytes(r.u), bytes(r.v)) for r in minhash.leftover_links(df, 0.8, block).collect()]
-        assert found and set(found) <= set(every) and groups(found) == groups(every)
+    near = [(u, v) for u in nodes for v in nodes if u < v and similarity(bag[u], bag[v]) >= 0.8]
+    for members, block in ((df, 1000), (df, 7), (once, 1000), (once, 7)):
+        every = [(u, v) for u, v in near if shared(u, v) > (0 if members is once else 2)]
+        found = [(bytes(r.u), bytes(r.v)) for r in minhash.leftover_links(members, 0.8, block).collect()]
+        assert found and groups(found) == groups(every)
+        assert members is once or set(found) <= set(every)
+
+
+def test_overlapping_buckets_are_merged(spark):
+    rows = [(1, "a", "a", "a", 3), (1, "b", "b", "a", 3), (1, "c", "a", "a", 3), (2, "a", "a", "a", 2), (2, "b", "b", "a", 2),
+            (3, "d", "d", "d", 3), (3, "e", "e", "d", 3), (3, "f", "d", "d", 3), (4, "g", "g", "g", 3), (4, "h", "g", "g", 3)]
+    rows += [(10 + k, f"x{2 * k + j}", "z" if j else f"x{2 * k}", "z", 2) for k in range(9) for j in range(2)]
+    known = spark.createDataFrame(rows, "bucket long, node string, label string, pivot_label string, n long").selectExpr(
+        "bucket", "cast(node AS binary) node", "cast(label AS binary) label", "cast(pivot_label AS binary) pivot_label", "n")
+    found = sorted((bytes(r.bucket), r.band, bytes(r.node)) for r in minhash.unclear_members(known).collect())
+    merged = [(b"a", None, n) for n in (b"a", b"b", b"c")] + [(b"d", None, n) for n in (b"d", b"e", b"f")]
+    apart = [(str(10 + k).encode(), 10 + k, f"x{2 * k + j}".encode()) for k in range(9) for j in range(2)]
+    assert found == sorted(merged + apart, key=lambda r: (r[0], r[2]))
 
 
 def test_one_of_each(spark):
