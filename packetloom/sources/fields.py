@@ -94,11 +94,14 @@ NUMBERS = {
 }
 TCP_MARKERS = ["retransmission", "fast_retransmission", "out_of_order", "duplicate_ack",
                "lost_segment", "zero_window", "zero_window_probe"]
+# Certificate columns, each from the first of its alternative fields that is filled.
 CERTIFICATE_FIELDS = {
-    "subject": "x509af.subject", "issuer": "x509af.issuer", "serial": "x509af.serialNumber",
-    "not_before": "x509af.utcTime", "not_after": "x509af.generalizedTime",
-    "san": "x509ce.dNSName", "fingerprint_sha256": "x509af.fingerprint_sha256",
+    "subject": ["x509af.subject", "x509sat.printableString"], "issuer": ["x509af.issuer"],
+    "serial": ["x509af.serialNumber"], "not_before": ["x509af.utcTime", "x509af.notBefore"],
+    "not_after": ["x509af.generalizedTime", "x509af.notAfter"], "san": ["x509ce.dNSName"],
+    "fingerprint_sha256": ["x509af.fingerprint_sha256"],
 }
+CERTIFICATE_NAMES = [n for names in CERTIFICATE_FIELDS.values() for n in names]
 
 
 def project(rows: DataFrame, protocol: str) -> dict[str, Column]:
@@ -134,7 +137,7 @@ def observe(rows: DataFrame, srtp_ports: list[int] = ()) -> DataFrame:
         "rtp.timestamp", "rtp.p_type", "rtp.marker", "srtp.enc_payload", "srtp.auth_tag", "dns.a",
         "dns.aaaa", "dns.resp.addr", "smb2.cmd", "smb.cmd", "smb2.flags.response",
         "smb.flags.response", *BGP_FIELDS, *MACSEC_FIELDS, *EAPOL_FIELDS,
-        *CERTIFICATE_FIELDS.values(), "isakmp.version",
+        *CERTIFICATE_NAMES, "isakmp.version",
     ]
     from packetloom.protocols.ike import FIELDS as IKE_FIELDS
 
@@ -212,10 +215,10 @@ def observe(rows: DataFrame, srtp_ports: list[int] = ()) -> DataFrame:
 
 def with_certificates(pk: DataFrame, rows: DataFrame) -> DataFrame:
     """Attach the certificates of header rows (fields joined by `|`) to their packets."""
-    df = with_fields(rows, list(CERTIFICATE_FIELDS.values())).select(
+    df = with_fields(rows, CERTIFICATE_NAMES).select(
         safe_int(field("frame.number")).alias("frame_number"),
-        *[field(n) for n in CERTIFICATE_FIELDS.values()])
-    lists = {name: F.split(field(n), r"\|") for name, n in CERTIFICATE_FIELDS.items()}
+        *[field(n) for n in CERTIFICATE_NAMES])
+    lists = {name: F.split(first_filled(*[field(n) for n in names]), r"\|") for name, names in CERTIFICATE_FIELDS.items()}
     per_packet = certificate_rows(df, lists, ["frame_number"])
     null = F.lit(None).cast("string")
     entry = F.struct("slot", F.struct(
