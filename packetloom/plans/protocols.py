@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from packetloom.functions import names
 from packetloom.operators import evidence, metrics, rollup
 from packetloom.plans import report
-from packetloom.plans.catalog import query
+from packetloom.plans.catalog import QUERIES, query
 from packetloom.plans.packets import CONTROL, MASK
 from packetloom.plans.related import SMB_OPS
 from packetloom.plans.sequences import PAUSE_MS, WINDOWS
@@ -524,6 +524,43 @@ def detail_rtp(t):
     return report.detail_rtp(t.packets, t.ranked).select("flow_id", "rtp_ssrc", "direction", "packets")
 
 
+CONTROL_FLOWS = IKE + BGP.removeprefix(CONTROL) + """,
+cr AS (SELECT flow_key, row_number() OVER (ORDER BY sum(60 + floor(v)) DESC, min(frame_number)) AS flow_id FROM (
+    SELECT flow_key, frame_number, v FROM kf UNION ALL SELECT flow_key, frame_number, v FROM bf
+    UNION ALL SELECT flow_key, frame_number, v FROM lf) GROUP BY flow_key)"""
+
+
+def control_flows(t):
+    return rollup.rank_flows(rollup.flow_rollup(t.control).select(*rollup.CORE_COLUMNS))
+
+
+@query("m19_detail_ike", CONTROL_FLOWS + """
+SELECT flow_id, version, initiator_spi, responder_spi, min(frame_number) AS first_at,
+  count(*) FILTER (forward) AS a_to_b_packets, count(*) FILTER (NOT forward) AS b_to_a_packets,
+  count(*) FILTER (k % 7 = 1) AS fragmented_packets
+FROM kf JOIN cr USING (flow_key) GROUP BY ALL""")
+def detail_ike(t):
+    return report.detail_ike(t.control, control_flows(t)).select(
+        "flow_id", "version", "initiator_spi", "responder_spi", "first_at", "a_to_b_packets", "b_to_a_packets",
+        "fragmented_packets")
+
+
+@query("m19_detail_bgp", CONTROL_FLOWS + """
+SELECT flow_id, a_to_b, field, value, count(*) AS n FROM bv JOIN cr USING (flow_key) GROUP BY ALL""")
+def detail_bgp(t):
+    return report.detail_bgp(t.control, control_flows(t)).drop("flow_key")
+
+
+@query("m19_detail_link", CONTROL_FLOWS + f"""
+SELECT flow_id, x.* EXCLUDE (flow_key) FROM (
+  SELECT flow_key, field, value, n, CAST(NULL AS BIGINT) AS low, CAST(NULL AS BIGINT) AS high FROM ({QUERIES["a17_link_counts"].sql})
+  UNION ALL SELECT flow_key, field, NULL, NULL, low, high FROM ({QUERIES["a17_link_ranges"].sql})) x JOIN cr USING (flow_key)""")
+def detail_link(t):
+    chosen = control_flows(t)
+    return report.detail_link(t.control, chosen, "MACSEC").unionByName(
+        report.detail_link(t.control, chosen, "EAPOL")).drop("flow_key")
+
+
 @query("m19_detail_tls", pk(FLOWS + """
 SELECT flow_id, concat(concat_ws(':', endpoint_a, CAST(port_a AS VARCHAR)), ' <-> ',
   concat_ws(':', endpoint_b, CAST(port_b AS VARCHAR))) AS endpoint
@@ -533,12 +570,11 @@ def detail_tls(t):
 
 
 @query("m19_detail_evidence", pk(FLOWS + WINDOWS + """
-SELECT flow_id, tool, sample_offset, issue_packet_index, issue_count FROM ew
-JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key)"""))
+SELECT flow_id, tool, sample_offset, issue_packet_index, issue_count, reasons FROM ew
+JOIN er USING (flow_key, tool, sample_offset) JOIN (SELECT flow_key, flow_id FROM ranked) USING (flow_key)"""))
 def detail_evidence(t):
     windows = evidence.merge_windows(evidence.evidence_triggers(t.packets, PAUSE_MS))
-    return report.detail_evidence(windows, t.ranked).drop(
-        "reasons", "frame_number")
+    return report.detail_evidence(windows, t.ranked).drop("frame_number")
 
 
 @query("m20_protocols_present", pk(PROTOCOL_NAMES + """
