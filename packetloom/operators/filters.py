@@ -205,3 +205,18 @@ def flows_by_phone(flow_table: DataFrame, sip_packets: DataFrame, number: str) -
     calling = sip_packets.where(
         digits(F.col("sip_from")).contains(wanted) | digits(F.col("sip_to")).contains(wanted))
     return flow_table.join(calling.select("flow_key").distinct(), "flow_key", "left_semi")
+
+
+def flows_by_saved_phone(flow_table: DataFrame, number: str, calls: DataFrame | None = None,
+                         participants: DataFrame | None = None) -> DataFrame:
+    """Flows with the wanted digits in the caller or callee of a stored call (flow_key, caller, callee) or in a stored
+    participant (flow_key, participant); no packets are needed. No digits keep all flows."""
+    wanted = re.sub(r"\D", "", number)
+    if not wanted:
+        return flow_table
+    named = [table.select("flow_key", F.col(column).alias("name")) for table, column in (
+        (calls, "caller"), (calls, "callee"), (participants, "participant")) if table is not None]
+    if not named:
+        return flow_table.where(F.lit(False))
+    found = reduce(DataFrame.unionByName, named).where(digits(F.col("name")).contains(wanted))
+    return flow_table.join(found.select("flow_key").distinct(), "flow_key", "left_semi")

@@ -8,8 +8,8 @@ from packetloom.operators import filters, keys, metrics, rollup
 from packetloom.operators.filters import FlowFilter
 from packetloom.plans.catalog import query
 from packetloom.plans.sql import FLOWS, PROTOCOL_NAMES, pk
-from packetloom.protocols import dns, rtp
-from packetloom.settings import scratch_path
+from packetloom.protocols import dns, rtp, sip
+from packetloom.settings import scratch_path, settle
 from packetloom.sources import tables
 
 
@@ -597,3 +597,13 @@ SELECT DISTINCT flow_key FROM pk WHERE regexp_replace(coalesce(sip_from, ''), '[
   LIKE '%5551005%' OR regexp_replace(coalesce(sip_to, ''), '[^0-9]', '', 'g') LIKE '%5551005%'"""))
 def flows_by_phone(t):
     return filters.flows_by_phone(t.flows, t.packets, "555-1005").select("flow_key")
+
+
+@query("f13_flows_by_saved_phone", pk("""
+SELECT DISTINCT flow_key FROM pk WHERE regexp_replace(coalesce(sip_from, ''), '[^0-9]', '', 'g')
+  LIKE '%5551005%' OR regexp_replace(coalesce(sip_to, ''), '[^0-9]', '', 'g') LIKE '%5551005%'"""))
+def flows_by_saved_phone(t):
+    """The same flows from stored calls and participants."""
+    calls = settle(sip.sip_calls(t.packets).select("flow_key", "caller", "callee"), "calls")
+    participants = settle(sip.sip_participants(t.packets).select("flow_key", "participant"), "participants")
+    return filters.flows_by_saved_phone(t.flows, "555-1005", calls, participants).select("flow_key")

@@ -11,6 +11,8 @@ from pyspark.sql import SparkSession
 
 CHUNK_ROWS = "packetloom.chunkRows"
 DEFAULT_CHUNK_ROWS = 1 << 19
+#: Spark's own defaults, which say nothing of what a user wants.
+BATCH_BYTES, BATCH_ROWS = "67108864b", "10000"
 
 _private: dict[str, str] = {}
 
@@ -43,6 +45,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, most_bytes: int = 4 << 20, most_rows: int = 2000) -> None:
+    """Bound the Arrow batches that Python workers of this session get from now on, where a user has not.
+
+    A batch stands in memory several times over, outside of Spark's heap, for every running task.
+    """
+    for name, most, usual in (("maxBytesPerBatch", most_bytes, BATCH_BYTES), ("maxRecordsPerBatch", most_rows, BATCH_ROWS)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, usual) in (usual, ""):
+            spark.conf.set(key, str(most))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/packetloom/{name}-{uuid.uuid4().hex}"
 

@@ -52,3 +52,13 @@ def test_child_tables_show_direction_without_packets(spark, packets):
     flows = fl.join(sets, "flow_key")
     assert filters.filter_flows(flows, filters.FlowFilter(protocol="srtp", src="10.0.0.2")).count() == 1
     assert filters.filter_flows(flows, filters.FlowFilter(protocol="srtp", src="10.0.0.1")).count() == 0
+
+
+def test_phone_search_in_stored_calls(spark, packets):
+    fl = rollup.flow_rollup(packets([WAY, {**WAY, "src_ip": "10.0.0.9"}]))
+    keys = sorted(r.flow_key for r in fl.collect())
+    calls = spark.createDataFrame([(keys[0], "sip:+1 (555) 010@x", None)], "flow_key string, caller string, callee string")
+    people = spark.createDataFrame([(keys[1], "tel:555-010-7")], "flow_key string, participant string")
+    found = lambda *a: sorted(r.flow_key for r in filters.flows_by_saved_phone(fl, *a).collect())
+    assert found("555 010", calls, people) == keys and found("5550107", calls, people) == keys[1:]
+    assert found("555010", calls) == keys[:1] and found("555010") == [] and found("no digits", calls) == keys
