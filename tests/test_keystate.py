@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,64 @@ def test_runs_count_the_records_of_any_split():
             at += len(part)
         records = [n for k, n in enumerate(numbers) if n > max(numbers[:k], default=-1)]
         assert state == (numbers[0], max(numbers), len(records))
+
+
+class Held(dict):
+    """A map state that counts how often it is asked."""
+
+    asked = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.asked += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.asked += 1
+        self[key] = value
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getMapState(self, name, *schema):  # noqa: N802
+        return self.states.setdefault(name, Held())
+
+
+def test_one_call_appends_the_segments_of_many_ways():
+    rng = random.Random(4)
+    processor, handle, rows, frame = keystate.GapState(300.0), Handle(), [], 0
+    processor.init(handle)
+    for _ in range(2):
+        segments, chunks = [], rng.sample(range(3), 3)
+        for flow in "abc":
+            for chunk in range(3):
+                times = [rng.choice([None, rng.randrange(5) * 200_000_000]) for _ in range(rng.randint(1, 4))]
+                rows += [((flow, True), frame + n, t) for n, t in enumerate(times, 1)]
+                frame += len(times)
+                ns, timed = np.array([t or 0 for t in times], np.int64), np.array([t is not None for t in times])
+                segments.append({
+                    "flow_key": flow, "a_to_b": True, "chunk": chunk, "first_ns": ns[0], "first_timed": timed[0],
+                    "last_frame": frame, "last_ns": ns[-1], "last_timed": timed[-1],
+                    **keystate.gap_segment(ns, timed, 300.0)})
+        segments.sort(key=lambda s: chunks[s["chunk"]])
+        (touched,) = processor.handleInputRows((0,), iter([pd.DataFrame(segments[:4]), pd.DataFrame(segments[4:])]), None)
+        assert sorted(touched["flow_key"]) == ["a", "b", "c"]
+    held = handle.states["gaps"]
+    found = {way: dict(zip(keystate._names(keystate.GAP_VALUE), value)) for way, value in held.items()}
+    for way, plain in folded_gaps(rows, 300.0).items():
+        assert {n: found[way][n] for n in (*keystate.GAP_SUMS, "last_frame")} == {
+            n: plain[n] for n in (*keystate.GAP_SUMS, "last_frame")}
+    assert held.asked == 2 * 2 * 3  # a read and a write of a way and batch
+
+
+def test_record_runs_of_many_streams():
+    rng = random.Random(5)
+    for _ in range(50):
+        streams = [[rng.choice([n, rng.randrange(30)]) for n in range(rng.randint(1, 20))] for _ in range(5)]
+        numbers = np.concatenate([np.array(s, np.int64) for s in streams])
+        keys = np.repeat(np.arange(5), [len(s) for s in streams])
+        first, last = keystate.record_places(numbers, keys)
+        found = list(zip(keys[first].tolist(), numbers[first].tolist(), numbers[last].tolist()))
+        assert found == [(k, int(low), int(high)) for k, s in enumerate(streams)
+                         for low, high in zip(*keystate.record_runs(np.array(s, np.int64)))]
