@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packetloom.functions.names import dns_success, smb_failed
 from packetloom.functions.parse import filled
@@ -43,8 +44,15 @@ def _values(pk: DataFrame, out: str, columns: list[Column], keys: list[str] = ()
 
 def counter(values: DataFrame, key: str, at: str = "at") -> DataFrame:
     """Counts per value from the most frequent; ties stay in order of first appearance."""
-    counts = values.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.min(at).alias("first_at"))
+    kept = values.where(F.col(key).isNotNull())
+    if not isinstance(values.schema[at].dataType, T.StructType):
+        counts = kept.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("first_at"))
+        return by_frequency(counts).select(key, "n", "rank")
+    # the minimum of a struct makes Spark sort all rows; that of a frame for each slot is hashed
+    frame = F.col(f"{at}.frame")
+    slots = kept.groupBy(key, F.col(f"{at}.slot").alias("slot")).agg(
+        F.count(F.lit(1)).alias("n"), F.when(F.count(frame) == F.count(F.lit(1)), F.min(frame)).alias("frame"))
+    counts = slots.groupBy(key).agg(F.sum("n").alias("n"), F.min(F.struct("frame", "slot")).alias("first_at"))
     return by_frequency(counts).select(key, "n", "rank")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import evidence, folds, ordered, ranking
+from packetloom.operators import evidence, folds, ordered, ranking, rollup
 
 
 def by_frame(df, *columns):
@@ -195,3 +195,16 @@ def test_packet_limit_counts_packets_not_numbers(packets, small_chunks):
     assert got.columns == pk.columns
     assert sorted(r.frame_number for r in got.collect()) == [3 * k + 100 for k in range(1, 18)]
     assert packet_limit(pk, 100).count() == 40 and packet_limit(pk, 0).count() == 0
+
+
+def test_ports_are_counted_without_a_sort_of_all_rows(packets, monkeypatch):
+    rows = [{"src_ip": "a", "dst_ip": "b", "protocol": "UDP", "src_port": s, "dst_port": d}
+            for s, d in [(7, 9), (9, 7), (None, 5), (8, 5), (9, None), (6, 4)]]
+    seen = []
+    monkeypatch.setattr(rollup, "by_frequency", lambda c, by=rollup.by_frequency: (seen.append(c), by(c))[1])
+    found = rollup.port_counts(packets(rows)).collect()
+    assert sorted((r["rank"], r["port"], r["n"]) for r in found) == [
+        (1, 9, 3), (2, 7, 2), (3, 5, 2), (4, 8, 1), (5, 6, 1), (6, 4, 1)]
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    aggregates = [line for line in plan.splitlines() if "Aggregate(" in line]
+    assert "HashAggregate(" in aggregates[-1]
