@@ -44,11 +44,13 @@ def scan(
     latest: dict[str, Column] | None = None,
     highest: dict[str, Column] | None = None,
     total: dict[str, Column] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Add values taken from the earlier rows of the same key.
 
     `position` counts rows from 1, `previous` is the value of the row just before (null kept),
     `latest` the last non-null value before, `highest` the maximum before and `total` the sum before.
+    `tasks` fixes how many tasks sort the rows; by default Spark merges small partitions by their compressed size.
     """
     wanted = [
         (kind, out, column)
@@ -92,6 +94,8 @@ def scan(
 
     both = rows.withColumns({"_n": F.lit(1).cast("bigint"), "_carried": F.lit(False)}).unionByName(
         carried, allowMissingColumns=True)
+    if tasks:
+        both = both.repartition(tasks, *step)
     in_chunk = Window.partitionBy(*step).orderBy(F.col(order).asc_nulls_first())
     before = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
 

@@ -9,6 +9,8 @@ from packetloom.operators.ordered import chunk_of
 from packetloom.operators.ranking import row_positions
 
 PAGE_ROWS = 1000
+#: Rows that a task numbers or joins to pages, however well they compress.
+ROWS_PER_TASK = 1 << 17
 
 
 def _check(offset: int, limit: int) -> None:
@@ -55,20 +57,28 @@ def describe_page(df: DataFrame, offset: int = 0, limit: int | None = PAGE_ROWS)
 def paged_by_flow(df: DataFrame, requests: DataFrame, order: str, limit: int = PAGE_ROWS
                   ) -> DataFrame:
     """Rows of several requested pages at once; requests are (flow_key, offset)."""
-    numbered = row_positions(df.join(requests.select("flow_key").distinct(), "flow_key", "left_semi"),
-                             ["flow_key"], order, "position")
-    return page_rows(numbered, requests, ["flow_key"], limit)
-
-
-def page_rows(numbered: DataFrame, requests: DataFrame, keys: list[str], limit: int = PAGE_ROWS
-              ) -> DataFrame:
+    tasks = -(-df.count() // ROWS_PER_TASK) or 1
+    rows = df.withColumn("_part", F.coalesce(chunk_of(order, df), F.lit(-1)))
+    # asked flows are looked up per chunk, so that no task gets all rows of a flow
+    parts = rows.select("flow_key", "_part").distinct().join(
+        requests.select("flow_key").distinct(), "flow_key", "left_semi")
+    asked = rows.repartition(tasks, "flow_key", "_part").join(parts, ["flow_key", "_part"], "left_semi").drop("_part")
+    numbered = row_positions(asked, ["flow_key"], order, "position", tasks)
+    return page_rows(numbered, requests, ["flow_key"], limit, tasks)
+
+
+def page_rows(numbered: DataFrame, requests: DataFrame, keys: list[str], limit: int = PAGE_ROWS,
+              tasks: int | None = None) -> DataFrame:
     """Rows numbered once per key in `position`, joined to the pages that ask for them (keys, offset).
 
-    A page touches at most two blocks of `limit` positions, so a row meets only pages near it.
+    A page touches at most two blocks of `limit` positions, so a row meets only pages near it. `tasks` fixes how many
+    tasks join the rows.
     """
     asked = requests.withColumn("_block", F.explode(F.array_distinct(F.array(
         F.floor(F.col("offset") / limit), F.floor((F.col("offset") + limit - 1) / limit)))))
-    return numbered.withColumn("_block", F.floor(F.col("position") / limit)).join(
-        asked, [*keys, "_block"]).where(
+    placed = numbered.withColumn("_block", F.floor(F.col("position") / limit))
+    if tasks:
+        placed = placed.repartition(tasks, *keys, "_block")
+    return placed.join(asked, [*keys, "_block"]).where(
             (F.col("position") >= F.col("offset")) & (F.col("position") < F.col("offset") + limit)
     ).drop("_block")

@@ -98,6 +98,6 @@ def by_frequency(counts: DataFrame, n: str = "n", first: str = "first_at",
     return rank_descending(counts, n, first, out)
 
 
-def row_positions(df: DataFrame, keys: list[str], order: str, out: str) -> DataFrame:
+def row_positions(df: DataFrame, keys: list[str], order: str, out: str, tasks: int | None = None) -> DataFrame:
     """Zero-based place of each row within its key."""
-    return scan(df, keys, order, position=out).withColumn(out, F.col(out) - 1)
+    return scan(df, keys, order, position=out, tasks=tasks).withColumn(out, F.col(out) - 1)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from packetloom.operators import evidence, folds, ordered, ranking, rollup
+from packetloom.operators import evidence, folds, ordered, paging, ranking, rollup
 
 
 def by_frame(df, *columns):
@@ -208,3 +208,16 @@ def test_ports_are_counted_without_a_sort_of_all_rows(packets, monkeypatch):
     plan = seen[0]._jdf.queryExecution().executedPlan().toString()
     aggregates = [line for line in plan.splitlines() if "Aggregate(" in line]
     assert "HashAggregate(" in aggregates[-1]
+
+
+def test_pages_are_numbered_and_joined_in_tasks_of_bounded_rows(spark, small_chunks, monkeypatch):
+    monkeypatch.setattr(paging, "ROWS_PER_TASK", 10)
+    df = spark.createDataFrame([(n, "hot" if n % 3 else "a") for n in range(60)], "n bigint, flow_key string")
+    asked = spark.createDataFrame([("hot", 5), ("hot", 30), ("a", 0)], "flow_key string, offset bigint")
+    out = paging.paged_by_flow(df, asked, "n", 10)
+    places = {"hot": [n for n in range(60) if n % 3], "a": list(range(0, 60, 3))}
+    assert sorted((r["flow_key"], r["offset"], r["position"], r["n"]) for r in out.collect()) == sorted(
+        (flow, at, p, places[flow][p]) for flow, at in [("hot", 5), ("hot", 30), ("a", 0)]
+        for p in range(at, min(at + 10, len(places[flow]))))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("6), REPARTITION_BY_NUM") >= 2
