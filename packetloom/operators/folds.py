@@ -9,6 +9,8 @@ for keys of any size, and no group holds more than a chunk of rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -151,6 +153,43 @@ def window_map(at: np.ndarray) -> StepMap:
                     np.append(count, 0))
 
 
+def new_groups(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """Which rows differ from the row before in any of the columns; a null equals a null."""
+    new = np.ones(batch.num_rows, bool)
+    new[1:] = False
+    for name in names:
+        codes = batch[name].dictionary_encode(null_encoding="encode").indices.to_numpy()
+        new[1:] |= codes[1:] != codes[:-1]
+    return new
+
+
+def _opened(batch: pa.RecordBatch, new: np.ndarray, position: str, end: int) -> tuple[np.ndarray, int]:
+    """Rows of a sorted batch that open a window, and where the last window of its last group ends.
+
+    A row without a position carries the entry of its group; a group that goes on from the batch before, up to the first
+    new row, is entered with `end`. All groups take a step at once, so there are as many steps as windows in one group.
+    """
+    group = np.cumsum(new) - new[0]
+    held = batch[position].is_valid().to_numpy(zero_copy_only=False)
+    ends = np.zeros(int(group[-1]) + 1, np.int64)
+    ends[0] = end
+    ends[group[~held]] = batch["_entry"].fill_null(0).to_numpy()[~held]
+    rows = np.flatnonzero(held)
+    at, group = batch[position].fill_null(0).to_numpy()[rows], group[rows]
+    span = max(int(at.max(initial=0)), int(ends.max())) + WINDOW_ROWS + 1
+    place = group * span + at
+    opened, within = [], np.arange(len(ends))
+    while len(within):
+        found = np.searchsorted(place, within * span + ends[within])
+        there = found < len(place)
+        found, within = found[there], within[there]
+        there = group[found] == within
+        found, within = found[there], within[there]
+        ends[within] = _reach(at[found])
+        opened.append(found)
+    return rows[np.sort(np.concatenate(opened))], int(ends[-1])
+
+
 def window_openers(df: DataFrame, keys: list[str], position: str, fan: int = FAN) -> DataFrame:
     """Triggers that open an evidence window: (keys, position)."""
     from packetloom.operators.ordered import chunk_of
@@ -164,16 +203,24 @@ def window_openers(df: DataFrame, keys: list[str], position: str, fan: int = FAN
         near[-1] = True
         return pa.table(labels(table, step) | map_row(StepMap(*[x[near] for x in found])))
 
-    def replay(table: pa.Table) -> pa.Table:
-        at = np.unique(table[position].to_numpy())
-        first = int(np.searchsorted(at, table["_entry"][0].as_py() or 0))
-        opened = at[chain_rows(np.searchsorted(at, _reach(at)), first)]
-        return pa.table(labels(table, keys, len(opened)) | {position: pa.array(opened, pa.int64())})
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, end = None, 0  # the key and chunk of the row before, and where its last window ends
+        for batch in batches:
+            if batch.num_rows:
+                new = new_groups(batch, step)
+                first = [batch[n][0].as_py() for n in step]
+                new[0] = first != last
+                opened, end = _opened(batch, new, position, 0 if new[0] else end)
+                last = [batch[n][batch.num_rows - 1].as_py() for n in step]
+                yield batch.select([*keys, position]).take(pa.array(opened))
 
     # only keys with several chunks have anything to pass on
     chunks = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     spread = rows.select(*step).distinct().withColumn("_chunks", chunks).where("_chunks > 1").drop("_chunks")
     maps = rows.join(spread, step, "left_semi").groupBy(*step).applyInArrow(summarise, map_schema(rows, step))
     entries = entry_states(maps, keys, 0, fan).drop("_count")
-    return rows.join(entries, step, "left").groupBy(*step).applyInArrow(
+    # small keys are many: a task runs through its sorted rows, many keys to a batch, the entry ahead of its chunk
+    both = rows.unionByName(entries, allowMissingColumns=True).repartition(*step).sortWithinPartitions(
+        *step, F.col(position).asc_nulls_first())
+    return both.select(*step, position, "_entry").mapInArrow(
         replay, T.StructType([rows.schema[n] for n in [*keys, position]]))

@@ -126,6 +126,32 @@ def test_window_openers_equal_the_greedy_rule(spark, chunk, fan):
         spark.conf.unset("packetloom.chunkRows")
 
 
+def test_small_keys_are_opened_many_to_a_batch(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "7")
+    spark.conf.set("packetloom.chunkRows", "1500")
+    try:
+        rng = random.Random(5)
+        groups = {(k if k else None, tool): sorted(rng.choices(range(rng.choice([3, 4000])), k=rng.randint(1, 30)))
+                  for k in ["", *map(str, range(20))] for tool in ("a", "b")}
+        df = spark.createDataFrame([(*k, p) for k, ps in groups.items() for p in ps], "key string, tool string, position bigint")
+        found = {}
+        opened = folds.window_openers(df.repartition(3), ["key", "tool"], "position")
+        for row in opened.collect():
+            found.setdefault((row.key, row.tool), []).append(row.position)
+        last = opened._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+        assert last.startswith("MapInArrow")  # not one Python call for each key
+        for k, ps in groups.items():
+            if k[0] is not None:
+                assert sorted(found[k]) == windows_by_fold(ps)
+        # a null key is a group too; only the entries of its later chunks find no key to join
+        assert {k for k in found if k[0] is None} == {(None, "a"), (None, "b")}
+    finally:
+        spark.conf.set(name, before)
+        spark.conf.unset("packetloom.chunkRows")
+
+
 def test_windows_merge_reasons_and_can_be_merged_again(spark):
     triggers = spark.createDataFrame(
         [("f", tool, p, p + 5000, True, [reason]) for tool, p, reason in [
