@@ -1,9 +1,10 @@
 """Deep queries: many requests for a tool and a flow, answered in one call.
 
-The header rows are scanned once: what any request asks for is expanded to (flow, tool) and stored, and each tool adds
-up its rows from there. An answer has a status, the reason to ask, a page descriptor and counters; a request that
-cannot be answered has a status only and leaves the others alone. Counters are a long table (flow, tool, counter,
-item, value), where an item is what is counted apart: a field's value, a stream, a session.
+The header rows are scanned once: a row that any request asks for is stored once, with the tools that ask for it and the
+fields that their counters read, and each tool adds up its rows from there. An answer has a status, the reason to ask,
+a page descriptor and counters; a request that cannot be answered has a status only and leaves the others alone.
+Counters are a long table (flow, tool, counter, item, value), where an item is what is counted apart: a field's value,
+a stream, a session.
 """
 
 from __future__ import annotations
@@ -20,11 +21,30 @@ from packetloom.operators.ordered import DEFAULT_PAUSE_MS
 from packetloom.operators.paging import PAGE_ROWS, page_descriptor, page_rows
 from packetloom.operators.ranking import row_positions
 from packetloom.protocols import bgp, esp, ike, link, rtp, smb, tcp, tls
+from packetloom.schemas import field
 from packetloom.settings import settle
 from packetloom.sources.fields import with_fields
 
-FIELDS = sorted({*tcp.TCP_FIELDS, *tcp.UDP_FIELDS, *esp.FIELDS, *tls.FIELDS, *smb.FIELDS, *rtp.FIELDS, *ike.FIELDS,
-                 *bgp.FIELDS, *link.MACSEC_FIELDS, *link.EAPOL_FIELDS})
+#: Header fields that the counters of a tool read, of those it exports.
+TOOL_FIELDS = {
+    "deep_tcp_flow": [*tcp.TCP_MARKERS, "tcp.window_size", "tcp.window_size_value", "tcp.analysis.bytes_in_flight",
+                      "tcp.window_size_scalefactor", "tcp.options.mss_val"],
+    "deep_udp_flow": ["dns.id", "dns.flags.response", "dns.flags.rcode", "bootp.id", "bootp.option.dhcp", "udp.checksum.status"],
+    "deep_esp_flow": ["udp.srcport", "udp.dstport", "ip.flags.df", "ip.frag_offset", "ip.dsfield.dscp", "ipv6.tclass.dscp",
+                      "ip.len", "ipv6.plen"],
+    "deep_tls_flow": [
+        "tcp.srcport", "tcp.dstport", "udp.srcport", "udp.dstport", "tcp.analysis.lost_segment", "tcp.analysis.retransmission",
+        *[f"{p}.{n}" for p in ("tls", "dtls") for n in (
+            "record.content_type", "handshake.type", "handshake.certificate", "alert_message.level", "alert_message.desc",
+            *tls.ALGORITHMS)]],
+    "deep_smb2_flow": [
+        "tcp.analysis.retransmission", "tcp.analysis.lost_segment", "tcp.analysis.zero_window", "smb2.cmd",
+        "smb2.flags.response", "smb2.nt_status", "smb2.credit.charge", "smb2.credit.request_response",
+        "smb2.credits.requested", "smb2.credits.granted"],
+    "deep_rtp_flow": ["rtp.ssrc", "rtp.seq", "frame.time_relative", "_ws.col.Protocol"],
+    "deep_ike_flow": ike.FIELDS, "deep_bgp_flow": bgp.FIELDS,
+    "deep_macsec_flow": link.MACSEC_FIELDS, "deep_eapol_flow": link.EAPOL_FIELDS,
+}
 COUNTERS = ["flow_key", "counter", "item", "value"]
 
 
@@ -126,12 +146,18 @@ def deep_query(requests: DataFrame, flows: DataFrame, headers: DataFrame, limit:
     fits = reduce(Column.__or__, [(c("tool") == t) & c("protocol").isin(TOOL_TRANSPORTS[t]) for t in allowed])
     judged = settle(known.withColumn("status", F.when(~c("tool").isin(allowed), "rejected").when(
         c("flow_key").isNull(), "not_found").when(~fits, "skipped").otherwise("ok")).drop("protocol"), "requests")
-    asked = judged.where("status = 'ok'").select("flow_key", "tool").distinct()
+    # at most one entry a flow, with a name for each tool
+    asked = judged.where("status = 'ok'").groupBy("flow_key").agg(F.collect_set("tool").alias("asked"))
     has_ports = c("port_a").isNotNull() | c("port_b").isNotNull()
     listed = F.array_compact(F.array(*[F.when(
         c("protocol").isin(TOOL_TRANSPORTS[t]) & tool_predicate(t, c("decoded_protocols"), has_ports), F.lit(t))
         for t in allowed]))
-    rows = settle(with_fields(headers, FIELDS).withColumn("tool", F.explode(listed)).join(asked, ["flow_key", "tool"], "left_semi"), "tool_rows")
+    fields = sorted({n for t in allowed for n in TOOL_FIELDS[t]})
+    kept = headers.withColumn("tools", listed).select("tools", *[
+        field(n) for n in headers.columns if "." not in n or n in fields])
+    stored = settle(kept.join(asked, "flow_key").withColumn("tools", F.array_intersect("tools", "asked")).where(
+        F.size("tools") > 0).drop("asked"), "tool_rows")
+    rows = with_fields(stored.withColumn("tool", F.explode("tools")).drop("tools"), fields)
 
     totals = rows.groupBy("flow_key", "tool").agg(F.count(F.lit(1)).alias("n"))
     reasons = deep.flow_reasons(flows)

@@ -49,6 +49,29 @@ def test_counters_of_streams_and_markers(answered):
     assert not any(tool == "deep_tls_flow" for tool, _, _ in found)
 
 
+def test_header_rows_are_stored_once_with_the_fields_that_are_counted(spark, packets, monkeypatch):
+    stored = {}
+    settle = deep_query.settle
+
+    def kept(df, name):
+        stored[name] = settle(df, name)
+        return stored[name]
+
+    monkeypatch.setattr(deep_query, "settle", kept)
+    pk = packets([{**TCP, "decoded_protocols": ["TCP", "TLS"]}] * 3 + [{**UDP, "decoded_protocols": ["UDP"]}] * 2).withColumns({
+        "kind": F.lit("web"), "rev": ~F.col("a_to_b"), "k": F.lit(7)})
+    flows = rollup.rank_flows(rollup.flow_rollup(pk))
+    tcp = flows.where("protocol = 'TCP'").first().flow_id
+    asked = spark.createDataFrame([("x", "deep_tcp_flow", tcp, 0), ("y", "deep_tls_flow", tcp, 0), ("z", "deep_tls_flow", tcp, 1)],
+                                  "request_id string, tool string, flow_id long, offset long")
+    found = deep_query.deep_query(asked, flows, header_rows(pk))
+    assert {r.request_id: r.total_matching for r in found.answers.collect()} == {"x": 3, "y": 3, "z": 3}
+    assert [sorted(r.tools) for r in stored["tool_rows"].collect()] == [["deep_tcp_flow", "deep_tls_flow"]] * 3
+    assert not {"rtp.timestamp", "smb2.file_id", "dns.resp.name", "tcp.seq"} & set(stored["tool_rows"].columns)
+    counted = {(r.tool, r.counter): r.value for r in found.counters.collect()}
+    assert counted["deep_tls_flow", "tls_packets"] == "3" and counted["deep_tcp_flow", "advertised_window_max"] == str(7 * 512)
+
+
 def test_control_tools_and_empty_requests(spark, packets):
     bgp = {**TCP, "dst_port": 179, "decoded_protocols": ["BGP", "TCP"], "bgp_fields": {"bgp.type": ["2", "2", "4"]}}
     pk = packets([bgp, bgp]).withColumn("k", F.lit(0))
